@@ -9,13 +9,13 @@ CRC_POLY = 0xEDB88320
 def crc32_sql(text: str) -> str:
     """SQL for the CRC-32 of a text's UTF-8 bytes, bit by bit."""
     table = (
-        f"list_transform(range(256), n -> list_reduce(range(8), (c, i) -> "
+        f"list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: "
         f"CASE WHEN c & 1 = 1 THEN xor(c >> 1, {CRC_POLY}) ELSE c >> 1 END, n))"
     )
     byte = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT"
-    bytes_ = f"list_transform(range(octet_length(encode({text}))), i -> {byte})"
+    bytes_ = f"list_transform(range(octet_length(encode({text}))), lambda i: {byte})"
     return (
-        f"(SELECT xor(list_reduce({bytes_}, (c, b) -> xor(t[1 + (xor(c, b) & 255)], c >> 8), 4294967295), 4294967295) "
+        f"(SELECT xor(list_reduce({bytes_}, lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), 4294967295), 4294967295) "
         f"FROM (SELECT {table} AS t))"
     )
 
