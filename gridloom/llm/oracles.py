@@ -40,5 +40,28 @@ FROM dealt
 """
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+')"
+
+JACCARD = f"""
+WITH RECURSIVE worded AS (SELECT doc_id, {WORDS} AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM worded),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS c
+  FROM items a JOIN items b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT x, y FROM pairs WHERE 100 * c >= 75 * (m + n - c)),
+reach AS (
+  SELECT doc_id AS x, doc_id AS r FROM documents
+  UNION
+  SELECT links.y, reach.r FROM reach JOIN links ON links.x = reach.x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id
+FROM sets s JOIN (SELECT x, min(r) AS component_id FROM reach GROUP BY 1) c ON c.x = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": SHARDING}
+    return {"op1_jaccard_join": JACCARD, "op3_sharding": SHARDING}

@@ -15,8 +15,6 @@ added as spans of kind ``random``.  All of it is column expressions.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,46 +51,50 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * z + 0.070566 * z * z * z))
 
 
-def _battery(token: Column, alphabet: str) -> Column:
-    size = len(alphabet)
-    codes = F.transform(F.split(token, "(?!^)"), lambda c: F.instr(F.lit(alphabet), c) - 1)
+def _battery(token: Column, alphabet: Column) -> Column:
+    """The joint p-value of a token whose characters all stand in ``alphabet``."""
+    size = F.length(alphabet)
+    codes = F.transform(F.split(token, "(?!^)"), lambda c: F.instr(alphabet, c) - 1)
+    zero, one = F.lit(0.0), F.lit(1.0)
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, zero, lambda s, v: s + v)
 
     def tests(x: Column) -> Column:
-        n = F.size(x).cast("double")
-        zero, df = F.lit(0.0), float(size - 1)
-        squares = F.aggregate(
-            F.transform(F.array(*[F.lit(c) for c in alphabet]), lambda c: F.length(token) - F.length(F.replace(token, c, F.lit("")))),
-            zero, lambda s, c: s + c * c,
-        )
-        chi = squares * size / n - n
-        z_chi = (F.pow(F.greatest(chi, zero) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-        high = F.aggregate(x, zero, lambda s, c: s + F.when(c >= size // 2, 1.0).otherwise(0.0))
-        nexts = F.slice(x, 2, F.size(x))
-        turns = F.aggregate(
-            F.zip_with(F.slice(x, 1, F.size(x) - 1), nexts, lambda a, b: F.when((a >= size // 2) != (b >= size // 2), 1.0).otherwise(0.0)),
-            F.lit(1.0), lambda s, t: s + t,
-        )
+        n, half, df = F.size(x).cast("double"), size / 2, (size - 1).cast("double")
+        counts = F.transform(F.split(alphabet, "(?!^)"), lambda c: F.length(token) - F.length(F.replace(token, c, F.lit(""))))
+        chi = total(F.transform(counts, lambda c: (c * c).cast("double"))) * size / n - n
+        w = 2 / (9 * df)
+        z_chi = (F.pow(F.greatest(chi, zero) / df, F.lit(1 / 3)) - (1 - w)) / F.sqrt(w)
+        befores, nexts = F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x))
+        high = total(F.transform(x, lambda c: F.when(c >= half, one).otherwise(zero)))
+        turns = one + total(F.zip_with(befores, nexts, lambda a, b: F.when((a >= half) != (b >= half), one).otherwise(zero)))
         both = 2 * high * (n - high)
         var = both * (both - n) / (n * n * (n - 1))
         z_runs = F.when(var > 1e-9, F.abs(turns - both / n - 1) / F.sqrt(F.greatest(var, F.lit(1e-9)))).otherwise(8.0)
-        mean = F.aggregate(x, zero, lambda s, c: s + c) / n
-        spread = F.aggregate(x, zero, lambda s, c: s + (c - mean) * (c - mean))
-        lagged = F.aggregate(F.zip_with(F.slice(x, 1, F.size(x) - 1), nexts, lambda a, b: (a - mean) * (b - mean)), zero, lambda s, t: s + t)
-        z_serial = F.when(spread > 1e-9, F.abs(lagged / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(8.0)
-        logs = F.log(_tail(z_chi)) + F.log(F.least(F.lit(1.0), 2 * _tail(z_runs))) + F.log(F.least(F.lit(1.0), 2 * _tail(z_serial)))
-        h = -logs  # half of Fisher's statistic, chi-squared with six degrees of freedom
-        return F.exp(-h) * (1 + h + h * h / 2)
+
+        def serial(mean: Column) -> Column:
+            spread = total(F.transform(x, lambda c: (c - mean) * (c - mean)))
+            lagged = total(F.zip_with(befores, nexts, lambda a, b: (a - mean) * (b - mean)))
+            return F.when(spread > 1e-9, F.abs(lagged / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(8.0)
+
+        z_serial = let(total(F.transform(x, lambda c: c.cast("double"))) / n, serial)
+        ps = _tail(z_chi) * F.least(one, 2 * _tail(z_runs)) * F.least(one, 2 * _tail(z_serial))
+        # -ln of the product is half of Fisher's statistic, chi-squared with six degrees of freedom.
+        return let(-F.log(ps), lambda h: F.exp(-h) * (1 + h + h * h / 2))
 
     return let(codes, tests)
 
 
 def p_random(token: Column) -> Column:
     """The joint p-value of a token under uniform noise in its encoding; null if it has none."""
-    out = F.lit(None).cast("double")
-    for alphabet in reversed(ALPHABETS.values()):
-        own = "".join("\\" + c if c in "-_+/" else c for c in alphabet)
-        out = F.when(token.rlike(f"^[{own}]+$"), _battery(token, alphabet)).otherwise(out)
-    return F.when(token.rlike("[0-9]") & token.rlike("[A-Za-z]"), out)
+    alphabet = None
+    for symbols in ALPHABETS.values():
+        own = "".join("\\" + c if c in "-_+/" else c for c in symbols)
+        test = token.rlike(f"^[{own}]+$")
+        alphabet = F.when(test, symbols) if alphabet is None else alphabet.when(test, symbols)
+    mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
+    return F.when(mixed, let(alphabet, lambda a: F.when(a.isNotNull(), _battery(token, a))))
 
 
 def candidates(text: Column) -> Column:
