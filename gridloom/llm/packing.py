@@ -10,8 +10,10 @@ incomplete bins hold are packed by first fit, decreasing, so classes leave no bi
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import SPACES, as_array, slices
+from .common import as_array, slices
 
 #: Share of a bin that a whole rest may leave empty in its class before it is cut.
 WASTE = 0.02
@@ -37,31 +39,65 @@ SCHEMA = T.StructType(
 )
 
 
+#: A run of Latin letters, then ASCII marks: two pre-tokens at most, and lower-casing A-Z first
+#: changes nothing, since neither part has a character that composes with another.
+WORD_AND_MARKS = (
+    r"^(?P<word>[A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{00FF}]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
+)
+#: Stands between parts that are encoded in one call; parts that contain it are encoded alone.
+SENTINEL = "\x01"
+
+
 class ChunkEncoder:
-    """Ids of texts for a tokenizer whose pre-tokens never span white space.
+    """Ids of texts for a lower-casing tokenizer whose pre-tokens never span white space.
 
-    A text is split at ASCII white space, and each distinct chunk is encoded once and remembered;
-    the memory is emptied when it holds ``most`` chunks.
+    A text is split at ASCII white space, and chunks of a word and marks are split there too.  Each
+    distinct part is encoded once and remembered; the memory is emptied when it holds ``most``.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 400_000, join: int = 100):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each Spark task
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-        self.most = most
-
-    def _lookup(self, chunks: list[str]) -> list[np.ndarray]:
-        known = self.known
-        new = [c for c in chunks if c not in known]
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = chunks
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, dtype="<u4")
-        return [known[c] for c in chunks]
+        self.most, self.join = most, join
+        (self.sentinel,) = self._ids(SENTINEL)
+        self._forget()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.flat, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def _learn(self, parts: list[str]) -> None:
+        plain = [p for p in parts if SENTINEL not in p]
+        found, sizes = [self.flat], [self.sizes]
+        for at in range(0, len(plain), self.join):
+            group = plain[at : at + self.join]
+            ids = np.array(self._ids(f" {SENTINEL} ".join(group) + f" {SENTINEL}"), "<u4")
+            ends = np.flatnonzero(ids == self.sentinel)
+            found.append(np.delete(ids, ends))
+            sizes.append(np.diff(np.append(-1, ends)) - 1)
+        odd = [p for p in parts if SENTINEL in p]
+        for p in odd:
+            found.append(np.array(self._ids(p), "<u4"))
+            sizes.append(np.array([len(found[-1])]))
+        for p in (*plain, *odd):
+            self.rows[p] = len(self.rows)
+        self.flat, self.sizes = np.concatenate(found).astype("<u4"), np.concatenate(sizes)
+
+    def _lookup(self, parts: list[str]) -> np.ndarray:
+        """The row of each part in ``sizes``; the parts are distinct."""
+        rows = self.rows
+        new = [p for p in parts if p not in rows]
+        if len(rows) + len(new) > self.most and rows:
+            self._forget()
+            rows, new = self.rows, parts
+        if new:
+            self._learn(new)
+        return np.fromiter(map(rows.__getitem__, parts), np.int64, len(parts))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of each text's ids, and all ids.  A null text has none."""
@@ -71,14 +107,28 @@ class ChunkEncoder:
         bounds = bounds - bounds[0]
         if not len(coded):
             return np.zeros(len(texts) + 1, np.int64), np.zeros(0, "<u4")
-        ids = self._lookup(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, first = np.concatenate(ids).astype("<u4"), np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy()
-        each = sizes[codes]
+        chunks = coded.dictionary
+        two = pc.extract_regex(chunks, WORD_AND_MARKS)
+        word = pc.if_else(two.is_null(), chunks, pc.ascii_lower(pc.struct_field(two, "word")))
+        marks = pc.fill_null(pc.struct_field(two, "marks"), "")
+        parts = pa.concat_arrays([word, marks]).dictionary_encode()
+        rows = self._lookup(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
+        firsts = np.cumsum(self.sizes) - self.sizes
+        n, codes = len(chunks), coded.indices.to_numpy()
+        pair = np.empty((len(codes), 2), np.int64)  # the parts of each chunk; no marks: no ids
+        pair[:, 0], pair[:, 1] = rows[:n][codes], rows[n:][codes]
+        pair = pair.ravel()
+        each = self.sizes[pair]
         ends = np.concatenate(([0], np.cumsum(each)))
-        take = np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])
-        return ends[bounds], flat[take]
+        take = np.repeat(firsts[pair] - ends[:-1], each)
+        take += np.arange(len(take))
+        return ends[2 * bounds], self.flat[take]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> ChunkEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return ChunkEncoder(path)
 
 
 def cut(total: int, capacity: int, waste: float = WASTE) -> list[tuple[int, int]]:
@@ -152,7 +202,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        own_encoder = encoder(tokenizer_path)
         bins = HarmonicBins(capacity, TaskContext.get().partitionId() << 40)
         schema = pa.schema([(f.name, pa.int64()) for f in SCHEMA])
 
@@ -165,7 +215,7 @@ def pack(
             all_ids, all_texts = batch.column(0), as_array(batch.column(1))
             for lo, hi in slices(all_texts):
                 doc_ids = all_ids.slice(lo, hi - lo).to_pylist()
-                bounds, ids = encoder.encode(all_texts.slice(lo, hi - lo))
+                bounds, ids = own_encoder.encode(all_texts.slice(lo, hi - lo))
                 for i, doc_id in enumerate(doc_ids):
                     own = np.append(ids[bounds[i] : bounds[i + 1]], np.array([end_id], "<u4")).astype("<u4")
                     data, total = memoryview(own.tobytes()), len(own)
@@ -183,4 +233,4 @@ def pack(
     return slim.mapInArrow(run, SCHEMA)
 
 
-__all__ = ["SPACES", "ChunkEncoder", "HarmonicBins", "cut", "pack"]
+__all__ = ["ChunkEncoder", "HarmonicBins", "cut", "encoder", "pack"]
