@@ -112,7 +112,7 @@ def _sets(table: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _profile(k: int):
-    """(doc_id, text) to rows of kind 0 (doc_id, size, set) and 1 (n-gram, local count)."""
+    """(doc_id, text, key) to rows of kind 0 (doc_id, size, set, key) and 1 (n-gram, local count)."""
 
     def frequent(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         if not held:
@@ -122,10 +122,11 @@ def _profile(k: int):
         return values[keep], counts[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64())])
+        schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("key", pa.int64())])
 
-        def out(kind: int, ids, n, sid) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(np.full(len(n), kind, np.int32)), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], schema=schema)
+        def out(kind: int, *columns) -> pa.RecordBatch:
+            kinds = pa.array(np.full(len(columns[1]), kind, np.int32))
+            return pa.record_batch([kinds, *[pa.array(c, pa.int64()) for c in columns]], schema=schema)
 
         held: list[np.ndarray] = []
         total = 0
@@ -138,11 +139,11 @@ def _profile(k: int):
                 total += len(grams)
                 if total >= SEGMENT:
                     v, c = frequent(held)
-                    yield out(1, v.view(np.int64), c, c)
+                    yield out(1, v.view(np.int64), c, c, c)
                     held, total = [], 0
-            yield out(0, batch.column(0), n, sid)
+            yield out(0, batch.column(0), n, sid, batch.column(2))
         v, c = frequent(held)
-        yield out(1, v.view(np.int64), c, c)
+        yield out(1, v.view(np.int64), c, c, c)
 
     return run
 
@@ -414,21 +415,13 @@ def _cross_pairs(lists: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame:
     return keyed.groupBy("gram", "i", "j").applyInArrow(run, "x bigint, y bigint").distinct()
 
 
-def jaccard_components(
-    docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row.
-
-    Null and empty texts: size 0, linked with nothing, their own id as component.  Null ids: the
-    row takes part, but its id is not a component's name unless no row of it has one.  Repeated
-    rows: each gets its row.  Empty table: empty result.  Other columns are ignored.  N-grams are
-    compared by 64-bit digests in prefixes and by 48 bits of them in overlaps.
-    """
+def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key, n, root) with words, and rows (id, key, n) without; key: digest of id and text."""
     t = Fraction(*threshold)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
     sc = docs.sparkSession.sparkContext
-    first = saved(docs.mapInArrow(_profile(k), "kind int, id bigint, n bigint, sid bigint"), "jaccard-profile")
-    profile = first.where("kind = 0").select("id", "n", "sid")
+    first = saved(docs.mapInArrow(_profile(k), "kind int, id bigint, n bigint, sid bigint, key bigint"), "jaccard-profile")
+    profile = first.where("kind = 0").select("id", "n", "sid", "key")
     frequent = first.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
     top = frequent.orderBy(F.desc("n"), "id").limit(FREQUENT).collect()  # at most FREQUENT rows
     grams = np.array([r["id"] for r in top], np.int64).view(np.uint64)
@@ -442,12 +435,14 @@ def jaccard_components(
     pairs = met.where("kind = 0").groupBy("x", "y").agg(F.sum("w").alias("w"))
     pairs = saved(pairs, "jaccard-candidates")
     best = pairs.groupBy("x").agg(F.max(F.struct("w", (-F.col("y")).alias("y"))).alias("b"))
-    links = _verified(docs, profile, best.select("x", (-F.col("b.y")).alias("y")), order, k, t)
+    best = best.select("x", (-F.col("b.y")).alias("y"))
+    links = _verified(docs, profile, best, order, k, t)
     roots = connected_components(links)
 
-    a, b = roots.select(F.col("id").alias("x"), F.col("root").alias("rx")), roots.select(F.col("id").alias("y"), F.col("root").alias("ry"))
+    a = roots.select(F.col("id").alias("x"), F.col("root").alias("rx"))
+    b = roots.select(F.col("id").alias("y"), F.col("root").alias("ry"))
     apart = pairs.join(a, "x", "left").join(b, "y", "left").where("coalesce(rx, x) <> coalesce(ry, y)")
-    apart = apart.join(best.select("x", (-F.col("b.y")).alias("y")), ["x", "y"], "left_anti").select("x", "y")
+    apart = apart.join(best, ["x", "y"], "left_anti").select("x", "y")
     lists = met.where("kind = 1").selectExpr("x AS gram", "y AS sid", "w AS n")
     rest = apart.union(_cross_pairs(lists, roots, t)).distinct()
     more = _verified(docs, profile, rest, order, k, t)
@@ -455,7 +450,40 @@ def jaccard_components(
         roots = connected_components(links.union(more))
 
     full = profile.where("n > 0").join(roots.withColumnRenamed("id", "sid"), "sid", "left")
-    full = full.select("id", "n", F.coalesce("root", "sid").alias("root"))
+    return full.select("id", "key", "n", F.coalesce("root", "sid").alias("root")), profile.where("n = 0").select("id", "key", "n")
+
+
+def jaccard_components(
+    docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row.
+
+    Null and empty texts: size 0, linked with nothing, their own id as component.  Null ids: the
+    row takes part, but null is a component's name only if no row of it has an id.  Repeated rows:
+    each gets its row.  Empty table: empty result.  Other columns are ignored.  N-grams are
+    compared by 64-bit digests in prefixes and by 48 bits of them in overlaps.
+    """
+    full, empty = _rooted(docs, k, threshold, id_col, text_col)
     least = full.groupBy("root").agg(F.min("id").alias("component_id"))
     named = full.join(least, "root").selectExpr("id AS doc_id", "n AS n_shingles", "component_id")
-    return named.union(profile.where("n = 0").selectExpr("id", "n", "id"))
+    return named.union(empty.selectExpr("id", "n", "id"))
+
+
+def one_of_each(
+    docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, with one row of each component.
+
+    The row of least id stays, then of least digest of id and text; null ids come last.  Of rows
+    equal in id and text one stays.  Rows without words have no links and all stay.
+    """
+    full, _ = _rooted(docs, k, threshold, id_col, text_col)
+    full = saved(full, "jaccard-rooted")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    best = full.groupBy("root").agg(F.min(rank).alias("best")).select("root", F.col("best.key").alias("stays"))
+    lost = full.join(best, "root").where("key <> stays").select(F.col("key").alias("_key")).distinct()
+    copies = full.groupBy("key").count().where("count > 1").select(F.col("key").alias("_key"))
+    packed = docs.select(F.struct("*").alias("row"), F.xxhash64(id_col, text_col).alias("_key")).join(lost, "_key", "left_anti")
+    once = packed.join(copies, "_key", "left_anti")
+    several = packed.join(copies, "_key", "left_semi").groupBy("_key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.select("row.*").unionByName(several.select("row.*"))
