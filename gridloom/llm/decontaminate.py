@@ -1,13 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of all words (hashed to ``BINS``) over the whole corpus give the weights
-   max(0, ln(N / df) - 1): words of more than a third of all documents weigh nothing.
-2. A randomised SVD of the TF-IDF passages.  Rows are the corpus's passages of 48 words and, each
-   with the weight of its share of the corpus, the benchmark items; columns are the words of the
-   items.  With a random matrix O in the items' range, every task adds its part of (A'A) O, a few
-   columns wide; the sums are streamed together, and the Nystrom form of the randomised SVD gives
-   the right singular vectors from that one pass.
-3. Each window of 48 words, every 16 words, is compared with each item by cosine in the latent
+1. Document frequencies of all words (hashed to ``BINS`` sums) over the whole corpus give the
+   weights min(CAP, max(0, ln(N / df) - FLOOR)): words of more than a twentieth of all documents
+   weigh nothing, and very rare ones no more than rare ones.
+2. A randomised SVD of the TF-IDF passages.  Rows are the corpus's passages and, with a fixed
+   multiple of the corpus's mass, the benchmark items; columns are the words of the items.  With a
+   random sparse sign matrix O, every task adds its part of (A'A) O from the pairs of item words
+   that share a passage; the sums are streamed together, and the Nystrom form of the randomised SVD
+   gives the right singular vectors from that one pass.
+3. Each window of 24 words, every 8 words, is compared with each item by cosine in the latent
    space, against the full norm of the window.  A window's cosine cannot exceed the share of its
    weight that item words have, so most windows are left out by that bound, which loses nothing.
 4. Where the cosine passes the item's threshold, the words around the window are compared with the
@@ -29,49 +30,71 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_array, hashes, slices, split_words
+from .common import as_array, hashes, partitions_for, slices, split_words
 
-BINS = 1 << 17
-BLOCK, WINDOW = 16, 3
-RANK, EXTRA = 256, 16
+BINS = 1 << 18
+FLOOR, CAP = 3.0, 4.0
+BLOCK, WINDOW = 8, 3
+RANK, EXTRA = 256, 64
 ITEMS = 256
-#: A candidate's cosine, for an item that fills the window; less in proportion for shorter items.
-COSINE = 0.45
+#: The items' share in the SVD, as a multiple of the corpus's mass.
+ITEM_MASS = 8.0
+#: A candidate's cosine, as a share of what a full match of the item's and the window's lengths has.
+COSINE = 0.5
 #: Share of an item's words in the common subsequence: alone, or with the answer.
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.6, 0.45, 8
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def word_bins(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds and a 64-bit hash of each word, lower-cased, without marks at its ends."""
+def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds, each word's code, and the hash by code: lower-cased, without marks at the ends."""
     bounds, codes, words = split_words(texts)
-    return bounds, hashes(pc.utf8_trim(words, MARKS))[codes]
+    return bounds, codes, hashes(pc.utf8_trim(words, MARKS))
 
 
-def _document_frequencies(docs: DataFrame) -> DataFrame:
+def bins_of(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(BINS)).astype(np.int64)
+
+
+def _summed(df: DataFrame, dtype: type) -> dict[int, np.ndarray]:
+    """Sums by part of arrays (part, data).  They are streamed: a task holds its parts' totals,
+    never all tasks' shares, and the driver gets one array a part."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(data.as_buffer(), dtype)
+                sums[part] = sums[part] + x if part in sums else x.copy()
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "data"])
+
+    rows = df.repartition(partitions_for(df), "part").mapInArrow(add, "part int, data binary").collect()
+    return {r["part"]: np.frombuffer(r["data"], dtype) for r in rows}
+
+
+def _parts(arrays: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(arrays), pa.int32()), pa.array([a.tobytes() for a in arrays.values()], pa.binary())], names=["part", "data"])
+
+
+def word_weights(docs: DataFrame, chunk: int = 1 << 14) -> np.ndarray:
+    """The weight of each bin; BINS numbers come to the driver."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BINS, np.int64), 0
         for batch in batches:
             texts = as_array(batch.column(0))
             for lo, hi in slices(texts):
-                bounds, h = word_bins(texts.slice(lo, hi - lo))
+                bounds, codes, h = plain_words(texts.slice(lo, hi - lo))
                 doc = np.repeat(np.arange(hi - lo, dtype=np.int64), np.diff(bounds))
-                once = np.unique(doc * BINS + (h % np.uint64(BINS)).astype(np.int64))
+                once = np.unique(doc * BINS + bins_of(h)[codes])
                 df += np.bincount(once % BINS, minlength=BINS)
                 n += hi - lo
-        at = np.flatnonzero(df)
-        yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["bin", "df"])
-
-    return docs.select("text").mapInArrow(run, "bin bigint, df bigint").groupBy("bin").agg(F.sum("df").alias("df"))
+        yield _parts({-1: np.array([n]), **{i: df[i : i + chunk] for i in range(0, BINS, chunk)}})
 
-
-def word_weights(docs: DataFrame) -> np.ndarray:
-    """The weight of each bin; BINS rows at most come to the driver."""
-    df = np.zeros(BINS + 1)
-    for r in _document_frequencies(docs).collect():
-        df[r["bin"]] = r["df"]
-    n = df[-1]
-    return np.maximum(0, np.log(max(n, 1) / np.maximum(df[:-1], 1)) - 1).astype(np.float32)
+    sums = _summed(docs.select("text").mapInArrow(run, "part int, data binary"), np.int64)
+    n = int(sums.pop(-1)[0]) if sums else 0
+    df = np.concatenate([sums[i] for i in sorted(sums)]) if sums else np.zeros(BINS, np.int64)
+    return np.clip(np.log(max(n, 1) / np.maximum(df, 1)) - FLOOR, 0, CAP).astype(np.float32) if n > 20 else np.ones(BINS, np.float32)
 
 
 @dataclass
@@ -83,88 +106,90 @@ class Items:
     weights: np.ndarray
 
     def __post_init__(self):
-        bins = [(w % np.uint64(BINS)).astype(np.int64) for w in self.words]
-        vocabulary = np.unique(np.concatenate([*bins, np.zeros(0, np.int64)]))
-        self.vocabulary = vocabulary[self.weights[vocabulary] > 0]
-        self.column = np.full(BINS, -1, np.int32)
-        self.column[self.vocabulary] = np.arange(len(self.vocabulary))
+        vocabulary = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
+        self.vocabulary = vocabulary[self.weights[bins_of(vocabulary)] > 0]
         self.matrix = np.zeros((len(self.ids), len(self.vocabulary)), np.float32)
-        for i, b in enumerate(bins):
-            c = self.column[b]
-            np.add.at(self.matrix[i], c[c >= 0], self.weights[b[c >= 0]])
+        for i, h in enumerate(self.words):
+            c = self.columns(h)
+            np.add.at(self.matrix[i], c[c >= 0], self.weights[bins_of(h[c >= 0])])
 
     @property
     def width(self) -> int:
         return len(self.vocabulary)
 
+    def columns(self, h: np.ndarray) -> np.ndarray:
+        """The column of each hashed word, -1 for words of no item."""
+        if not self.width:
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.vocabulary, h), self.width - 1)
+        return np.where(self.vocabulary[at] == h, at, -1)
+
 
-def _gram_product(docs: DataFrame, items: Items, omega: np.ndarray) -> tuple[np.ndarray, float]:
-    """Sum over all passages a of a (a' omega), and the sum of |a|^2."""
-    sc = docs.sparkSession.sparkContext
-    weights, column, om = sc.broadcast(items.weights), sc.broadcast(items.column), sc.broadcast(omega)
-    width, chunk = omega.shape[1], 512
+def _sketched(owner: np.ndarray, column: np.ndarray, weight: np.ndarray, slot: np.ndarray, sign: np.ndarray, out: np.ndarray) -> None:
+    """Add sum over owners a of a (a' O) to ``out``; O has sign[c] at (c, slot[c]).
+
+    Entries stand by owner.  Pairs of entries of one owner are listed by their distance.
+    """
+    width = out.shape[1]
+    keys, values = [], []
+    for lag in range(len(owner)):
+        same = np.flatnonzero(owner[lag:] == owner[: len(owner) - lag]) if lag else np.arange(len(owner))
+        if not len(same):
+            break
+        i, j = same, same + lag
+        product = weight[i] * weight[j]
+        keys.append(column[i] * width + slot[column[j]])
+        values.append(product * sign[column[j]])
+        if lag:
+            keys.append(column[j] * width + slot[column[i]])
+            values.append(product * sign[column[i]])
+    if keys:
+        flat, sums = np.unique(np.concatenate(keys), return_inverse=True)
+        out.reshape(-1)[flat] += np.bincount(sums, np.concatenate(values), len(flat))
+
+
+def _gram_product(docs: DataFrame, items: Items, slot: np.ndarray, sign: np.ndarray, width: int) -> tuple[np.ndarray, float]:
+    """Sum over all passages a of a (a' O), and the sum of |a|^2."""
+    shared = docs.sparkSession.sparkContext.broadcast((items, slot, sign))
+    chunk, m = 256, items.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, mass = np.zeros((len(om.value), width), np.float32), 0.0
+        it, slots, signs = shared.value
+        total, mass = np.zeros((m, width), np.float32), 0.0
         for batch in batches:
             texts = as_array(batch.column(0))
             for lo, hi in slices(texts):
-                bounds, h = word_bins(texts.slice(lo, hi - lo))
-                b = (h % np.uint64(BINS)).astype(np.int64)
-                col = column.value[b]
-                at = np.flatnonzero(col >= 0)
-                if not len(at):
-                    continue
+                bounds, codes, h = plain_words(texts.slice(lo, hi - lo))
+                column = it.columns(h)[codes]
+                at = np.flatnonzero(column >= 0)
                 doc = np.searchsorted(bounds, at, "right") - 1
                 passage = doc * (1 << 32) + (at - bounds[doc]) // (BLOCK * WINDOW)
-                new = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-                w, c = weights.value[b[at]], col[at]
-                y = np.add.reduceat(om.value[c] * w[:, None], new, axis=0)
-                back = np.repeat(y, np.diff(np.append(new, len(at))), axis=0) * w[:, None]
-                by = np.argsort(c, kind="stable")
-                first = np.flatnonzero(np.append(True, c[by][1:] != c[by][:-1]))
-                total[c[by][first]] += np.add.reduceat(back[by], first, axis=0)
+                w = it.weights[bins_of(h)][codes[at]].astype(np.float64)
+                _sketched(passage, column[at], w, slots, signs, total)
                 mass += float((w * w).sum())
-        parts = [total[i : i + chunk] for i in range(0, len(total), chunk)]
-        yield pa.record_batch(
-            [pa.array([*range(len(parts)), -1], pa.int32()), pa.array([*[p.tobytes() for p in parts], np.float64(mass).tobytes()], pa.binary())],
-            names=["part", "data"],
-        )
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(data.as_buffer(), np.float64 if part < 0 else np.float32)
-                sums[part] = sums[part] + x if part in sums else x.copy()
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "data"])
+        yield _parts({-1: np.array([mass], np.float32), **{i: total[i : i + chunk] for i in range(0, m, chunk)}})
 
-    kind = "part int, data binary"
-    n_parts = -(-len(omega) // chunk) + 1
-    # Streamed sums: a task holds its parts' totals, never all tasks' shares.
-    summed = docs.select("text").mapInArrow(run, kind).repartition(n_parts, "part").mapInArrow(add, kind)
-    out, mass = np.zeros_like(omega), 0.0
-    for r in summed.collect():  # as large as omega
-        if r["part"] < 0:
-            mass = float(np.frombuffer(r["data"], np.float64)[0])
-        else:
-            x = np.frombuffer(r["data"], np.float32).reshape(-1, width)
-            out[r["part"] * chunk : r["part"] * chunk + len(x)] = x
-    return out, mass
+    sums = _summed(docs.select("text").mapInArrow(run, "part int, data binary"), np.float32)
+    mass = float(sums.pop(-1)[0]) if sums else 0.0
+    full = [sums[i].reshape(-1, width) for i in sorted(sums)]
+    return (np.vstack(full) if full else np.zeros((m, width), np.float32)), mass
 
 
 def latent_space(docs: DataFrame, items: Items, rank: int = RANK, seed: int = 11) -> np.ndarray:
     """Right singular vectors (columns x rank) of the passages and the weighted items."""
     m = items.width
     width = min(m, rank + EXTRA)
-    start = np.random.default_rng(seed).standard_normal((m, width)).astype(np.float32)
-    omega = np.linalg.qr(items.matrix.T @ (items.matrix @ start) + 1e-3 * start)[0].astype(np.float32)
-    corpus, mass = _gram_product(docs, items, omega)
+    rng = np.random.default_rng(seed)
+    slot = rng.permutation(np.arange(m) % width)
+    sign = rng.choice([-1.0, 1.0], m)
+    omega = np.zeros((m, width))
+    omega[np.arange(m), slot] = sign
+    corpus, mass = _gram_product(docs, items, slot, sign, width)
     own = float((items.matrix**2).sum())
-    scale = max(1.0, mass / own) if own else 1.0  # the items weigh as much as the corpus
-    both = corpus + scale * (items.matrix.T @ (items.matrix @ omega))
-    shift = 1e-6 * float(np.linalg.norm(both)) + 1e-12
-    y = both.astype(np.float64) + shift * omega
+    scale = max(1.0, ITEM_MASS * mass / own) if own else 1.0
+    y = corpus.astype(np.float64) + scale * (items.matrix.T @ (items.matrix @ omega))
+    shift = 1e-7 * float(np.linalg.norm(y)) + 1e-12
+    y += shift * omega
     core = omega.T @ y
     root = np.linalg.cholesky((core + core.T) / 2 + shift * np.eye(width))
     u, _, _ = np.linalg.svd(np.linalg.solve(root, y.T).T, full_matrices=False)
@@ -192,7 +217,8 @@ class Finder:
         norms = np.sqrt((items.matrix**2).sum(1))
         self.projected = np.where(norms[:, None] > 0, full / np.maximum(norms, 1e-9)[:, None], 0).astype(np.float32)
         lengths = np.array([len(w) for w in items.words])
-        self.least = cosine * np.sqrt(np.minimum(lengths, BLOCK * WINDOW) / (BLOCK * WINDOW)).astype(np.float32)
+        span = BLOCK * WINDOW
+        self.least = cosine * np.sqrt(np.minimum(lengths, span) / np.maximum(lengths, span)).astype(np.float32)
         self.least[norms == 0] = np.inf
         self.v = v
 
@@ -201,8 +227,8 @@ class Finder:
         it = self.items
         if not len(it.ids) or not it.width:
             return []
-        bounds, h = word_bins(texts)
-        b = (h % np.uint64(BINS)).astype(np.int64)
+        bounds, codes, by_code = plain_words(texts)
+        h, weight, col = by_code[codes], it.weights[bins_of(by_code)][codes], it.columns(by_code)[codes]
         n = np.diff(bounds)
         blocks = -(-n // BLOCK)
         first_block = np.cumsum(blocks) - blocks
@@ -210,8 +236,7 @@ class Finder:
             return []
         doc_of = np.repeat(np.arange(len(n)), blocks)
         starts = bounds[:-1][doc_of] + (np.arange(blocks.sum()) - first_block[doc_of]) * BLOCK
-        square = it.weights[b] ** 2
-        col = it.column[b]
+        square = weight**2
         of_all = np.add.reduceat(square, starts)
         of_items = np.add.reduceat(np.where(col >= 0, square, 0), starts)
 
@@ -233,7 +258,7 @@ class Finder:
             idx = np.repeat(lo - (np.cumsum(each) - each), each) + np.arange(each.sum())
             c, owner = col[idx], np.repeat(np.arange(len(some)), each)
             hit = np.flatnonzero(c >= 0)
-            rows = self.v[c[hit]] * it.weights[b[idx[hit]]][:, None]
+            rows = self.v[c[hit]] * weight[idx[hit]][:, None]
             first = np.flatnonzero(np.append(True, owner[hit][1:] != owner[hit][:-1]))
             latent = np.zeros((len(some), self.v.shape[1]), np.float32)
             latent[owner[hit][first]] = np.add.reduceat(rows, first, axis=0)
@@ -272,7 +297,8 @@ def finders(docs: DataFrame, benchmark: DataFrame) -> list[Finder]:
         nonlocal weights, block
         if weights is None:
             weights = word_weights(docs)
-        bounds, h = word_bins(pa.array([b[1] for b in block], pa.string()))
+        bounds, codes, by_code = plain_words(pa.array([b[1] for b in block], pa.string()))
+        h = by_code[codes]
         words = [h[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
         real = [i for i, w in enumerate(words) if len(w)]
         items = Items([block[i][0] for i in real], [words[i] for i in real], weights)

@@ -53,6 +53,7 @@ class Chain:
     categories: tuple[str, ...]
     features: np.ndarray
     models: list[tuple[np.ndarray, float]]
+    threshold: float = 0.5  # of the last category
 
     def matrix(self, texts: pa.Array) -> np.ndarray:
         """Rows by features, 1 where present, and one column for the number of features present."""
@@ -87,7 +88,20 @@ def fit_chain(categories: tuple[str, ...], features: np.ndarray, x: np.ndarray,
                 w, b = fit_logistic(own[fold != f], y[fold != f, k], l2)
                 p[fold == f] = sigmoid(own[fold == f] @ w + b)
         earlier = np.hstack([earlier, p[:, None]])
-    return Chain(categories, features, models)
+    return Chain(categories, features, models, best_threshold(earlier[:, -1], y[:, -1]))
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The threshold of highest F1 on out-of-fold probabilities, at most one half."""
+    by = np.argsort(-p, kind="stable")
+    hits = np.cumsum(y[by])
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(y.sum(), 1))
+    last = np.append(p[by][1:] < p[by][:-1], True) if len(y) else np.zeros(0, bool)
+    if not last.any() or not y.any():
+        return 0.5
+    k = int(np.argmax(np.where(last, f1, -1)))
+    below = p[by][k + 1] if k + 1 < len(y) else 0.0
+    return float(min(0.5, (p[by][k] + below) / 2))
 
 
 def _chi_squared(seen: np.ndarray, seen_pos: np.ndarray, n: int, n_pos: int) -> np.ndarray:
@@ -148,14 +162,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     return fit_chain(("severe", "toxic"), chosen, x, np.stack([severe, toxic], 1))
 
 
-def predict(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, chain: Chain, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, p_<category> of each category in the chain's order (rounded to 6 places), toxic.
 
-    ``toxic``: the last category's probability reaches the threshold.  Null and empty texts have no
+    ``toxic``: the last category's probability reaches the threshold, the chain's own by default.  Null and empty texts have no
     features.  Null ids and repeated rows: each row is scored.  Empty table: empty result.  Other
     columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # N_FEATURES hashes and weights
+    least = chain.threshold if threshold is None else threshold
     names = ["doc_id", *[f"p_{c}" for c in chain.categories], "toxic"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +179,7 @@ def predict(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str =
             for lo, hi in slices(texts):
                 p = shared.value.predict(shared.value.matrix(texts.slice(lo, hi - lo)))
                 yield pa.record_batch(
-                    [batch.column(0).slice(lo, hi - lo), *[pa.array(np.round(c, 6)) for c in p.T], pa.array(p[:, -1] >= threshold)], names=names
+                    [batch.column(0).slice(lo, hi - lo), *[pa.array(np.round(c, 6)) for c in p.T], pa.array(p[:, -1] >= least)], names=names
                 )
 
     schema = "doc_id bigint, " + ", ".join(f"p_{c} double" for c in chain.categories) + ", toxic boolean"
