@@ -139,7 +139,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = lambda i: F.exists("runs", lambda r: (i >= r["s"]) & (i < r["e"]))
     lines = F.split(text, "\n", -1)
     left = F.filter(lines, lambda x, i: ~gone(i))
-    out = keyed.join(runs, "key", "left")
+    # Every document may have runs, so they are joined by shuffle at every size.
+    out = keyed.join(runs.hint("merge"), "key", "left")
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
     n_left = F.when(F.col("runs").isNull(), n_lines).otherwise(F.size(left)).cast("long")
     return out.select(
