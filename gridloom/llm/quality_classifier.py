@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .native import words
+from .native import let, words
 from .training import fit_logistic, labelled_sample
 
 MAX_ROWS = 20_000
@@ -170,7 +170,9 @@ def scored(
         F.coalesce(F.concat(F.lit("="), F.col(path_col)), F.lit("")).alias("path"),
     )
     model = fit_evidence(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, max_rows)
-    llr = model.column(statistics(F.col("text")))
+    # The statistics stand once for each row, not once for each bin that is compared with them.
+    once = F.struct(*[c.alias(k) for k, c in statistics(F.col("text")).items()])
+    llr = let(once, lambda s: model.column({k: s[k] for k in model.edges}))
     judged = with_words(packed, F.col("text")).select("row", "host", "path", llr.alias("llr"))
     table = saved(priors(judged, model.base), "path-priors")
     few = table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
