@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of all words (hashed to ``BINS`` sums) over the whole corpus give the
-   weights min(CAP, max(0, ln(N / df) - FLOOR)): words of more than a twentieth of all documents
-   weigh nothing, and very rare ones no more than rare ones.
+   weights min(CAP, max(0, ln(N / df) - floor)): with the first of ``FLOORS``, words of more than a
+   twentieth of all documents weigh nothing, and very rare ones no more than rare ones.  Items of
+   which too few words would have a weight go through by themselves with a lower floor.
 2. A randomised SVD of the TF-IDF passages.  Rows are the corpus's passages and, with a fixed
    multiple of the corpus's mass, the benchmark items; columns are the words of the items.  With a
    random sparse sign matrix O, every task adds its part of (A'A) O from the pairs of item words
@@ -33,14 +34,16 @@ from pyspark.sql import functions as F
 from .common import as_array, hashes, partitions_for, slices, split_words
 
 BINS = 1 << 18
-FLOOR, CAP = 3.0, 4.0
+FLOORS, CAP = (3.0, 1.5, 0.0), 4.0
+#: Words of an item that must have an eighth of CAP as weight, or a quarter of a short item.
+WEIGHTED = 5
 BLOCK, WINDOW = 8, 3
 RANK, EXTRA = 256, 64
 ITEMS = 256
 #: The items' share in the SVD, as a multiple of the corpus's mass.
 ITEM_MASS = 8.0
 #: A candidate's cosine, as a share of what a full match of the item's and the window's lengths has.
-COSINE = 0.5
+COSINE = 0.4
 #: Share of an item's words in the common subsequence: alone, or with the answer.
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.6, 0.45, 8
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -76,8 +79,8 @@ def _parts(arrays: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(arrays), pa.int32()), pa.array([a.tobytes() for a in arrays.values()], pa.binary())], names=["part", "data"])
 
 
-def word_weights(docs: DataFrame, chunk: int = 1 << 14) -> np.ndarray:
-    """The weight of each bin; BINS numbers come to the driver."""
+def word_rarity(docs: DataFrame, chunk: int = 1 << 14) -> np.ndarray:
+    """ln(N / df) of each bin; BINS numbers come to the driver.  Below 20 documents: all alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BINS, np.int64), 0
@@ -94,7 +97,11 @@ def word_weights(docs: DataFrame, chunk: int = 1 << 14) -> np.ndarray:
     sums = _summed(docs.select("text").mapInArrow(run, "part int, data binary"), np.int64)
     n = int(sums.pop(-1)[0]) if sums else 0
     df = np.concatenate([sums[i] for i in sorted(sums)]) if sums else np.zeros(BINS, np.int64)
-    return np.clip(np.log(max(n, 1) / np.maximum(df, 1)) - FLOOR, 0, CAP).astype(np.float32) if n > 20 else np.ones(BINS, np.float32)
+    return np.log(n / np.maximum(df, 1)).astype(np.float32) if n >= 20 else np.full(BINS, FLOORS[0] + 1, np.float32)
+
+
+def weights_of(rarity: np.ndarray, floor: float = FLOORS[0]) -> np.ndarray:
+    return np.clip(rarity - floor, 0, CAP).astype(np.float32)
 
 
 @dataclass
@@ -222,12 +229,13 @@ class Finder:
         self.least[norms == 0] = np.inf
         self.v = v
 
-    def find(self, texts: pa.Array) -> list[tuple[int, int, int, float, int, bool, int]]:
-        """(row, item_id, start word, cosine, common words, answer there, item words) of what is found."""
+    def find(self, prepared: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int, float, int, bool, int]]:
+        """(row, item_id, start word, cosine, common words, answer there, item words) of what is
+        found in texts that ``plain_words`` has prepared."""
         it = self.items
         if not len(it.ids) or not it.width:
             return []
-        bounds, codes, by_code = plain_words(texts)
+        bounds, codes, by_code = prepared
         h, weight, col = by_code[codes], it.weights[bins_of(by_code)][codes], it.columns(by_code)[codes]
         n = np.diff(bounds)
         blocks = -(-n // BLOCK)
@@ -290,20 +298,24 @@ def finders(docs: DataFrame, benchmark: DataFrame) -> list[Finder]:
     """
     docs = docs.select("text")
     out: list[Finder] = []
-    weights = None
+    rarity = None
     block: list[tuple[int, str]] = []
 
     def close() -> None:
-        nonlocal weights, block
-        if weights is None:
-            weights = word_weights(docs)
+        nonlocal rarity, block
+        if rarity is None:
+            rarity = word_rarity(docs)
         bounds, codes, by_code = plain_words(pa.array([b[1] for b in block], pa.string()))
         h = by_code[codes]
-        words = [h[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-        real = [i for i, w in enumerate(words) if len(w)]
-        items = Items([block[i][0] for i in real], [words[i] for i in real], weights)
-        if items.width:
-            out.append(Finder(items, latent_space(docs, items)))
+        left = [(i, h[lo:hi]) for (i, _), lo, hi in zip(block, bounds[:-1], bounds[1:], strict=True) if hi > lo]
+        for floor in FLOORS:
+            weights = weights_of(rarity, floor)
+            enough = [(weights[bins_of(w)] >= CAP / 8).sum() >= min(WEIGHTED, -(-len(w) // 4)) or floor == FLOORS[-1] for _, w in left]
+            some = [x for x, ok in zip(left, enough, strict=True) if ok]
+            left = [x for x, ok in zip(left, enough, strict=True) if not ok]
+            items = Items([i for i, _ in some], [w for _, w in some], weights)
+            if items.width:
+                out.append(Finder(items, latent_space(docs, items)))
         block = []
 
     for r in benchmark.where("text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
@@ -331,8 +343,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             ids, texts = batch.column(0).to_pylist(), as_array(batch.column(1))
             rows = []
             for lo, hi in slices(texts):
+                prepared = plain_words(texts.slice(lo, hi - lo))
                 for f in found.value:
-                    rows += [(ids[lo + d], i, s, round(c, 4), k, m, a) for d, i, s, c, k, a, m in f.find(texts.slice(lo, hi - lo))]
+                    rows += [(ids[lo + d], i, s, round(c, 4), k, m, a) for d, i, s, c, k, a, m in f.find(prepared)]
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
                 names = [x.split()[0] for x in schema.split(", ")]
@@ -351,8 +364,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
             texts = as_array(batch.column(at))
             clean = np.ones(len(texts), bool)
             for lo, hi in slices(texts):
+                prepared = plain_words(texts.slice(lo, hi - lo))
                 for f in found.value:
-                    for row in f.find(texts.slice(lo, hi - lo)):
+                    for row in f.find(prepared):
                         clean[lo + row[0]] = False
             yield batch.filter(pa.array(clean))
 

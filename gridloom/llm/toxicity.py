@@ -6,7 +6,7 @@ come from models that have not seen it, as the ones at prediction come from unse
 
 Text features are the words of a text (present or not, lower-cased, marks at the ends taken off)
 and their beginnings of ``STEMS`` characters.  Of all features in the sample the ``N_FEATURES`` of
-highest chi-squared for any category are kept.  The sample holds at most ``max_rows`` labelled rows,
+highest chi-squared are kept, if it is at least ``LEAST_CHI``.  The sample holds at most ``max_rows`` labelled rows,
 so what the driver collects is bounded; prediction runs over all rows by Arrow batches.
 """
 
@@ -26,6 +26,8 @@ from .training import fit_logistic, labelled_sample, sigmoid
 
 MAX_ROWS = 12_000
 N_FEATURES = 600
+#: Least chi-squared of a feature: one in two thousand by chance.
+LEAST_CHI = 12.0
 STEMS = (5, 7)
 FOLDS = 4
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -149,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
             at = np.minimum(np.searchsorted(values, s), len(values) - 1)
             seen_pos[at[values[at] == s]] += 1
     score = _chi_squared(seen.astype(float), seen_pos, len(rows), int(toxic.sum()))
-    top = np.sort(np.argsort(-score, kind="stable")[:n_features])
+    top = np.argsort(-score, kind="stable")[:n_features]
+    top = np.sort(top[score[top] >= LEAST_CHI])
     chosen = values[top]
     strong = (seen_pos[top] >= 0.9 * seen[top]) & (seen[top] >= 5)
     x = np.zeros((len(rows), len(chosen) + 1), np.float32)
