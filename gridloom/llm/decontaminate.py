@@ -52,7 +52,7 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bounds, each word's code, and the hash by code: lower-cased, without marks at the ends."""
     bounds, codes, words = split_words(texts)
-    return bounds, codes, hashes(pc.utf8_trim(words, MARKS))
+    return bounds, codes, hashes(pc.utf8_trim(pc.utf8_lower(words), MARKS))
 
 
 def bins_of(h: np.ndarray) -> np.ndarray:

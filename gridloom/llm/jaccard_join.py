@@ -10,6 +10,7 @@ A document's set holds its distinct word n-grams.  Two sets of sizes m and n lin
 2. Two linked sets share an n-gram within the first n - ceil(t n) + 1 of each.  These prefixes go
    to buckets of n-grams as packed arrays.  A small group yields its pairs that pass the length
    bound; a large one yields each member's pair with the group's first set, and its member list.
+   A pair's common n-grams in the prefixes bound its overlap from above.
 3. Each set is verified against the partner that most of its prefix names.  A block holds one
    probe and many candidates.  The candidates, stored in global order from the frequent end, form
    a radix trie; the probe walks it, counts each shared path once, and leaves a subtree when the
@@ -28,7 +29,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_array, mix, partitions_for, saved, slices, word_hashes
@@ -200,14 +201,24 @@ def required_self(n: int, t: Fraction) -> int:
     return -((-t.numerator * n) // t.denominator)
 
 
-def _unique_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (x, y) and how often each occurs."""
+def _unique_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct (x, y) first stands, and how often it occurs."""
     by = np.lexsort((y, x))
-    x, y = x[by], y[by]
     new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    new[1:] = (x[by][1:] != x[by][:-1]) | (y[by][1:] != y[by][:-1])
     at = np.flatnonzero(new)
-    return x[at], y[at], np.diff(np.append(at, len(x)))
+    return by[at], np.diff(np.append(at, len(x)))
+
+
+def _possible(votes: Column, t: Fraction) -> Column:
+    """Whether sets of sizes m and n whose prefixes share so many n-grams may link.
+
+    Of the set whose prefix ends first in the global order, every common n-gram within the prefix
+    is a vote; the rest has ceil(t size) - 1 n-grams.
+    """
+    a, b = t.numerator, t.denominator
+    rest = F.expr(f"({a} * greatest(m, n) + {b - 1}) div {b} - 1")
+    return votes + rest >= F.expr(f"({a} * (m + n) + {a + b - 1}) div {a + b}")
 
 
 def _similar(m: np.ndarray, n: np.ndarray, t: Fraction) -> np.ndarray:
@@ -215,12 +226,13 @@ def _similar(m: np.ndarray, n: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def _groups(t: Fraction):
-    """Packed prefixes, sorted by bucket, to pairs (kind 0: x, y, votes) and large groups' rows
-    (kind 1: n-gram, set, size)."""
-    schema = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("w", pa.int64())])
+    """Packed prefixes, sorted by bucket, to pairs (kind 0: sets x and y, votes of small groups,
+    votes of stars, sizes) and large groups' rows (kind 1: n-gram, set, 0, 0, size, size)."""
+    names = ("x", "y", "small", "star", "m", "n")
 
-    def out(kind: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.full(len(x), kind, np.int32)), pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64)), pa.array(w.astype(np.int64))], schema=schema)
+    def out(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        kinds = pa.array(np.full(len(columns[0]), kind, np.int32))
+        return pa.record_batch([kinds, *[pa.array(c.astype(np.int64)) for c in columns]], names=["kind", *names])
 
     def bucket(grams: np.ndarray, sids: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         by = np.lexsort((sids, grams))
@@ -232,19 +244,20 @@ def _groups(t: Fraction):
         each = np.diff(np.append(starts, len(grams)))
         many = np.repeat(each, each)
         first = np.repeat(starts, each)
-        xs, ys = [], []
+        ends, others = [], []
         for d in range(1, SMALL):
             i = np.flatnonzero((many[d:] <= SMALL) & (grams[d:] == grams[:-d])) + d
             i = i[_similar(sizes[i], sizes[i - d], t)]
-            xs.append(sids[i])
-            ys.append(sids[i - d])
+            ends.append(i)
+            others.append(i - d)
         large = np.flatnonzero(many > SMALL)
         star = large[(first[large] != large) & _similar(sizes[large], sizes[first[large]], t)]
-        xs.append(sids[star])
-        ys.append(sids[first[star]])
-        x, y, votes = _unique_pairs(np.concatenate(xs), np.concatenate(ys))
-        yield out(0, x, y, votes)
-        yield out(1, grams[large].view(np.int64), sids[large], sizes[large])
+        zero = np.zeros(len(large), np.int64)
+        for k, (i, j) in enumerate(((np.concatenate([*ends, star[:0]]), np.concatenate([*others, star[:0]])), (star, first[star]))):
+            at, votes = _unique_pairs(sids[i], sids[j])
+            none = np.zeros(len(at), np.int64)
+            yield out(0, sids[i][at], sids[j][at], none if k else votes, votes if k else none, sizes[i][at], sizes[j][at])
+        yield out(1, grams[large].view(np.int64), sids[large], zero, zero, sizes[large], sizes[large])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -335,12 +348,17 @@ def _bitmap(df: DataFrame, key: str) -> np.ndarray:
 
 
 def _needed_sets(docs: DataFrame, profile: DataFrame, wanted: DataFrame, order, k: int) -> DataFrame:
-    """(sid, tokens) of the wanted sets, made again from one text each."""
+    """(sid, tokens) of the wanted sets, made again from one text each.
+
+    Ids that share a bit may bring other sets along, and repeated rows of an id one more row of a
+    set for each task; whoever joins them takes one.
+    """
     reps = profile.join(wanted, "sid").groupBy("sid").agg(F.min("id").alias("id"))
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(reps, "id"))  # BITMAP / 4 bytes
     schema = pa.schema([("sid", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             slot = batch.column(2).to_numpy()
             hit = (bits.value[slot // 32] >> (slot % 32)) & 1 == 1
@@ -349,14 +367,16 @@ def _needed_sets(docs: DataFrame, profile: DataFrame, wanted: DataFrame, order,
             batch = batch.filter(pa.array(hit))
             sids, tokens = [], []
             for _, grams in _sets(batch, k):
-                sids.append(set_id(grams))
-                tokens.append(_pack48(order.value.arrange(grams)[::-1]))
+                sid = set_id(grams)
+                if sid not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(sid)
+                    sids.append(sid)
+                    tokens.append(_pack48(order.value.arrange(grams)[::-1]))
             yield pa.record_batch([pa.array(sids, pa.int64()), pa.array(tokens, pa.binary())], schema=schema)
 
     slots = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("slot"))
-    made = slots.mapInArrow(run, "sid bigint, tokens binary")
-    # A text's other rows, or ids that share a bit, may come along: one row of each wanted set.
-    return made.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    return slots.mapInArrow(run, "sid bigint, tokens binary")
 
 
 def _verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame, order, k: int, t: Fraction) -> DataFrame:
@@ -376,12 +396,10 @@ def _verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame, order, k: i
 
     def run(block: pa.Table) -> pa.Table:
         y = block.column("y")[0].as_py()
-        sids = block.column("sid").to_pylist()
-        own = [_unpack48(x) for x in block.column("tokens").to_pylist()]
-        at = sids.index(y)
-        others = [i for i in range(len(sids)) if i != at]
-        got = trie_overlaps(own[at], [own[i] for i in others], t)
-        linked = [sids[i] for i, g in zip(others, got, strict=True) if g >= 0]
+        sets = dict(zip(block.column("sid").to_pylist(), block.column("tokens").to_pylist(), strict=True))
+        probe = _unpack48(sets.pop(y))
+        got = trie_overlaps(probe, [_unpack48(x) for x in sets.values()], t)
+        linked = [s for s, g in zip(sets, got, strict=True) if g >= 0]
         return pa.table([pa.array(linked, pa.int64()), pa.array([y] * len(linked), pa.int64())], schema=schema)
 
     return saved(blocks.groupBy("y", "b").applyInArrow(run, "u bigint, v bigint"), "jaccard-links")
@@ -397,22 +415,22 @@ def _cross_pairs(lists: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame:
     # Each block of a list meets every block of it once.
     other = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     keyed = other.select("gram", "sid", "n", "root", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def run(block: pa.Table) -> pa.Table:
         sid, n, root, own = (block.column(c).to_numpy() for c in ("sid", "n", "root", "own"))
         i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
         a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        xs, ys = [], []
+        ps, qs = [], []
         for p in a:
             q = b[(root[b] != root[p]) & _similar(n[b], n[p], t)]
             q = q[sid[q] < sid[p]] if i == j else q
-            xs.append(np.maximum(sid[q], sid[p]))
-            ys.append(np.minimum(sid[q], sid[p]))
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-        return pa.table([pa.array(x), pa.array(y)], schema=schema)
+            ps.append(np.full(len(q), p))
+            qs.append(q)
+        p, q = (np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for v in (ps, qs))
+        p, q = np.where(sid[p] > sid[q], p, q), np.where(sid[p] > sid[q], q, p)
+        return pa.table([pa.array(sid[p]), pa.array(sid[q]), pa.array(n[p]), pa.array(n[q])], names=["x", "y", "m", "n"])
 
-    return keyed.groupBy("gram", "i", "j").applyInArrow(run, "x bigint, y bigint").distinct()
+    return keyed.groupBy("gram", "i", "j").applyInArrow(run, "x bigint, y bigint, m bigint, n bigint")
 
 
 def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -430,21 +448,25 @@ def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, te
     parts = partitions_for(docs)
     packed = docs.mapInArrow(_prefixes(k, t, order, 4 * parts), "bucket int, grams binary, sids binary, sizes binary")
     dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    met = saved(dealt.mapInArrow(_groups(t), "kind int, x bigint, y bigint, w bigint"), "jaccard-met")
+    kind = "kind int, x bigint, y bigint, small bigint, star bigint, m bigint, n bigint"
+    met = saved(dealt.mapInArrow(_groups(t), kind), "jaccard-met")
 
-    pairs = met.where("kind = 0").groupBy("x", "y").agg(F.sum("w").alias("w"))
+    pairs = met.where("kind = 0").groupBy("x", "y").agg(F.sum("small").alias("small"), F.sum("star").alias("star"), F.max("m").alias("m"), F.max("n").alias("n"))
     pairs = saved(pairs, "jaccard-candidates")
-    best = pairs.groupBy("x").agg(F.max(F.struct("w", (-F.col("y")).alias("y"))).alias("b"))
+    votes = F.col("small") + F.col("star")
+    best = pairs.where(_possible(votes, t)).groupBy("x").agg(F.max(F.struct(votes.alias("w"), (-F.col("y")).alias("y"))).alias("b"))
     best = best.select("x", (-F.col("b.y")).alias("y"))
     links = _verified(docs, profile, best, order, k, t)
     roots = connected_components(links)
 
     a = roots.select(F.col("id").alias("x"), F.col("root").alias("rx"))
     b = roots.select(F.col("id").alias("y"), F.col("root").alias("ry"))
-    apart = pairs.join(a, "x", "left").join(b, "y", "left").where("coalesce(rx, x) <> coalesce(ry, y)")
-    apart = apart.join(best, ["x", "y"], "left_anti").select("x", "y")
-    lists = met.where("kind = 1").selectExpr("x AS gram", "y AS sid", "w AS n")
-    rest = apart.union(_cross_pairs(lists, roots, t)).distinct()
+    apart = pairs.where("small > 0").join(a, "x", "left").join(b, "y", "left").where("coalesce(rx, x) <> coalesce(ry, y)")
+    lists = met.where("kind = 1").selectExpr("x AS gram", "y AS sid", "n")
+    # Between components every common n-gram of two prefixes is counted, in small and large groups.
+    met_again = apart.select("x", "y", "small", "m", "n").union(_cross_pairs(lists, roots, t).selectExpr("x", "y", "1L", "m", "n"))
+    rest = met_again.groupBy("x", "y").agg(F.sum("small").alias("votes"), F.max("m").alias("m"), F.max("n").alias("n"))
+    rest = rest.where(_possible(F.col("votes"), t)).join(best, ["x", "y"], "left_anti")
     more = _verified(docs, profile, rest, order, k, t)
     if not more.isEmpty():
         roots = connected_components(links.union(more))

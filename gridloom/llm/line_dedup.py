@@ -1,14 +1,16 @@
 """Line dedup by winnowing over line hashes.
 
-Windows slide over a document's non-blank lines, each window being the fewest lines from its start
-that hold ``GUARANTEE`` words.  The line of least hash in a window is a fingerprint, so any run of
-lines with that many words that two documents share has a fingerprint in both.
+A shingle is the fewest lines from a non-blank line on that hold ``SHINGLE`` words; its key is a
+hash of their line hashes.  Windows are the fewest lines from each line on that hold ``GUARANTEE``
+words, and the shingle of least key within a window is a fingerprint.  So any run of lines with
+``GUARANTEE`` words that two documents share holds a fingerprint that both have, and every match
+has at least ``SHINGLE`` words.
 
 The first place of each fingerprint, by (doc_id, row key, line), comes from grouped minima, and
 every other place is matched with the first one only: a line that a third of all documents hold
-costs a row each.  A match is extended both ways over equal lines, and a run of at least
-``GUARANTEE`` words is deleted from the later document.  A deleted line always stands in an earlier
-place, so the first occurrence of every line is kept.
+costs a row each.  A match is extended both ways over equal lines, and the run is deleted from the
+later document.  So of a repeated run no stretch of ``GUARANTEE`` words is left whole, a deleted
+line always stands in an earlier place, and the first occurrence of every line is kept.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import as_array, saved
 
-GUARANTEE = 24
+SHINGLE, GUARANTEE = 12, 24
 
 
 def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -35,24 +37,25 @@ def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def fingerprints(hashes: np.ndarray, counts: np.ndarray, guarantee: int = GUARANTEE) -> np.ndarray:
-    """Lines that are the (rightmost) least of some window."""
+def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
+    """(line, key) of the shingles that are the (rightmost) least of some window."""
     real = np.flatnonzero(counts > 0)
-    if not len(real):
-        return real
     sums = np.append(0, np.cumsum(counts[real]))
-    # The window from line i ends with the first line at which it holds enough words.
-    ends = np.searchsorted(sums, sums[:-1] + guarantee, "left")
-    found, h = set(), hashes[real]
-    for i, j in enumerate(ends.tolist()):
-        if j > len(real):
+    # A shingle or window from line i ends with the first line at which it holds enough words.
+    ends = np.searchsorted(sums, sums[:-1] + SHINGLE, "left").tolist()
+    spans = np.searchsorted(sums, sums[:-1] + GUARANTEE, "left").tolist()
+    n, found = len(real), {}
+    keys = [xxhash.xxh3_64_intdigest(hashes[real[i] : real[j - 1] + 1].tobytes()) if j <= n else None for i, j in enumerate(ends)]
+    for i, span in enumerate(spans):
+        if span > n:
             break
-        if j == i + 1:
-            found.add(i)
-        else:
-            part = h[i:j]
-            found.add(j - 1 - int(np.argmin(part[::-1])))
-    return real[sorted(found)]
+        best, p = i, i + 1
+        while p < n and ends[p] <= span:
+            if keys[p] <= keys[best]:
+                best = p
+            p += 1
+        found[best] = keys[best]
+    return [(int(real[i]), k - (1 << 63)) for i, k in sorted(found.items())]
 
 
 def extend(own: np.ndarray, other: np.ndarray, at: int, there: int) -> tuple[int, int]:
@@ -68,28 +71,24 @@ def extend(own: np.ndarray, other: np.ndarray, at: int, there: int) -> tuple[int
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lines, counts, prints = [], [], []
+        lines, prints = [], []
         for text in as_array(batch.column(2)).to_pylist():
             h, c = line_hashes(text or "")
-            at = fingerprints(h, c)
             lines.append(h.tobytes())
-            counts.append(c.astype(np.int32).tobytes())
-            prints.append([{"h": int(np.int64(h[i].view(np.int64))), "at": int(i)} for i in at])
+            prints.append([{"h": k, "at": i} for i, k in fingerprints(h, c)])
         kind = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())]))
         yield pa.record_batch(
-            [batch.column(0), batch.column(1), pa.array(lines, pa.binary()), pa.array(counts, pa.binary()), pa.array(prints, kind)],
-            names=["id", "key", "lines", "counts", "prints"],
+            [batch.column(0), batch.column(1), pa.array(lines, pa.binary()), pa.array(prints, kind)], names=["id", "key", "lines", "prints"]
         )
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, lines, counts, other lines, matches) to the runs to delete."""
+    """(key, lines, other lines, matches) to the runs to delete."""
     for batch in batches:
         keys, runs = [], []
-        own_lines, own_counts, others, matches = (batch.column(i).to_pylist() for i in range(1, 5))
+        own_lines, others, matches = (batch.column(i).to_pylist() for i in range(1, 4))
         for i, key in enumerate(batch.column(0).to_pylist()):
             own, other = np.frombuffer(own_lines[i], np.uint64), np.frombuffer(others[i], np.uint64)
-            counts = np.frombuffer(own_counts[i], np.int32)
             got: list[dict] = []
             done: dict[int, int] = {}  # by shift: the end of the last run, whose inner matches need no look
             for m in sorted(matches[i], key=lambda m: (m["at"], m["there"])):
@@ -98,11 +97,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 start, end = extend(own, other, m["at"], m["there"])
                 done[shift] = end
-                if counts[start:end].sum() >= GUARANTEE:
-                    got.append({"s": start, "e": end})
-            if got:
-                keys.append(key)
-                runs.append(got)
+                got.append({"s": start, "e": end})
+            keys.append(key)
+            runs.append(got)
         kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
         yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(runs, kind)], names=["key", "runs"])
 
@@ -110,7 +107,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, runs): the line ranges to delete from the rows whose (id, text) have that key."""
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    kind = "id bigint, key bigint, lines binary, counts binary, prints array<struct<h:bigint,at:int>>"
+    kind = "id bigint, key bigint, lines binary, prints array<struct<h:bigint,at:int>>"
     profile = saved(keyed.mapInArrow(_profile, kind), "lines")
     places = profile.select("id", "key", F.explode("prints").alias("p")).select("id", "key", "p.h", "p.at").distinct()
     place = F.struct("id", "key", "at")
@@ -119,9 +116,9 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     later = later.select("key", "at", F.col("first.key").alias("other"), F.col("first.at").alias("there"))
     by_pair = later.groupBy("key", "other").agg(F.collect_list(F.struct("at", "there")).alias("matches"))
     # Copies of a row have one key and one profile.
-    lines = profile.groupBy("key").agg(F.first("lines").alias("lines"), F.first("counts").alias("counts"))
+    lines = profile.groupBy("key").agg(F.first("lines").alias("lines"))
     both = by_pair.join(lines, "key").join(lines.select(F.col("key").alias("other"), F.col("lines").alias("there_lines")), "other")
-    found = both.select("key", "lines", "counts", "there_lines", "matches").mapInArrow(_runs, "key bigint, runs array<struct<s:int,e:int>>")
+    found = both.select("key", "lines", "there_lines", "matches").mapInArrow(_runs, "key bigint, runs array<struct<s:int,e:int>>")
     return found.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 

@@ -36,7 +36,7 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 def feature_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Rows and 64-bit features; a pair may stand more than once."""
     bounds, codes, words = split_words(texts)
-    plain = pc.utf8_trim(words, MARKS)
+    plain = pc.utf8_trim(pc.utf8_lower(words), MARKS)
     kinds = [hashes(plain)]
     for k in STEMS:
         with np.errstate(over="ignore"):
