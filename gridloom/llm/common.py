@@ -10,7 +10,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +17,9 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: Text handed to one vectorised step, so that a worker's memory does not follow the batch size.
 SLICE_BYTES = 4 << 20
+#: The word hash: an odd multiplier, and a random value for each byte.
+POWER = np.uint64(0x9E3779B97F4A7C15)
+BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -86,10 +88,22 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
 
 
 def hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each string."""
-    return np.fromiter(
-        map(xxhash.xxh3_64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words)
-    )
+    """A 64-bit hash of each string's bytes: a polynomial over random byte values, scrambled."""
+    words = words.cast(pa.large_binary())
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    n = np.diff(at)
+    out = n.astype(np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+        starts = (at[:-1] - at[0])[some]
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.full(int(n.max()), POWER, np.uint64))
+            place = np.arange(len(raw)) - np.repeat(starts, n[some])
+            out[some] += np.add.reduceat(BYTES[raw] * powers[place], starts)
+    with np.errstate(over="ignore"):
+        return mix(out)
 
 
 def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

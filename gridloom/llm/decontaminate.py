@@ -1,17 +1,20 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of all words (hashed to ``BINS`` sums) over the whole corpus give the
-   weights min(CAP, max(0, ln(N / df) - floor)): with the first of ``FLOORS``, words of more than a
+1. One pass over the whole corpus counts in how many documents each word is (hashed to ``BINS``
+   sums), and makes its part of a randomised SVD.  The counts give the weights of TF-IDF,
+   min(CAP, max(0, ln(N / df) - floor)): with the first of ``FLOORS``, words of more than a
    twentieth of all documents weigh nothing, and very rare ones no more than rare ones.  Items of
    which too few words would have a weight go through by themselves with a lower floor.
-2. A randomised SVD of the TF-IDF passages.  Rows are the corpus's passages and, with a fixed
-   multiple of the corpus's mass, the benchmark items; columns are the words of the items.  With a
-   random sparse sign matrix O, every task adds its part of (A'A) O from the pairs of item words
-   that share a passage; the sums are streamed together, and the Nystrom form of the randomised SVD
-   gives the right singular vectors from that one pass.
+2. The SVD is of the TF-IDF passages.  Rows are the corpus's passages and, with a fixed multiple of
+   the corpus's mass, the benchmark items; columns are the words of the items, D their weights.  For
+   the counts C of the corpus and a random sparse sign matrix O, every task adds its part of C'C O
+   from the pairs of item words that share a passage; the sums are streamed together.  Since
+   (C D)'(C D) (O / D) = D (C'C O), the weights may come afterwards, and the Nystrom form of the
+   randomised SVD gives the right singular vectors of the weighted passages from that one pass.
 3. Each window of 24 words, every 8 words, is compared with each item by cosine in the latent
    space, against the full norm of the window.  A window's cosine cannot exceed the share of its
-   weight that item words have, so most windows are left out by that bound, which loses nothing.
+   weight that item words have, times the share of an item that its heaviest 24 words have, so most
+   windows are left out by that bound, which loses nothing.
 4. Where the cosine passes the item's threshold, the words around the window are compared with the
    item: longest common subsequence, and whether the item's answer (its last ``ANSWER`` words) is
    there.  Copies have nearly the whole sequence; paraphrases have a good part of it and the answer.
@@ -34,16 +37,18 @@ from pyspark.sql import functions as F
 from .common import as_array, hashes, partitions_for, slices, split_words
 
 BINS = 1 << 18
-FLOORS, CAP = (3.0, 1.5, 0.0), 4.0
+FLOORS, CAP, LEAST_WEIGHT = (3.0, 1.5, 0.0), 4.0, 0.05
 #: Words of an item that must have an eighth of CAP as weight, or a quarter of a short item.
 WEIGHTED = 5
 BLOCK, WINDOW = 8, 3
 RANK, EXTRA = 256, 64
+#: Words of more than this share of the items, and of more than five, tell no items apart.
+COMMON = 0.05
 ITEMS = 256
 #: The items' share in the SVD, as a multiple of the corpus's mass.
 ITEM_MASS = 8.0
 #: A candidate's cosine, as a share of what a full match of the item's and the window's lengths has.
-COSINE = 0.4
+COSINE = 0.5
 #: Share of an item's words in the common subsequence: alone, or with the answer.
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.6, 0.45, 8
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -79,11 +84,45 @@ def _parts(arrays: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(arrays), pa.int32()), pa.array([a.tobytes() for a in arrays.values()], pa.binary())], names=["part", "data"])
 
 
-def word_rarity(docs: DataFrame, chunk: int = 1 << 14) -> np.ndarray:
-    """ln(N / df) of each bin; BINS numbers come to the driver.  Below 20 documents: all alike."""
+@dataclass
+class Survey:
+    """What the pass over the corpus gives: ln(N / df) by bin, and C'C O with its O."""
+
+    rarity: np.ndarray
+    vocabulary: np.ndarray
+    product: np.ndarray
+    slot: np.ndarray
+    sign: np.ndarray
+
+
+def lookup(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The place of each hash in a sorted vocabulary, -1 where it is not there."""
+    if not len(vocabulary):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == h, at, -1)
+
+
+def telling_words(items: list[np.ndarray]) -> np.ndarray:
+    """The sorted distinct words of items, without those of too many items."""
+    each = [np.unique(w) for w in items]
+    values, counts = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_counts=True)
+    return values[counts <= max(5, COMMON * len(items))]
+
+
+def survey(docs: DataFrame, vocabulary: np.ndarray, seed: int = 11, chunk: int = 1 << 14) -> Survey:
+    """One pass over the texts.  BINS counts and a row of RANK + EXTRA numbers for each item word
+    come to the driver.  Below 20 documents all words are alike."""
+    m = len(vocabulary)
+    width = min(max(m, 1), RANK + EXTRA)
+    rng = np.random.default_rng(seed)
+    slot, sign = rng.permutation(np.arange(m) % width), rng.choice([-1.0, 1.0], m)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, slot, sign))
+    rows = max(1, chunk // width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(BINS, np.int64), 0
+        words, slots, signs = shared.value
+        df, n, total = np.zeros(BINS), 0, np.zeros((m, width))
         for batch in batches:
             texts = as_array(batch.column(0))
             for lo, hi in slices(texts):
@@ -92,12 +131,20 @@ def word_rarity(docs: DataFrame, chunk: int = 1 << 14) -> np.ndarray:
                 once = np.unique(doc * BINS + bins_of(h)[codes])
                 df += np.bincount(once % BINS, minlength=BINS)
                 n += hi - lo
-        yield _parts({-1: np.array([n]), **{i: df[i : i + chunk] for i in range(0, BINS, chunk)}})
+                column = lookup(words, h)[codes]
+                at = np.flatnonzero(column >= 0)
+                passage = doc[at] * (1 << 32) + (at - bounds[doc[at]]) // (BLOCK * WINDOW)
+                _sketched(passage, column[at], slots, signs, total)
+        parts = {i: df[i * chunk : (i + 1) * chunk] for i in range(BINS // chunk)}
+        parts |= {1_000_000 + i: total[i * rows : (i + 1) * rows] for i in range(-(-m // rows))}
+        yield _parts({-1: np.array([float(n)]), **parts})
 
-    sums = _summed(docs.select("text").mapInArrow(run, "part int, data binary"), np.int64)
-    n = int(sums.pop(-1)[0]) if sums else 0
-    df = np.concatenate([sums[i] for i in sorted(sums)]) if sums else np.zeros(BINS, np.int64)
-    return np.log(n / np.maximum(df, 1)).astype(np.float32) if n >= 20 else np.full(BINS, FLOORS[0] + 1, np.float32)
+    sums = _summed(docs.select("text").mapInArrow(run, "part int, data binary"), np.float64)
+    n = float(sums[-1][0]) if sums else 0.0
+    df = [sums[i] for i in sorted(sums) if 0 <= i < 1_000_000]
+    product = [sums[i].reshape(-1, width) for i in sorted(sums) if i >= 1_000_000]
+    rarity = np.log(n / np.maximum(np.concatenate(df), 1)) if n >= 20 else np.full(BINS, FLOORS[0] + 1)
+    return Survey(rarity.astype(np.float32), vocabulary, np.vstack(product) if product else np.zeros((m, width)), slot, sign)
 
 
 def weights_of(rarity: np.ndarray, floor: float = FLOORS[0]) -> np.ndarray:
@@ -106,19 +153,21 @@ def weights_of(rarity: np.ndarray, floor: float = FLOORS[0]) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A block of benchmark items: ids, their words' hashes, and the columns of the matrix."""
+    """Benchmark items: ids, their words' hashes, the weight of each bin, and the columns' words."""
 
     ids: list[int]
     words: list[np.ndarray]
     weights: np.ndarray
+    vocabulary: np.ndarray
 
     def __post_init__(self):
-        vocabulary = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
-        self.vocabulary = vocabulary[self.weights[bins_of(vocabulary)] > 0]
+        # Every column has some weight, so that the survey's product can be weighted afterwards.
+        self.column_weights = np.maximum(self.weights[bins_of(self.vocabulary)], LEAST_WEIGHT).astype(np.float64)
         self.matrix = np.zeros((len(self.ids), len(self.vocabulary)), np.float32)
         for i, h in enumerate(self.words):
             c = self.columns(h)
-            np.add.at(self.matrix[i], c[c >= 0], self.weights[bins_of(h[c >= 0])])
+            c = c[c >= 0]
+            np.add.at(self.matrix[i], c, self.column_weights[c])
 
     @property
     def width(self) -> int:
@@ -126,80 +175,48 @@ class Items:
 
     def columns(self, h: np.ndarray) -> np.ndarray:
         """The column of each hashed word, -1 for words of no item."""
-        if not self.width:
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.vocabulary, h), self.width - 1)
-        return np.where(self.vocabulary[at] == h, at, -1)
+        return lookup(self.vocabulary, h)
 
 
-def _sketched(owner: np.ndarray, column: np.ndarray, weight: np.ndarray, slot: np.ndarray, sign: np.ndarray, out: np.ndarray) -> None:
-    """Add sum over owners a of a (a' O) to ``out``; O has sign[c] at (c, slot[c]).
+def _sketched(owner: np.ndarray, column: np.ndarray, slot: np.ndarray, sign: np.ndarray, out: np.ndarray) -> None:
+    """Add sum over owners' counts c of c (c' O) to ``out``; O has sign[c] at (c, slot[c]).
 
     Entries stand by owner.  Pairs of entries of one owner are listed by their distance.
     """
     width = out.shape[1]
-    keys, values = [], []
-    for lag in range(len(owner)):
-        same = np.flatnonzero(owner[lag:] == owner[: len(owner) - lag]) if lag else np.arange(len(owner))
-        if not len(same):
+    base, to, value = column * width, slot[column] if len(column) else column, sign[column] if len(column) else column
+    flat = out.reshape(-1)
+    keys, values = [base + to], [value]
+    live = np.arange(len(owner))
+    for lag in range(1, BLOCK * WINDOW):
+        live = live[live + lag < len(owner)]
+        live = live[owner[live + lag] == owner[live]]
+        if not len(live):
             break
-        i, j = same, same + lag
-        product = weight[i] * weight[j]
-        keys.append(column[i] * width + slot[column[j]])
-        values.append(product * sign[column[j]])
-        if lag:
-            keys.append(column[j] * width + slot[column[i]])
-            values.append(product * sign[column[i]])
-    if keys:
-        flat, sums = np.unique(np.concatenate(keys), return_inverse=True)
-        out.reshape(-1)[flat] += np.bincount(sums, np.concatenate(values), len(flat))
-
-
-def _gram_product(docs: DataFrame, items: Items, slot: np.ndarray, sign: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    """Sum over all passages a of a (a' O), and the sum of |a|^2."""
-    shared = docs.sparkSession.sparkContext.broadcast((items, slot, sign))
-    chunk, m = 256, items.width
+        far = live + lag
+        keys += [base[live] + to[far], base[far] + to[live]]
+        values += [value[far], value[live]]
+    key = np.concatenate(keys)
+    if len(key):
+        flat += np.bincount(key, np.concatenate(values), len(flat))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it, slots, signs = shared.value
-        total, mass = np.zeros((m, width), np.float32), 0.0
-        for batch in batches:
-            texts = as_array(batch.column(0))
-            for lo, hi in slices(texts):
-                bounds, codes, h = plain_words(texts.slice(lo, hi - lo))
-                column = it.columns(h)[codes]
-                at = np.flatnonzero(column >= 0)
-                doc = np.searchsorted(bounds, at, "right") - 1
-                passage = doc * (1 << 32) + (at - bounds[doc]) // (BLOCK * WINDOW)
-                w = it.weights[bins_of(h)][codes[at]].astype(np.float64)
-                _sketched(passage, column[at], w, slots, signs, total)
-                mass += float((w * w).sum())
-        yield _parts({-1: np.array([mass], np.float32), **{i: total[i : i + chunk] for i in range(0, m, chunk)}})
 
-    sums = _summed(docs.select("text").mapInArrow(run, "part int, data binary"), np.float32)
-    mass = float(sums.pop(-1)[0]) if sums else 0.0
-    full = [sums[i].reshape(-1, width) for i in sorted(sums)]
-    return (np.vstack(full) if full else np.zeros((m, width), np.float32)), mass
-
-
-def latent_space(docs: DataFrame, items: Items, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """Right singular vectors (columns x rank) of the passages and the weighted items."""
+def latent_space(seen: Survey, items: Items, rank: int = RANK) -> np.ndarray:
+    """Right singular vectors (columns x rank) of the weighted passages and items."""
     m = items.width
-    width = min(m, rank + EXTRA)
-    rng = np.random.default_rng(seed)
-    slot = rng.permutation(np.arange(m) % width)
-    sign = rng.choice([-1.0, 1.0], m)
-    omega = np.zeros((m, width))
-    omega[np.arange(m), slot] = sign
-    corpus, mass = _gram_product(docs, items, slot, sign, width)
-    own = float((items.matrix**2).sum())
-    scale = max(1.0, ITEM_MASS * mass / own) if own else 1.0
-    y = corpus.astype(np.float64) + scale * (items.matrix.T @ (items.matrix @ omega))
-    shift = 1e-7 * float(np.linalg.norm(y)) + 1e-12
-    y += shift * omega
+    omega = np.zeros((m, seen.product.shape[1]))
+    omega[np.arange(m), seen.slot] = seen.sign / items.column_weights
+    corpus = items.column_weights[:, None] * seen.product
+    own = items.matrix.astype(np.float64)
+    of_items = own.T @ (own @ omega)
+    mass, own_mass = np.linalg.norm(corpus), np.linalg.norm(of_items)
+    scale = max(1.0, ITEM_MASS * mass / own_mass) if own_mass else 1.0
+    y = corpus + scale * of_items
+    y += 1e-9 * np.linalg.norm(y) * omega
     core = omega.T @ y
-    root = np.linalg.cholesky((core + core.T) / 2 + shift * np.eye(width))
-    u, _, _ = np.linalg.svd(np.linalg.solve(root, y.T).T, full_matrices=False)
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    good = values > 1e-10 * max(values.max(), 1e-300)
+    u, _, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
     return u[:, :rank].astype(np.float32)
 
 
@@ -227,6 +244,10 @@ class Finder:
         span = BLOCK * WINDOW
         self.least = cosine * np.sqrt(np.minimum(lengths, span) / np.maximum(lengths, span)).astype(np.float32)
         self.least[norms == 0] = np.inf
+        # An item's cosine with a window is at most this, since a window holds so many of its words.
+        heaviest = np.sort(items.matrix**2, axis=1)[:, ::-1][:, :span].sum(1)
+        reach = np.sqrt(heaviest) / np.maximum(norms, 1e-9)
+        self.share = float((self.least / np.maximum(reach, 1e-9)).min()) ** 2 if len(lengths) else 1.0
         self.v = v
 
     def find(self, prepared: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int, float, int, bool, int]]:
@@ -236,7 +257,9 @@ class Finder:
         if not len(it.ids) or not it.width:
             return []
         bounds, codes, by_code = prepared
-        h, weight, col = by_code[codes], it.weights[bins_of(by_code)][codes], it.columns(by_code)[codes]
+        word_weight, column = it.weights[bins_of(by_code)], it.columns(by_code)
+        column[word_weight <= LEAST_WEIGHT] = -1  # too common to tell
+        h, weight, col = by_code[codes], word_weight[codes], column[codes]
         n = np.diff(bounds)
         blocks = -(-n // BLOCK)
         first_block = np.cumsum(blocks) - blocks
@@ -256,7 +279,7 @@ class Finder:
             return out
 
         mass, inside = windows(of_all), windows(of_items)
-        good = np.flatnonzero((inside > 0) & (inside >= float(self.least.min()) ** 2 * mass))
+        good = np.flatnonzero((inside > 0) & (inside >= self.share * mass))
         out: dict[tuple[int, int], tuple] = {}
         for at in range(0, len(good), 4096):
             some = good[at : at + 4096]
@@ -298,25 +321,26 @@ def finders(docs: DataFrame, benchmark: DataFrame) -> list[Finder]:
     """
     docs = docs.select("text")
     out: list[Finder] = []
-    rarity = None
     block: list[tuple[int, str]] = []
 
     def close() -> None:
-        nonlocal rarity, block
-        if rarity is None:
-            rarity = word_rarity(docs)
+        nonlocal block
         bounds, codes, by_code = plain_words(pa.array([b[1] for b in block], pa.string()))
         h = by_code[codes]
         left = [(i, h[lo:hi]) for (i, _), lo, hi in zip(block, bounds[:-1], bounds[1:], strict=True) if hi > lo]
+        block = []
+        if not left:
+            return
+        seen = survey(docs, telling_words([w for _, w in left]))
         for floor in FLOORS:
-            weights = weights_of(rarity, floor)
+            weights = weights_of(seen.rarity, floor)
             enough = [(weights[bins_of(w)] >= CAP / 8).sum() >= min(WEIGHTED, -(-len(w) // 4)) or floor == FLOORS[-1] for _, w in left]
             some = [x for x, ok in zip(left, enough, strict=True) if ok]
             left = [x for x, ok in zip(left, enough, strict=True) if not ok]
-            items = Items([i for i, _ in some], [w for _, w in some], weights)
-            if items.width:
-                out.append(Finder(items, latent_space(docs, items)))
-        block = []
+            if some:
+                items = Items([i for i, _ in some], [w for _, w in some], weights, seen.vocabulary)
+                if items.width:
+                    out.append(Finder(items, latent_space(seen, items)))
 
     for r in benchmark.where("text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         block.append((r["item_id"], r["text"]))

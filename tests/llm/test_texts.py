@@ -207,12 +207,25 @@ def test_planted_items_are_found(spark):
 def test_latent_space_is_orthonormal_and_holds_the_items(spark):
     rows, items, _ = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    weights = dc.weights_of(dc.word_rarity(docs), 0.0)
     bounds, codes, h = dc.plain_words(pa.array([t for _, t in items]))
-    own = dc.Items([i for i, _ in items], [h[codes][a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], weights)
-    v = dc.latent_space(docs, own)
+    words = [h[codes][a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    seen = dc.survey(docs, dc.telling_words(words))
+    own = dc.Items([i for i, _ in items], words, dc.weights_of(seen.rarity, 0.0), seen.vocabulary)
+    v = dc.latent_space(seen, own)
     assert np.allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-3)
     kept = np.linalg.norm(own.matrix @ v, axis=1) / np.linalg.norm(own.matrix, axis=1)
+    # The survey's product is that of the passages' counts.
+    counts = []
+    for _, text in rows:
+        b, c, k = dc.plain_words(pa.array([text]))
+        col = own.columns(k)[c]
+        for at in range(0, len(col), dc.BLOCK * dc.WINDOW):
+            part = col[at : at + dc.BLOCK * dc.WINDOW]
+            counts.append(np.bincount(part[part >= 0], minlength=own.width))
+    c = np.array(counts, float)
+    o = np.zeros((own.width, seen.product.shape[1]))
+    o[np.arange(own.width), seen.slot] = seen.sign
+    assert np.allclose(seen.product, c.T @ (c @ o))
     assert kept.min() > 0.95
 
 
