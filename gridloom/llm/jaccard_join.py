@@ -9,7 +9,7 @@ A document's set holds its distinct word n-grams.  Two sets of sizes m and n lin
    order gives the same links; this one keeps shared passages out of the prefixes.
 2. Two linked sets share an n-gram within the first n - ceil(t n) + 1 of each.  These prefixes go
    to buckets of n-grams as packed arrays.  A small group yields its pairs that pass the length
-   bound; a large one yields each member's pair with the group's first set, and its member list.
+   bound; a large one yields each member's pairs with the group's first sets, and its member list.
    A pair's common n-grams in the prefixes bound its overlap from above.
 3. Each set is verified against the partner that most of its prefix names.  A block holds one
    probe and many candidates.  The candidates, stored in global order from the frequent end, form
@@ -42,6 +42,8 @@ LEAST_COUNT, LEAST_SHARE = 8, 1 / 500
 SEGMENT = 2_000_000
 #: A group of at most this many sets yields its pairs; a larger one yields a star and its list.
 SMALL = 8
+#: Sets that stand first in a large group, by name; all of a family's copies meet the same ones.
+LEADERS = 4
 #: Sets in one verification block, and members in one block of a large group's list.
 BLOCK = 512
 #: Bits of the bitmap that tells which texts a verification needs.
@@ -251,9 +253,15 @@ def _groups(t: Fraction):
             ends.append(i)
             others.append(i - d)
         large = np.flatnonzero(many > SMALL)
-        star = large[(first[large] != large) & _similar(sizes[large], sizes[first[large]], t)]
+        members, leaders = [large[:0]], [large[:0]]
+        for r in range(LEADERS):
+            i = large[large - first[large] > r]
+            i = i[_similar(sizes[i], sizes[first[i] + r], t)]
+            members.append(i)
+            leaders.append(first[i] + r)
         zero = np.zeros(len(large), np.int64)
-        for k, (i, j) in enumerate(((np.concatenate([*ends, star[:0]]), np.concatenate([*others, star[:0]])), (star, first[star]))):
+        pairs = (([*ends, large[:0]], [*others, large[:0]]), (members, leaders))
+        for k, (i, j) in enumerate((np.concatenate(a), np.concatenate(b)) for a, b in pairs):
             at, votes = _unique_pairs(sids[i], sids[j])
             none = np.zeros(len(at), np.int64)
             yield out(0, sids[i][at], sids[j][at], none if k else votes, votes if k else none, sizes[i][at], sizes[j][at])
