@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import as_array, hashes, slices, split_words
 from .training import fit_logistic, labelled_sample, sigmoid
 
-MAX_ROWS = 12_000
+MAX_ROWS = 6_000
 N_FEATURES = 600
 #: Least chi-squared of a feature: one in two thousand by chance.
 LEAST_CHI = 12.0
