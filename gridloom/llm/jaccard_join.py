@@ -11,14 +11,16 @@ A document's set holds its distinct word n-grams.  Two sets of sizes m and n lin
    to buckets of n-grams as packed arrays.  A small group yields its pairs that pass the length
    bound; a large one yields each member's pairs with the group's first sets, and its member list.
    A pair's common n-grams in the prefixes bound its overlap from above.
-3. Each set is verified against the partner that most of its prefix names.  A block holds one
-   probe and many candidates.  The candidates, stored in global order from the frequent end, form
-   a radix trie; the probe walks it, counts each shared path once, and leaves a subtree when the
-   overlap so far plus what can remain is below the least overlap asked for there.
+3. Each set is verified against the partner that most of its prefix names.  A block holds a radix
+   trie of sets, stored in global order from the frequent end, and the sets that probe it.  A
+   probe walks the trie, counts each shared path once, and leaves a subtree when the overlap so
+   far plus what can remain is below the least overlap asked for there.
 4. Components of these links are found.  Pairs that are still between components, from the small
    groups and from the member lists of the large ones, are verified in the same way.  A pair
    inside one component cannot change it, so no link is lost, and copies of one text, however
    many, cost a row each instead of a pair each.
+
+The sides of all joins grow with the corpus, so they are joined by shuffle at every size.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ SEGMENT = 2_000_000
 #: A group of at most this many sets yields its pairs; a larger one yields a star and its list.
 SMALL = 8
 #: Sets that stand first in a large group, by name; all of a family's copies meet the same ones.
-LEADERS = 4
+LEADERS = 8
 #: Sets in one verification block, and members in one block of a large group's list.
 BLOCK = 512
 #: Bits of the bitmap that tells which texts a verification needs.
@@ -288,50 +290,56 @@ def _groups(t: Fraction):
     return run
 
 
-def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray], t: Fraction) -> list[int]:
-    """For each set, in the global order from the frequent end, its overlap with the probe's set;
-    -1 where a bound shows that the two cannot link.
+class Trie:
+    """Sets in the global order from the frequent end, as a radix trie.
 
-    Sorted sets are a radix trie: a run of them that share a path of tokens is a node, the path
-    common to its first and last set is the node's label.
+    Sorted sets are one: a run of them that share a path of tokens is a node, and the path common
+    to its first and last set is the node's label.
     """
-    out = [-1] * len(sets)
-    if not sets:
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
+        self.rank = np.empty(len(sets), np.int64)
+        self.rank[self.order] = np.arange(len(sets))
+        self.sets = sets
+
+    def overlaps(self, probe: np.ndarray, t: Fraction, among: list[int] | None = None) -> dict[int, int]:
+        """Of the sets (or those of the numbers in ``among``) that may link with the probe's set:
+        their overlap with it.  A subtree is left when the overlap so far plus what can remain is
+        below the least overlap asked for there, so a set that is not named cannot link."""
+        at = self.order if among is None else sorted(among, key=self.rank.__getitem__)
+        lists = [self.sets[i] for i in at]
+        sizes = np.array([len(s) for s in lists])
+        inside, n, out = np.sort(probe), len(probe), {}
+
+        def shared(label: np.ndarray) -> int:
+            if not len(label) or not n:
+                return 0
+            place = np.minimum(np.searchsorted(inside, label), n - 1)
+            return int(np.count_nonzero(inside[place] == label))
+
+        stack = [(0, len(lists), 0, 0)] if lists else []
+        while stack:
+            lo, hi, depth, got = stack.pop()
+            first, last = lists[lo], lists[hi - 1]
+            end = min(len(first), len(last))
+            differ = np.flatnonzero(first[depth:end] != last[depth:end])
+            to = depth + int(differ[0]) if len(differ) else end
+            got += shared(first[depth:to])
+            least, most = int(sizes[lo:hi].min()), int(sizes[lo:hi].max())
+            if got + min(most - to, n - got) < required(n, least, t):
+                continue
+            while lo < hi and sizes[lo] == to:  # sets that end at this node
+                if got >= required(n, to, t):
+                    out[at[lo]] = got
+                lo += 1
+            k = lo
+            while k < hi:  # one child for each next token
+                token, start = lists[k][to], k
+                while k < hi and lists[k][to] == token:
+                    k += 1
+                stack.append((start, k, to, got))
         return out
-    order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
-    lists = [sets[i] for i in order]
-    sizes = np.array([len(s) for s in lists])
-    inside = np.sort(probe)
-    n = len(probe)
-
-    def shared(label: np.ndarray) -> int:
-        if not len(label) or not n:
-            return 0
-        at = np.minimum(np.searchsorted(inside, label), n - 1)
-        return int(np.count_nonzero(inside[at] == label))
-
-    stack = [(0, len(lists), 0, 0)]
-    while stack:
-        lo, hi, depth, got = stack.pop()
-        first, last = lists[lo], lists[hi - 1]
-        end = min(len(first), len(last))
-        differ = np.flatnonzero(first[depth:end] != last[depth:end])
-        to = depth + int(differ[0]) if len(differ) else end
-        got += shared(first[depth:to])
-        least, most = int(sizes[lo:hi].min()), int(sizes[lo:hi].max())
-        if got + min(most - to, n - got) < required(n, least, t):
-            continue
-        while lo < hi and sizes[lo] == to:  # sets that end at this node
-            if got >= required(n, to, t):
-                out[order[lo]] = got
-            lo += 1
-        at = lo
-        while at < hi:  # one child for each next token
-            token, start = lists[at][to], at
-            while at < hi and lists[at][to] == token:
-                at += 1
-            stack.append((start, at, to, got))
-    return out
 
 
 def _pack48(tokens: np.ndarray) -> bytes:
@@ -361,7 +369,7 @@ def _needed_sets(docs: DataFrame, profile: DataFrame, wanted: DataFrame, order,
     Ids that share a bit may bring other sets along, and repeated rows of an id one more row of a
     set for each task; whoever joins them takes one.
     """
-    reps = profile.join(wanted, "sid").groupBy("sid").agg(F.min("id").alias("id"))
+    reps = profile.join(wanted.hint("merge"), "sid").groupBy("sid").agg(F.min("id").alias("id"))
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(reps, "id"))  # BITMAP / 4 bytes
     schema = pa.schema([("sid", pa.int64()), ("tokens", pa.binary())])
 
@@ -388,38 +396,55 @@ def _needed_sets(docs: DataFrame, profile: DataFrame, wanted: DataFrame, order,
 
 
 def _verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame, order, k: int, t: Fraction) -> DataFrame:
-    """Of the pairs (x, y), those that link, as edges (u, v)."""
-    pairs = saved(pairs.select("x", "y"), "jaccard-pairs")
+    """Of the pairs (x, y, tile), those that link, as edges (u, v).
+
+    The sets y of a tile stand in tries of about BLOCK sets, and the sets x probe the tries that
+    hold their partners, about BLOCK probes at a time: a set travels once for each block, not once
+    for each pair.
+    """
+    pairs = saved(pairs.select("x", "y", "tile"), "jaccard-pairs")
     if pairs.isEmpty():
         return pairs.selectExpr("x AS u", "y AS v")
     wanted = pairs.select(F.col("x").alias("sid")).union(pairs.select(F.col("y").alias("sid"))).distinct()
     sets = _needed_sets(docs, profile, wanted, order, k)
-    chunks = pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("c"))
-    placed = pairs.join(chunks, "y").withColumn("b", F.pmod(F.xxhash64("x"), F.col("c")))
-    members = placed.select("y", "b", F.col("x").alias("sid"))
-    probes = placed.select("y", "b").distinct().select("y", "b", F.col("y").alias("sid"))
-    blocks = members.union(probes).join(sets, "sid")
 
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    def dealt(df: DataFrame, keys: list[str], of: str, name: str) -> DataFrame:
+        """Each row's block of about BLOCK distinct values of ``of`` within the keys."""
+        blocks = df.select(*keys, of).distinct().groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_c"))
+        return df.join(blocks.hint("merge"), keys).withColumn(name, F.pmod(F.xxhash64(of), F.col("_c"))).drop("_c")
 
-    def run(block: pa.Table) -> pa.Table:
-        y = block.column("y")[0].as_py()
-        sets = dict(zip(block.column("sid").to_pylist(), block.column("tokens").to_pylist(), strict=True))
-        probe = _unpack48(sets.pop(y))
-        got = trie_overlaps(probe, [_unpack48(x) for x in sets.values()], t)
-        linked = [s for s, g in zip(sets, got, strict=True) if g >= 0]
-        return pa.table([pa.array(linked, pa.int64()), pa.array([y] * len(linked), pa.int64())], schema=schema)
+    placed = dealt(dealt(pairs, ["tile"], "y", "a"), ["tile", "a"], "x", "b")
+    key = ["tile", "a", "b"]
+    # At most BLOCK partners, as they all stand in one trie.
+    probes = placed.groupBy(*key, F.col("x").alias("sid")).agg(F.collect_list("y").alias("ys"))
+    members = placed.select(*key, F.col("y").alias("sid")).distinct().withColumn("ys", F.lit(None).cast("array<bigint>"))
+    blocks = members.union(probes).join(sets.hint("merge"), "sid")
 
-    return saved(blocks.groupBy("y", "b").applyInArrow(run, "u bigint, v bigint"), "jaccard-links")
+    def run(block: pa.Table) -> pa.Table:
+        sids, ys = block.column("sid").to_pylist(), block.column("ys").to_pylist()
+        tokens = block.column("tokens").to_pylist()
+        held = {s: x for s, y, x in zip(sids, ys, tokens, strict=True) if y is None}
+        asking = {s: (y, x) for s, y, x in zip(sids, ys, tokens, strict=True) if y is not None}
+        names = list(held)
+        number = {s: i for i, s in enumerate(names)}
+        trie = Trie([_unpack48(x) for x in held.values()])
+        u, v = [], []
+        for s, (partners, x) in asking.items():
+            for i in trie.overlaps(_unpack48(x), t, [number[y] for y in set(partners)]):
+                u.append(s)
+                v.append(names[i])
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return saved(blocks.groupBy(*key).applyInArrow(run, "u bigint, v bigint"), "jaccard-links")
 
 
 def _cross_pairs(lists: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame:
     """Pairs of different components within the large groups' lists (gram, sid, n)."""
-    rows = lists.join(roots, lists.sid == roots.id, "left").select("gram", "sid", "n", F.coalesce("root", "sid").alias("root"))
+    rows = lists.join(roots.hint("merge"), lists.sid == roots.id, "left").select("gram", "sid", "n", F.coalesce("root", "sid").alias("root"))
     rows = saved(rows, "jaccard-lists")
     mixed = rows.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m")).where("a <> b")
     mixed = mixed.select("gram", F.ceil(F.col("m") / BLOCK).cast("int").alias("c"))
-    own = rows.join(mixed, "gram").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("c")).cast("int"))
+    own = rows.join(mixed.hint("merge"), "gram").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("c")).cast("int"))
     # Each block of a list meets every block of it once.
     other = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     keyed = other.select("gram", "sid", "n", "root", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
@@ -464,22 +489,23 @@ def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, te
     votes = F.col("small") + F.col("star")
     best = pairs.where(_possible(votes, t)).groupBy("x").agg(F.max(F.struct(votes.alias("w"), (-F.col("y")).alias("y"))).alias("b"))
     best = best.select("x", (-F.col("b.y")).alias("y"))
-    links = _verified(docs, profile, best, order, k, t)
+    links = _verified(docs, profile, best.withColumn("tile", F.col("y")), order, k, t)
     roots = connected_components(links)
 
     a = roots.select(F.col("id").alias("x"), F.col("root").alias("rx"))
     b = roots.select(F.col("id").alias("y"), F.col("root").alias("ry"))
-    apart = pairs.where("small > 0").join(a, "x", "left").join(b, "y", "left").where("coalesce(rx, x) <> coalesce(ry, y)")
+    apart = pairs.where("small > 0").join(a.hint("merge"), "x", "left").join(b.hint("merge"), "y", "left").where("coalesce(rx, x) <> coalesce(ry, y)")
     lists = met.where("kind = 1").selectExpr("x AS gram", "y AS sid", "n")
     # Between components every common n-gram of two prefixes is counted, in small and large groups.
     met_again = apart.select("x", "y", "small", "m", "n").union(_cross_pairs(lists, roots, t).selectExpr("x", "y", "1L", "m", "n"))
     rest = met_again.groupBy("x", "y").agg(F.sum("small").alias("votes"), F.max("m").alias("m"), F.max("n").alias("n"))
-    rest = rest.where(_possible(F.col("votes"), t)).join(best, ["x", "y"], "left_anti")
+    rest = rest.where(_possible(F.col("votes"), t)).join(best.hint("merge"), ["x", "y"], "left_anti")
+    rest = rest.join(b.hint("merge"), "y", "left").select("x", "y", F.coalesce("ry", "y").alias("tile"))
     more = _verified(docs, profile, rest, order, k, t)
     if not more.isEmpty():
         roots = connected_components(links.union(more))
 
-    full = profile.where("n > 0").join(roots.withColumnRenamed("id", "sid"), "sid", "left")
+    full = profile.where("n > 0").join(roots.withColumnRenamed("id", "sid").hint("merge"), "sid", "left")
     return full.select("id", "key", "n", F.coalesce("root", "sid").alias("root")), profile.where("n = 0").select("id", "key", "n")
 
 
@@ -495,7 +521,7 @@ def jaccard_components(
     """
     full, empty = _rooted(docs, k, threshold, id_col, text_col)
     least = full.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = full.join(least, "root").selectExpr("id AS doc_id", "n AS n_shingles", "component_id")
+    named = full.join(least.hint("merge"), "root").selectExpr("id AS doc_id", "n AS n_shingles", "component_id")
     return named.union(empty.selectExpr("id", "n", "id"))
 
 
@@ -511,9 +537,9 @@ def one_of_each(
     full = saved(full, "jaccard-rooted")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     best = full.groupBy("root").agg(F.min(rank).alias("best")).select("root", F.col("best.key").alias("stays"))
-    lost = full.join(best, "root").where("key <> stays").select(F.col("key").alias("_key")).distinct()
+    lost = full.join(best.hint("merge"), "root").where("key <> stays").select(F.col("key").alias("_key")).distinct()
     copies = full.groupBy("key").count().where("count > 1").select(F.col("key").alias("_key"))
-    packed = docs.select(F.struct("*").alias("row"), F.xxhash64(id_col, text_col).alias("_key")).join(lost, "_key", "left_anti")
+    packed = docs.select(F.struct("*").alias("row"), F.xxhash64(id_col, text_col).alias("_key")).join(lost.hint("merge"), "_key", "left_anti")
     once = packed.join(copies, "_key", "left_anti")
     several = packed.join(copies, "_key", "left_semi").groupBy("_key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return once.select("row.*").unionByName(several.select("row.*"))

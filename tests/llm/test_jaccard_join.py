@@ -91,10 +91,15 @@ def test_trie_overlaps_equal_set_overlaps():
         for _ in range(25):
             own = np.unique(np.concatenate([rng.choice(probe, max(1, int(len(probe) * rng.random()))), rng.choice(80, rng.integers(0, 12)).astype(np.uint64)]))
             sets.append(own)
-        for s, got in zip(sets, jj.trie_overlaps(probe, sets, t), strict=True):
-            both = len(set(s.tolist()) & set(probe.tolist()))
-            linked = 4 * both >= 3 * len(set(s.tolist()) | set(probe.tolist()))
-            assert (got == both) if linked else (got == -1 or 7 * got >= 3 * (len(s) + len(probe)))
+        trie = jj.Trie(sets)
+        for among in (None, list(range(0, 25, 3))):
+            got = trie.overlaps(probe, t, among)
+            for i in range(25) if among is None else among:
+                s = set(sets[i].tolist())
+                both = len(s & set(probe.tolist()))
+                linked = 4 * both >= 3 * len(s | set(probe.tolist()))
+                assert got.get(i) == both if linked else i not in got
+            assert among is None or set(got) <= set(among)
 
 
 def test_components(spark):
