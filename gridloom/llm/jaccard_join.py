@@ -396,26 +396,22 @@ def _needed_sets(docs: DataFrame, profile: DataFrame, wanted: DataFrame, order,
 
 
 def _verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame, order, k: int, t: Fraction) -> DataFrame:
-    """Of the pairs (x, y, tile), those that link, as edges (u, v).
+    """Of the pairs (x, y, tile, part), those that link, as edges (u, v).
 
-    The sets y of a tile stand in tries of about BLOCK sets, and the sets x probe the tries that
-    hold their partners, about BLOCK probes at a time: a set travels once for each block, not once
-    for each pair.
+    The sets y of a tile's part, about BLOCK of them, stand in a trie, and the sets x probe the
+    tries that hold their partners, about BLOCK probes at a time: a set travels once for each
+    block, not once for each pair.
     """
-    pairs = saved(pairs.select("x", "y", "tile"), "jaccard-pairs")
+    tile = ["tile", "part"]
+    pairs = saved(pairs.select("x", "y", *tile), "jaccard-pairs")
     if pairs.isEmpty():
         return pairs.selectExpr("x AS u", "y AS v")
     wanted = pairs.select(F.col("x").alias("sid")).union(pairs.select(F.col("y").alias("sid"))).distinct()
     sets = _needed_sets(docs, profile, wanted, order, k)
-
-    def dealt(df: DataFrame, keys: list[str], of: str, name: str) -> DataFrame:
-        """Each row's block of about BLOCK distinct values of ``of`` within the keys."""
-        blocks = df.select(*keys, of).distinct().groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_c"))
-        return df.join(blocks.hint("merge"), keys).withColumn(name, F.pmod(F.xxhash64(of), F.col("_c"))).drop("_c")
-
-    placed = dealt(dealt(pairs, ["tile"], "y", "a"), ["tile", "a"], "x", "b")
-    key = ["tile", "a", "b"]
-    # At most BLOCK partners, as they all stand in one trie.
+    asked = pairs.select(*tile, "x").distinct().groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("c"))
+    placed = pairs.join(asked.hint("merge"), tile).withColumn("b", F.pmod(F.xxhash64("x"), F.col("c"))).drop("c")
+    placed, key = saved(placed, "jaccard-placed"), [*tile, "b"]
+    # About BLOCK partners, as they all stand in one trie.
     probes = placed.groupBy(*key, F.col("x").alias("sid")).agg(F.collect_list("y").alias("ys"))
     members = placed.select(*key, F.col("y").alias("sid")).distinct().withColumn("ys", F.lit(None).cast("array<bigint>"))
     blocks = members.union(probes).join(sets.hint("merge"), "sid")
@@ -489,7 +485,7 @@ def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, te
     votes = F.col("small") + F.col("star")
     best = pairs.where(_possible(votes, t)).groupBy("x").agg(F.max(F.struct(votes.alias("w"), (-F.col("y")).alias("y"))).alias("b"))
     best = best.select("x", (-F.col("b.y")).alias("y"))
-    links = _verified(docs, profile, best.withColumn("tile", F.col("y")), order, k, t)
+    links = _verified(docs, profile, best.withColumns({"tile": F.col("y"), "part": F.lit(0).cast("long")}), order, k, t)
     roots = connected_components(links)
 
     a = roots.select(F.col("id").alias("x"), F.col("root").alias("rx"))
@@ -500,7 +496,10 @@ def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, te
     met_again = apart.select("x", "y", "small", "m", "n").union(_cross_pairs(lists, roots, t).selectExpr("x", "y", "1L", "m", "n"))
     rest = met_again.groupBy("x", "y").agg(F.sum("small").alias("votes"), F.max("m").alias("m"), F.max("n").alias("n"))
     rest = rest.where(_possible(F.col("votes"), t)).join(best.hint("merge"), ["x", "y"], "left_anti")
-    rest = rest.join(b.hint("merge"), "y", "left").select("x", "y", F.coalesce("ry", "y").alias("tile"))
+    sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("c"))
+    parts_of = roots.join(sizes.hint("merge"), "root").select(F.col("id").alias("y"), "root", F.pmod(F.xxhash64("id"), F.col("c")).alias("part"))
+    rest = rest.join(parts_of.hint("merge"), "y", "left")
+    rest = rest.select("x", "y", F.coalesce("root", "y").alias("tile"), F.coalesce("part", F.lit(0)).cast("long").alias("part"))
     more = _verified(docs, profile, rest, order, k, t)
     if not more.isEmpty():
         roots = connected_components(links.union(more))

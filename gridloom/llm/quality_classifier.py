@@ -178,7 +178,9 @@ def scored(
     few = table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     out = judged.join(F.broadcast(table) if few else table, ["host", "path"])
     p = _expected(F.col("llr"), F.col("prior"))
-    return out.select("row", F.col("llr").alias("evidence"), "host_rate", "path_rate", p.alias("p_low"), (p < 0.5).alias("kept"))
+    # Never null, so that a filter on it infers no null test that would make the evidence again.
+    kept = F.coalesce(p < 0.5, F.lit(True))
+    return out.select("row", F.col("llr").alias("evidence"), "host_rate", "path_rate", p.alias("p_low"), kept.alias("kept"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
