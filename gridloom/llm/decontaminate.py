@@ -11,16 +11,20 @@
    from the pairs of item words that share a passage; the sums are streamed together.  Since
    (C D)'(C D) (O / D) = D (C'C O), the weights may come afterwards, and the Nystrom form of the
    randomised SVD gives the right singular vectors of the weighted passages from that one pass.
-3. Each window of 24 words, every 8 words, is compared with each item by cosine in the latent
-   space, against the full norm of the window.  A window's cosine cannot exceed the share of its
-   weight that item words have, times the share of an item that its heaviest 24 words have, so most
-   windows are left out by that bound, which loses nothing.
-4. Where the cosine passes the item's threshold, the words around the window are compared with the
-   item: longest common subsequence, and whether the item's answer (its last ``ANSWER`` words) is
-   there.  Copies have nearly the whole sequence; paraphrases have a good part of it and the answer.
-
-Items go through in blocks of ``ITEMS``, so what is broadcast has a bound: BINS weights and a
-projection of ITEMS words' rows.
+3. Candidates come from a bound that loses nothing of what the check accepts.  A text that holds
+   the share ``LCS_ALONE`` of an item's words leaves out so few that one of the item's rarest words
+   is there, or else the answer's rarest; so an index of those words gives pairs of a stretch and an
+   item, and pairs with too few of the item's words are left out.  All words of an item count here,
+   whatever their weights, and words around it do not.
+4. In the stretch of a pair, windows of 24 words, every 8 words, are ranked by their cosine with the
+   item in the latent space, and the words around them are compared with the item: longest common
+   subsequence, and whether the item's answer (its last ``ANSWER`` words) is there.  Copies have
+   nearly the whole sequence; paraphrases have a good part of it, or a smaller one and the answer.
+   Common words that are merely strewn around in the item's order are no match: without the answer,
+   some of the item's own weight is there, or a stretch of twice the item's length is enough.
+
+Items go through in blocks of ``ITEMS``, so what is broadcast has a bound: BINS weights, the
+index, and for each item word its part in the cosine with each of ITEMS items.
 """
 
 from __future__ import annotations
@@ -47,10 +51,12 @@ COMMON = 0.05
 ITEMS = 256
 #: The items' share in the SVD, as a multiple of the corpus's mass.
 ITEM_MASS = 8.0
-#: A candidate's cosine, as a share of what a full match of the item's and the window's lengths has.
-COSINE = 0.5
 #: Share of an item's words in the common subsequence: alone, or with the answer.
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.6, 0.45, 8
+#: Common words in order may stand around a window by chance.  Without the answer, there is this share
+#: of the item's own weight (times how the item's and the window's lengths differ), or a stretch of
+#: COMPACT times the item's length is enough by itself.
+OWN_WEIGHT, COMPACT = 0.05, 2
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -159,6 +165,8 @@ class Items:
     words: list[np.ndarray]
     weights: np.ndarray
     vocabulary: np.ndarray
+    #: By bin, to tell which of an item's words are its rarest; the weights if there is none.
+    rarity: np.ndarray | None = None
 
     def __post_init__(self):
         # Every column has some weight, so that the survey's product can be weighted afterwards.
@@ -220,99 +228,192 @@ def latent_space(seen: Survey, items: Items, rank: int = RANK) -> np.ndarray:
     return u[:, :rank].astype(np.float32)
 
 
-def lcs(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, one row of bits for each word of ``a``."""
+def bits_of(words: np.ndarray) -> dict[int, int]:
+    """The places of each word, as bits."""
     where: dict[int, int] = {}
-    for i, x in enumerate(b.tolist()):
+    for i, x in enumerate(words.tolist()):
         where[x] = where.get(x, 0) | (1 << i)
-    full, row = (1 << len(b)) - 1, 0
+    return where
+
+
+def common_words(a: np.ndarray, where: dict[int, int]) -> int:
+    """Length of the longest common subsequence with the words of ``bits_of``, one row of bits for
+    each word of ``a``; a word that is not there leaves the row as it is."""
+    row = 0
     for x in a.tolist():
-        y = row | where.get(x, 0)
-        row = y & ((y ^ (y - ((row << 1) | 1))) & full)
+        bits = where.get(x, 0)
+        if bits:
+            y = row | bits
+            row = y & (y ^ (y - ((row << 1) | 1)))
     return row.bit_count()
 
 
+def lcs(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence."""
+    return common_words(a, bits_of(b))
+
+
+def least_common(words: int, share: float) -> int:
+    """The fewest common words that are the share of so many."""
+    return max(1, int(np.ceil(share * words - 1e-9)))
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each count, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 class Finder:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: Items, v: np.ndarray, cosine: float = COSINE):
+    def __init__(self, items: Items, v: np.ndarray):
         self.items = items
         full = items.matrix @ v
         norms = np.sqrt((items.matrix**2).sum(1))
-        self.projected = np.where(norms[:, None] > 0, full / np.maximum(norms, 1e-9)[:, None], 0).astype(np.float32)
+        projected = np.where(norms[:, None] > 0, full / np.maximum(norms, 1e-9)[:, None], 0).astype(np.float32)
+        #: What one word of a column adds to the cosine with each item, by its weight.
+        self.part = v @ projected.T
+        self.words = np.unique(np.concatenate([*items.words, np.zeros(0, np.uint64)]))
+        rarity = items.weights if items.rarity is None else items.rarity
+        self.alone = np.array([least_common(len(w), LCS_ALONE) for w in items.words])
+        self.with_answer = np.array([least_common(len(w), LCS_WITH_ANSWER) for w in items.words])
+        self.reach = np.array([max(BLOCK * WINDOW, 2 * len(w)) for w in items.words])
+        #: Every stretch that the check looks at stands in two neighbouring blocks of so many words.
+        self.stretch = int(BLOCK * WINDOW + 2 * self.reach.max()) if len(items.words) else 1
+        index, kinds = [], []
+        for q, h in enumerate(items.words):
+            place = np.searchsorted(self.words, h)
+            order = np.argsort(-rarity[bins_of(h)], kind="stable")
+            tail = order[order >= len(h) - ANSWER]
+            # Of so many words one is there when ``alone`` words are; with the answer all of its words.
+            telling = np.unique(np.append(place[order[: len(h) - self.alone[q] + 1]], place[tail[0]]))
+            index.append(np.stack([telling, np.full(len(telling), q)]))
+            own, times = np.unique(place, return_counts=True)
+            kinds.append(np.stack([own, times, np.isin(own, place[-ANSWER:])]))
+        index = np.concatenate([*index, np.zeros((2, 0), np.int64)], axis=1)
+        index = index[:, np.argsort(index[0], kind="stable")]
+        self.index, self.index_at = index[1], np.searchsorted(index[0], np.arange(len(self.words) + 1))
+        self.kinds = np.concatenate([*kinds, np.zeros((3, 0), np.int64)], axis=1)
+        self.kinds_at = np.append(0, np.cumsum([k.shape[1] for k in kinds])).astype(np.int64)
+        self.answer_kinds = np.array([k[2].sum() for k in kinds])
+        #: Which words are in an item (the last column: words of no item), and at which places, as bits.
+        self.member = np.zeros((len(items.words), len(self.words) + 1), bool)
+        self.places: list[dict[int, int]] = []
+        self.codes, shares = [], []
+        for q, h in enumerate(items.words):
+            place = np.searchsorted(self.words, h)
+            own, times, _ = kinds[q]
+            weight = (times * items.weights[bins_of(self.words[own])]) ** 2
+            self.member[q, own] = True
+            shares.append(weight / max(weight.sum(), 1e-9))
+            self.places.append(bits_of(place))
+            self.codes.append(place)
+        #: Each word's share of its item's own weight, beside ``kinds``.
+        self.shares = np.concatenate([*shares, np.zeros(0, np.float32)])
         lengths = np.array([len(w) for w in items.words])
-        span = BLOCK * WINDOW
-        self.least = cosine * np.sqrt(np.minimum(lengths, span) / np.maximum(lengths, span)).astype(np.float32)
-        self.least[norms == 0] = np.inf
-        # An item's cosine with a window is at most this, since a window holds so many of its words.
-        heaviest = np.sort(items.matrix**2, axis=1)[:, ::-1][:, :span].sum(1)
-        reach = np.sqrt(heaviest) / np.maximum(norms, 1e-9)
-        self.share = float((self.least / np.maximum(reach, 1e-9)).min()) ** 2 if len(lengths) else 1.0
-        self.v = v
+        self.least_weight = OWN_WEIGHT * np.minimum(lengths, BLOCK * WINDOW) / np.maximum(lengths, BLOCK * WINDOW)
+
+    def pairs(self, bounds: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, item, start, end) of the stretches that have enough of an item's words."""
+        n, width = np.diff(bounds), len(self.words)
+        blocks = -(-n // self.stretch)
+        stretches = np.where(blocks > 1, blocks - 1, blocks)
+        first = np.cumsum(stretches) - stretches
+        at = np.flatnonzero(place >= 0)
+        doc = np.repeat(np.arange(len(n)), n)[at]
+        block = (at - bounds[doc]) // self.stretch
+        one, before = block < stretches[doc], block > 0
+        key = np.concatenate([(first[doc] + block)[one] * width + place[at[one]], (first[doc] + block - 1)[before] * width + place[at[before]]])
+        key = np.unique(key)
+        where, word = key // width, key % width
+        each = np.diff(self.index_at)[word]
+        m = len(self.items.ids)
+        pair = np.unique(np.repeat(where, each) * m + self.index[_ranges(self.index_at[word], each)])
+        out = []
+        for lo in range(0, len(pair), 1 << 15):
+            where, q = pair[lo : lo + (1 << 15)] // m, pair[lo : lo + (1 << 15)] % m
+            each = np.diff(self.kinds_at)[q]
+            own, times, of_answer = self.kinds[:, _ranges(self.kinds_at[q], each)]
+            there = lookup(key, np.repeat(where, each) * width + own) >= 0
+            starts = np.cumsum(each) - each
+            common = np.add.reduceat(times * there, starts)
+            answer = np.add.reduceat(of_answer * there, starts) == self.answer_kinds[q]
+            good = (common >= self.alone[q]) | (answer & (common >= self.with_answer[q]))
+            d = np.searchsorted(first, where[good], "right") - 1
+            start = bounds[d] + (where[good] - first[d]) * self.stretch
+            end = np.minimum(start + 2 * self.stretch, bounds[d + 1])
+            out += zip(d.tolist(), q[good].tolist(), start.tolist(), end.tolist(), strict=True)
+        return out
+
+    def check(self, q: int, words: np.ndarray, at: np.ndarray) -> tuple[int, bool, bool]:
+        """Common words, whether the answer is there, and whether that is enough, of a stretch of which
+        ``words`` are in the item and stand at ``at``."""
+        if len(words) < self.with_answer[q]:
+            return 0, False, False
+        common = common_words(words, self.places[q])
+        if common < self.with_answer[q]:
+            return common, False, False
+        tail = self.codes[q][-ANSWER:]
+        answer = False
+        if len(words) >= len(tail):
+            runs = (np.lib.stride_tricks.sliding_window_view(words, len(tail)) == tail).all(1)
+            answer = bool((runs & (at[len(tail) - 1 :] - at[: len(at) - len(tail) + 1] == len(tail) - 1)).any())
+        return common, answer, bool(answer or common >= self.alone[q])
+
+    def by_chance(self, q: int, words: np.ndarray, at: np.ndarray) -> bool:
+        """Whether words in the item's order are common ones only, strewn over a wide stretch."""
+        own = slice(self.kinds_at[q], self.kinds_at[q + 1])
+        if float(self.shares[own][np.isin(self.kinds[0, own], words)].sum()) >= self.least_weight[q]:
+            return False
+        ends = np.searchsorted(at, at + COMPACT * len(self.codes[q]))
+        return not any(z - i >= self.alone[q] and common_words(words[i:z], self.places[q]) >= self.alone[q] for i, z in enumerate(ends.tolist()))
 
     def find(self, prepared: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int, float, int, bool, int]]:
         """(row, item_id, start word, cosine, common words, answer there, item words) of what is
         found in texts that ``plain_words`` has prepared."""
         it = self.items
-        if not len(it.ids) or not it.width:
+        if not len(it.ids):
             return []
         bounds, codes, by_code = prepared
-        word_weight, column = it.weights[bins_of(by_code)], it.columns(by_code)
-        column[word_weight <= LEAST_WEIGHT] = -1  # too common to tell
-        h, weight, col = by_code[codes], word_weight[codes], column[codes]
-        n = np.diff(bounds)
-        blocks = -(-n // BLOCK)
-        first_block = np.cumsum(blocks) - blocks
-        if not blocks.sum():
-            return []
-        doc_of = np.repeat(np.arange(len(n)), blocks)
-        starts = bounds[:-1][doc_of] + (np.arange(blocks.sum()) - first_block[doc_of]) * BLOCK
-        square = weight**2
-        of_all = np.add.reduceat(square, starts)
-        of_items = np.add.reduceat(np.where(col >= 0, square, 0), starts)
-
-        def windows(x: np.ndarray) -> np.ndarray:
-            out = x.copy()
-            for k in range(1, WINDOW):  # blocks of the same document only
-                same = doc_of[k:] == doc_of[:-k]
-                out[:-k][same] += x[k:][same]
-            return out
-
-        mass, inside = windows(of_all), windows(of_items)
-        good = np.flatnonzero((inside > 0) & (inside >= self.share * mass))
+        place = lookup(self.words, by_code)[codes]
         out: dict[tuple[int, int], tuple] = {}
-        for at in range(0, len(good), 4096):
-            some = good[at : at + 4096]
-            lo = starts[some]
-            hi = np.minimum(lo + BLOCK * WINDOW, bounds[doc_of[some] + 1])
-            each = hi - lo
-            idx = np.repeat(lo - (np.cumsum(each) - each), each) + np.arange(each.sum())
-            c, owner = col[idx], np.repeat(np.arange(len(some)), each)
-            hit = np.flatnonzero(c >= 0)
-            rows = self.v[c[hit]] * weight[idx[hit]][:, None]
-            first = np.flatnonzero(np.append(True, owner[hit][1:] != owner[hit][:-1]))
-            latent = np.zeros((len(some), self.v.shape[1]), np.float32)
-            latent[owner[hit][first]] = np.add.reduceat(rows, first, axis=0)
-            cos = (latent @ self.projected.T) / np.sqrt(np.maximum(mass[some], 1e-9))[:, None]
-            for w, q in zip(*np.nonzero(cos >= self.least[None, :]), strict=True):
-                d = int(doc_of[some[w]])
-                item = it.words[q]
-                reach = max(BLOCK * WINDOW, 2 * len(item))
-                a, z = max(int(bounds[d]), int(lo[w]) - reach), min(int(bounds[d + 1]), int(hi[w]) + reach)
-                key, value = (d, int(q)), float(cos[w, q])
-                if key in out and out[key][3] >= len(item):
+        for d, q, start, end in self.pairs(bounds, place):
+            at = np.flatnonzero(self.member[q, place[start:end]])
+            words = place[start + at]
+            most, _, enough = self.check(q, words, at)
+            if not enough:
+                continue
+            # Windows that start in the stretch, with the words that the check takes around them.
+            lo = np.arange(-(-(start - bounds[d]) // BLOCK) * BLOCK, end - bounds[d], BLOCK) + bounds[d]
+            a = np.maximum(lo - self.reach[q], bounds[d])
+            z = np.minimum(lo + BLOCK * WINDOW + self.reach[q], bounds[d + 1])
+            inside = np.flatnonzero((a >= start) & (z <= end))
+            first, last = np.searchsorted(at, a - start), np.searchsorted(at, z - start)
+            cosine = self.cosines(q, by_code[codes[start:end]], lo - start)
+            done: set[tuple[int, int]] = set()
+            for w in inside[np.argsort(-cosine[inside], kind="stable")].tolist():
+                i, j = part = (int(first[w]), int(last[w]))
+                if part in done:
                     continue
-                region = h[a:z]
-                common = lcs(item, region)
-                tail = item[-ANSWER:]
-                runs = np.lib.stride_tricks.sliding_window_view(region, len(tail)) if len(region) >= len(tail) else np.zeros((0, len(tail)))
-                answer = bool((runs == tail).all(1).any())
-                share = common / len(item)
-                if share >= LCS_ALONE or (answer and share >= LCS_WITH_ANSWER):
-                    if key not in out or common > out[key][3]:
-                        out[key] = (a - int(bounds[d]), it.ids[q], value, common, answer, len(item))
+                done.add(part)
+                common, answer, enough = self.check(q, words[i:j], at[i:j])
+                if not enough or ((d, q) in out and common <= out[d, q][3]) or (not answer and self.by_chance(q, words[i:j], at[i:j])):
+                    continue
+                out[d, q] = (int(a[w] - bounds[d]), it.ids[q], float(cosine[w]), common, answer, len(it.words[q]))
+                if common == most:
+                    break
         return [(d, v[1], v[0], v[2], v[3], v[4], v[5]) for (d, _), v in sorted(out.items())]
 
+    def cosines(self, q: int, h: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """The item's cosine in the latent space with the windows from ``lo`` on of the words ``h``."""
+        it = self.items
+        weight, col = it.weights[bins_of(h)], it.columns(h)
+        col[weight <= LEAST_WEIGHT] = -1  # too common to tell
+        part = np.where(col >= 0, self.part[col, q] * weight, 0) if it.width else np.zeros(len(h))
+        hi = np.minimum(lo + BLOCK * WINDOW, len(h))
+        total, mass = (np.append(0, np.cumsum(x, dtype=np.float64)) for x in (part, weight.astype(np.float64) ** 2))
+        return (total[hi] - total[lo]) / np.sqrt(np.maximum(mass[hi] - mass[lo], 1e-9))
+
 
 def finders(docs: DataFrame, benchmark: DataFrame) -> list[Finder]:
     """A finder for each block of items; null and empty items find nothing.
@@ -338,9 +439,8 @@ def finders(docs: DataFrame, benchmark: DataFrame) -> list[Finder]:
             some = [x for x, ok in zip(left, enough, strict=True) if ok]
             left = [x for x, ok in zip(left, enough, strict=True) if not ok]
             if some:
-                items = Items([i for i, _ in some], [w for _, w in some], weights, seen.vocabulary)
-                if items.width:
-                    out.append(Finder(items, latent_space(seen, items)))
+                items = Items([i for i, _ in some], [w for _, w in some], weights, seen.vocabulary, seen.rarity)
+                out.append(Finder(items, latent_space(seen, items) if items.width else np.zeros((0, 1), np.float32)))
 
     for r in benchmark.where("text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         block.append((r["item_id"], r["text"]))

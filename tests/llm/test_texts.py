@@ -204,6 +204,40 @@ def test_planted_items_are_found(spark):
     assert dc.contaminated(docs.limit(0), bench).collect() == [] and dc.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def spoken(rng, common, rare, n, share=0.5):
+    """Words of a text: common ones, and else rare ones that stand nowhere else."""
+    return [rng.choice(common) if rng.random() < share else f"{rng.choice(rare)}{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def found_in(spark, texts, items):
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, bench).collect()}
+
+
+def test_paraphrases_that_the_check_accepts_are_found(spark):
+    rng = random.Random(8)
+    common, rare = [f"the{i}" for i in range(40)], ["anor", "belo", "cidu"]
+    items = [spoken(rng, common, rare, n, 0.6) for n in (20, 26, 33, 48)]
+    texts, truth = [spoken(rng, common, rare, 300) for _ in range(160)], set()
+    for i, item in enumerate(items):
+        rarest = sorted(range(len(item)), key=lambda k: item[k] in common)
+        for kept in (0.45, 0.5, 0.55, 0.6, 0.65, 0.7):
+            for answer in (False, True):  # the rarest words give way to synonyms, the answer's too or not
+                free = [k for k in rarest if not answer or k < len(item) - dc.ANSWER]
+                own = list(item)
+                for k in free[: len(item) - dc.least_common(len(item), kept)]:
+                    own[k] = f"synonym{rng.randrange(10**9)}"
+                before, after = spoken(rng, common, rare, 150, 0), spoken(rng, common, rare, 150, 0)
+                if kept >= dc.LCS_ALONE or (answer and kept >= dc.LCS_WITH_ANSWER):
+                    truth.add((len(texts), i))
+                texts.append(before + own + after)
+    # The common words of an item alone, in order but far apart, are no copy of it.
+    words = [w for w in items[1] if w in common]
+    texts.append([x for w in words for x in [w, *spoken(rng, common, rare, 5, 0)]])
+    assert found_in(spark, texts, items) == truth
+
+
 def test_latent_space_is_orthonormal_and_holds_the_items(spark):
     rows, items, _ = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
