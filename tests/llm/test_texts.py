@@ -238,6 +238,20 @@ def test_paraphrases_that_the_check_accepts_are_found(spark):
     assert found_in(spark, texts, items) == truth
 
 
+def test_copies_in_many_documents_are_found(spark):
+    rng = random.Random(9)
+    common, rare = [f"the{i}" for i in range(40)], ["anor", "belo", "cidu"]
+    items = [spoken(rng, common, rare, n, 0.3) for n in (6, 12, 17, 24, 40)]
+    texts, truth = [], set()
+    for d in range(200):
+        texts.append(spoken(rng, common, rare, 60, 0.2))
+        for i, share in enumerate((0.8, 0.2, 0.1, 0.3, 0.05)):
+            if rng.random() < share:
+                texts[-1] += items[i] + spoken(rng, common, rare, 30, 0.2)
+                truth.add((d, i))
+    assert found_in(spark, texts, items) == truth
+
+
 def test_latent_space_is_orthonormal_and_holds_the_items(spark):
     rows, items, _ = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
