@@ -110,10 +110,14 @@ def lookup(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def telling_words(items: list[np.ndarray]) -> np.ndarray:
-    """The sorted distinct words of items, without those of too many items."""
-    each = [np.unique(w) for w in items]
+    """The sorted distinct words of items, without those of too many items; repeated items count once.
+
+    They are the columns of the SVD, and so of the cosine that ranks windows; what is found does not
+    depend on them.
+    """
+    each = [np.unique(w) for w in {w.tobytes(): w for w in items}.values()]
     values, counts = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_counts=True)
-    return values[counts <= max(5, COMMON * len(items))]
+    return values[counts <= max(5, COMMON * len(each))]
 
 
 def survey(docs: DataFrame, vocabulary: np.ndarray, seed: int = 11, chunk: int = 1 << 14) -> Survey:
@@ -411,6 +415,8 @@ class Finder:
         col[weight <= LEAST_WEIGHT] = -1  # too common to tell
         part = np.where(col >= 0, self.part[col, q] * weight, 0) if it.width else np.zeros(len(h))
         hi = np.minimum(lo + BLOCK * WINDOW, len(h))
+        # The item's norm is over the columns only, so its other words are no part of the mass.
+        weight = np.where((col < 0) & self.member[q, lookup(self.words, h)], 0, weight)
         total, mass = (np.append(0, np.cumsum(x, dtype=np.float64)) for x in (part, weight.astype(np.float64) ** 2))
         return (total[hi] - total[lo]) / np.sqrt(np.maximum(mass[hi] - mass[lo], 1e-9))
 

@@ -252,6 +252,23 @@ def test_copies_in_many_documents_are_found(spark):
     assert found_in(spark, texts, items) == truth
 
 
+def test_repeated_and_templated_items_are_found(spark):
+    rng = random.Random(10)
+    common, rare = [f"the{i}" for i in range(40)], ["anor", "belo", "cidu"]
+    one, template = spoken(rng, common, rare, 25), spoken(rng, [], rare, 30, 0)
+    own = [spoken(rng, common, rare, 4, 0) for _ in range(20)]
+    items = [one] * 8 + [template[:20] + w + template[20:] for w in own]
+    texts = [spoken(rng, common, rare, 100) for _ in range(100)]
+    truth = set()
+    for i in range(7, len(items)):
+        texts.append(spoken(rng, common, rare, 41, 0) + items[i] + spoken(rng, common, rare, 40, 0))
+        # Items of one template have over 60 % of their words in common: each is found in each copy.
+        truth |= {(len(texts) - 1, k) for k in (range(8) if i == 7 else range(8, len(items)))}
+    assert found_in(spark, texts, items) == truth
+    h = [np.arange(5, dtype=np.uint64)] * 9 + [np.arange(5, 9, dtype=np.uint64)]
+    assert dc.telling_words(h).tolist() == list(range(9))
+
+
 def test_latent_space_is_orthonormal_and_holds_the_items(spark):
     rows, items, _ = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
