@@ -4,12 +4,13 @@ A shingle is the fewest lines from a non-blank line on that hold ``SHINGLE`` wor
 hash of their line hashes.  Windows are the fewest lines from each line on that hold ``GUARANTEE``
 words, and the shingle of least key within a window is a fingerprint.  So any run of lines with
 ``GUARANTEE`` words that two documents share holds a fingerprint that both have, and every match
-has at least ``SHINGLE`` words.
+has at least ``SHINGLE`` words.  A line that holds ``SHINGLE`` words alone is always a fingerprint,
+whatever stands around it and however short the document is, so each of its repeats is found.
 
 The first place of each fingerprint, by (doc_id, row key, line), comes from grouped minima, and
 every other place is matched with the first one only: a line that a third of all documents hold
 costs a row each.  A match is extended both ways over equal lines, and the run is deleted from the
-later document.  So of a repeated run no stretch of ``GUARANTEE`` words is left whole, a deleted
+later document.  So of a repeated run no line of ``SHINGLE`` words and no stretch of ``GUARANTEE`` words is left whole, a deleted
 line always stands in an earlier place, and the first occurrence of every line is kept.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import as_array, saved
 
-SHINGLE, GUARANTEE = 12, 24
+SHINGLE, GUARANTEE = 6, 24
 
 
 def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -38,14 +39,15 @@ def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
-    """(line, key) of the shingles that are the (rightmost) least of some window."""
+    """(line, key) of the shingles that are one line, or the (rightmost) least of some window."""
     real = np.flatnonzero(counts > 0)
     sums = np.append(0, np.cumsum(counts[real]))
     # A shingle or window from line i ends with the first line at which it holds enough words.
     ends = np.searchsorted(sums, sums[:-1] + SHINGLE, "left").tolist()
     spans = np.searchsorted(sums, sums[:-1] + GUARANTEE, "left").tolist()
-    n, found = len(real), {}
+    n = len(real)
     keys = [xxhash.xxh3_64_intdigest(hashes[real[i] : real[j - 1] + 1].tobytes()) if j <= n else None for i, j in enumerate(ends)]
+    found = {i: keys[i] for i in np.flatnonzero(counts[real] >= SHINGLE).tolist()}
     for i, span in enumerate(spans):
         if span > n:
             break

@@ -97,6 +97,21 @@ def test_stage_columns_and_empty(spark):
     assert ld.dedup_lines(df.limit(0)).collect() == []
 
 
+def test_every_repeat_of_a_line_goes(spark):
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(f"x{rng.randrange(10**9)}" for _ in range(n))
+    lines = [fresh(n) for n in (6, 7, 9, 11, 12, 15, 19, 23)]
+    rows = [(0, "\n".join(x for y in lines for x in (y, fresh(9))))]
+    for d in range(1, 120):
+        own = [fresh(rng.choice([1, 4, 9, 30])) for _ in range(rng.choice([0, 1, 5]))]
+        own.insert(rng.randint(0, len(own)), " " * (d % 3) + rng.choice(lines))
+        rows.append((d, "\n".join(own)))
+    out = {r["row"]["doc_id"]: r["text"] for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == rows[0][1]
+    for d, text in rows[1:]:
+        assert out[d] == "\n".join(x for x in text.split("\n") if x.strip() not in lines)
+
+
 def test_extend():
     a, b = np.array([1, 2, 3, 4, 9], np.uint64), np.array([7, 2, 3, 4], np.uint64)
     assert ld.extend(a, b, 2, 2) == (1, 4)
