@@ -4,7 +4,9 @@ Base spans come from three patterns.  The method then takes every run of 20 or m
 the base-64 alphabets that holds a letter and a digit, infers its encoding (hexadecimal, base 32,
 36, 62 or 64), and asks whether it could be uniform noise in that alphabet: a chi-squared test of
 uniformity, a runs test about the alphabet's middle and a lag-one serial-correlation test, joined
-by Fisher's rule into one p-value.  Words and identifiers with structure get small p-values.
+by Fisher's rule into one p-value.  Words and identifiers with structure get small p-values.  No
+encoding has + or / beside - or _: a run that holds both is cut at the rarer pair, and its pieces of
+20 or more characters are tested.
 
 Short tokens carry little evidence, so the rejections of randomness are controlled by length
 class: in each, Benjamini-Hochberg on a fixed grid of p-values picks the cut at which the expected
@@ -40,6 +42,8 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
+#: What a run that holds characters of both pairs is cut into, at the rarer of them.
+PAIRS = {"[+/]": r"[A-Za-z0-9_-]{20,}", "[_-]": r"[A-Za-z0-9+/]{20,}"}
 LENGTH_CLASSES = (20, 24, 32, 40, 48, 64, 96)
 #: Grid of p-values: cell k holds p in (10^-(k+1)/4, 10^-k/4].
 CELLS = 60
@@ -97,6 +101,23 @@ def p_random(token: Column) -> Column:
     return F.when(mixed, let(alphabet, lambda a: F.when(a.isNotNull(), _battery(token, a))))
 
 
+def _pieces(m: Column) -> Column:
+    """A match of TOKEN as an array of itself, or of its pieces if no alphabet holds all of it."""
+    (slash, no_slash), (dash, no_dash) = PAIRS.items()
+    hit = m["hit"]
+
+    def cut(pattern: str) -> Column:
+        return F.transform(matches(hit, pattern), lambda x: F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["end"]).alias("end"), x["hit"].alias("hit")))
+
+    def first(pattern: str, other: str) -> Column:
+        return let(cut(pattern), lambda x: F.when(F.size(x) > 0, x).otherwise(cut(other)))
+
+    slashes, dashes = (F.length(hit) - F.length(F.regexp_replace(hit, p, "")) for p in (slash, dash))
+    # At the other pair if no piece is long enough; a tie is cut at the slashes.
+    pieces = F.when(slashes <= dashes, first(no_slash, no_dash)).otherwise(first(no_dash, no_slash))
+    return F.when((slashes > 0) & (dashes > 0), pieces).otherwise(F.array(m))
+
+
 def candidates(text: Column) -> Column:
     """Tokens of a text: array of (start, end, p, class, cell); tokens without an encoding are left out."""
     def one(m: Column) -> Column:
@@ -112,7 +133,7 @@ def candidates(text: Column) -> Column:
             ),
         )
 
-    return F.filter(F.transform(matches(text, TOKEN), one), lambda c: c["p"].isNotNull())
+    return F.filter(F.transform(F.flatten(F.transform(matches(text, TOKEN), _pieces)), one), lambda c: c["p"].isNotNull())
 
 
 def cuts(counts: list[tuple[int, int, int]], q: float) -> dict[int, int]:

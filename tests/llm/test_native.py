@@ -98,6 +98,18 @@ def test_randomness_battery(spark):
     assert all(x < 0.01 for x in p[120:124]) and p[124] is None
 
 
+def test_random_keys_in_paths_and_names(spark):
+    rng = np.random.default_rng(4)
+    key = lambda more, n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more), n))
+    plain, url, b64 = key("", 40), key("", 20) + "_" + key("-_", 24) + "-" + key("", 4), key("", 20) + "+" + key("+/", 20) + "/7a"
+    texts = [f"see /my-app/v1/{plain} now", f"é name-of_it/{plain}", f"GET /v1/{url} ok", f"my-{b64}", plain, "a/b-c", f"x/{plain[:19]}-{plain[:19]}"]
+    keys = [plain, plain, url, b64, plain, None, None]
+    got = {r["doc_id"]: r for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (text, k) in enumerate(zip(texts, keys, strict=True)):
+        spans = [text[x["start"] : x["end"]] for x in got[i]["found"] if x["kind"] == 3]
+        assert len(spans) == (k is not None) and all(s.endswith(k) and "my-" not in s and "é" not in s for s in spans), text
+
+
 def test_false_discovery_cuts():
     assert cuts([], 0.05)[0] == 60
     c = cuts([(0, 0, 900), (0, 40, 100)], 0.05)
