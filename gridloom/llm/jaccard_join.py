@@ -8,24 +8,30 @@ A document's set holds its distinct word n-grams.  Two sets of sizes m and n lin
    fix the global order: rare n-grams by hash, then the frequent ones by rising count.  Any fixed
    order gives the same links; this one keeps shared passages out of the prefixes.
 2. Two linked sets share an n-gram within the first n - ceil(t n) + 1 of each.  These prefixes go
-   to buckets of n-grams as packed arrays.  A small group yields its pairs that pass the length
-   bound; a large one yields each member's pairs with the group's first sets, and its member list.
-   A pair's common n-grams in the prefixes bound its overlap from above.
-3. Each set is verified against the partner that most of its prefix names.  A block holds a radix
-   trie of sets, stored in global order from the frequent end, and the sets that probe it.  A
-   probe walks the trie, counts each shared path once, and leaves a subtree when the overlap so
-   far plus what can remain is below the least overlap asked for there.
-4. Components of these links are found.  Pairs that are still between components, from the small
-   groups and from the member lists of the large ones, are verified in the same way.  A pair
-   inside one component cannot change it, so no link is lost, and copies of one text, however
-   many, cost a row each instead of a pair each.
+   to buckets of n-grams as packed arrays; an n-gram of very many sets is dealt to several buckets.
+   A small group yields its pairs that pass the length bound; a large one yields each member's
+   pairs with the group's first sets, and its member list.  A pair's common n-grams in the
+   prefixes bound its overlap from above.
+3. The join itself is by radix tries.  A block holds a trie of sets, stored in global order from
+   the frequent end, and the sets that probe it.  A probe walks the trie, counts each shared path
+   once, and leaves a subtree when the overlap so far plus what can remain is below the least
+   overlap asked for there, or when all of it is in the probe's own component.  A block yields a
+   spanning forest of what it has found, never pairs: one row for each merging of components.
+4. The first tries hold, for each set, the partner that most of its prefix names; components of
+   these links are found.  Pairs of small groups that are still apart probe each other.  Members of
+   a large group's list that are still in several components meet in blocks of bitmaps first: bit i
+   of a set's bitmap is the parity of its n-grams with hash i modulo the bitmap's length, so two
+   bitmaps differ in at most as many bits as the sets do in n-grams, which bounds the overlap.  The
+   sets of a block that have such a possible partner are its trie and its probes.  Two sets that
+   share several lists meet in the largest one only.  A pair inside one component cannot change it,
+   so no link is lost, and copies of one text, however many, cost a row each instead of a pair each.
 
 The sides of all joins grow with the corpus, so they are joined by shuffle at every size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -46,8 +52,14 @@ SEGMENT = 2_000_000
 SMALL = 8
 #: Sets that stand first in a large group, by name; all of a family's copies meet the same ones.
 LEADERS = 8
-#: Sets in one verification block, and members in one block of a large group's list.
-BLOCK = 512
+#: Sets in a block's trie, sets that probe it, and n-grams of either.
+BLOCK, PROBES, TOKENS = 512, 4096, 1 << 22
+#: Largest lists of each set that its pairs are looked for first.
+TOPS = 4
+#: Probes that walk a trie together.
+TOGETHER = 32
+#: Prefix entries of one n-gram in one bucket; an n-gram with more is dealt to several.
+HOT = 1 << 17
 #: Bits of the bitmap that tells which texts a verification needs.
 BITMAP = 1 << 23
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -78,6 +90,24 @@ def set_id(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes(), seed=len(grams)) - (1 << 63) or 1
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """A bitmap of two to four bits for each n-gram, in words of 64: the parity of the n-grams of each slot.
+
+    Its length is a power of two, so the exclusive or of its halves is the bitmap of half the length.
+    """
+    width = max(64, 1 << (2 * max(1, len(grams)) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
+def fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (along the last axis) at a shorter length."""
+    while bits.shape[-1] > width:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
 class Order:
     """The global order: rare n-grams by hash, then frequent ones by rising count."""
 
@@ -89,6 +119,9 @@ class Order:
         self.hashes, self.rank = hashes[by_hash], rank[by_hash]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        hot = counts > HOT
+        by = np.argsort(hashes[hot])
+        self.hot, self.hot_counts = hashes[hot][by], counts[hot][by]
 
     def arrange(self, grams: np.ndarray) -> np.ndarray:
         """Sorted hashes to the global order."""
@@ -104,6 +137,28 @@ class Order:
         return np.concatenate((np.delete(grams, where), frequent))
 
 
+    def dealt(self, grams: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and salts of prefix entries: one row each, with salt 0, unless the n-gram is hot.
+
+        A hot n-gram's entries are dealt by set.  The sets with the least digests, some LEADERS of
+        them, go to all salts, so that every salt's members meet the same first sets.
+        """
+        row, salt = np.arange(len(grams)), np.zeros(len(grams), np.int64)
+        if not len(self.hot):
+            return row, salt
+        at = np.minimum(np.searchsorted(self.hot, grams), len(self.hot) - 1)
+        hit = np.flatnonzero(self.hot[at] == grams)
+        count = self.hot_counts[at[hit]]
+        salts = -(-count // HOT)
+        salt[hit] = (mix(sids[hit].view(np.uint64)) % salts.astype(np.uint64)).astype(np.int64)
+        first = sids[hit] / 2.0**64 + 0.5 < 4 * LEADERS / count
+        copies = salts[first] - 1
+        more = np.repeat(hit[first], copies)
+        turn = np.arange(len(more)) - np.repeat(np.cumsum(copies) - copies, copies) + 1
+        salt[hit[first]] = 0
+        return np.append(row, more), np.append(salt, turn)
+
+
 def required(m: np.ndarray | int, n: np.ndarray | int, t: Fraction) -> np.ndarray | int:
     """The least overlap of linked sets of these sizes: ceil(t (m + n) / (1 + t))."""
     a, b = t.numerator, t.numerator + t.denominator
@@ -117,7 +172,7 @@ def _sets(table: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _profile(k: int):
-    """(doc_id, text, key) to rows of kind 0 (doc_id, size, set, key) and 1 (n-gram, local count)."""
+    """(doc_id, text, key) to rows of kind 0 (doc_id, size, set, key, bitmap) and 1 (n-gram, local count)."""
 
     def frequent(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         if not held:
@@ -127,26 +182,33 @@ def _profile(k: int):
         return values[keep], counts[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("key", pa.int64())])
+        schema = pa.schema([*[(c, pa.int64()) for c in ("kind", "id", "n", "sid", "key")], ("bits", pa.binary())])
 
-        def out(kind: int, *columns) -> pa.RecordBatch:
-            kinds = pa.array(np.full(len(columns[1]), kind, np.int32))
-            return pa.record_batch([kinds, *[pa.array(c, pa.int64()) for c in columns]], schema=schema)
+        def out(kind: int, *columns, bits: list[bytes] | None = None) -> pa.RecordBatch:
+            size = len(columns[1])
+            numbers = [pa.array(c, pa.int64()) for c in (np.full(size, kind), *columns)]
+            return pa.record_batch([*numbers, pa.nulls(size, pa.binary()) if bits is None else pa.array(bits, pa.binary())], schema=schema)
 
         held: list[np.ndarray] = []
+        seen: set[int] = set()  # copies within a segment count once
         total = 0
         for batch in batches:
-            n, sid = [], []
+            n, sid, bits = [], [], []
             for _, grams in _sets(batch, k):
                 n.append(len(grams))
                 sid.append(set_id(grams))
+                bits.append(parities(grams).tobytes())
+                if sid[-1] in seen:
+                    continue
+                seen.add(sid[-1])
                 held.append(grams)
                 total += len(grams)
                 if total >= SEGMENT:
                     v, c = frequent(held)
                     yield out(1, v.view(np.int64), c, c, c)
                     held, total = [], 0
-            yield out(0, batch.column(0), n, sid, batch.column(2))
+                    seen.clear()
+            yield out(0, batch.column(0), n, sid, batch.column(2), bits=bits)
         v, c = frequent(held)
         yield out(1, v.view(np.int64), c, c, c)
 
@@ -168,7 +230,9 @@ def _prefixes(k: int, t: Fraction, order, n_buckets: int):
             each = [len(p[0]) for p in parts]
             sids = np.repeat(np.array([p[1] for p in parts], np.int64), each)
             sizes = np.repeat(np.array([p[2] for p in parts], np.uint32), each)
-            bucket = (grams % np.uint64(n_buckets)).astype(np.int32)
+            row, salt = order.value.dealt(grams, sids)
+            grams, sids, sizes = grams[row], sids[row], sizes[row]
+            bucket = (((grams % np.uint64(n_buckets)).astype(np.int64) + salt) % n_buckets).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
             some = [b for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
@@ -293,53 +357,116 @@ def _groups(t: Fraction):
 class Trie:
     """Sets in the global order from the frequent end, as a radix trie.
 
-    Sorted sets are one: a run of them that share a path of tokens is a node, and the path common
-    to its first and last set is the node's label.
+    Sorted sets that share a path of tokens stand together: a run of them is a node, the tokens
+    common to all of it are the node's label, and each set ends at a leaf.  Nodes are numbered
+    level by level.
     """
 
     def __init__(self, sets: list[np.ndarray]):
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
-        self.rank = np.empty(len(sets), np.int64)
-        self.rank[self.order] = np.arange(len(sets))
-        self.sets = sets
+        by = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+        lists = [sets[i] for i in by]
+        self.order, sizes = np.array(by, np.int64), np.array([len(x) for x in lists], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        self.vocabulary, self.codes = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]), return_inverse=True)
+        shared = np.zeros(len(lists), np.int64)  # tokens at the beginning that equal those of the set before
+        for i in range(1, len(lists)):
+            end = min(sizes[i - 1], sizes[i])
+            differ = np.flatnonzero(lists[i - 1][:end] != lists[i][:end])
+            shared[i] = differ[0] if len(differ) else end
+        nodes, level = [], [(0, len(lists), 0, -1)] if lists else []
+        self.levels: list[tuple[int, int]] = []
+        while level:
+            below = []
+            for lo, hi, depth, parent in level:
+                to = int(sizes[lo] if hi - lo == 1 else shared[lo + 1 : hi].min())
+                if hi - lo > 1:
+                    edges = [lo, *(lo + 1 + np.flatnonzero(shared[lo + 1 : hi] == to)).tolist(), hi]
+                    below += [(a, z, to, len(nodes)) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+                nodes.append((parent, starts[lo] + depth, to - depth, to, sizes[lo:hi].min(), sizes[lo:hi].max(), lo, hi))
+            self.levels.append((len(nodes) - len(level), len(nodes)))
+            level = below
+        columns = np.array(nodes, np.int64).reshape(-1, 8).T
+        self.parent, self.start, self.length, self.to, self.least, self.most, self.lo, self.hi = columns
+        self.leaves = np.flatnonzero(self.hi - self.lo == 1)
+
+    def walk(self, probes: list[np.ndarray], t: Fraction, own: np.ndarray | None = None, groups: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each probe that links with some sets: its number, theirs, and their overlaps.
+
+        The probes go down the trie together, level by level.  A probe leaves a subtree when the
+        overlap so far plus what can remain is below the least overlap asked for there, so a set
+        that is not named cannot link.  With ``own`` (the component of each set) and ``groups`` (of
+        each probe) it also leaves subtrees that are wholly in its own component.
+        """
+        if not len(self.order) or not probes:
+            return
+        n = np.array([len(x) for x in probes], np.int64)[:, None]
+        inside = np.zeros((len(probes), len(self.vocabulary)), bool)
+        tokens, who = np.concatenate(probes), np.repeat(np.arange(len(probes)), n[:, 0])
+        at = np.minimum(np.searchsorted(self.vocabulary, tokens), len(self.vocabulary) - 1)
+        hit = self.vocabulary[at] == tokens
+        inside[who[hit], at[hit]] = True
+        got, alive = np.zeros((len(probes), len(self.to)), np.int64), np.zeros((len(probes), len(self.to)), bool)
+        if own is not None:
+            own = own[self.order]
+            turns = np.cumsum(np.append(False, own[1:] != own[:-1]))
+            whole = np.where(turns[self.lo] == turns[self.hi - 1], own[self.lo], -1)
+        for k, (a, z) in enumerate(self.levels):
+            node = np.arange(a, z)
+            above = alive[:, self.parent[a:z]] if k else np.ones((len(probes), z - a), bool)
+            if own is not None:
+                above = above & (whole[a:z] != groups[:, None])
+            some = above.any(0)
+            node, above = node[some], above[:, some]
+            if not len(node):
+                break
+            each = self.length[node]
+            ends = np.cumsum(each)
+            place = np.repeat(self.start[node] - (ends - each), each) + np.arange(each.sum())
+            common = np.zeros((len(probes), len(place) + 1), np.int32)
+            np.cumsum(inside[:, self.codes[place]], axis=1, out=common[:, 1:])
+            now = common[:, ends] - common[:, ends - each] + (got[:, self.parent[node]] if k else 0)
+            got[:, node] = now
+            possible = now + np.minimum(self.most[node] - self.to[node], n - now)
+            alive[:, node] = above & (possible >= required(n, self.least[node], t))
+        linked = alive[:, self.leaves]
+        for p in np.flatnonzero(linked.any(1)).tolist():
+            leaf = self.leaves[linked[p]]
+            yield p, self.order[self.lo[leaf]], got[p, leaf]
+
+    def together(self) -> int:
+        """How many probes go down together, so that a step's memory is bounded."""
+        return max(1, min(TOGETHER, (1 << 22) // max(1, len(self.codes))))
 
     def overlaps(self, probe: np.ndarray, t: Fraction, among: list[int] | None = None) -> dict[int, int]:
-        """Of the sets (or those of the numbers in ``among``) that may link with the probe's set:
-        their overlap with it.  A subtree is left when the overlap so far plus what can remain is
-        below the least overlap asked for there, so a set that is not named cannot link."""
-        at = self.order if among is None else sorted(among, key=self.rank.__getitem__)
-        lists = [self.sets[i] for i in at]
-        sizes = np.array([len(s) for s in lists])
-        inside, n, out = np.sort(probe), len(probe), {}
-
-        def shared(label: np.ndarray) -> int:
-            if not len(label) or not n:
-                return 0
-            place = np.minimum(np.searchsorted(inside, label), n - 1)
-            return int(np.count_nonzero(inside[place] == label))
-
-        stack = [(0, len(lists), 0, 0)] if lists else []
-        while stack:
-            lo, hi, depth, got = stack.pop()
-            first, last = lists[lo], lists[hi - 1]
-            end = min(len(first), len(last))
-            differ = np.flatnonzero(first[depth:end] != last[depth:end])
-            to = depth + int(differ[0]) if len(differ) else end
-            got += shared(first[depth:to])
-            least, most = int(sizes[lo:hi].min()), int(sizes[lo:hi].max())
-            if got + min(most - to, n - got) < required(n, least, t):
-                continue
-            while lo < hi and sizes[lo] == to:  # sets that end at this node
-                if got >= required(n, to, t):
-                    out[at[lo]] = got
-                lo += 1
-            k = lo
-            while k < hi:  # one child for each next token
-                token, start = lists[k][to], k
-                while k < hi and lists[k][to] == token:
-                    k += 1
-                stack.append((start, k, to, got))
-        return out
+        """Overlaps of one probe with the sets (or those of the numbers in ``among``) that link with it."""
+        some = None if among is None else set(among)
+        found = [dict(zip(i.tolist(), c.tolist(), strict=True)) for _, i, c in self.walk([probe], t)]
+        return {i: c for x in found for i, c in x.items() if some is None or i in some}
+
+
+def spanning_forest(
+    ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], probe_ids: np.ndarray, probe_roots: np.ndarray, probes: list[np.ndarray], t: Fraction
+) -> list[tuple[int, int]]:
+    """Links between sets of a trie and its probes, one for each merging of components.
+
+    ``roots`` tell which sets are known to be in one component.
+    """
+    trie = Trie(sets)
+    _, code = np.unique(np.concatenate([roots, probe_roots]), return_inverse=True)
+    own, asking = code[: len(ids)], code[len(ids) :]
+    out: list[tuple[int, int]] = []
+    by = np.argsort([len(x) for x in probes], kind="stable")
+    step = trie.together()
+    for lo in range(0, len(by), step):
+        some = by[lo : lo + step]
+        for p, found, _ in trie.walk([probes[i] for i in some], t, own, asking[some]):
+            x = some[p]
+            for c, first in zip(*np.unique(own[found], return_index=True), strict=True):
+                mine = asking[x]
+                if c != mine and own[found[first]] != mine:
+                    out.append((int(probe_ids[x]), int(ids[found[first]])))
+                    own[own == c], asking[asking == c] = mine, mine
+    return out
 
 
 def _pack48(tokens: np.ndarray) -> bytes:
@@ -395,71 +522,125 @@ def _needed_sets(docs: DataFrame, profile: DataFrame, wanted: DataFrame, order,
     return slots.mapInArrow(run, "sid bigint, tokens binary")
 
 
-def _verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame, order, k: int, t: Fraction) -> DataFrame:
-    """Of the pairs (x, y, tile, part), those that link, as edges (u, v).
+def _linked(docs: DataFrame, profile: DataFrame, rows: DataFrame, order, k: int, t: Fraction) -> DataFrame:
+    """Edges (u, v) of a spanning forest in each block of rows (*KEY, sid, root, held).
 
-    The sets y of a tile's part, about BLOCK of them, stand in a trie, and the sets x probe the
-    tries that hold their partners, about BLOCK probes at a time: a set travels once for each
-    block, not once for each pair.
+    The sets that are held stand in the block's trie; the others probe it.  A set travels once for
+    each block, not once for each pair.
     """
-    tile = ["tile", "part"]
-    pairs = saved(pairs.select("x", "y", *tile), "jaccard-pairs")
-    if pairs.isEmpty():
-        return pairs.selectExpr("x AS u", "y AS v")
-    wanted = pairs.select(F.col("x").alias("sid")).union(pairs.select(F.col("y").alias("sid"))).distinct()
-    sets = _needed_sets(docs, profile, wanted, order, k)
-    asked = pairs.select(*tile, "x").distinct().groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("c"))
-    placed = pairs.join(asked.hint("merge"), tile).withColumn("b", F.pmod(F.xxhash64("x"), F.col("c"))).drop("c")
-    placed, key = saved(placed, "jaccard-placed"), [*tile, "b"]
-    # About BLOCK partners, as they all stand in one trie.
-    probes = placed.groupBy(*key, F.col("x").alias("sid")).agg(F.collect_list("y").alias("ys"))
-    members = placed.select(*key, F.col("y").alias("sid")).distinct().withColumn("ys", F.lit(None).cast("array<bigint>"))
-    blocks = members.union(probes).join(sets.hint("merge"), "sid")
+    rows = saved(rows.select(*KEY, "sid", "root", "held"), "jaccard-blocks")
+    if rows.isEmpty():
+        return rows.selectExpr("sid AS u", "root AS v")
+    sets = _needed_sets(docs, profile, rows.select("sid").distinct(), order, k)
+    blocks = rows.join(sets.hint("merge"), "sid")
 
     def run(block: pa.Table) -> pa.Table:
-        sids, ys = block.column("sid").to_pylist(), block.column("ys").to_pylist()
-        tokens = block.column("tokens").to_pylist()
-        held = {s: x for s, y, x in zip(sids, ys, tokens, strict=True) if y is None}
-        asking = {s: (y, x) for s, y, x in zip(sids, ys, tokens, strict=True) if y is not None}
-        names = list(held)
-        number = {s: i for i, s in enumerate(names)}
-        trie = Trie([_unpack48(x) for x in held.values()])
-        u, v = [], []
-        for s, (partners, x) in asking.items():
-            for i in trie.overlaps(_unpack48(x), t, [number[y] for y in set(partners)]):
-                u.append(s)
-                v.append(names[i])
-        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    return saved(blocks.groupBy(*key).applyInArrow(run, "u bigint, v bigint"), "jaccard-links")
-
-
-def _cross_pairs(lists: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs of different components within the large groups' lists (gram, sid, n)."""
+        sides: dict[bool, dict[int, tuple[int, bytes]]] = {True: {}, False: {}}
+        columns = (block.column(c).to_pylist() for c in ("sid", "root", "held", "tokens"))
+        for sid, root, held, tokens in zip(*columns, strict=True):
+            sides[held][sid] = root, tokens  # copies of a set are equal
+        both = [(np.array(list(x), np.int64), np.array([r for r, _ in x.values()], np.int64), [_unpack48(z) for _, z in x.values()]) for x in (sides[True], sides[False])]
+        found = spanning_forest(*both[0], *both[1], t)
+        return pa.table([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    return saved(blocks.groupBy(*KEY).applyInArrow(run, "u bigint, v bigint"), "jaccard-links")
+
+
+#: What names a block: a partner or a list's n-gram, a part of the trie, a part of the probes.
+KEY = ("tile", "part", "chunk")
+
+
+def _partner_blocks(pairs: DataFrame) -> DataFrame:
+    """Pairs (x, y, rx, ry: their components) as blocks: each y is a trie, the sets x probe it."""
+    asked = pairs.groupBy("y").agg(F.max("ry").alias("ry"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("c"))
+    key = [F.col("y").alias("tile"), F.lit(-1).cast("long").alias("part")]
+    held = asked.select(*key, F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("chunk"), F.col("y").alias("sid"), F.col("ry").alias("root"), F.lit(True).alias("held"))
+    probes = pairs.join(asked.select("y", "c").hint("merge"), "y")
+    probes = probes.select(*key, F.pmod(F.xxhash64("x"), F.col("c")).alias("chunk"), F.col("x").alias("sid"), F.col("rx").alias("root"), F.lit(False).alias("held"))
+    return held.union(probes)
+
+
+def may_link(held: list[np.ndarray], probes: list[np.ndarray], m: np.ndarray, n: np.ndarray, apart: Callable[[int], np.ndarray], t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sets held and of the probes have a partner on the other side that their bitmaps
+    and sizes allow, among the probes that ``apart`` (the number of a held set) tells."""
+    of_held, of_probes = np.array([len(x) for x in held]), np.array([len(x) for x in probes])
+    hits, hit = np.zeros(len(held), bool), np.zeros(len(probes), bool)
+    for width in np.unique(of_probes).tolist():
+        some = np.flatnonzero(of_probes == width)
+        full = np.stack([probes[i] for i in some])
+        for least in np.unique(np.minimum(of_held, width)).tolist():
+            other = fold(full, least)
+            for i in np.flatnonzero(np.minimum(of_held, width) == least).tolist():
+                near = np.flatnonzero(_similar(n[some], m[i], t) & apart(i)[some])
+                if not len(near):
+                    continue
+                differ = np.bitwise_count(other[near] ^ fold(held[i], least)).sum(1, dtype=np.int64)
+                at = some[near]
+                good = at[(n[at] + m[i] - differ) // 2 >= required(n[at], m[i], t)]
+                hits[i] |= len(good) > 0
+                hit[good] = True
+    return hits, hit
+
+
+def _list_blocks(profile: DataFrame, lists: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame | None:
+    """Blocks for the large groups' lists (gram, sid, n) that hold several components, if any.
+
+    Of a list, two sets of its largest component need no look, nor do two sets that share a larger
+    list.  So the sets that do not share the larger list that most of them share, or those outside
+    the largest component if they are fewer, are compared with all of the list.
+    """
     rows = lists.join(roots.hint("merge"), lists.sid == roots.id, "left").select("gram", "sid", "n", F.coalesce("root", "sid").alias("root"))
     rows = saved(rows, "jaccard-lists")
-    mixed = rows.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m")).where("a <> b")
-    mixed = mixed.select("gram", F.ceil(F.col("m") / BLOCK).cast("int").alias("c"))
-    own = rows.join(mixed.hint("merge"), "gram").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("c")).cast("int"))
-    # Each block of a list meets every block of it once.
-    other = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    keyed = other.select("gram", "sid", "n", "root", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    counts = rows.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = counts.groupBy("gram").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("b"))
+    mixed = mixed.select("gram", "m", F.col("b.root").alias("main"), (F.col("m") - F.col("b.c")).alias("others")).where("others > 0")
+    near = saved(rows.join(mixed.hint("merge"), "gram"), "jaccard-near")
+    if near.isEmpty():
+        return None
+    # A set's lists are at most as many as its prefix has n-grams.
+    largest = F.slice(F.sort_array(F.collect_list(F.struct("m", "gram")), asc=False), 1, TOPS)
+    near = near.join(near.groupBy("sid").agg(largest.alias("tops")).hint("merge"), "sid")
+    modes = near.groupBy("gram", F.col("tops")[0]["gram"].alias("top")).agg(F.count(F.lit(1)).alias("c"))
+    modes = modes.groupBy("gram").agg(F.max(F.struct("c", "top"))["top"].alias("mode"))
+    covered = (F.col("mode") != F.col("gram")) & F.exists("tops", lambda x: x["gram"] == F.col("mode"))
+    near = saved(near.join(modes.hint("merge"), "gram").withColumn("covered", covered).drop("mode"), "jaccard-covered")
+    plan = near.groupBy("gram").agg(F.count(F.when(~F.col("covered"), 1)).alias("loose"), F.sum("n").alias("tokens"))
+    near = near.join(plan.hint("merge"), "gram").withColumn("k", F.least("loose", "others")).where("k > 0")
+    share = F.col("tokens") / TOKENS
+    near = near.withColumns({
+        "held": F.when(F.col("loose") <= F.col("others"), ~F.col("covered")).otherwise(F.col("root") != F.col("main")),
+        "parts": F.ceil(F.greatest(F.col("k") / BLOCK, share * F.col("k") / F.col("m"))),
+        "chunks": F.ceil(F.greatest(F.col("m") / PROBES, share)),
+        "tops": F.transform(F.filter("tops", lambda x: x > F.struct(F.col("m"), F.col("gram"))), lambda x: x["gram"]),
+    })
+    bits = profile.groupBy("sid").agg(F.first("bits").alias("bits"))
+    near = near.select(F.col("gram").alias("tile"), "sid", "n", "root", "tops", "held", "parts", "chunks").join(bits.hint("merge"), "sid")
+    held = near.where("held").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    probes = near.withColumn("chunk", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("chunks"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = [*KEY, "sid", "n", "root", "tops", "bits"]
+    blocks = held.select(*columns, F.lit(True).alias("held")).union(probes.select(*columns, F.lit(False).alias("held")))
 
     def run(block: pa.Table) -> pa.Table:
-        sid, n, root, own = (block.column(c).to_numpy() for c in ("sid", "n", "root", "own"))
-        i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
-        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        ps, qs = [], []
-        for p in a:
-            q = b[(root[b] != root[p]) & _similar(n[b], n[p], t)]
-            q = q[sid[q] < sid[p]] if i == j else q
-            ps.append(np.full(len(q), p))
-            qs.append(q)
-        p, q = (np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for v in (ps, qs))
-        p, q = np.where(sid[p] > sid[q], p, q), np.where(sid[p] > sid[q], q, p)
-        return pa.table([pa.array(sid[p]), pa.array(sid[q]), pa.array(n[p]), pa.array(n[q])], names=["x", "y", "m", "n"])
-
-    return keyed.groupBy("gram", "i", "j").applyInArrow(run, "x bigint, y bigint, m bigint, n bigint")
+        side = block.column("held").to_numpy()
+        sides = [block.filter(pa.array(x)).combine_chunks() for x in (side, ~side)]
+        (m, n), (own, others) = ([x.column(c).to_numpy() for x in sides] for c in ("n", "root"))
+        (mine, theirs) = ([np.frombuffer(b, "<u8") for b in x.column("bits").to_pylist()] for x in sides)
+        larger = np.full((len(n), TOPS), np.iinfo(np.int64).min)
+        for i, tops in enumerate(sides[1].column("tops").to_pylist()):
+            larger[i, : len(tops)] = tops
+        known = sides[0].column("tops").to_pylist()
+
+        def apart(i: int) -> np.ndarray:
+            out = others != own[i]
+            for top in known[i]:
+                out &= (larger != top).all(1)
+            return out
+
+        hits, hit = may_link(mine, theirs, m, n, apart, t)
+        found = [x.filter(pa.array(h)).select([*KEY, "sid", "root", "held"]) for x, h in zip(sides, (hits, hit), strict=True)]
+        return pa.concat_tables(found)
+
+    return blocks.groupBy(*KEY).applyInArrow(run, "tile bigint, part bigint, chunk bigint, sid bigint, root bigint, held boolean")
 
 
 def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -467,8 +648,8 @@ def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, te
     t = Fraction(*threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
     sc = docs.sparkSession.sparkContext
-    first = saved(docs.mapInArrow(_profile(k), "kind int, id bigint, n bigint, sid bigint, key bigint"), "jaccard-profile")
-    profile = first.where("kind = 0").select("id", "n", "sid", "key")
+    first = saved(docs.mapInArrow(_profile(k), "kind bigint, id bigint, n bigint, sid bigint, key bigint, bits binary"), "jaccard-profile")
+    profile = first.where("kind = 0").select("id", "n", "sid", "key", "bits")
     frequent = first.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
     top = frequent.orderBy(F.desc("n"), "id").limit(FREQUENT).collect()  # at most FREQUENT rows
     grams = np.array([r["id"] for r in top], np.int64).view(np.uint64)
@@ -485,22 +666,19 @@ def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, te
     votes = F.col("small") + F.col("star")
     best = pairs.where(_possible(votes, t)).groupBy("x").agg(F.max(F.struct(votes.alias("w"), (-F.col("y")).alias("y"))).alias("b"))
     best = best.select("x", (-F.col("b.y")).alias("y"))
-    links = _verified(docs, profile, best.withColumns({"tile": F.col("y"), "part": F.lit(0).cast("long")}), order, k, t)
+    first = best.select("x", "y", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    links = _linked(docs, profile, _partner_blocks(first), order, k, t)
     roots = connected_components(links)
 
     a = roots.select(F.col("id").alias("x"), F.col("root").alias("rx"))
     b = roots.select(F.col("id").alias("y"), F.col("root").alias("ry"))
-    apart = pairs.where("small > 0").join(a.hint("merge"), "x", "left").join(b.hint("merge"), "y", "left").where("coalesce(rx, x) <> coalesce(ry, y)")
-    lists = met.where("kind = 1").selectExpr("x AS gram", "y AS sid", "n")
-    # Between components every common n-gram of two prefixes is counted, in small and large groups.
-    met_again = apart.select("x", "y", "small", "m", "n").union(_cross_pairs(lists, roots, t).selectExpr("x", "y", "1L", "m", "n"))
-    rest = met_again.groupBy("x", "y").agg(F.sum("small").alias("votes"), F.max("m").alias("m"), F.max("n").alias("n"))
-    rest = rest.where(_possible(F.col("votes"), t)).join(best.hint("merge"), ["x", "y"], "left_anti")
-    sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("c"))
-    parts_of = roots.join(sizes.hint("merge"), "root").select(F.col("id").alias("y"), "root", F.pmod(F.xxhash64("id"), F.col("c")).alias("part"))
-    rest = rest.join(parts_of.hint("merge"), "y", "left")
-    rest = rest.select("x", "y", F.coalesce("root", "y").alias("tile"), F.coalesce("part", F.lit(0)).cast("long").alias("part"))
-    more = _verified(docs, profile, rest, order, k, t)
+    # A pair that shares no n-gram of a large group has all its votes from small ones; the others
+    # meet in the blocks of a list.
+    apart = pairs.where(_possible(F.col("small"), t) & (F.col("small") > 0)).join(best.hint("merge"), ["x", "y"], "left_anti")
+    apart = apart.join(a.hint("merge"), "x", "left").join(b.hint("merge"), "y", "left").select("x", "y", F.coalesce("rx", "x").alias("rx"), F.coalesce("ry", "y").alias("ry"))
+    blocks = _partner_blocks(apart.where("rx <> ry"))
+    of_lists = _list_blocks(profile, met.where("kind = 1").selectExpr("x AS gram", "y AS sid", "n"), roots, t)
+    more = _linked(docs, profile, blocks if of_lists is None else blocks.union(of_lists), order, k, t)
     if not more.isEmpty():
         roots = connected_components(links.union(more))
 

@@ -106,3 +106,84 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 99), (99, 101), (7, 7), (-5, 60)]
     got = {r["id"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 99: 99, 100: 99, 101: 99, -5: -5, 60: -5}
+
+
+@pytest.mark.parametrize("seed, hot, probes, tokens", [(4, 4, 5, 1 << 22), (5, 2, 4096, 90)])
+def test_hot_ngrams_and_small_blocks_lose_nothing(spark, monkeypatch, seed, hot, probes, tokens):
+    for name, value in (("SMALL", 2), ("LEADERS", 1), ("LEAST_COUNT", 2), ("LEAST_SHARE", 0.0), ("HOT", hot), ("BLOCK", 4), ("PROBES", probes), ("TOKENS", tokens)):
+        monkeypatch.setattr(jj, name, value)
+    rows = corpus(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jj.jaccard_components(df.repartition(3)).collect()), key=repr)
+    assert got == brute(rows)
+
+
+def near_copies(n, seed=3):
+    """Copies of one text, each with so many words changed that most pairs do not link."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for d in range(n):
+        own = list(base)
+        for p in rng.sample(range(200), 6):
+            own[p] = f"x{rng.randrange(10**9)}"
+        rows.append((d, " ".join(own)))
+    return rows
+
+
+def test_rows_grow_in_proportion_where_near_copies_do_not_link(spark, monkeypatch):
+    most = {}
+    for n in (100, 200, 400):
+        seen = []
+        monkeypatch.setattr(jj, "saved", lambda df, name, own=jj.saved: seen.append((name, (out := own(df, name)).count())) or out)
+        rows = near_copies(n)
+        got = sorted((tuple(r) for r in jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+        assert got == brute(rows)
+        monkeypatch.undo()
+        most[n] = {name: max(c for k, c in seen if k == name) for name, _ in seen}
+    for name, c in most[400].items():
+        assert c <= 2.6 * max(most[200][name], 200), (name, most)
+    assert most[400]["jaccard-links"] < 400
+
+
+def test_spanning_forest_joins_what_links():
+    rng = np.random.default_rng(8)
+    t = Fraction(3, 4)
+    base = rng.choice(1 << 40, 60, replace=False).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(30, 58), replace=False), rng.choice(1 << 40, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(70)]
+    edges = jj.spanning_forest(np.arange(40), np.arange(40), sets[:40], np.arange(40, 70), np.arange(40, 70), sets[40:], t)
+    root = list(range(70))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    want = list(range(70))
+    for x in range(40, 70):
+        for y in range(40):
+            a, b = set(sets[x].tolist()), set(sets[y].tolist())
+            if 4 * len(a & b) >= 3 * len(a | b):
+                want = [want[x] if w == want[y] else w for w in want]
+    for u, v in edges:
+        assert find(u) != find(v)  # one row for each merging
+        root[find(u)] = find(v)
+    assert all((find(i) == find(j)) == (want[i] == want[j]) for i in range(70) for j in range(70))
+
+
+def test_bitmaps_allow_every_link():
+    rng = np.random.default_rng(9)
+    t = Fraction(3, 4)
+    for n in (3, 20, 33, 400):
+        base = rng.choice(1 << 50, n, replace=False).astype(np.uint64)
+        sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(max(1, n // 2), n + 1), replace=False), rng.choice(1 << 50, rng.integers(0, 1 + n // 4)).astype(np.uint64)])) for _ in range(60)]
+        bits, sizes = [jj.parities(s) for s in sets], np.array([len(s) for s in sets])
+        for a, b in ((s, z) for s in sets[:20] for z in sets[20:]):
+            wide, small = sorted((jj.parities(a), jj.parities(b)), key=len, reverse=True)
+            assert int(np.bitwise_count(jj.fold(wide, len(small)) ^ small).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))
+        hits, hit = jj.may_link(bits[:20], bits[20:], sizes[:20], sizes[20:], lambda i: np.ones(40, bool), t)
+        for i in range(20):
+            for j in range(40):
+                x, y = set(sets[i].tolist()), set(sets[20 + j].tolist())
+                if 4 * len(x & y) >= 3 * len(x | y):
+                    assert hits[i] and hit[j]
