@@ -1,10 +1,17 @@
 """Boundary conditions: what the halo cells hold.
 
 Axes are treated in ascending order, low side then high, each over the full cross-section, so a
-corner's value composes.  The result is separable: a halo cell takes the value at the cell whose
-coordinates are remapped axis by axis, unless an axis gives it a fixed value, where the highest
-such axis wins.  So a boundary is a remap of coordinates and one equi-join of the halo cells with
-the cells near the boundary; the interior is untouched.
+corner's value composes: what an axis writes is what the axes before it have left in the cell that
+it reads.  Seen from a halo cell, that is a walk from the highest axis down.  On each axis whose
+halo holds the cell, a Dirichlet side ends the walk with its value, and any other side moves on to
+the cell that it reads.  The cell at the end of the walk gives the value.
+
+Grids may have gaps, and rows are neither made nor dropped.  A cell that is missing has no value to
+pass on, so a walk that meets one, at its end or on its way, gives null.
+
+The walks of all halo cells go together: one equi-join of the halo cells with the cells near the
+boundary for the values, and one more for each axis with corners below it, which asks only whether
+a cell is there.  The interior is untouched.
 """
 
 from __future__ import annotations
@@ -97,33 +104,51 @@ def apply_boundary(grid: GridFrame, spec: Any, halo: tuple[int, ...]) -> GridFra
     """The grid with its halo cells filled; a halo of 0 leaves an axis alone.
 
     Raises where an axis has fewer interior cells than its halo: its sources would be halo cells.
-    A source cell that is missing gives null.
+    A walk over a missing cell gives null.
     """
     spec = BoundarySpec.of(spec, len(grid.dims))
     kinds = dict(grid.df.dtypes)
-    in_halo, fixed = F.lit(False), F.lit(None).cast("double")
-    remapped, near = {}, F.lit(False)
+    axes: list[tuple[str, list[tuple[Side, bool, int, int, int]]]] = []
+    in_halo, near = F.lit(False), F.lit(False)
     for d, h, (lo, hi), pair in zip(grid.dims, halo, grid.extents, spec.sides, strict=True):
-        remapped[d] = F.col(d)
-        if not h or pair is None:
+        if not h or pair is None or pair == (None, None):
             continue
         if hi - lo + 1 - 2 * h < h:
             raise ValueError(f"axis {d} has fewer interior cells than its halo of {h}")
-        for high, side in enumerate(pair):
-            if side is None:
-                continue
-            inside = F.col(d) > hi - h if high else F.col(d) < lo + h
-            in_halo = in_halo | inside
+        axes.append((d, [(side, bool(high), lo, hi, h) for high, side in enumerate(pair) if side is not None]))
+        for _, high, *_ in axes[-1][1]:
+            in_halo = in_halo | (F.col(d) > hi - h if high else F.col(d) < lo + h)
+        near = near | (F.col(d) < lo + 2 * h) | (F.col(d) > hi - 2 * h)
+
+    def inside(d: str, high: bool, lo: int, hi: int, h: int) -> Column:
+        return F.col(f"_{d}") > hi - h if high else F.col(f"_{d}") < lo + h
+
+    here = [F.col(d).alias(f"_{d}") for d in grid.dims]
+    at = [*grid.batch, *[f"_{d}" for d in grid.dims]]
+    edge = grid.df.where(in_halo).select(*grid.keys, *here, F.lit(None).cast("double").alias("_fixed"), F.lit(False).alias("_lost"))
+    for n in range(len(axes) - 1, -1, -1):
+        d, sides = axes[n]
+        fixed, moved, to = F.col("_fixed"), F.lit(False), F.col(f"_{d}")
+        for side, *where in sides:
+            open_ = F.col("_fixed").isNull() & inside(d, *where)
             if side.kind == "dirichlet":
-                fixed = F.when(inside, F.lit(side.value)).otherwise(fixed)
+                fixed = F.when(open_, F.lit(side.value)).otherwise(fixed)
             else:
-                remapped[d] = F.when(inside, _source(side, bool(high), F.col(d), lo, hi, h)).otherwise(remapped[d])
-        near = near | (F.col(d) < lo + 2 * h) | (F.col(d) > hi - 2 * h)
-    interior = grid.df.where(~in_halo)
-    edge = grid.df.where(in_halo).select(*grid.keys, fixed.alias("_fixed"), *[c.cast(kinds[d]).alias(f"_{d}") for d, c in remapped.items()])
-    source = grid.df.where(near).select(
-        *grid.batch, *[F.col(d).alias(f"_{d}") for d in grid.dims], *[F.col(f).alias(f"_v_{f}") for f in grid.fields]
-    )
-    joined = edge.join(source, [*grid.batch, *[f"_{d}" for d in grid.dims]], "left")
-    values = [F.when(F.col("_fixed").isNotNull(), F.col("_fixed").cast(kinds[f])).otherwise(F.col(f"_v_{f}")).alias(f) for f in grid.fields]
-    return grid.with_df(interior.unionByName(joined.select(*grid.keys, *values)))
+                moved, to = moved | open_, F.when(open_, _source(side, where[0], F.col(f"_{d}"), *where[1:])).otherwise(to)
+        edge = edge.withColumns({"_fixed": fixed, "_moved": moved, f"_{d}": to.cast(kinds[d])})
+        if n and any(side.kind != "dirichlet" for side, *_ in sides):
+            corner = F.lit(False)
+            for e, others in axes[:n]:
+                for _, *where in others:
+                    corner = corner | inside(e, *where)
+            there = grid.df.where(near).select(*grid.batch, *here, F.lit(True).alias("_there"))
+            edge = edge.join(there, at, "left").withColumn("_lost", F.col("_lost") | (F.col("_moved") & corner & F.col("_there").isNull())).drop("_there")
+    source = grid.df.where(near).select(*grid.batch, *here, *[F.col(f).alias(f"_v_{f}") for f in grid.fields])
+    joined = edge.join(source, at, "left")
+
+    def value(f: str) -> Column:
+        found = F.when(F.col("_fixed").isNotNull(), F.col("_fixed").cast(kinds[f])).otherwise(F.col(f"_v_{f}"))
+        return F.when(~F.col("_lost"), found).alias(f)
+
+    filled = joined.select(*grid.keys, *[value(f) for f in grid.fields])
+    return grid.with_df(grid.df.where(~in_halo).unionByName(filled))

@@ -47,6 +47,7 @@ def brick_sweep(
         [f"`{k}` {kinds[k]}" for k in keys] + [f"`{f}` {kinds[f]}" for f in kept] + [f"`{n}` {s.dtype}" for n, s in outputs.items()]
     )
     extents, batch, fields = grid.extents, grid.batch, grid.fields  # the closure takes no frame along
+    outputs = {n: s.plain() for n, s in outputs.items()}
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         first = [extents[x][0] + key[len(batch) + x].as_py() * side for x in range(n_dims)]
@@ -136,12 +137,16 @@ def to_bricks(grid: GridFrame, side: int, field: str | None = None) -> DataFrame
     bricks = [F.floor(a / side).alias(f"b_{d}") for d, a in zip(grid.dims, at, strict=True)]
     cells = grid.df.select(*grid.batch, *bricks, slot.cast("int").alias("_s"), F.col(field).alias("_v"))
     names = [*grid.batch, *[f"b_{d}" for d in grid.dims]]
-    held = cells.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("_s", "_v"))).alias("_m"))
-    # side^n entries at most: a brick is bounded by its own size.
-    kind = dict(grid.df.dtypes)[field]
-    slots = F.sequence(F.lit(0), F.lit(side**n - 1))
-    data = F.transform(slots, lambda s: F.coalesce(F.try_element_at("_m", s), F.lit(0.0).cast(kind)))
-    return held.select(*names, data.alias("data"))
+    kinds = dict(cells.dtypes)
+    dtype = np.float64 if kinds["_v"] == "double" else np.float32
+
+    def run(table: pa.Table) -> pa.Table:  # side^n cells at most: a brick is bounded by its own size
+        data = np.zeros(side**n, dtype)
+        data[table.column("_s").to_numpy()] = np.asarray(table.column("_v").combine_chunks().fill_null(0.0), dtype)
+        return pa.table([*[table.column(k).slice(0, 1) for k in names], pa.array([data])], names=[*names, "data"])
+
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in names] + [f"data array<{kinds['_v']}>"])
+    return cells.groupBy(*names).applyInArrow(run, schema)
 
 
 def from_bricks(bricks: DataFrame, like: GridFrame, side: int, field: str | None = None) -> GridFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frontend import Stencil, halo_of
+from ..plans.lineage import cut
 from .grid import GridFrame
 
 
@@ -31,47 +35,92 @@ def _part_of(at: Column, ranges: list[tuple[int, int]]) -> Column:
     return F.when(at < split, first).otherwise(n_wide + F.floor((at - split) / (wide - 1))).cast("int")
 
 
-def decompose(grid: GridFrame, n: int, axis: int = 0, halo: int = 1) -> DataFrame:
-    """Cells with ``part`` and ``owned``; the interior of the axis is dealt out, and each part also
-    holds the ``halo`` layers on both sides of its own range."""
-    d = grid.dims[axis]
+def _ranges(grid: GridFrame, n: int, axis: int, halo: int) -> list[tuple[int, int]]:
+    """The parts' own ranges; raises if one would be thinner than the halo."""
     lo, hi = grid.extents[axis]
     ranges = chunks(lo + halo, hi - halo, n)
     if min(b - a + 1 for a, b in ranges) < max(1, halo):
         raise ValueError("a part would be thinner than the halo")
-    inner = F.least(F.greatest(F.col(d), F.lit(lo + halo)), F.lit(hi - halo))
-    own = _part_of(inner.cast("long"), ranges)
+    return ranges
+
+
+def _own(grid: GridFrame, ranges: list[tuple[int, int]], axis: int) -> Column:
+    """The part that a cell belongs to; the outer halo goes with the nearest part."""
+    inner = F.least(F.greatest(F.col(grid.dims[axis]), F.lit(ranges[0][0])), F.lit(ranges[-1][1]))
+    return _part_of(inner.cast("long"), ranges)
+
+
+def _near_ends(grid: GridFrame, ranges: list[tuple[int, int]], axis: int, halo: int, own: Column) -> tuple[Column, Column]:
+    """Whether a cell lies within ``halo`` of its range's start, and of its end."""
+    d = F.col(grid.dims[axis])
     starts, ends = F.array(*[F.lit(a) for a, _ in ranges]), F.array(*[F.lit(b) for _, b in ranges])
-    before = F.when((own > 0) & (F.col(d) - F.get(starts, own) < halo), own - 1)
-    after = F.when((own < n - 1) & (F.get(ends, own) - F.col(d) < halo), own + 1)
-    inside = (F.col(d) >= lo + halo) & (F.col(d) <= hi - halo)
+    return d - F.get(starts, own) < halo, F.get(ends, own) - d < halo
+
+
+def _inside(grid: GridFrame, axis: int, halo: int) -> Column:
+    lo, hi = grid.extents[axis]
+    return F.col(grid.dims[axis]).between(lo + halo, hi - halo)
+
+
+def decompose(grid: GridFrame, n: int, axis: int = 0, halo: int = 1) -> DataFrame:
+    """Cells with ``part`` and ``owned``; the interior of the axis is dealt out, and each part also
+    holds the ``halo`` layers on both sides of its own range."""
+    ranges = _ranges(grid, n, axis, halo)
+    own = _own(grid, ranges, axis)
+    first, last = _near_ends(grid, ranges, axis, halo, own)
+    inside = _inside(grid, axis, halo)
+    before, after = F.when((own > 0) & first, own - 1), F.when((own < n - 1) & last, own + 1)
     parts = F.filter(F.array(own, F.when(inside, before), F.when(inside, after)), lambda x: x.isNotNull())
     out = grid.df.withColumn("part", F.explode(parts))
     return out.withColumn("owned", inside & (F.col("part") == own)).select("part", *grid.keys, *grid.fields, "owned")
 
 
-def exchange_halos(parts: DataFrame, grid: GridFrame, axis: int = 0, halo: int = 1) -> DataFrame:
+def exchange_halos(parts: DataFrame, grid: GridFrame, axis: int = 0, halo: int = 1, n: int | None = None) -> DataFrame:
     """Each part's copies of neighbour cells, taken anew from the parts that own them.
 
-    Only owned cells within ``halo`` of a range's end travel; the parts' own cells stay where they
-    are.
+    Only owned cells within ``halo`` of a range's end travel, and meet the copies in one equi-join;
+    the parts' own cells stay where they are.  ``n``, the number of parts, is counted unless given.
     """
-    n_keys = list(grid.keys)
-    lo, hi = grid.extents[axis]
-    d = grid.dims[axis]
-    inside = (F.col(d) >= lo + halo) & (F.col(d) <= hi - halo)
-    copies = parts.where(~F.col("owned") & inside).select("part", *n_keys)
+    if n is None:
+        n = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    keys, inside = list(grid.keys), _inside(grid, axis, halo)
+    own = _own(grid, _ranges(grid, n, axis, halo), axis)
+    first, last = _near_ends(grid, _ranges(grid, n, axis, halo), axis, halo, own)
+    copies = parts.where(~F.col("owned") & inside).select("part", *keys)
     kept = parts.where(F.col("owned") | ~inside)
-    owners = parts.where("owned").select(*n_keys, *grid.fields)
-    fresh = copies.join(owners, n_keys).withColumn("owned", F.lit(False))
-    return kept.unionByName(fresh.select("part", *n_keys, *grid.fields, "owned"))
+    owners = parts.where(F.col("owned") & (first | last)).select(*keys, *grid.fields)
+    fresh = copies.join(owners, keys).withColumn("owned", F.lit(False))
+    return kept.unionByName(fresh.select("part", *keys, *grid.fields, "owned"))
+
+
+def march_parts(grid: GridFrame, update: Mapping[str, Stencil], steps: int, n: int, axis: int = 0, halo: int | None = None) -> GridFrame:
+    """``steps`` sweeps over a grid in ``n`` parts: each part sweeps its own cells, then the halos
+    are exchanged; at the end the parts are gathered.  The same result as ``march`` without a
+    boundary condition.
+
+    ``update``: fields to stencils that all read the old state.  ``halo``: the layers that a part
+    holds of its neighbours, the stencils' own halo on the axis unless given.
+    """
+    from .sweep import fused
+
+    width = halo_of([s.body for s in update.values()], len(grid.dims))[axis]
+    halo = max(1, width) if halo is None else halo
+    if halo < width:
+        raise ValueError(f"a halo of {halo} is thinner than the stencils' {width}")
+    ranges, inside = _ranges(grid, n, axis, halo), _inside(grid, axis, halo)
+    parts = cut(decompose(grid, n, axis, halo))
+    for step in range(1, steps + 1):
+        # Copies of neighbour cells lack some neighbours of their own; the exchange makes them anew.
+        own = GridFrame(parts, grid.dims, grid.fields, ("part", *grid.batch), grid.extents)
+        swept = fused(own, update, keep_fields=True).df.select("part", *grid.keys, *grid.fields)
+        swept = cut(swept.withColumn("owned", inside & (F.col("part") == _own(grid, ranges, axis))))
+        parts = swept if step == steps else cut(exchange_halos(swept, grid, axis, halo, n))
+    return gather(parts, grid, axis, halo)
 
 
 def gather(parts: DataFrame, grid: GridFrame, axis: int = 0, halo: int = 1) -> GridFrame:
     """The grid again: owned cells and the outer halo."""
-    d = grid.dims[axis]
-    lo, hi = grid.extents[axis]
-    inside = (F.col(d) >= lo + halo) & (F.col(d) <= hi - halo)
+    inside = _inside(grid, axis, halo)
     return grid.with_df(parts.where(F.col("owned") | ~inside).select(*grid.keys, *grid.fields))
 
 

@@ -14,7 +14,9 @@ class GridFrame:
     """``df`` holds ``batch`` (which grid), ``dims`` (where) and ``fields`` (what).
 
     ``bounds`` gives each axis's first and last index, halo included; without it one small
-    aggregate finds them.  Cells may be missing: coordinates alone decide what is interior.
+    aggregate finds them.  Cells may be missing: coordinates alone decide what is interior.  A cell
+    stands once: the plans differ on repeated cells, so a table that may hold some goes through
+    ``unique`` (one row of each cell) or ``checked`` (an error) first.
     """
 
     df: DataFrame
@@ -47,6 +49,29 @@ class GridFrame:
     def with_df(self, df: DataFrame, fields: tuple[str, ...] | None = None) -> GridFrame:
         return replace(self, df=df, fields=fields or self.fields, bounds=self.extents)
 
+    def unique(self, how: str = "max") -> GridFrame:
+        """One row for each cell; repeated cells are reduced by ``min``, ``max`` or ``sum`` of each field.
+
+        Nulls give way to values; sums are over few rows in no fixed order.
+        """
+        if how not in ("min", "max", "sum"):
+            raise ValueError(f"{how!r} is not one of min, max, sum")
+        kinds = dict(self.df.dtypes)
+        reduced = [getattr(F, how)(f).cast(kinds[f]).alias(f) for f in self.fields]
+        return self.with_df(self.df.groupBy(*self.keys).agg(*reduced))
+
+    def checked(self) -> GridFrame:
+        """The grid itself; raises if some cell stands more than once (one aggregation finds out)."""
+        found = self.df.groupBy(*self.keys).count().where("count > 1").first()
+        if found is not None:
+            raise ValueError(f"cell {tuple(found[k] for k in self.keys)} stands {found['count']} times")
+        return self
+
+    def view(self, name: str) -> GridFrame:
+        """The grid itself, registered as a view for SQL."""
+        self.df.createOrReplaceTempView(name)
+        return self
+
     def interior(self, halo: tuple[int, ...]) -> Column:
         """True where every read within ``halo`` stays inside the extents."""
         tests = [

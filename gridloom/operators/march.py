@@ -7,15 +7,21 @@ from typing import Any
 
 from pyspark.sql import functions as F
 
+from ..functions.expr import accesses
 from ..functions.frontend import Stencil, halo_of
+from ..plans.analysis import check_fusable, temporal_depth
 from ..plans.lineage import cut
 from .boundary import apply_boundary
-from .bricks import brick_sweep
+from .bricks import SIDES, brick_sweep
 from .grid import GridFrame
-from .sweep import fused
+from .shift import chosen
+from .sweep import fused, renamed_to
 
-#: Sweeps between cuts of the lineage.
-CUT_EVERY = 6
+#: Sweeps between cuts of the lineage, and reads of one cut that a plan may hold.
+CUT_EVERY, MOST_READS = 6, 4
+
+#: Bytes of a brick and its copy, widened for several sweeps.
+BRICK_BYTES = 64 << 20
 
 Update = Mapping[str, Stencil]
 
@@ -37,6 +43,16 @@ def step_system(grid: GridFrame, stages: Sequence[Update], **options: Any) -> Gr
     return grid
 
 
+def _reads(grid: GridFrame, stages: Sequence[Update], plan: str, bc: Any) -> int:
+    """How often one step reads the state before it: each join and each boundary multiplies."""
+    out = 1
+    for update in stages:
+        loads = accesses(*[s.body for s in update.values()])
+        if chosen(grid, loads, plan) == "join":
+            out *= 1 + len({a.offset for a in loads if any(a.offset)})
+    return out * (2 + len(grid.dims) if bc is not None else 1)
+
+
 def march(
     grid: GridFrame,
     update: Stencil | Update | Sequence[Update],
@@ -53,31 +69,48 @@ def march(
     ``update``: a stencil of one field, fields to stencils (all from the old state), or a sequence
     of such stages.  ``keep``: ``last`` or ``history`` (steps + 1 snapshots with ``step_col``).
     ``source`` may change the state after each step (the step's number is its second argument).
+    The plan grows in proportion to the steps: where a step reads the state several times, and
+    where every state is kept, each state is written before it is read again.
     """
     if isinstance(update, Stencil):
         update = {update.fields[0]: update}
     stages = [update] if isinstance(update, Mapping) else list(update)
     halo = halo_of([s.body for u in stages for s in u.values()], len(grid.dims))
+    reads, held = _reads(grid, stages, plan, bc), 1
     snapshots = [grid]
     for n in range(1, steps + 1):
+        held *= reads
         grid = step_system(grid, stages, plan=plan, strict=strict)
         if bc is not None:
             grid = apply_boundary(grid, bc, halo)
         if source is not None:
             grid = source(grid, n)
-        if n % CUT_EVERY == 0 and n < steps:
-            grid = grid.with_df(cut(grid.df))
+        if n < steps and (n % CUT_EVERY == 0 or held * reads > MOST_READS or keep == "history"):
+            grid, held = grid.with_df(cut(grid.df)), 1
         snapshots.append(grid)
     return _history(snapshots, step_col) if keep == "history" else grid
 
 
-def march_blocked(grid: GridFrame, stencil: Stencil, steps: int, per_exchange: int = 4, side: int | None = None) -> GridFrame:
+def march_blocked(grid: GridFrame, update: Stencil | Update, steps: int, per_exchange: int | None = None, side: int | None = None) -> GridFrame:
     """The same as ``march`` without a boundary condition, with several sweeps for each shuffle:
-    bricks carry a margin of that many halos."""
-    out = stencil.fields[0]
+    bricks carry a margin of that many halos.
+
+    ``update`` is a stencil of one field, or fields to stencils that all read the old state; each
+    output must be a field of the grid, since the next sweep reads it.  ``per_exchange`` is, unless
+    given, the most sweeps whose widened bricks stay within ``BRICK_BYTES``.
+    """
+    if isinstance(update, Stencil):
+        update = {update.fields[0]: update}
+    unknown = set(update) - set(grid.fields)
+    if unknown:
+        raise ValueError(f"several sweeps in one exchange need outputs that are fields; {sorted(unknown)} are none")
+    width = check_fusable([renamed_to(n, s) for n, s in update.items()])
+    if per_exchange is None:
+        brick = (side or SIDES[len(grid.dims)],) * len(grid.dims)
+        per_exchange = temporal_depth(width, brick, BRICK_BYTES)
     while steps > 0:
         n = min(per_exchange, steps)
-        grid = grid.with_df(brick_sweep(grid, {out: stencil}, stencil.halo, steps=n, side=side, keep_fields=True))
+        grid = grid.with_df(brick_sweep(grid, update, width, steps=n, side=side, keep_fields=True))
         steps -= n
     return grid
 

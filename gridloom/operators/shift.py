@@ -8,7 +8,7 @@ scatter  Any offsets: every cell is sent to the cells that read it, and one grou
 join     Few offsets: one equi-join each.
 
 ``with_reads`` returns the grid's rows with one more column per read; a read of a missing cell is
-null.
+null.  Bodies with more reads than these plans can bear run in bricks (``bricks.brick_sweep``).
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import Access
+from ..plans.analysis import NARROW
 from .grid import GridFrame
 
 #: Cells of an axis in one window block.
@@ -29,16 +30,27 @@ def read_name(k: int) -> str:
     return f"_r{k}"
 
 
-def choose(grid: GridFrame, loads: list[Access]) -> str:
-    """Window for star shapes, else join for few offsets, else scatter."""
+def choose(grid: GridFrame, loads: list[Access], exact: bool = True) -> str:
+    """Window for star shapes, else join for few offsets, scatter for a narrow body, brick beyond.
+
+    A scatter sends each cell once for each offset and keeps a column for each read, so its cost
+    follows the reads; a brick ships a cell once, and its margin.  ``exact`` tells whether NumPy
+    gives the same bits as Spark for the body.
+    """
     off_axis = {a.offset for a in loads if sum(o != 0 for o in a.offset) > 1}
     if not off_axis:
         return "window"
-    return "join" if len({a.offset for a in loads if any(a.offset)}) <= FEW else "scatter"
+    if len({a.offset for a in loads if any(a.offset)}) <= FEW:
+        return "join"
+    return "brick" if exact and len(loads) > NARROW else "scatter"
+
+
+def chosen(grid: GridFrame, loads: list[Access], plan: str = "auto", exact: bool = True) -> str:
+    """The plan that will run."""
+    return choose(grid, loads, exact) if plan == "auto" else plan
 
 
-def with_reads(grid: GridFrame, loads: list[Access], plan: str = "auto") -> DataFrame:
-    plan = choose(grid, loads) if plan == "auto" else plan
+def with_reads(grid: GridFrame, loads: list[Access], plan: str) -> DataFrame:
     return {"window": _windows, "scatter": _scatter, "join": _joins}[plan](grid, loads)
 
 

@@ -12,7 +12,7 @@ from ..functions.lower import to_column
 from ..plans.analysis import check_fusable
 from .bricks import brick_sweep
 from .grid import GridFrame
-from .shift import read_name, with_reads
+from .shift import chosen, read_name, with_reads
 
 
 def renamed(stencil: Stencil, fields: Mapping[str, str]) -> Stencil:
@@ -39,20 +39,21 @@ def fused(
     Cells outside the widest interior keep the value of each stencil's first field (``keep``), turn
     0 (``zero``) or are left out (``drop``).  An interior cell with a missing neighbour becomes
     null.  ``box`` limits the result and narrows the scan.  ``plan`` is auto, window, scatter, join
-    or brick.
+    or brick.  Extended bodies are left to Spark's own functions under ``auto``.
     """
     stencils = list(outputs.values())
     if any(s.ndim != len(grid.dims) for s in stencils):
         raise ValueError("the stencil and the grid differ in dimensions")
-    width = check_fusable([_named(n, s) for n, s in outputs.items()])
+    width = check_fusable([renamed_to(n, s) for n, s in outputs.items()])
     missing = {f for s in stencils for f in s.fields} - set(grid.fields)
     if missing:
         raise ValueError(f"the grid has no field {sorted(missing)}")
     source = grid.restricted(box, width) if box else grid
+    loads = accesses(*[s.body for s in stencils])
+    plan = chosen(grid, loads, plan, exact=not any(s.extended for s in stencils))
     if plan == "brick":
         rows = brick_sweep(source, outputs, width, halo, keep_fields=keep_fields)
     else:
-        loads = accesses(*[s.body for s in stencils])
         df = with_reads(source, loads, plan)
         at = {a: F.col(read_name(k)) for k, a in enumerate(loads)}
         inside = grid.interior(width)
@@ -73,7 +74,8 @@ def fused(
     return grid.with_df(rows, (*kept, *outputs))
 
 
-def _named(name: str, s: Stencil) -> Stencil:
+def renamed_to(name: str, s: Stencil) -> Stencil:
+    """The stencil under another name."""
     from dataclasses import replace as changed
 
     return changed(s, name=name)

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.expr import Bin, Call, Where, accesses, walk
 from ..functions.frontend import Stencil, halo_of
 
-#: Loads up to which a body is narrow, and wide; beyond it is very wide.
+# Loads up to which a body is narrow, and wide (beyond it is very wide), and the
+# operations per byte from which a sweep is bound by arithmetic.
 NARROW, WIDE = 16, 64
-#: Operations per byte from which a sweep is bound by arithmetic.
 COMPUTE_BOUND = 10.0
 
 
@@ -55,35 +55,40 @@ def describe_frame(spark: SparkSession, stencils: list[Stencil]) -> DataFrame:
     return spark.createDataFrame([tuple(describe(s).values()) for s in stencils], kinds)
 
 
-def temporal_depth(halo: tuple[int, ...], block: tuple[int, ...], budget_cells: int, most: int = 8) -> int:
-    """The most sweeps T that one exchange may serve: blocks widened by T halos, T + 1 times over,
-    stay within the budget, and the halo stays below half a block."""
-    best = 1
-    for t in range(2, most + 1):
-        cells = t + 1
+def temporal_depth(halo: tuple[int, ...], block: tuple[int, ...], budget_bytes: int, most: int = 8, dtype_bytes: int = 8) -> int:
+    """The most sweeps T (1 at least) that one exchange may serve: a block widened by T halos on
+    each side, held twice, stays within the budget."""
+    for t in range(most, 1, -1):
+        cells = 1
         for h, b in zip(halo, block, strict=True):
             cells *= b + 2 * t * h
-        if cells > budget_cells or any(2 * t * h > b for h, b in zip(halo, block, strict=True)):
-            break
-        best = t
-    return best
+        if 2 * cells * dtype_bytes <= budget_bytes:
+            return t
+    return 1
 
 
-def fusion_groups(stencils: list[Stencil]) -> list[list[str]]:
-    """Stencils that share a field, directly or through others, by name."""
-    groups: list[tuple[set[str], list[str]]] = []
+def fusion_groups(stencils: list[Stencil], one_domain: bool = False) -> list[list[str]]:
+    """Stencils that share a field, directly or through others, by name.
+
+    Stencils of ``one_domain`` may share a sweep even without a common field: all those of one
+    number of dimensions and one dtype are a group.
+    """
+    groups: list[tuple[set[object], list[str]]] = []
     for s in stencils:
-        fields, names, rest = set(s.fields), [s.name], []
-        for f, n in groups:
-            if f & fields:
-                fields, names = fields | f, n + names
+        # What ties stencils together: their fields, or else the domain itself.
+        ties: set[object] = {(s.ndim, s.dtype)} if one_domain else {(s.ndim, s.dtype, f) for f in s.fields}
+        names, rest = [s.name], []
+        for t, n in groups:
+            if t & ties:
+                ties, names = ties | t, n + names
             else:
-                rest.append((f, n))
-        groups = [*rest, (fields, names)]
+                rest.append((t, n))
+        groups = [*rest, (ties, names)]
     return [n for _, n in groups]
 
 
 def fused_name(names: list[str]) -> str:
+    """Fixed rule: up to three names joined, else the first and how many others."""
     return "_".join(names) if len(names) <= 3 else f"{names[0]}_and_{len(names) - 1}_others"
 
 

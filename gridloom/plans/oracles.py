@@ -8,13 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from ..functions.expr import accesses
-from ..functions.frontend import Stencil, halo_of
-from ..functions.lower import to_sql
+from ..functions.frontend import Stencil
 from ..operators.boundary import BoundarySpec
 from . import catalogue as cat
-from .analysis import describe
-from .queries import BOUNDARIES, BOX27, BOX125, FLOAT, GRIDS, SWEEPS
+from .queries import BOUNDARIES, GRIDS, MARCHED, SPECIES, SWEEPS
+from .sql import sweep_sql
 
 L3 = """SELECT CAST(l_quantity AS INTEGER) - 1 AS i, CAST(round(l_discount * 100) AS INTEGER) AS j,
  CAST(round(l_tax * 100) AS INTEGER) AS k, CAST(count(*) AS DOUBLE) AS u, max(l_extendedprice) AS v, min(l_extendedprice) AS w
@@ -39,32 +37,6 @@ SOURCES = {
 }
 
 
-def sweep_sql(source: str, dims: tuple[str, ...], fields: tuple[str, ...], batch: tuple[str, ...], outputs: Mapping[str, Stencil], halo: str = "keep", keep_fields: bool = False) -> str:
-    """A SELECT over the relation ``source``."""
-    stencils = list(outputs.values())
-    width = halo_of([s.body for s in stencils], len(dims))
-    offsets = list(dict.fromkeys(a.offset for a in accesses(*[s.body for s in stencils])))
-    zero = tuple(0 for _ in dims)
-    alias = {o: "c" if o == zero else f"s{n}" for n, o in enumerate(offsets)}
-    joins = []
-    for o, a in alias.items():
-        if o != zero:
-            on = [f"{a}.{b} = c.{b}" for b in batch] + [f"{a}.{d} = c.{d} + {x}" for d, x in zip(dims, o, strict=True)]
-            joins.append(f"LEFT JOIN {source} {a} ON " + " AND ".join(on))
-    extent = ", ".join(f"min({d}) AS lo_{d}, max({d}) AS hi_{d}" for d in dims)
-    inside = " AND ".join(f"c.{d} >= e.lo_{d} + {h} AND c.{d} <= e.hi_{d} - {h}" for d, h in zip(dims, width, strict=True) if h) or "TRUE"
-    columns = [f"c.{x}" for x in (*batch, *dims)]
-    if keep_fields:
-        columns += [f"c.{f}" for f in fields if f not in outputs]
-    for name, s in outputs.items():
-        kind = "DOUBLE" if s.dtype == "double" else "FLOAT"
-        value = to_sql(s.body, lambda a: f"{alias[a.offset]}.{a.field}", lambda x: f"c.{dims[x]}", kind)
-        edge = f"c.{s.fields[0]}" if halo == "keep" else "0.0"
-        columns.append(f"CAST({value} AS {kind}) AS {name}" if halo == "drop" else f"CAST(CASE WHEN {inside} THEN {value} ELSE {edge} END AS {kind}) AS {name}")
-    where = f" WHERE {inside}" if halo == "drop" else ""
-    return f"SELECT {', '.join(columns)} FROM {source} c CROSS JOIN (SELECT {extent} FROM {source}) e {' '.join(joins)}{where}"
-
-
 def chain(source: str, steps: list[str]) -> str:
     """A query of steps: step n is a SELECT over {0}, the step before it; g0 is the source."""
     parts = [f"g0 AS MATERIALIZED ({source})"]
@@ -145,13 +117,17 @@ def _rk(method: str, dt: float = 0.1, steps: int = 2) -> str:
     return chain(SOURCES["C1"], [*step, "SELECT i, u FROM {0}"] * steps)
 
 
-def _describe(stencils: list[Stencil]) -> str:
-    kinds = {"ndim": "INTEGER", "order": "INTEGER", "flops": "INTEGER", "unique_loads": "INTEGER", "unique_offsets": "INTEGER", "intensity": "DOUBLE"}
-    rows = []
-    for s in stencils:
-        rows.append("SELECT " + ", ".join(f"CAST('{v}' AS {kinds.get(k, 'VARCHAR')}) AS \"{k}\"" for k, v in describe(s).items()))
-    return " UNION ALL ".join(rows)
-
+#: Counted by hand: halo, fields, operations, distinct reads and offsets; operations over bytes of
+#: the distinct offsets and the result.
+DESCRIBED = """
+SELECT * FROM (VALUES
+ ('heat_1d', 1, 2, 'double', '1', 'u', 5, 3, 3, 0.15625::DOUBLE, 'memory', 'narrow'),
+ ('laplacian_2d_9pt', 2, 4, 'double', '2,2', 'u', 16, 9, 9, 0.2::DOUBLE, 'memory', 'narrow'),
+ ('cond_3d', 3, 2, 'double', '1,1,1', 'u', 7, 6, 6, 0.125::DOUBLE, 'memory', 'narrow'),
+ ('box27_3d', 3, 2, 'double', '1,1,1', 'u', 53, 27, 27, 0.236607::DOUBLE, 'memory', 'wide'),
+ ('box125_3d', 3, 4, 'double', '2,2,2', 'u', 249, 125, 125, 0.247024::DOUBLE, 'memory', 'very wide'),
+ ('float_heat', 2, 2, 'float', '1,0', 'u', 5, 3, 3, 0.3125::DOUBLE, 'memory', 'narrow')
+) AS t(name, ndim, "order", dtype, halo, fields, flops, unique_loads, unique_offsets, intensity, bound, tier)"""
 
 HAND: dict[str, str] = {
     "heat_1d": """
@@ -200,7 +176,14 @@ r AS (SELECT p, lo + p * ((hi - lo + 1) // 5) + least(p, (hi - lo + 1) % 5) AS a
   lo + (p + 1) * ((hi - lo + 1) // 5) + least(p + 1, (hi - lo + 1) % 5) - 1 AS z FROM e, (SELECT unnest(range(5)) AS p))
 SELECT CAST(p AS INTEGER) AS part, i, CASE WHEN i BETWEEN lo AND hi THEN u + 1.0::DOUBLE ELSE u END AS u, i BETWEEN a AND z AS owned
 FROM g JOIN r ON i BETWEEN a - 1 AND z + 1 CROSS JOIN e""",
-    "describe_stencils": _describe([cat.heat_1d, cat.laplacian_2d_9pt, cat.cond_3d, BOX27, BOX125, FLOAT]),
+    "describe_stencils": DESCRIBED,
+    "sided_1d": """
+SELECT i, CASE WHEN b IS NULL OR a IS NULL THEN u ELSE CASE WHEN u > 0.5 THEN b ELSE a END + CASE WHEN u <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS u
+FROM (SELECT c_custkey AS i, c_acctbal AS u, lag(c_acctbal) OVER w AS b, lead(c_acctbal) OVER w AS a FROM customer WINDOW w AS (ORDER BY c_custkey))""",
+    "extended_1d": """
+SELECT i, CASE WHEN a IS NULL OR i = min(i) OVER () THEN u
+  ELSE sqrt(abs(u)) + 0.5::DOUBLE * i::DOUBLE - a / (1.0::DOUBLE + i::DOUBLE) END AS u
+FROM (SELECT c_custkey AS i, c_acctbal AS u, lead(c_acctbal) OVER (ORDER BY c_custkey) AS a FROM customer)""",
 }
 
 
@@ -242,6 +225,20 @@ def oracle_sql() -> dict[str, str]:
         "(SELECT unnest(range(9)) AS j) CROSS JOIN (SELECT unnest(range(7)) AS k)"
     )
     out["made_grid"] = f"WITH g AS MATERIALIZED ({cube}) {sweep_sql('g', ('i', 'j', 'k'), ('u',), (), {'u': cat.mean_3d})}"
+    marched = boundary_step(("i", "j"), ("u", "v"), MARCHED, (1, 1))
+    out["march_neumann_2d"] = chain(SOURCES["V2"], [sweep_step("V2", {"u": cat.heat_2d}), marched] * 3)
+    out["march_blocked_fused"] = out["compiled_fused_steps"] = chain(SOURCES["V2"], [sweep_step("V2", SPECIES)] * 3)
+    out["march_parts_2d"] = chain(SOURCES["E2"], [sweep_step("E2", {"u": cat.heat_2d})] * 3)
+    out["stored_grid"] = chain(SOURCES["O1"], [sweep_step("O1", {"u": cat.heat_1d}), sweep_step("O1", {"u": cat.advection_upwind})])
+    swept = chain(SOURCES["C1"], [heat])
+    out["sql_over_view"] = f"SELECT i % 10 AS digit, max(u) AS most, count(*) AS n FROM ({swept}) WHERE u > 0 GROUP BY 1"
+    drawn = (
+        "SELECT i, j, CAST('0x' || substr(md5('7:u:' || i || ',' || j), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u "
+        "FROM (SELECT unnest(range(20)) AS i) CROSS JOIN (SELECT unnest(range(15)) AS j)"
+    )
+    out["random_field"] = chain(drawn, [sweep_step("E2", {"u": cat.heat_2d})])
+    unique = "SELECT CAST(l_quantity AS INTEGER) AS i, max(l_extendedprice) AS u FROM lineitem GROUP BY 1"
+    out["unique_cells"] = chain(unique, [heat])
     out["streaming_march"] = chain(SOURCES["C1"], [heat] * 3)
     return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,15 @@ from pyspark.sql import functions as F
 from ..functions.frontend import Stencil
 from ..operators.boundary import BoundarySpec, Side, apply_boundary
 from ..operators.bricks import from_bricks, to_bricks
-from ..operators.decompose import decompose, diagnostics, exchange_halos, gather, max_difference
+from ..operators.decompose import decompose, diagnostics, exchange_halos, gather, march_parts, max_difference
 from ..operators.grid import GridFrame
 from ..operators.march import RungeKutta, inject, march, march_blocked, zero_edge
 from ..operators.sweep import apply, fused
 from ..sources import tables as src
 from . import catalogue as cat
 from .analysis import describe_frame
+from .compiled import compile_fused
+from .lineage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,7 +51,12 @@ SWEEPS: list[tuple[str, str, dict[str, Stencil], str, str]] = [
     ("star19_3d", "L3", {"u": cat.star(3, 3)}, "keep", "scatter"),
     ("star25_3d", "L3", {"u": cat.star(4, 3)}, "keep", "auto"),
     ("box27_3d", "L3", {"u": BOX27}, "keep", "auto"),
+    ("box27_3d_scatter", "L3", {"u": BOX27}, "keep", "scatter"),
     ("box125_3d", "L3", {"u": BOX125}, "drop", "auto"),
+    ("rectified_3d", "L3", {"u": cat.rectified()}, "keep", "auto"),
+    ("sided_1d", "C1", {"u": cat.sided()}, "keep", "auto"),
+    ("extended_1d", "C1", {"u": cat.EXTENDED}, "keep", "auto"),
+    ("flux_div_fused", "L8", cat.flux_and_divergence(), "drop", "auto"),
     ("iso_wave_3d", "L3", {"u": cat.iso_wave(4)}, "keep", "auto"),
     ("cond_1d", "C1", {"u": cat.cond_1d}, "keep", "auto"),
     ("cond_3d", "L3", {"u": cat.cond_3d}, "keep", "auto"),
@@ -128,6 +136,7 @@ def domain_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Boundary queries: the conditions, and the halo that is filled.
+MARCHED = BoundarySpec(((Side("neumann"), Side("neumann")), (Side("periodic"), Side("periodic"))))
 MIXED = BoundarySpec(((Side("dirichlet", 7.5), Side("neumann")), (Side("periodic"), Side("periodic"))))
 BOUNDARIES = {
     "boundary_dirichlet": ("C1", BoundarySpec.dirichlet(1, 3.25), (2,)),
@@ -135,6 +144,7 @@ BOUNDARIES = {
     "boundary_periodic": ("C1", BoundarySpec.periodic(1), (3,)),
     "boundary_reflecting": ("C1", BoundarySpec.reflecting(1), (3,)),
     "boundary_mixed_2d": ("V2", MIXED, (2, 1)),
+    "boundary_gaps_2d": ("V2s", BoundarySpec(((Side("neumann"), Side("dirichlet", 2.5)), (Side("reflecting"), Side("periodic")))), (2, 2)),
     "boundary_corners_3d": ("L3", BoundarySpec(((Side("reflecting"), Side("dirichlet", -1.0)), None, (Side("neumann"), Side("dirichlet", 4.0)))), (1, 1, 2)),
 }
 
@@ -167,6 +177,54 @@ def march_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return march(grid(spark, sf_dir, "C1"), cat.advection_upwind, 4, bc="periodic").df
 
 
+@query
+def march_neumann_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return march(grid(spark, sf_dir, "V2"), cat.heat_2d, 3, bc=MARCHED).df
+
+
+#: Reacting species over three sweeps: in bricks that exchange once, and as a compiled plan.
+SPECIES = {"u": cat.gray_scott_u, "v": cat.gray_scott_v}
+
+
+@query
+def march_blocked_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return march_blocked(grid(spark, sf_dir, "V2"), SPECIES, 3, side=16).df
+
+
+@query
+def compiled_fused_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compile_fused(SPECIES, steps=3).apply(grid(spark, sf_dir, "V2")).df
+
+
+@query
+def march_parts_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return march_parts(grid(spark, sf_dir, "E2"), {"u": cat.heat_2d}, 3, n=4, axis=1).df
+
+
+@query
+def stored_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    src.write_grid(apply(grid(spark, sf_dir, "O1"), cat.heat_1d), path)
+    return apply(src.read_grid(spark, path, ("i",), ("u",)), cat.advection_upwind).df
+
+
+@query
+def sql_over_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apply(grid(spark, sf_dir, "C1"), cat.heat_1d).view("swept_customers")
+    return spark.sql("SELECT i % 10 AS digit, max(u) AS most, count(*) AS n FROM swept_customers WHERE u > 0 GROUP BY 1")
+
+
+@query
+def random_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply(src.random_grid(spark, (20, 15), seed=7), cat.heat_2d).df
+
+
+@query
+def unique_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("CAST(l_quantity AS INT) AS i", "l_extendedprice AS u")
+    return apply(GridFrame(lines, ("i",), ("u",)).unique("max"), cat.heat_1d).df
+
+
 @query
 def march_blocked_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return march_blocked(grid(spark, sf_dir, "V2"), cat.heat_2d, 3, per_exchange=3, side=16).df.select("i", "j", "u")

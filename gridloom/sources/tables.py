@@ -27,6 +27,19 @@ def make_grid(spark: SparkSession, shape: tuple[int, ...], value: Column, dims:
     return GridFrame(df.withColumn(field, value.cast("double")), names, (field,), bounds=bounds)
 
 
+def random_grid(spark: SparkSession, shape: tuple[int, ...], seed: int = 0, dims: tuple[str, ...] = ("i", "j", "k"), fields: tuple[str, ...] = ("u",)) -> GridFrame:
+    """A dense grid of uniform values in [0, 1) with 52 bits, which depend on the seed, the field and
+    the cell only, however the rows are partitioned."""
+    grid = make_grid(spark, shape, F.lit(0.0), dims)
+    at = F.concat_ws(",", *[F.col(d).cast("string") for d in grid.dims])
+
+    def value(f: str) -> Column:
+        digest = F.md5(F.concat(F.lit(f"{seed}:{f}:"), at).cast("binary"))
+        return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+
+    return grid.with_df(grid.df.select(*grid.dims, *[value(f).alias(f) for f in fields]), fields)
+
+
 def read_grid(spark: SparkSession, path: str, dims: tuple[str, ...], fields: tuple[str, ...], batch: tuple[str, ...] = ()) -> GridFrame:
     """Cells from Parquet; only the named columns are read."""
     return GridFrame(spark.read.parquet(path).select(*batch, *dims, *fields), dims, fields, batch)

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import json
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
+import gridloom
+from gridloom.functions.elementwise import interior_values
+from gridloom.functions.elementwise import swept as swept_by_function
 from gridloom.functions.expr import evaluate
-from gridloom.functions.frontend import StencilError, from_text, stencil
+from gridloom.functions.frontend import Stencil, StencilError, from_text, stencil
 from gridloom.operators.boundary import BoundarySpec, Side, apply_boundary
 from gridloom.operators.bricks import from_bricks, to_bricks
-from gridloom.operators.decompose import chunks, decompose, exchange_halos, gather
+from gridloom.operators.decompose import chunks, decompose, exchange_halos, gather, march_parts
 from gridloom.operators.grid import GridFrame
 from gridloom.operators.march import RungeKutta, march, march_blocked
 from gridloom.operators.sweep import apply, fused
 from gridloom.plans import catalogue as cat
 from gridloom.plans.analysis import describe, fused_name, fusion_groups, temporal_depth
+from gridloom.plans.report import as_json, as_table, measure, scaling
+from gridloom.sources.tables import random_grid
+from gridloom.streaming.advance import StreamedGrid
 
 DIMS = ("i", "j", "k")
 
@@ -137,8 +145,9 @@ def test_halo_keep_zero_drop_and_box(spark):
     assert all(r["u"] == 2.0 for r in part.df.collect())
 
 
-def boundary_numpy(u, spec, halo):
-    out = u.copy()
+def boundary_numpy(u, spec, halo, there=True):
+    """Axis by axis; cells that are not there are NaN before and after each axis."""
+    out = np.where(there, u, np.nan)
     for d, (h, pair) in enumerate(zip(halo, spec.sides, strict=True)):
         if not h or pair is None:
             continue
@@ -155,6 +164,7 @@ def boundary_numpy(u, spec, halo):
                     "periodic": a[h + q if high else n - 2 * h + q],
                     "reflecting": a[n - h - 1 - q if high else 2 * h - 1 - q],
                 }[side.kind]
+        out[~np.broadcast_to(there, u.shape)] = np.nan
     return out
 
 
@@ -171,6 +181,32 @@ def test_boundaries_compose_in_corners(spark, seed):
     assert np.array_equal(got, boundary_numpy(u, spec, halo))
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_boundaries_over_gaps(spark, seed):
+    rng = random.Random(100 + seed)
+    ndim = rng.choice([2, 3])
+    shape = tuple(rng.randint(7, 8) for _ in range(ndim))
+    data = np.random.default_rng(seed)
+    u, there = data.standard_normal(shape), data.random(shape) < 0.7
+    side = lambda: rng.choice([None, Side("dirichlet", 2.5), Side("neumann"), Side("periodic"), Side("reflecting")])
+    spec = BoundarySpec(tuple((side(), side()) for _ in range(ndim)))
+    halo = tuple(rng.randint(1, 2) for _ in range(ndim))
+    whole = frame(spark, {"u": u})
+    some = whole.df.where(" OR ".join(f"({' AND '.join(f'{d} = {x}' for d, x in zip(whole.dims, at))})" for at in np.argwhere(there)))
+    grid = GridFrame(some, whole.dims, ("u",), bounds=tuple((0, n - 1) for n in shape))
+    out = apply_boundary(grid, spec, halo)
+    assert out.df.count() == there.sum()
+    assert np.array_equal(dense(out, "u", shape), boundary_numpy(u, spec, halo, there), equal_nan=True)
+
+
+def test_marching_with_a_boundary_grows_in_proportion(spark):
+    grid = frame(spark, {"u": np.random.default_rng(7).standard_normal(40)})
+    for steps in (1, 3, 6):
+        out = march(grid, cat.advection_upwind, steps, bc="periodic")
+        # Every step but the last is written, and the last one reads it three times.
+        assert out.df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") + out.df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 3
+
+
 def test_boundary_forms_and_errors(spark):
     assert BoundarySpec.of("periodic", 2) == BoundarySpec.periodic(2)
     assert BoundarySpec.of({0: ("dirichlet", 3.0)}, 2).sides == ((Side("dirichlet", 3.0),) * 2, None)
@@ -254,6 +290,14 @@ def test_bodies_that_are_no_stencils(text):
         from_text("bad", text)
 
 
+def test_errors_name_file_and_line():
+    with pytest.raises(StencilError, match=r"test_grid\.py:\d+:\d+: .*'q'"):
+
+        @stencil
+        def bad(u, i):
+            return u[i] * q  # noqa: F821
+
+
 def test_frontend_forms():
     n = 3.0
 
@@ -270,4 +314,131 @@ def test_frontend_forms():
         from_text("d", "u[i]", dtype="int8")
     assert fused_name(["a", "b"]) == "a_b" and fused_name(list("abcd")) == "a_and_3_others"
     assert sorted(map(sorted, fusion_groups([cat.update_e, cat.update_h, cat.heat_1d]))) == [["heat_1d"], ["update_e", "update_h"]]
-    assert temporal_depth((1,), (100,), 10_000) >= 2
+    assert sorted(map(sorted, fusion_groups([cat.update_e, cat.heat_1d, cat.heat_2d], one_domain=True))) == [["heat_1d", "update_e"], ["heat_2d"]]
+
+    @stencil(constants={"n": 5.0})
+    def g(u, i):
+        return n * u[i]
+
+    assert g.body == from_text("g", "5.0 * u[i]").body  # explicit constants come first
+    # (100 + 2 T) cells twice, of 8 bytes: 8 sweeps need 1,856 bytes, 3 need 1,696 and 2 need 1,664.
+    assert [temporal_depth((1,), (100,), b) for b in (10_000, 1_700, 1_670, 100)] == [8, 3, 2, 1]
+    assert temporal_depth((2, 2), (16, 16), 2 * 8 * 32 * 32) == 4
+
+
+NAMED = [s for s in vars(cat).values() if isinstance(s, Stencil)] + [cat.box(1, 2), cat.star(2, 3), cat.iso_wave(2), cat.rectified(), cat.sided(), *cat.random_expressions().values()]
+
+
+@pytest.mark.parametrize("s", NAMED, ids=lambda s: s.name)
+def test_trees_equal_the_original_functions(s):
+    """The parsed tree against the Python function itself, run on arrays."""
+    shape = tuple(2 * h + 5 for h in s.halo)
+    data = np.random.default_rng(3)
+    arrays = {f: data.standard_normal(shape) * 10 for f in s.fields}
+    if s.extended:
+        lines = [np.arange(h, n - h).reshape([-1 if y == x else 1 for y in range(s.ndim)]).astype(float) for x, (h, n) in enumerate(zip(s.halo, shape))]
+        read = lambda a: arrays[a.field][tuple(slice(h + o, n - h + o) for h, o, n in zip(s.halo, a.offset, shape))]
+        assert np.array_equal(interior_values(s, arrays), evaluate(s.body, read, lines.__getitem__))
+    else:
+        assert np.array_equal(swept_by_function(s, arrays), swept(s, arrays), equal_nan=True)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_random_trees_equal_the_original_functions(seed):
+    rng = random.Random(1000 + seed)
+    ndim, fields = rng.randint(1, 3), list("abc"[: rng.randint(1, 3)])
+    s = from_text("r", random_text(rng, fields, ndim, rng.randint(1, 3), 8))
+    data = np.random.default_rng(seed)
+    arrays = {f: data.standard_normal(tuple(2 * h + 4 for h in s.halo)) for f in s.fields}
+    assert np.array_equal(swept_by_function(s, arrays), swept(s, arrays), equal_nan=True)
+
+
+def test_compiled_plans(spark, tmp_path):
+    one = gridloom.compile(cat.heat_2d)
+    both = gridloom.compile_fused([cat.flux_and_divergence()[n] for n in ("flux", "div")])
+    assert both.inputs == ("a", "b", "c", "d") and both.name == "flux_div" and both.width == (1, 0, 1)
+    assert one.validate(spark) and both.validate(spark, shape=(8, 5, 7))
+    for plan in ("window", "scatter", "join", "brick"):
+        assert gridloom.compile(cat.laplacian_2d_5pt, plan=plan, steps=2).validate(spark, shape=(9, 10))
+    assert gridloom.compile(cat.heat_1d, steps=3, parts=3).validate(spark, shape=(30,))
+    assert not gridloom.StencilPlan("x", {"u": replace(cat.heat_1d, fn=lambda u, i: u[i])}).validate(spark)
+    grid = frame(spark, {"u": np.random.default_rng(1).standard_normal((12, 9))})
+    notes = gridloom.compile(cat.heat_2d, steps=2, parts=2).annotations(grid)
+    assert notes["plan"] == "window" and notes["halo"] == (1, 1) and notes["expanded_halo"] == (2, 2) and notes["exchange_layers"] == 1
+    assert gridloom.compile(cat.box(1, 3)).annotations(frame(spark, {"u": np.zeros((4, 4, 4))}))["plan"] == "brick"
+    assert gridloom.compile(cat.box(1, 2)).annotations(grid)["plan"] == "scatter"
+    assert "Window" in one.explain(grid) and "LEFT JOIN cells" in one.sql("cells")
+    one.write_sql(str(tmp_path / "heat.sql"))
+    assert "-- halo: (1, 1)" in (tmp_path / "heat.sql").read_text()
+    rows = measure([one], [grid], warmup=0, iters=1)
+    assert rows[0]["cells"] == 70 and rows[0]["gpoints_per_s"] > 0 and "heat_2d" in as_table(rows) and json.loads(as_json(rows))[0]["shape"] == "12x9"
+    assert scaling([rows[0], {**rows[0], "cells": 140.0, "time_ms": rows[0]["time_ms"] * 3}])[0]["cells_x"] == 2
+    assert [p.name for p in gridloom.compile_groups([cat.update_e, cat.heat_1d, cat.update_h])] == ["heat_1d", "update_e_update_h"]
+    with pytest.raises(ValueError):
+        gridloom.compile(cat.heat_2d, out="other", steps=2)
+    with pytest.raises(ValueError):
+        march_blocked(grid, {"other": cat.heat_2d}, 2)
+    with pytest.raises(ValueError):
+        gridloom.compile_fused([cat.heat_1d, cat.heat_1d])
+    twice = gridloom.Pipeline.standard().add(lambda s: replace(s, name=s.name + "_2"))
+    assert gridloom.compile(cat.heat_1d, pipeline=twice).name == "heat_1d_2"
+
+
+def test_public_names():
+    assert all(getattr(gridloom, n) is not None for n in gridloom.__all__)
+    assert gridloom.maximum(1.0, 2.0) == 2.0 and gridloom.minimum(1.0, np.nan) != gridloom.minimum(1.0, np.nan) and gridloom.where(True, 1, 2) == 1
+    with pytest.raises(AttributeError):
+        gridloom.nothing  # noqa: B018
+
+
+def test_repeated_cells(spark):
+    df = spark.createDataFrame([(0, 1.0), (1, 2.0), (1, 5.0), (2, 3.0), (3, None), (3, 4.0)], "i int, u double")
+    grid = GridFrame(df, ("i",), ("u",))
+    with pytest.raises(ValueError, match="stands 2 times"):
+        grid.checked()
+    one = grid.unique("max")
+    assert sorted(map(tuple, one.checked().df.collect())) == [(0, 1.0), (1, 5.0), (2, 3.0), (3, 4.0)]
+    assert sorted(map(tuple, grid.unique("min").df.collect()))[1] == (1, 2.0)
+    for plan in ("window", "scatter", "join", "brick"):
+        assert dense(apply(one, cat.laplacian_1d, plan=plan), "u", (4,)).tolist() == [1.0, -6.0, 3.0, 4.0]
+
+
+def test_parts_and_coupled_bricks_equal_marching(spark):
+    data = np.random.default_rng(11)
+    grid = frame(spark, {"u": data.random((9, 14)), "v": data.random((9, 14))})
+    both = {"u": cat.gray_scott_u, "v": cat.gray_scott_v}
+    for f in "uv":
+        want = dense(march(grid, both, 3), f, (9, 14))
+        assert np.array_equal(dense(march_parts(grid, both, 3, 3, axis=1), f, (9, 14)), want)
+        assert np.array_equal(dense(march_blocked(grid, both, 3, side=5), f, (9, 14)), want)
+    with pytest.raises(ValueError):
+        march_parts(grid, both, 1, 2, halo=0)
+
+
+def test_exchange_finds_every_copy_among_cells_near_the_ends(spark):
+    grid = frame(spark, {"u": np.arange(40.0)})
+    parts = decompose(grid, 4, halo=2)
+    out = exchange_halos(parts, grid, halo=2, n=4)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, parts.collect()))
+
+
+def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path):
+    u = np.random.default_rng(12).standard_normal(30)
+    state = StreamedGrid(frame(spark, {"u": u}), cat.heat_1d, f"file://{tmp_path}/states")
+    request = spark.range(1)
+    for batch in (0, 1, 1, 2, 2):
+        state.on_batch(request, batch)
+    again = StreamedGrid(frame(spark, {"u": u}), cat.heat_1d, f"file://{tmp_path}/states")  # another process goes on
+    again.on_batch(request, 2)
+    want = u
+    for _ in range(3):
+        want = swept(cat.heat_1d, {"u": want})
+    for s in (state, again):
+        assert np.array_equal(dense(s.state(2), "u", u.shape), want)
+
+
+def test_random_grid_does_not_depend_on_partitions(spark):
+    a = random_grid(spark, (6, 5), seed=3)
+    b = GridFrame(random_grid(spark, (6, 5), seed=3).df.repartition(7), a.dims, a.fields)
+    assert np.array_equal(dense(a, "u", (6, 5)), dense(b, "u", (6, 5)))
+    assert not np.array_equal(dense(a, "u", (6, 5)), dense(random_grid(spark, (6, 5), seed=4), "u", (6, 5)))
