@@ -1,10 +1,7 @@
-"""Shared helpers: vectorised words, shared-folder tables, row keys, distributed ranks."""
+"""Shared helpers: vectorised words, tables in the shared folder (``saved``, ``forget``), row keys."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, forget
+
 #: Characters that end a word: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 #: Text handed to one vectorised step, so that a worker's memory does not follow the batch size.
@@ -22,25 +21,9 @@ POWER = np.uint64(0x9E3779B97F4A7C15)
 BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session has none (tests on one machine) a temporary folder is made and set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,3 +105,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 def partitions_for(df: DataFrame, least: int = 1) -> int:
     """The number of shuffle partitions that the session asks for."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+__all__ = [
+    "POWER", "SPACES", "as_array", "forget", "hashes", "mix", "partitions_for", "row_key", "saved", "slices", "split_words", "table", "word_hashes",
+]

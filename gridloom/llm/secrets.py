@@ -2,24 +2,35 @@
 
 Base spans come from three patterns.  The method then takes every run of 20 or more characters of
 the base-64 alphabets that holds a letter and a digit, infers its encoding (hexadecimal, base 32,
-36, 62 or 64), and asks whether it could be uniform noise in that alphabet: a chi-squared test of
-uniformity, a runs test about the alphabet's middle and a lag-one serial-correlation test, joined
-by Fisher's rule into one p-value.  Words and identifiers with structure get small p-values.  No
+36, 62 or 64), and asks whether it could be uniform noise in that alphabet, by three tests:
+
+* chi-squared uniformity, over all characters by the number of equal pairs, whose mean and variance
+  are known for short tokens too, and over four groups of them.  Letters are grouped by how common
+  they are in words, so words fill the groups unevenly.  The smaller p-value counts, twice;
+* runs of lower case, upper case, digits and marks: words and identifiers change class too seldom;
+* lag-one serial correlation of the characters' places in the alphabet.
+
+Fisher's rule joins them into one p-value.  Words and identifiers with structure get small ones.  No
 encoding has + or / beside - or _: a run that holds both is cut at the rarer pair, and its pieces of
 20 or more characters are tested.
 
-Short tokens carry little evidence, so the rejections of randomness are controlled by length
-class: in each, Benjamini-Hochberg on a fixed grid of p-values picks the cut at which the expected
-share of real noise among the discarded is at most ``q``.  The counts behind the cuts cover all
-tokens of the corpus and are one row per class and grid cell.  Tokens that are not discarded are
-added as spans of kind ``random``.  All of it is column expressions.
+Short tokens carry little evidence, so false discoveries are controlled by length class.  Of noise
+the p-values are uniform, so those of at least a few hundredths tell how much noise there is in a
+class (the estimate of Storey); the cut is the lowest p-value down to which at most a share ``q`` of
+the reported tokens is more than noise explains.  The counts behind the cuts cover all distinct tokens
+of the corpus and are one row per class and grid cell.  Tokens above the cut and ``LEAST_P`` are added as spans of kind
+``random``.  All of it is column expressions.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
 from .native import let, matches
 
 # The base patterns (group 2 of an assignment is its value).
@@ -45,60 +56,103 @@ ALPHABETS = {
 #: What a run that holds characters of both pairs is cut into, at the rarer of them.
 PAIRS = {"[+/]": r"[A-Za-z0-9_-]{20,}", "[_-]": r"[A-Za-z0-9+/]{20,}"}
 LENGTH_CLASSES = (20, 24, 32, 40, 48, 64, 96)
+#: Below it a token is no noise, whatever the counts say: one noise token in a thousand.
+LEAST_P = 1e-3
 #: Grid of p-values: cell k holds p in (10^-(k+1)/4, 10^-k/4].
 CELLS = 60
 
 
+# The letters by how common they are in English words.
+COMMON, MIDDLE, RARE = "etaoinsrh", "ldcumfpgb", "wyvkxjqz"
+CLASSES = (r"[a-z]", r"[A-Z]", r"[0-9]", r"[+/_-]")
+
+
+def _groups(symbols: str) -> list[str]:
+    """The four groups of an alphabet's characters for the chi-squared test."""
+    if len(symbols) == 16:
+        return [symbols[i:j] for i, j in ((0, 5), (5, 10), (10, 13), (13, 16))]
+    letters = ["".join(c for c in symbols if c.lower() in g) for g in (COMMON, MIDDLE, RARE)]
+    return [*letters, "".join(c for c in symbols if not c.isalpha())]
+
+
+def _escaped(symbols: str) -> str:
+    return "[" + "".join("\\" + c if c in "-_+/" else c for c in symbols) + "]"
+
+
+def _encoding(symbols: str) -> Column:
+    """What the tests need to know of an alphabet."""
+    shares = [sum(bool(re.match(c, x)) for x in symbols) / len(symbols) for c in CLASSES]
+    change = 1 - sum(p * p for p in shares)  # between neighbours
+    both = sum(p * (1 - p) ** 2 for p in shares)  # before and after a character
+    groups = _groups(symbols)
+    return F.struct(
+        F.lit(symbols).alias("symbols"), F.lit(change).alias("change"), F.lit(both - change**2).alias("cov"),
+        F.array(*[F.lit(_escaped(g)) for g in groups]).alias("groups"), F.array(*[F.lit(len(g) / len(symbols)) for g in groups]).alias("shares"),
+    )
+
+
 def _tail(z: Column) -> Column:
-    """Upper tail of the normal law by a logistic fit (absolute error below 2e-4)."""
-    z = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
-    return 1 / (1 + F.exp(1.5976 * z + 0.070566 * z * z * z))
+    """Upper tail of the normal law for z >= 0, by a rational fit times its density (the relative
+    error stays below a thousandth as far as the grid of p-values goes)."""
+    t = 1 / (1 + 0.2316419 * z)
+    fit = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return fit * F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
 
 
-def _battery(token: Column, alphabet: Column) -> Column:
-    """The joint p-value of a token whose characters all stand in ``alphabet``."""
-    size = F.length(alphabet)
-    codes = F.transform(F.split(token, "(?!^)"), lambda c: F.instr(alphabet, c) - 1)
-    zero, one = F.lit(0.0), F.lit(1.0)
+def _two_sided(z: Column) -> Column:
+    return F.least(F.lit(1.0), 2 * _tail(F.abs(z)))
+
+
+def _battery(token: Column, of: Column) -> Column:
+    """The joint p-value of a token whose characters all stand in the alphabet of an encoding."""
+    zero = F.lit(0.0)
+    letters = F.split(token, "(?!^)")
 
     def total(values: Column) -> Column:
         return F.aggregate(values, zero, lambda s, v: s + v)
 
-    def tests(x: Column) -> Column:
-        n, half, df = F.size(x).cast("double"), size / 2, (size - 1).cast("double")
-        counts = F.transform(F.split(alphabet, "(?!^)"), lambda c: F.length(token) - F.length(F.replace(token, c, F.lit(""))))
-        chi = total(F.transform(counts, lambda c: (c * c).cast("double"))) * size / n - n
-        w = 2 / (9 * df)
-        z_chi = (F.pow(F.greatest(chi, zero) / df, F.lit(1 / 3)) - (1 - w)) / F.sqrt(w)
-        befores, nexts = F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x))
-        high = total(F.transform(x, lambda c: F.when(c >= half, one).otherwise(zero)))
-        turns = one + total(F.zip_with(befores, nexts, lambda a, b: F.when((a >= half) != (b >= half), one).otherwise(zero)))
-        both = 2 * high * (n - high)
-        var = both * (both - n) / (n * n * (n - 1))
-        z_runs = F.when(var > 1e-9, F.abs(turns - both / n - 1) / F.sqrt(F.greatest(var, F.lit(1e-9)))).otherwise(8.0)
+    def pairs(x: Column, value) -> Column:
+        return total(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x)), value))
+
+    n = F.length(token).cast("double")
+    seen = F.transform(of["groups"], lambda g: (n - F.length(F.regexp_replace(token, g, F.lit("")))).cast("double"))
+    chi = total(F.zip_with(seen, of["shares"], lambda o, p: (o - n * p) * (o - n * p) / (n * p)))
+    # Three degrees of freedom have a closed form.
+    p_groups = let(F.greatest(chi, zero), lambda x: 2 * _tail(F.sqrt(x)) + F.sqrt(2 * x / math.pi) * F.exp(-x / 2))
+    # Over all characters the statistic is a count of equal pairs, with known mean and variance.
+    size, both = F.length(of["symbols"]).cast("double"), n * (n - 1) / 2
+    equal = total(F.transform(F.split(of["symbols"], "(?!^)"), lambda c: let((n - F.length(F.replace(token, c, F.lit("")))).cast("double"), lambda o: o * (o - 1) / 2)))
+    z_equal = (equal - both / size - 0.5) / F.sqrt(both / size * (1 - 1 / size))
+    p_chi = F.least(F.lit(1.0), 2 * F.least(p_groups, F.when(z_equal > 0, _tail(z_equal)).otherwise(1.0)))
 
-        def serial(mean: Column) -> Column:
-            spread = total(F.transform(x, lambda c: (c - mean) * (c - mean)))
-            lagged = total(F.zip_with(befores, nexts, lambda a, b: (a - mean) * (b - mean)))
-            return F.when(spread > 1e-9, F.abs(lagged / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(8.0)
+    kind = lambda c: F.coalesce(*[F.when(c.rlike(k), i) for i, k in enumerate(CLASSES)])
+    turns = pairs(F.transform(letters, kind), lambda a, b: F.when(a != b, 1.0).otherwise(0.0))
+    mean, var = (n - 1) * of["change"], (n - 1) * of["change"] * (1 - of["change"]) + 2 * (n - 2) * of["cov"]
+    # A count moves in steps of one: half a step of continuity.
+    z_runs = F.greatest(F.abs(turns - mean) - 0.5, zero) / F.sqrt(F.greatest(var, F.lit(1e-9)))
 
-        z_serial = let(total(F.transform(x, lambda c: c.cast("double"))) / n, serial)
-        ps = _tail(z_chi) * F.least(one, 2 * _tail(z_runs)) * F.least(one, 2 * _tail(z_serial))
-        # -ln of the product is half of Fisher's statistic, chi-squared with six degrees of freedom.
-        return let(-F.log(ps), lambda h: F.exp(-h) * (1 + h + h * h / 2))
+    def serial(x: Column) -> Column:
+        def about(m: Column) -> Column:
+            spread = total(F.transform(x, lambda c: (c - m) * (c - m)))
+            lagged = pairs(x, lambda a, b: (a - m) * (b - m))
+            return F.when(spread > 1e-9, (lagged / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(8.0)
 
-    return let(codes, tests)
+        return let(total(x) / n, about)
+
+    z_serial = let(F.transform(letters, lambda c: (F.instr(of["symbols"], c) - 1).cast("double")), serial)
+    ps = F.greatest(p_chi * _two_sided(z_runs) * _two_sided(z_serial), F.lit(1e-290))
+    # -ln of the product is half of Fisher's statistic, chi-squared with six degrees of freedom.
+    return let(-F.log(ps), lambda h: F.exp(-h) * (1 + h + h * h / 2))
 
 
 def p_random(token: Column) -> Column:
     """The joint p-value of a token under uniform noise in its encoding; null if it has none."""
-    alphabet = None
+    encoding = None
     for symbols in ALPHABETS.values():
-        own = "".join("\\" + c if c in "-_+/" else c for c in symbols)
-        test = token.rlike(f"^[{own}]+$")
-        alphabet = F.when(test, symbols) if alphabet is None else alphabet.when(test, symbols)
+        test = token.rlike(f"^{_escaped(symbols)}+$")
+        encoding = F.when(test, _encoding(symbols)) if encoding is None else encoding.when(test, _encoding(symbols))
     mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-    return F.when(mixed, let(alphabet, lambda a: F.when(a.isNotNull(), _battery(token, a))))
+    return F.when(mixed, let(encoding, lambda e: F.when(e.isNotNull(), _battery(token, e))))
 
 
 def _pieces(m: Column) -> Column:
@@ -119,7 +173,8 @@ def _pieces(m: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Tokens of a text: array of (start, end, p, class, cell); tokens without an encoding are left out."""
+    """Tokens of a text: array of (start, end, p, class, cell, id); tokens without an encoding are left out."""
+
     def one(m: Column) -> Column:
         n = m["end"] - m["start"]
         k = F.lit(-1)
@@ -130,6 +185,7 @@ def candidates(text: Column) -> Column:
             lambda p: F.struct(
                 m["start"].alias("start"), m["end"].alias("end"), p.alias("p"), k.alias("class"),
                 F.least(F.lit(CELLS - 1), F.floor(-4 * F.log10(F.greatest(p, F.lit(1e-30))))).cast("int").alias("cell"),
+                F.xxhash64(m["hit"]).alias("id"),
             ),
         )
 
@@ -137,19 +193,24 @@ def candidates(text: Column) -> Column:
 
 
 def cuts(counts: list[tuple[int, int, int]], q: float) -> dict[int, int]:
-    """For each length class the first grid cell whose tokens are discarded (CELLS: none).
+    """For each length class the first grid cell whose tokens are not reported (CELLS: none).
 
-    ``counts``: (class, cell, tokens).  Among the tokens of cell k and above, p is at most
-    10^(-k/4); the cut is the lowest k with total * 10^(-k/4) <= q * that many.
+    ``counts``: (class, cell, tokens).  Cells up to k hold the p-values above c = 10^(-(k+1)/4), and
+    of N noise tokens N (1 - c) are there.  N is at most the tokens above c, and three that chance may
+    have left out, over 1 - c, for each c down to a hundredth.  The cut follows the last k at which at
+    most a share q of the tokens up to it is more than that noise.
     """
     out = {}
+    above = [10 ** (-(k + 1) / 4) for k in range(CELLS)]
     for k in range(len(LENGTH_CLASSES)):
-        own = {cell: n for c, cell, n in counts if c == k}
-        total, out[k] = sum(own.values()), CELLS
-        for cell in range(CELLS - 1, -1, -1):
-            beyond = sum(n for c, n in own.items() if c >= cell)
-            if beyond and total * 10 ** (-cell / 4) <= q * beyond:
-                out[k] = cell
+        own = [0] * CELLS
+        for c, cell, n in counts:
+            if c == k:
+                own[cell] += n
+        upto = [sum(own[: cell + 1]) for cell in range(CELLS)]
+        noise = min((upto[cell] + 3) / (1 - above[cell]) for cell in range(8))
+        fine = [cell for cell in range(CELLS) if upto[cell] - noise * (1 - above[cell]) <= q * upto[cell]]
+        out[k] = max(fine, default=-1) + 1
     return out
 
 
@@ -158,27 +219,34 @@ def scan(docs: DataFrame, q: float = 0.05, id_col: str = "doc_id", text_col: str
 
     ``found`` is the array of (start, kind, end), in code points, end exclusive, by start and then
     by kind as in KINDS; a token that is also a base span stands under both kinds.  Null and empty
-    texts: no spans.  Null ids and repeated rows: each row is scanned.  Empty table: empty result.
-    Other columns are ignored.  One small job counts the p-values of all tokens first.
+    texts: no spans.  Very long texts are scanned whole.  Null ids and repeated rows: each row is
+    scanned.  Empty table: empty result.  Other columns are ignored, whatever their names.  The texts
+    are read once; a small job then counts the p-values of all tokens.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
-    cells = slim.select(F.explode(candidates(text)).alias("c")).groupBy("c.class", "c.cell").count()
-    cut = cuts([(r[0], r[1], r[2]) for r in cells.collect()], q)  # at most 7 x 60 rows
 
     def span(kind: int):
         return lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"))
 
     assign = F.filter(matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["hit"], ASSIGN, 2)) >= 8)
-    stays = F.create_map(*[F.lit(x) for kv in cut.items() for x in kv])
-    random = F.filter(candidates(text), lambda c: c["cell"] < stays[c["class"]])
-    found = slim.select(
-        "doc_id",
-        F.transform(assign, span(0)).alias("assign"),
-        F.transform(matches(text, ACCESS), span(1)).alias("access"),
-        F.transform(matches(text, HEX), span(2)).alias("hex"),
-        F.transform(random, span(3)).alias("random"),
+    # Spans and tested tokens without the texts, written once: the cuts need them all first.
+    tested = saved(
+        slim.select(
+            "doc_id",
+            F.transform(assign, span(0)).alias("assign"),
+            F.transform(matches(text, ACCESS), span(1)).alias("access"),
+            F.transform(matches(text, HEX), span(2)).alias("hex"),
+            candidates(text).alias("tokens"),
+        ),
+        "secrets",
     )
+    # Copies of a token are one piece of evidence.
+    cells = tested.select(F.explode("tokens").alias("c")).select("c.class", "c.cell", "c.id").distinct().groupBy("class", "cell").count()
+    cut = cuts([(r[0], r[1], r[2]) for r in cells.collect()], q)  # at most 7 x 60 rows
+    stays = F.create_map(*[F.lit(x) for kv in cut.items() for x in kv])
+    random = F.filter("tokens", lambda c: (c["cell"] < stays[c["class"]]) & (c["p"] >= LEAST_P))
+    found = tested.select("doc_id", "assign", "access", "hex", F.transform(random, span(3)).alias("random"))
     names = F.array(*[F.lit(k) for k in KINDS])
 
     def joined(spans: Column) -> Column:
