@@ -63,5 +63,57 @@ FROM sets s JOIN (SELECT x, min(r) AS component_id FROM reach GROUP BY 1) c ON c
 """
 
 
+def either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" for c in word)
+
+
+# The base patterns; runs of at least so many characters are the long ones among all runs.
+KEYS = "|".join([*map(either_case, ("password", "passwd", "secret", "token")), f"{either_case('api')}_?{either_case('key')}"])
+SECRETS = {
+    "assign": f"({KEYS})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)",
+    "access": "AKIA[A-Z0-9]{12,}",
+    "hex": "[0-9a-f]{32,}",
+}
+
+
+def spans_sql(number: int, pattern: str, kept: str) -> str:
+    """(s, k, e) of a pattern's matches: starts from the lengths of what lies before them."""
+    before = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0)"
+    rows = f"list_transform(range(1, len(h) + 1), lambda i: {{'s': {before}, 'k': {number}, 'n': length(h[i]), 'ok': {kept}}})"
+    found = (
+        f"SELECT regexp_extract_all(text, '{pattern}') AS h, string_split_regex(text, '{pattern}') AS g, "
+        f"{f"regexp_extract_all(text, '{pattern}', 2)" if not number else 'NULL'} AS v"
+    )
+    return f"(SELECT list_filter({rows}, lambda x: x.ok) FROM ({found}))"
+
+
+SECRET_BASE = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+f AS (SELECT r, doc_id,
+  {spans_sql(0, SECRETS["assign"], "length(v[i]) >= 8")} AS a,
+  {spans_sql(1, SECRETS["access"], "true")} AS b,
+  {spans_sql(2, SECRETS["hex"], "true")} AS c FROM t)
+SELECT doc_id, len(a)::BIGINT AS n_assign, len(b)::BIGINT AS n_access, len(c)::BIGINT AS n_hex,
+  sha256(array_to_string(list_transform(list_sort(list_concat(a, b, c)),
+    lambda x: ['assign', 'access', 'hex'][x.k + 1] || ':' || x.s::BIGINT || ':' || (x.s + x.n)::BIGINT), ',')) AS base_sha256
+FROM f
+"""
+
+WORD = "[^\\x20\\x09-\\x0D]"
+QUALITY_BASE = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{WORD}+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM t),
+three AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT r, i FROM three QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
+covered AS (SELECT r, count(DISTINCT i + d) AS n FROM twice CROSS JOIN (SELECT unnest([0, 1, 2]) AS d) GROUP BY r),
+counts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN covered USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": JACCARD, "op3_sharding": SHARDING}
+    return {"op1_jaccard_join": JACCARD, "op3_sharding": SHARDING, "secret_base_spans": SECRET_BASE, "quality_base_counts": QUALITY_BASE}

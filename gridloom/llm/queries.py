@@ -94,5 +94,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the secret scan reports of the fixed patterns, which SQL can say."""
+    return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the fixed test of the quality rules, which SQL can say."""
+    return op7_quality_rules(spark, sf_dir).drop("rule", "kept")
+
+
+def base_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Those columns of operators 5 and 7 that do not depend on what is learned."""
+    return {f.__name__: f for f in (secret_base_spans, quality_base_counts)}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}

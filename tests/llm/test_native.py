@@ -160,3 +160,21 @@ def test_rules_on_held_out_labels(spark, sf_dir):
     assert len(wrong) <= 0.1 * len(out)
     good = [r for r in out if r["quality"] == 1 and not r["base_failed"]]
     assert sum(r["kept"] for r in good) >= 0.95 * len(good)
+
+
+def test_base_columns_equal_their_sql(spark, sf_dir):
+    import duckdb
+
+    from gridloom.llm import oracles, queries
+
+    con = duckdb.connect()
+    texts = [*SECRETS, *TEXTS, "Password: \"abcdefgh1\" x 0123456789abcdef0123456789abcdef", "a b c\na b c\n\n a b c"]
+    odd = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con.register("odd", odd.toPandas())
+    for name, over in {"secret_base_spans": lambda df: scan(df), "quality_base_counts": lambda df: qr.apply_rules(df, [])}.items():
+        for table, df in {"documents": spark.read.parquet(f"{sf_dir}/documents.parquet"), "odd": odd}.items():
+            con.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM {'odd' if table == 'odd' else chr(39) + sf_dir + '/documents.parquet' + chr(39)}")
+            want = con.sql(oracles.oracle_sql()[name])
+            got = over(df).select(*want.columns).collect()
+            assert sorted(map(tuple, got)) == sorted(want.fetchall()), (name, table)
+    assert set(queries.base_queries()) == {"secret_base_spans", "quality_base_counts"}
