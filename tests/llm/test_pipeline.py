@@ -27,3 +27,30 @@ def test_last_stage_counts_tokens(spark, sf_dir):
     docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert {r["doc_id"]: r["doc_tokens"] for r in rows} == {1: len(t.encode("one two", add_special_tokens=False).ids) + 1, 2: 1}
+
+
+def written(spark, folder, rows, schema="doc_id long, text string, lang string, source string, n_chars int, key string, sid int"):
+    """A folder of tables: these documents (with clashing columns), a benchmark and no labels."""
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(f"item{i}" for i in range(30))), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return f"file://{folder}"
+
+
+def test_run_over_odd_documents(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(60))
+    leak = words.replace("w", "v") + " " + " ".join(f"item{i}" for i in range(30))
+    long_one = " ".join(f"long{i}" for i in range(30_000))
+    rows = [
+        (1, words, "en", "a"), (2, words, "en", "a"), (3, None, None, None), (4, "", "en", "b"), (None, words.replace("w", "q"), "en", "b"),
+        (5, leak, "en", None), (6, long_one, "en", "b"), (7, words.replace("w59", "other"), None, "b"),
+    ]
+    folder = written(spark, tmp_path, [(*r, None, "k", 1) for r in rows])
+    out = corpus_pipeline.run(spark, folder).collect()
+    # Copies (2) go with their repeated lines, near copies (7) with their group, the leak (5) with its item.
+    assert sorted({r["doc_id"] for r in out}, key=repr) == sorted([1, 3, 4, 6, None], key=repr)
+    assert {r["doc_tokens"] for r in out if r["doc_id"] in (3, 4)} == {1}
+
+
+def test_run_over_no_documents(spark, tmp_path):
+    assert corpus_pipeline.run(spark, written(spark, tmp_path, [])).collect() == []
