@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns
 the columns of ``documents``; the last one returns the pieces of the packed sequences.
+
+Null and empty texts have no words to repeat, to link or to contaminate: they stay unless the
+classifier rejects them, and pack as an end mark alone.  Very long texts are worked on whole.  Null
+ids stay; of near-duplicates and of equal rows the one of least id stays, ids before nulls.  Extra
+columns pass through all stages but the last, whatever their names.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
