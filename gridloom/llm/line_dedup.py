@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_array, saved
+from .native import let
 
 SHINGLE, GUARANTEE = 6, 24
 
@@ -117,8 +118,9 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     later = places.join(firsts.select("h", "first"), "h").where(place != F.col("first"))
     later = later.select("key", "at", F.col("first.key").alias("other"), F.col("first.at").alias("there"))
     by_pair = later.groupBy("key", "other").agg(F.collect_list(F.struct("at", "there")).alias("matches"))
-    # Copies of a row have one key and one profile.
-    lines = profile.groupBy("key").agg(F.first("lines").alias("lines"))
+    # Copies of a row have one key and one profile.  Written, so that the joins read shuffles alone
+    # and a document that is the first for very many can be split.
+    lines = saved(profile.groupBy("key").agg(F.first("lines").alias("lines")), "line-hashes")
     both = by_pair.join(lines, "key").join(lines.select(F.col("key").alias("other"), F.col("lines").alias("there_lines")), "other")
     found = both.select("key", "lines", "there_lines", "matches").mapInArrow(_runs, "key bigint, runs array<struct<s:int,e:int>>")
     return found.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
@@ -130,30 +132,34 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Documents are ordered by id, then by row key; nulls come first.  Rows equal in id and text are
     one document, and each gets the same result.  Null texts stay null with no lines, empty ones
-    stay empty.  A repeat within one document is a repeat.  Empty table: empty result.
+    stay empty, and very long ones are worked on whole.  A repeat within one document is a repeat.
+    Empty table: empty result.  All columns of ``docs`` travel in ``row``, so their names clash with
+    none.
     """
     runs = saved(repeated_runs(docs, id_col, text_col), "line-runs")
     keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(id_col, text_col).alias("key"))
     text = F.col("row")[text_col]
-    gone = lambda i: F.exists("runs", lambda r: (i >= r["s"]) & (i < r["e"]))
     lines = F.split(text, "\n", -1)
-    left = F.filter(lines, lambda x, i: ~gone(i))
+    # Sets of line numbers, so that a long text costs its lines and not its lines times its runs.
+    gone = F.array_distinct(F.flatten(F.transform(F.filter("runs", lambda r: r["e"] > r["s"]), lambda r: F.sequence(r["s"], r["e"] - 1))))
     # Every document may have runs, so they are joined by shuffle at every size.
-    out = keyed.join(runs.hint("merge"), "key", "left")
+    out = keyed.join(runs.withColumn("gone", gone).drop("runs").hint("merge"), "key", "left")
+    left = let(lines, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)))
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
-    n_left = F.when(F.col("runs").isNull(), n_lines).otherwise(F.size(left)).cast("long")
+    n_removed = F.coalesce(F.when(text.isNotNull(), F.size("gone")), F.lit(0)).cast("long")
     return out.select(
         "row",
-        F.when(F.col("runs").isNull(), text).otherwise(F.array_join(left, "\n")).alias("text"),
+        F.when(F.col("gone").isNull() | (F.size("gone") == 0), text).otherwise(F.array_join(left, "\n")).alias("text"),
         n_lines.alias("n_lines"),
-        (n_lines - n_left).alias("n_removed"),
+        n_removed.alias("n_removed"),
     )
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """``docs`` with repeated runs taken out of the texts and ``size_col``, if there, counted anew.
 
-    A row that loses all its words is dropped; a row that had none stays as it is.
+    A row that loses all its words is dropped; a row that had none stays as it is.  Nulls, ties,
+    repeated rows, very long texts, clashing names and empty tables: as in ``dedup_lines``.
     """
     out = dedup_lines(docs, id_col, text_col)
     has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
