@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = saved(edges.where("u <> v").select("u", "v").distinct(), "cc-edges")
     state = None
     for _ in range(rounds):
-        now = saved(_small(_large(now).where("u <> v").distinct()).where("u <> v").distinct(), "cc-edges")
+        before, now = now, saved(_small(_large(now).where("u <> v").distinct()).where("u <> v").distinct(), "cc-edges")
+        forget(before)
         # Order-free fingerprint of the edges: equal twice in a row means that nothing moved.
         seen = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first()
         if seen == state:

@@ -6,8 +6,8 @@
    twentieth of all documents weigh nothing, and very rare ones no more than rare ones.  Items of
    which too few words would have a weight go through by themselves with a lower floor.
 2. The SVD is of the TF-IDF passages.  Rows are the corpus's passages and, with a fixed multiple of
-   the corpus's mass, the benchmark items; columns are the words of the items, D their weights.  For
-   the counts C of the corpus and a random sparse sign matrix O, every task adds its part of C'C O
+   the corpus's mass, the benchmark items; columns are the words of the items (more than ``COLUMNS``
+   of them share as many columns by hash), D their weights.  For the counts C of the corpus and a random sparse sign matrix O, every task adds its part of C'C O
    from the pairs of item words that share a passage; the sums are streamed together.  Since
    (C D)'(C D) (O / D) = D (C'C O), the weights may come afterwards, and the Nystrom form of the
    randomised SVD gives the right singular vectors of the weighted passages from that one pass.
@@ -23,8 +23,10 @@
    Common words that are merely strewn around in the item's order are no match: without the answer,
    some of the item's own weight is there, or a stretch of twice the item's length is enough.
 
-Items go through in blocks of ``ITEMS``, so what is broadcast has a bound: BINS weights, the
-index, and for each item word its part in the cosine with each of ITEMS items.
+The benchmark is the stated query set.  It is searched for in one survey and one search of the
+corpus, together with all its items, as long as they have ``MOST_WORDS`` words; what is broadcast is
+bounded by that: some hundred bytes for each item word, RANK numbers for each item and each column.
+Further items go through in the same way, with a survey and a search of their own, so none is lost.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_array, hashes, partitions_for, slices, split_words
+from .common import as_array, hashes, mix, partitions_for, slices, split_words
 
 BINS = 1 << 18
 FLOORS, CAP, LEAST_WEIGHT = (3.0, 1.5, 0.0), 4.0, 0.05
@@ -46,9 +48,14 @@ FLOORS, CAP, LEAST_WEIGHT = (3.0, 1.5, 0.0), 4.0, 0.05
 WEIGHTED = 5
 BLOCK, WINDOW = 8, 3
 RANK, EXTRA = 256, 64
+#: Columns of the SVD.
+COLUMNS = 1 << 13
 #: Words of more than this share of the items, and of more than five, tell no items apart.
 COMMON = 0.05
-ITEMS = 256
+#: Words of the items that go through together; an item with more goes alone.
+MOST_WORDS = 1 << 19
+#: Items that are projected together, and words up to which an item's places are kept as bits.
+TOGETHER, SHORT = 256, 4096
 #: The items' share in the SVD, as a multiple of the corpus's mass.
 ITEM_MASS = 8.0
 #: Share of an item's words in the common subsequence: alone, or with the answer.
@@ -92,7 +99,7 @@ def _parts(arrays: dict[int, np.ndarray]) -> pa.RecordBatch:
 
 @dataclass
 class Survey:
-    """What the pass over the corpus gives: ln(N / df) by bin, and C'C O with its O."""
+    """What the pass over the corpus gives: ln(N / df) by bin, and C'C O with its O; a row for each column."""
 
     rarity: np.ndarray
     vocabulary: np.ndarray
@@ -109,6 +116,12 @@ def lookup(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == h, at, -1)
 
 
+def columns_of(vocabulary: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Of n columns that of each hashed word, -1 for words outside the vocabulary."""
+    at = lookup(vocabulary, h)
+    return at if len(vocabulary) <= n else np.where(at >= 0, (mix(h) % np.uint64(n)).astype(np.int64), -1)
+
+
 def telling_words(items: list[np.ndarray]) -> np.ndarray:
     """The sorted distinct words of items, without those of too many items; repeated items count once.
 
@@ -121,9 +134,9 @@ def telling_words(items: list[np.ndarray]) -> np.ndarray:
 
 
 def survey(docs: DataFrame, vocabulary: np.ndarray, seed: int = 11, chunk: int = 1 << 14) -> Survey:
-    """One pass over the texts.  BINS counts and a row of RANK + EXTRA numbers for each item word
-    come to the driver.  Below 20 documents all words are alike."""
-    m = len(vocabulary)
+    """One pass over the texts.  BINS counts and a row of RANK + EXTRA numbers for each of at most
+    COLUMNS columns are summed by part and come to the driver: 23 MB, whatever the benchmark's size."""
+    m = min(len(vocabulary), COLUMNS)
     width = min(max(m, 1), RANK + EXTRA)
     rng = np.random.default_rng(seed)
     slot, sign = rng.permutation(np.arange(m) % width), rng.choice([-1.0, 1.0], m)
@@ -141,7 +154,7 @@ def survey(docs: DataFrame, vocabulary: np.ndarray, seed: int = 11, chunk: int =
                 once = np.unique(doc * BINS + bins_of(h)[codes])
                 df += np.bincount(once % BINS, minlength=BINS)
                 n += hi - lo
-                column = lookup(words, h)[codes]
+                column = columns_of(words, h, m)[codes]
                 at = np.flatnonzero(column >= 0)
                 passage = doc[at] * (1 << 32) + (at - bounds[doc[at]]) // (BLOCK * WINDOW)
                 _sketched(passage, column[at], slots, signs, total)
@@ -153,7 +166,7 @@ def survey(docs: DataFrame, vocabulary: np.ndarray, seed: int = 11, chunk: int =
     n = float(sums[-1][0]) if sums else 0.0
     df = [sums[i] for i in sorted(sums) if 0 <= i < 1_000_000]
     product = [sums[i].reshape(-1, width) for i in sorted(sums) if i >= 1_000_000]
-    rarity = np.log(n / np.maximum(np.concatenate(df), 1)) if n >= 20 else np.full(BINS, FLOORS[0] + 1)
+    rarity = np.log(max(n, 1.0) / np.maximum(np.concatenate(df), 1)) if df else np.zeros(BINS)
     return Survey(rarity.astype(np.float32), vocabulary, np.vstack(product) if product else np.zeros((m, width)), slot, sign)
 
 
@@ -174,20 +187,27 @@ class Items:
 
     def __post_init__(self):
         # Every column has some weight, so that the survey's product can be weighted afterwards.
-        self.column_weights = np.maximum(self.weights[bins_of(self.vocabulary)], LEAST_WEIGHT).astype(np.float64)
-        self.matrix = np.zeros((len(self.ids), len(self.vocabulary)), np.float32)
-        for i, h in enumerate(self.words):
+        self.width = min(len(self.vocabulary), COLUMNS)
+        self.column_weights = np.full(self.width, LEAST_WEIGHT)
+        np.maximum.at(self.column_weights, self.columns(self.vocabulary), self.weights[bins_of(self.vocabulary)].astype(np.float64))
+
+    def rows(self, lo: int, hi: int) -> np.ndarray:
+        """The weighted counts of some items, a row each."""
+        out = np.zeros((hi - lo, self.width), np.float32)
+        for i, h in enumerate(self.words[lo:hi]):
             c = self.columns(h)
             c = c[c >= 0]
-            np.add.at(self.matrix[i], c, self.column_weights[c])
+            np.add.at(out[i], c, self.column_weights[c])
+        return out
 
-    @property
-    def width(self) -> int:
-        return len(self.vocabulary)
+    def blocks(self) -> Iterator[np.ndarray]:
+        """All rows, TOGETHER at a time."""
+        for lo in range(0, len(self.ids), TOGETHER):
+            yield self.rows(lo, min(lo + TOGETHER, len(self.ids)))
 
     def columns(self, h: np.ndarray) -> np.ndarray:
         """The column of each hashed word, -1 for words of no item."""
-        return lookup(self.vocabulary, h)
+        return columns_of(self.vocabulary, h, self.width)
 
 
 def _sketched(owner: np.ndarray, column: np.ndarray, slot: np.ndarray, sign: np.ndarray, out: np.ndarray) -> None:
@@ -219,8 +239,10 @@ def latent_space(seen: Survey, items: Items, rank: int = RANK) -> np.ndarray:
     omega = np.zeros((m, seen.product.shape[1]))
     omega[np.arange(m), seen.slot] = seen.sign / items.column_weights
     corpus = items.column_weights[:, None] * seen.product
-    own = items.matrix.astype(np.float64)
-    of_items = own.T @ (own @ omega)
+    of_items = np.zeros_like(corpus)
+    for own in items.blocks():
+        own = own.astype(np.float64)
+        of_items += own.T @ (own @ omega)
     mass, own_mass = np.linalg.norm(corpus), np.linalg.norm(of_items)
     scale = max(1.0, ITEM_MASS * mass / own_mass) if own_mass else 1.0
     y = corpus + scale * of_items
@@ -232,12 +254,19 @@ def latent_space(seen: Survey, items: Items, rank: int = RANK) -> np.ndarray:
     return u[:, :rank].astype(np.float32)
 
 
+class Places(dict):
+    """The places of each word; ``get`` gives them as bits, which long items do not keep."""
+
+    def get(self, word: int, default: int = 0) -> int:
+        return sum(1 << i for i in self[word]) if word in self else default
+
+
 def bits_of(words: np.ndarray) -> dict[int, int]:
     """The places of each word, as bits."""
-    where: dict[int, int] = {}
+    where: dict[int, list[int]] = Places()
     for i, x in enumerate(words.tolist()):
-        where[x] = where.get(x, 0) | (1 << i)
-    return where
+        where.setdefault(x, []).append(i)
+    return {x: where.get(x) for x in where} if len(words) <= SHORT else where
 
 
 def common_words(a: np.ndarray, where: dict[int, int]) -> int:
@@ -268,15 +297,16 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Finder:
-    """Finds the items of one block in texts."""
+    """Finds items of like lengths in texts."""
 
     def __init__(self, items: Items, v: np.ndarray):
-        self.items = items
-        full = items.matrix @ v
-        norms = np.sqrt((items.matrix**2).sum(1))
-        projected = np.where(norms[:, None] > 0, full / np.maximum(norms, 1e-9)[:, None], 0).astype(np.float32)
-        #: What one word of a column adds to the cosine with each item, by its weight.
-        self.part = v @ projected.T
+        self.items, self.v = items, v
+        projected = []
+        for own in items.blocks():
+            norms = np.sqrt((own**2).sum(1))
+            projected.append(np.where(norms[:, None] > 0, (own @ v) / np.maximum(norms, 1e-9)[:, None], 0).astype(np.float32))
+        #: Each item in the latent space, over its norm.
+        self.projected = np.concatenate(projected) if projected else np.zeros((0, v.shape[1]), np.float32)
         self.words = np.unique(np.concatenate([*items.words, np.zeros(0, np.uint64)]))
         rarity = items.weights if items.rarity is None else items.rarity
         self.alone = np.array([least_common(len(w), LCS_ALONE) for w in items.words])
@@ -300,15 +330,13 @@ class Finder:
         self.kinds = np.concatenate([*kinds, np.zeros((3, 0), np.int64)], axis=1)
         self.kinds_at = np.append(0, np.cumsum([k.shape[1] for k in kinds])).astype(np.int64)
         self.answer_kinds = np.array([k[2].sum() for k in kinds])
-        #: Which words are in an item (the last column: words of no item), and at which places, as bits.
-        self.member = np.zeros((len(items.words), len(self.words) + 1), bool)
+        #: At which places an item's words are, as bits.
         self.places: list[dict[int, int]] = []
         self.codes, shares = [], []
         for q, h in enumerate(items.words):
             place = np.searchsorted(self.words, h)
             own, times, _ = kinds[q]
             weight = (times * items.weights[bins_of(self.words[own])]) ** 2
-            self.member[q, own] = True
             shares.append(weight / max(weight.sum(), 1e-9))
             self.places.append(bits_of(place))
             self.codes.append(place)
@@ -317,6 +345,10 @@ class Finder:
         lengths = np.array([len(w) for w in items.words])
         self.least_weight = OWN_WEIGHT * np.minimum(lengths, BLOCK * WINDOW) / np.maximum(lengths, BLOCK * WINDOW)
 
+    def in_item(self, q: int, place: np.ndarray) -> np.ndarray:
+        """Which of the words (by their places among all items' words, -1: none) are in an item."""
+        return np.isin(place, self.kinds[0, self.kinds_at[q] : self.kinds_at[q + 1]])
+
     def pairs(self, bounds: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, start, end) of the stretches that have enough of an item's words."""
         n, width = np.diff(bounds), len(self.words)
@@ -372,9 +404,22 @@ class Finder:
         ends = np.searchsorted(at, at + COMPACT * len(self.codes[q]))
         return not any(z - i >= self.alone[q] and common_words(words[i:z], self.places[q]) >= self.alone[q] for i, z in enumerate(ends.tolist()))
 
-    def find(self, prepared: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int, float, int, bool, int]]:
-        """(row, item_id, start word, cosine, common words, answer there, item words) of what is
-        found in texts that ``plain_words`` has prepared."""
+    def span(self, q: int, words: np.ndarray, at: np.ndarray, common: int) -> tuple[int, int]:
+        """Start and end of the shortest stretch that ends first, and then starts last, among those
+        that hold a common subsequence of so many words."""
+        lo, hi = common, len(words)
+        while lo < hi:  # the fewest words from the front
+            n = (lo + hi) // 2
+            lo, hi = (lo, n) if common_words(words[:n], self.places[q]) >= common else (n + 1, hi)
+        end, lo, hi = lo, 0, lo - common
+        while lo < hi:  # the most words left out before them
+            n = (lo + hi + 1) // 2
+            lo, hi = (n, hi) if common_words(words[n:end], self.places[q]) >= common else (lo, n - 1)
+        return int(at[lo]), int(at[end - 1]) + 1
+
+    def find(self, prepared: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int, int, float, int, bool, int]]:
+        """(row, item_id, start word, end word, cosine, common words, answer there, item words) of
+        what is found in texts that ``plain_words`` has prepared."""
         it = self.items
         if not len(it.ids):
             return []
@@ -382,7 +427,7 @@ class Finder:
         place = lookup(self.words, by_code)[codes]
         out: dict[tuple[int, int], tuple] = {}
         for d, q, start, end in self.pairs(bounds, place):
-            at = np.flatnonzero(self.member[q, place[start:end]])
+            at = np.flatnonzero(self.in_item(q, place[start:end]))
             words = place[start + at]
             most, _, enough = self.check(q, words, at)
             if not enough:
@@ -401,106 +446,133 @@ class Finder:
                     continue
                 done.add(part)
                 common, answer, enough = self.check(q, words[i:j], at[i:j])
-                if not enough or ((d, q) in out and common <= out[d, q][3]) or (not answer and self.by_chance(q, words[i:j], at[i:j])):
+                if not enough or ((d, q) in out and common <= out[d, q][4]) or (not answer and self.by_chance(q, words[i:j], at[i:j])):
                     continue
-                out[d, q] = (int(a[w] - bounds[d]), it.ids[q], float(cosine[w]), common, answer, len(it.words[q]))
+                first_word, end_word = self.span(q, words[i:j], at[i:j] + (start - bounds[d]), common)
+                out[d, q] = (first_word, end_word, it.ids[q], float(cosine[w]), common, answer, len(it.words[q]))
                 if common == most:
                     break
-        return [(d, v[1], v[0], v[2], v[3], v[4], v[5]) for (d, _), v in sorted(out.items())]
+        return [(d, v[2], v[0], v[1], *v[3:]) for (d, _), v in sorted(out.items())]
 
     def cosines(self, q: int, h: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """The item's cosine in the latent space with the windows from ``lo`` on of the words ``h``."""
         it = self.items
         weight, col = it.weights[bins_of(h)], it.columns(h)
         col[weight <= LEAST_WEIGHT] = -1  # too common to tell
-        part = np.where(col >= 0, self.part[col, q] * weight, 0) if it.width else np.zeros(len(h))
+        part = np.where(col >= 0, (self.v[col] @ self.projected[q]) * weight, 0) if it.width else np.zeros(len(h))
         hi = np.minimum(lo + BLOCK * WINDOW, len(h))
         # The item's norm is over the columns only, so its other words are no part of the mass.
-        weight = np.where((col < 0) & self.member[q, lookup(self.words, h)], 0, weight)
+        weight = np.where((col < 0) & self.in_item(q, lookup(self.words, h)), 0, weight)
         total, mass = (np.append(0, np.cumsum(x, dtype=np.float64)) for x in (part, weight.astype(np.float64) ** 2))
         return (total[hi] - total[lo]) / np.sqrt(np.maximum(mass[hi] - mass[lo], 1e-9))
 
 
-def finders(docs: DataFrame, benchmark: DataFrame) -> list[Finder]:
-    """A finder for each block of items; null and empty items find nothing.
+def finders(docs: DataFrame, items: list[tuple[int, str]]) -> list[Finder]:
+    """Finders for the items: one for each class of lengths and each floor that they need.
 
-    The benchmark is the query set: it comes to the driver, a block at a time.
+    Null and empty items find nothing.
     """
-    docs = docs.select("text")
+    bounds, codes, by_code = plain_words(pa.array([t for _, t in items], pa.string()))
+    h = by_code[codes]
+    left = [(i, h[lo:hi]) for (i, _), lo, hi in zip(items, bounds[:-1], bounds[1:], strict=True) if hi > lo]
     out: list[Finder] = []
-    block: list[tuple[int, str]] = []
-
-    def close() -> None:
-        nonlocal block
-        bounds, codes, by_code = plain_words(pa.array([b[1] for b in block], pa.string()))
-        h = by_code[codes]
-        left = [(i, h[lo:hi]) for (i, _), lo, hi in zip(block, bounds[:-1], bounds[1:], strict=True) if hi > lo]
-        block = []
-        if not left:
-            return
-        seen = survey(docs, telling_words([w for _, w in left]))
-        for floor in FLOORS:
+    if not left:
+        return out
+    seen = survey(docs.select("text"), telling_words([w for _, w in left]))
+    # Rare items need lower floors than the others, and long ones wider stretches.
+    by_kind: dict[tuple[float, int], list[tuple[int, np.ndarray]]] = {}
+    for i, w in left:
+        least = min(WEIGHTED, -(-len(w) // 4))
+        floor = next((f for f in FLOORS if (weights_of(seen.rarity[bins_of(w)], f) >= CAP / 8).sum() >= least), FLOORS[-1])
+        by_kind.setdefault((floor, len(w).bit_length() // 3), []).append((i, w))
+    for floor in FLOORS:
+        some = {k: v for k, v in by_kind.items() if k[0] == floor}
+        if some:
             weights = weights_of(seen.rarity, floor)
-            enough = [(weights[bins_of(w)] >= CAP / 8).sum() >= min(WEIGHTED, -(-len(w) // 4)) or floor == FLOORS[-1] for _, w in left]
-            some = [x for x, ok in zip(left, enough, strict=True) if ok]
-            left = [x for x, ok in zip(left, enough, strict=True) if not ok]
-            if some:
-                items = Items([i for i, _ in some], [w for _, w in some], weights, seen.vocabulary, seen.rarity)
-                out.append(Finder(items, latent_space(seen, items) if items.width else np.zeros((0, 1), np.float32)))
+            all_of = [x for v in some.values() for x in v]
+            whole = Items([i for i, _ in all_of], [w for _, w in all_of], weights, seen.vocabulary, seen.rarity)
+            v = latent_space(seen, whole) if whole.width else np.zeros((0, 1), np.float32)
+            out += [Finder(Items([i for i, _ in x], [w for _, w in x], weights, seen.vocabulary, seen.rarity), v) for _, x in sorted(some.items())]
+    return out
 
+
+def _groups(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items with words, by id and text, in groups of MOST_WORDS words."""
+    group: list[tuple[int, str]] = []
+    size = 0
     for r in benchmark.where("text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        if len(block) == ITEMS:
-            close()
-    if block:
-        close()
-    return out
+        n = len(r["text"].split())
+        if group and size + n > MOST_WORDS:
+            yield group
+            group, size = [], 0
+        group.append((r["item_id"], r["text"]))
+        size += n
+    if group:
+        yield group
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and item found in it: doc_id, item_id, start_word, cosine, common_words,
-    item_words, answer_found.
+    """One row per document and item found in it: doc_id, item_id, start_word, end_word (the words of
+    the document that hold the common subsequence), cosine, common_words, item_words, answer_found.
 
-    Null and empty texts: nothing found.  Null ids and repeated rows: each row is searched.  Empty
-    tables: empty result.  Null item texts find nothing.  Other columns are ignored.
+    Of several places the one with the most common words counts, then that of the highest cosine,
+    then the first.  Null and empty texts: nothing found; very long ones are searched whole.  Null
+    ids and repeated rows: each row is searched.  Repeated items: each is found.  Empty tables: empty
+    result.  Null and empty item texts find nothing.  Other columns are ignored, whatever their names.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = docs.sparkSession.sparkContext.broadcast(finders(slim, benchmark))
-    schema = "doc_id bigint, item_id bigint, start_word bigint, cosine double, common_words bigint, item_words bigint, answer_found boolean"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), as_array(batch.column(1))
-            rows = []
-            for lo, hi in slices(texts):
-                prepared = plain_words(texts.slice(lo, hi - lo))
-                for f in found.value:
-                    rows += [(ids[lo + d], i, s, round(c, 4), k, m, a) for d, i, s, c, k, a, m in f.find(prepared)]
-            if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
-                names = [x.split()[0] for x in schema.split(", ")]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    return slim.mapInArrow(run, schema)
+    schema = "doc_id bigint, item_id bigint, start_word bigint, end_word bigint, cosine double, common_words bigint, item_words bigint, answer_found boolean"
+    kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def searched(found) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, texts = batch.column(0).to_pylist(), as_array(batch.column(1))
+                rows = []
+                for lo, hi in slices(texts):
+                    prepared = plain_words(texts.slice(lo, hi - lo))
+                    for f in found.value:
+                        rows += [(ids[lo + d], i, s, e, round(c, 4), k, m, a) for d, i, s, e, c, k, a, m in f.find(prepared)]
+                if rows:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        return slim.mapInArrow(run, schema)
+
+    out = None
+    for items in _groups(benchmark):
+        part = searched(docs.sparkSession.sparkContext.broadcast(finders(slim, items)))  # bounded by MOST_WORDS
+        out = part if out is None else out.unionByName(part)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, in whose text no item is found."""
-    found = docs.sparkSession.sparkContext.broadcast(finders(docs.select(F.col(text_col).alias("text")), benchmark))
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_array(batch.column(at))
-            clean = np.ones(len(texts), bool)
-            for lo, hi in slices(texts):
-                prepared = plain_words(texts.slice(lo, hi - lo))
-                for f in found.value:
-                    for row in f.find(prepared):
-                        clean[lo + row[0]] = False
-            yield batch.filter(pa.array(clean))
+    """The rows of ``docs``, all columns as they are, in whose text no item is found.
 
-    return docs.mapInArrow(run, docs.schema)
+    Null and empty texts stay; very long ones are searched whole.  Repeated rows fare alike.  Empty
+    benchmark: all rows stay; empty ``docs``: empty result.  The columns may have any names.
+    """
+    at = docs.columns.index(text_col)
+    texts_of = docs.select(F.col(text_col).alias("text"))
+
+    def searched(df: DataFrame, found) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = as_array(batch.column(at))
+                clean = np.ones(len(texts), bool)
+                for lo, hi in slices(texts):
+                    prepared = plain_words(texts.slice(lo, hi - lo))
+                    for f in found.value:
+                        for row in f.find(prepared):
+                            clean[lo + row[0]] = False
+                yield batch.filter(pa.array(clean))
+
+        return df.mapInArrow(run, df.schema)
+
+    out = docs
+    for items in _groups(benchmark):
+        out = searched(out, docs.sparkSession.sparkContext.broadcast(finders(texts_of, items)))  # bounded by MOST_WORDS
+    return out
 
 
 __all__ = ["Finder", "Items", "contaminated", "lcs", "without_contaminated"]

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_array, mix, partitions_for, saved, slices, word_hashes
+from .common import as_array, forget, mix, partitions_for, saved, slices, word_hashes
 from .components import connected_components
 
 #: Most frequent n-grams that the global order places one by one (16 bytes each on the driver).
@@ -91,11 +91,11 @@ def set_id(grams: np.ndarray) -> int:
 
 
 def parities(grams: np.ndarray) -> np.ndarray:
-    """A bitmap of two to four bits for each n-gram, in words of 64: the parity of the n-grams of each slot.
+    """A bitmap of one to two bits for each n-gram, in words of 64: the parity of the n-grams of each slot.
 
     Its length is a power of two, so the exclusive or of its halves is the bitmap of half the length.
     """
-    width = max(64, 1 << (2 * max(1, len(grams)) - 1).bit_length())
+    width = max(64, 1 << (max(1, len(grams)) - 1).bit_length())
     odd = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view("<u8")
 
@@ -543,7 +543,9 @@ def _linked(docs: DataFrame, profile: DataFrame, rows: DataFrame, order, k: int,
         found = spanning_forest(*both[0], *both[1], t)
         return pa.table([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    return saved(blocks.groupBy(*KEY).applyInArrow(run, "u bigint, v bigint"), "jaccard-links")
+    out = saved(blocks.groupBy(*KEY).applyInArrow(run, "u bigint, v bigint"), "jaccard-links")
+    forget(rows)
+    return out
 
 
 #: What names a block: a partner or a list's n-gram, a part of the trie, a part of the probes.
@@ -583,7 +585,8 @@ def may_link(held: list[np.ndarray], probes: list[np.ndarray], m: np.ndarray, n:
 
 
 def _list_blocks(profile: DataFrame, lists: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame | None:
-    """Blocks for the large groups' lists (gram, sid, n) that hold several components, if any.
+    """Blocks for the large groups' lists (gram, sid, n) that hold several components, if any.  The
+    lists' table is read once and deleted.
 
     Of a list, two sets of its largest component need no look, nor do two sets that share a larger
     list.  So the sets that do not share the larger list that most of them share, or those outside
@@ -591,10 +594,12 @@ def _list_blocks(profile: DataFrame, lists: DataFrame, roots: DataFrame, t: Frac
     """
     rows = lists.join(roots.hint("merge"), lists.sid == roots.id, "left").select("gram", "sid", "n", F.coalesce("root", "sid").alias("root"))
     rows = saved(rows, "jaccard-lists")
+    forget(lists)
     counts = rows.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = counts.groupBy("gram").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("b"))
     mixed = mixed.select("gram", "m", F.col("b.root").alias("main"), (F.col("m") - F.col("b.c")).alias("others")).where("others > 0")
-    near = saved(rows.join(mixed.hint("merge"), "gram"), "jaccard-near")
+    near = first = saved(rows.join(mixed.hint("merge"), "gram"), "jaccard-near")
+    forget(rows)
     if near.isEmpty():
         return None
     # A set's lists are at most as many as its prefix has n-grams.
@@ -604,6 +609,7 @@ def _list_blocks(profile: DataFrame, lists: DataFrame, roots: DataFrame, t: Frac
     modes = modes.groupBy("gram").agg(F.max(F.struct("c", "top"))["top"].alias("mode"))
     covered = (F.col("mode") != F.col("gram")) & F.exists("tops", lambda x: x["gram"] == F.col("mode"))
     near = saved(near.join(modes.hint("merge"), "gram").withColumn("covered", covered).drop("mode"), "jaccard-covered")
+    forget(first)
     plan = near.groupBy("gram").agg(F.count(F.when(~F.col("covered"), 1)).alias("loose"), F.sum("n").alias("tokens"))
     near = near.join(plan.hint("merge"), "gram").withColumn("k", F.least("loose", "others")).where("k > 0")
     share = F.col("tokens") / TOKENS
@@ -663,6 +669,8 @@ def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, te
 
     pairs = met.where("kind = 0").groupBy("x", "y").agg(F.sum("small").alias("small"), F.sum("star").alias("star"), F.max("m").alias("m"), F.max("n").alias("n"))
     pairs = saved(pairs, "jaccard-candidates")
+    lists = saved(met.where("kind = 1").selectExpr("x AS gram", "y AS sid", "n"), "jaccard-members")
+    forget(met)
     votes = F.col("small") + F.col("star")
     best = pairs.where(_possible(votes, t)).groupBy("x").agg(F.max(F.struct(votes.alias("w"), (-F.col("y")).alias("y"))).alias("b"))
     best = best.select("x", (-F.col("b.y")).alias("y"))
@@ -677,10 +685,11 @@ def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, te
     apart = pairs.where(_possible(F.col("small"), t) & (F.col("small") > 0)).join(best.hint("merge"), ["x", "y"], "left_anti")
     apart = apart.join(a.hint("merge"), "x", "left").join(b.hint("merge"), "y", "left").select("x", "y", F.coalesce("rx", "x").alias("rx"), F.coalesce("ry", "y").alias("ry"))
     blocks = _partner_blocks(apart.where("rx <> ry"))
-    of_lists = _list_blocks(profile, met.where("kind = 1").selectExpr("x AS gram", "y AS sid", "n"), roots, t)
+    of_lists = _list_blocks(profile, lists, roots, t)
     more = _linked(docs, profile, blocks if of_lists is None else blocks.union(of_lists), order, k, t)
     if not more.isEmpty():
         roots = connected_components(links.union(more))
+    forget(pairs)
 
     full = profile.where("n > 0").join(roots.withColumnRenamed("id", "sid").hint("merge"), "sid", "left")
     return full.select("id", "key", "n", F.coalesce("root", "sid").alias("root")), profile.where("n = 0").select("id", "key", "n")

@@ -88,7 +88,7 @@ class Evidence:
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Evidence:
     """Learn from labelled rows (quality 0/1, 1 good); no labels: no evidence and even odds."""
-    some = labelled_sample(docs.select("doc_id", "text"), labels, "quality", max_rows)
+    some = labelled_sample(docs.select("doc_id", "text"), labels, "quality", max_rows, worst=F.min)
     of = statistics(F.col("text"))
     rows = with_words(some, F.col("text")).select(*[c.alias(k) for k, c in of.items()], "_label").collect()
     rows = np.array(sorted(tuple(r) for r in rows), float).reshape(len(rows), len(of) + 1)
@@ -161,8 +161,11 @@ def scored(
     """(row, evidence, host_rate, path_rate, p_low, kept): ``row`` is the struct of all columns of
     ``docs``, whatever their names; ``kept`` where the posterior of low quality is below one half.
 
-    Null texts count as empty, null hosts and paths as groups of their own.  Null ids and repeated
-    rows: each row is scored.  Empty table: empty result.
+    Null and empty texts have the statistics of an empty text; very long ones are read whole.  Null
+    hosts and paths are groups of their own.  Null ids and repeated rows: each row is scored.  Equal
+    posteriors fare alike, and one half is not kept.  Empty table: empty result.  All columns of
+    ``docs`` travel in ``row``, so their names clash with none.  Repeated label rows of one id count
+    once, with the lowest quality.
     """
     packed = docs.select(
         F.struct("*").alias("row"), F.col(text_col).alias("text"),
@@ -173,7 +176,8 @@ def scored(
     # The statistics stand once for each row, not once for each bin that is compared with them.
     once = F.struct(*[c.alias(k) for k, c in statistics(F.col("text")).items()])
     llr = let(once, lambda s: model.column({k: s[k] for k in model.edges}))
-    judged = with_words(packed, F.col("text")).select("row", "host", "path", llr.alias("llr"))
+    # Written once, since the priors and the posteriors both read the evidence.
+    judged = saved(with_words(packed, F.col("text")).select("row", "host", "path", llr.alias("llr")), "judged")
     table = saved(priors(judged, model.base), "path-priors")
     few = table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     out = judged.join(F.broadcast(table) if few else table, ["host", "path"])
@@ -184,5 +188,8 @@ def scored(
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that the classifier keeps."""
+    """The rows of ``docs``, all columns as they are, that the classifier keeps.
+
+    Nulls, empty and very long texts, repeated rows, clashing names and empty tables: as in ``scored``.
+    """
     return scored(docs, labels, **kw).where("kept").select("row.*")

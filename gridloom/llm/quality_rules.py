@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native import WORD_BREAK, let, words
+from .training import labelled_sample
 
 #: Labelled rows that the learner may see.
 MAX_ROWS = 20_000
@@ -220,17 +221,12 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **kw
 
     Repeated label rows of one id count once, with the lowest quality.
     """
-    some = (
-        labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
-        .groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-        .orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(max_rows)
-    )
     of = features()
-    slim = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # max_rows rows of 12 bytes
-    rows = with_statistics(slim).select(*[v.alias(k) for k, v in of.items()], "_quality", "doc_id").collect()
+    slim = labelled_sample(docs.select("doc_id", "text"), labels, "quality", max_rows, worst=F.min)
+    rows = with_statistics(slim).select(*[v.alias(k) for k, v in of.items()], "_label", "doc_id").collect()
     rows.sort(key=lambda r: tuple(r))
     x = np.array([r[: len(of)] for r in rows], float).reshape(len(rows), len(of))
-    bad = np.array([r["_quality"] == 0 for r in rows], bool)
+    bad = np.array([r["_label"] == 0 for r in rows], bool)
     order = np.random.default_rng(7).permutation(len(rows))
     return learn(x[order], bad[order], tuple(of), **kw)
 
@@ -238,8 +234,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **kw
 def apply_rules(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base counts, base_failed, rule (the first rejecting rule, 0: none) and kept.
 
-    Null and empty texts: all counts 0, base_failed.  Null ids and repeated rows: each row is
-    judged.  Empty table: empty result.  Other columns are ignored.
+    Null and empty texts: all counts 0, base_failed.  Very long texts are counted whole, by sorting
+    their windows.  Null ids and repeated rows: each row is judged.  The first of several rules that
+    hold decides.  Empty table: empty result.  Other columns are ignored, whatever their names.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = with_statistics(slim).select(

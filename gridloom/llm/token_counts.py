@@ -5,6 +5,11 @@ trees stand over the leaves: their code points and their tokens.  An edit finds
 descent through the code-point sums, and only their text, with a neighbour where the edit touches a
 leaf's end, is encoded again; the sums above them are updated.  The total after any number of edits
 is the root.
+
+``count_edited`` counts before and after in one pass over the texts.  Where edits come later, and
+again and again, ``stored_leaves`` makes a table of leaves to keep, ``edit_leaves`` gives the table
+after a batch of edits, and ``token_totals`` its sums; only leaves that an edit touches are read as
+text and encoded again.
 """
 
 from __future__ import annotations
@@ -14,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_array, slices
+from .common import as_array, saved, slices
 from .packing import ChunkEncoder, encoder
 
 #: A leaf ends at the first white space after so many code points.
@@ -113,9 +118,14 @@ class DocumentCount:
         self.encoded += last - first + 1
 
     def apply(self, edits: list[tuple[int, int, str]]) -> None:
-        """Edits of the text as it is now, not overlapping; neighbours in one leaf share a call."""
+        """Edits of the text as it is now; neighbours in one leaf share a call.  Where they overlap,
+        an edit begins where the one before it, by start and end, has ended."""
         groups: list[list[tuple[int, int, str]]] = []
-        for e in sorted(edits, key=lambda e: (e[0], e[1])):
+        apart: list[tuple[int, int, str]] = []
+        for s, e, text in sorted(edits, key=lambda e: (e[0], e[1])):
+            s = max(s, apart[-1][1]) if apart else s
+            apart.append((s, max(s, e), text))
+        for e in apart:
             if groups and e[0] - groups[-1][-1][1] < LEAF // 4 and e[1] - groups[-1][0][0] < 4 * LEAF:
                 groups[-1].append(e)
             else:
@@ -126,7 +136,7 @@ class DocumentCount:
             new, at = [], lo
             for s, e, text in group:
                 new += [old[at - lo : s - lo], text]
-                at = max(at, e)
+                at = e
             self.replace(lo, hi, "".join(new) + old[at - lo :])
 
     def _slice(self, lo: int, hi: int) -> str:
@@ -144,9 +154,11 @@ class DocumentCount:
 def count_edited(docs: DataFrame, edits: Column, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_edits, n_tokens_after, n_leaves, n_encoded (leaves encoded again).
 
-    ``edits``: array of (start, end, text), in code points of the row's text, not overlapping; null
-    or empty: none.  Null and empty texts: no tokens, one empty leaf.  Null ids and repeated rows:
-    each row is counted.  Empty table: empty result.  Other columns are ignored.
+    ``edits``: array of (start, end, text), in code points of the row's text; null or empty: none.
+    Where edits overlap, the later start begins where the earlier edit has ended; of equal starts the
+    one with the smaller end comes first.  Null and empty texts: no tokens, one empty leaf; very long
+    ones are counted whole.  Null ids and repeated rows: each row is counted.  Empty table: empty
+    result.  Other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,3 +187,87 @@ def count_edited(docs: DataFrame, edits: Column, tokenizer_path: str, id_col: st
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), edits.alias("edits"))
     names = ("doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_leaves", "n_encoded")
     return slim.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+LEAVES = "doc_id bigint, key bigint, leaf int, points bigint, tokens bigint, text string"
+
+
+def stored_leaves(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The leaves of all texts, to be written as a table: doc_id, key (digest of id and text as they
+    were, which names the document from now on), leaf, points, tokens and text.
+
+    Null and empty texts: one empty leaf.  Rows equal in id and text are one document.  Null ids:
+    they are counted, but no edit names them.  Empty table: empty result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(tokenizer_path)
+        for batch in batches:
+            texts = as_array(batch.column(2))
+            for lo, hi in slices(texts):
+                pieces = [leaves(t or "") for t in texts.slice(lo, hi - lo).to_pylist()]
+                flat = [x for p in pieces for x in p]
+                bounds, _ = own.encode(pa.array(flat, pa.large_string()))
+                row = np.repeat(np.arange(lo, hi), [len(p) for p in pieces])
+                yield pa.record_batch(
+                    [
+                        batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array([i for p in pieces for i in range(len(p))], pa.int32()),
+                        pa.array([len(x) for x in flat], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(flat, pa.string()),
+                    ],
+                    names=["doc_id", "key", "leaf", "points", "tokens", "text"],
+                )
+
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    return slim.dropDuplicates(["doc_id", "key"]).mapInArrow(run, LEAVES)
+
+
+def token_totals(table: DataFrame) -> DataFrame:
+    """doc_id, key, n_tokens, n_points and n_leaves of each document of a table of leaves."""
+    sums = [F.sum("tokens").alias("n_tokens"), F.sum("points").alias("n_points"), F.count(F.lit(1)).alias("n_leaves")]
+    return table.groupBy("doc_id", "key").agg(*sums)
+
+
+def edit_leaves(table: DataFrame, edits: DataFrame, tokenizer_path: str) -> DataFrame:
+    """The table of leaves after ``edits`` (doc_id, start, end, text), in code points of the texts as
+    they stand in the table.
+
+    The sizes of the edited documents' leaves tell which leaves an edit touches, with a neighbour
+    where it touches an end; only these are read as text, edited and encoded.  Edits outside a text
+    are moved to its end; overlaps as in ``count_edited``; edits of unknown or null ids change
+    nothing; null texts delete.
+    """
+    asked = edits.where("doc_id IS NOT NULL").select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    sizes = table.select("doc_id", "key", "leaf", "points").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    own = Window.partitionBy("doc_id", "key")
+    before = F.sum("points").over(own.orderBy("leaf").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("points")
+    placed = sizes.select("doc_id", "key", "leaf", "points", before.alias("at"), F.sum("points").over(own).alias("n"))
+    start = F.greatest(F.lit(0), F.least("start", "n"))
+    end = F.greatest(start, F.least("end", "n"))
+    pairs = placed.join(asked, "doc_id").withColumns({"s": start, "e": end}).where("at <= e AND at + points >= s")
+    changes = F.sort_array(F.collect_set(F.struct("s", "e", "text"))).alias("edits")
+    touched = saved(pairs.groupBy("doc_id", "key", "leaf", "at").agg(changes), "touched-leaves")
+    work = table.join(touched, ["doc_id", "key", "leaf"])
+
+    def run(leaves_of: pa.Table) -> pa.Table:
+        encode = encoder(tokenizer_path)
+        rows = sorted(leaves_of.to_pylist(), key=lambda r: r["leaf"])
+        out, lo = [], 0
+        while lo < len(rows):  # neighbouring leaves are a text of their own
+            hi = lo + 1
+            while hi < len(rows) and rows[hi]["leaf"] == rows[hi - 1]["leaf"] + 1:
+                hi += 1
+            run_of, first = rows[lo:hi], rows[lo]["at"]
+            doc = DocumentCount([r["text"] for r in run_of], [r["tokens"] for r in run_of], encode)
+            doc.apply(sorted({(e["s"] - first, e["e"] - first, e["text"]) for r in run_of for e in r["edits"]}))
+            out += [
+                {**{c: r[c] for c in ("doc_id", "key", "leaf")}, "points": doc.points.value(i), "tokens": doc.tokens.value(i), "text": doc.pieces[i]}
+                for i, r in enumerate(run_of)
+            ]
+            lo = hi
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+        names = ["doc_id", "key", "leaf", "points", "tokens", "text"]
+        return pa.table([pa.array([r[n] for r in out], k) for n, k in zip(names, kinds, strict=True)], names=names)
+
+    changed = work.groupBy("doc_id", "key").applyInArrow(run, LEAVES)
+    rest = table.join(touched.select("doc_id", "key", "leaf"), ["doc_id", "key", "leaf"], "left_anti")
+    return rest.select(*changed.columns).unionByName(changed)

@@ -1,18 +1,22 @@
 """Toxicity by a classifier chain over hashed words and word beginnings.
 
-The chain predicts categories in a given order.  The model of each category sees the text features
-and the probabilities of the categories before it.  In training those are out-of-fold: each fold's
-come from models that have not seen it, as the ones at prediction come from unseen texts.
+The chain predicts categories in a given order, each a label of its own: by default low quality,
+then toxicity.  The model of each category sees the text features and the probabilities of the
+categories before it, and learns from the rows whose label it knows.  In training those
+probabilities are out-of-fold: each fold's come from models that have not seen it, as the ones at
+prediction come from unseen texts.  So what many rows tell of an earlier category helps a later one
+that few rows are labelled for.
 
 Text features are the words of a text (present or not, lower-cased, marks at the ends taken off)
 and their beginnings of ``STEMS`` characters.  Of all features in the sample the ``N_FEATURES`` of
-highest chi-squared are kept, if it is at least ``LEAST_CHI``.  The sample holds at most ``max_rows`` labelled rows,
-so what the driver collects is bounded; prediction runs over all rows by Arrow batches.
+highest chi-squared are kept, if it is at least ``LEAST_CHI``: those of the last category first.
+The sample holds at most ``max_rows`` labelled rows and ``MAX_FEATURES`` distinct features, so what
+the driver holds is bounded; prediction runs over all rows by Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,11 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_array, hashes, slices, split_words
-from .training import fit_logistic, labelled_sample, sigmoid
+from .common import as_array, hashes, saved, slices, split_words
+from .training import fit_logistic, sigmoid
 
 MAX_ROWS = 6_000
 N_FEATURES = 600
+#: Features that many rows hold, which come to the driver to be counted; the rarer ones stay away.
+MAX_FEATURES = 1 << 18
+#: The chain's categories and the label that each is read from: the worst value of each document.
+CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 #: Least chi-squared of a feature: one in two thousand by chance.
 LEAST_CHI = 12.0
 STEMS = (5, 7)
@@ -77,20 +85,21 @@ class Chain:
 
 
 def fit_chain(categories: tuple[str, ...], features: np.ndarray, x: np.ndarray, y: np.ndarray, l2: float = 0.5) -> Chain:
-    """x: rows by features, y: rows by categories (0/1)."""
+    """x: rows by features, y: rows by categories (0/1, NaN where it is not known)."""
     fold = np.random.default_rng(3).permutation(len(x)) % FOLDS
     earlier = np.zeros((len(x), 0))
     models = []
     for k in range(len(categories)):
-        own = np.hstack([x, earlier])
-        models.append(fit_logistic(own, y[:, k], l2))
+        own, known = np.hstack([x, earlier]), ~np.isnan(y[:, k])
+        models.append(fit_logistic(own[known], y[known, k], l2))
         p = np.zeros(len(x))
         for f in range(FOLDS):
             if (fold == f).any():
-                w, b = fit_logistic(own[fold != f], y[fold != f, k], l2)
+                w, b = fit_logistic(own[known & (fold != f)], y[known & (fold != f), k], l2)
                 p[fold == f] = sigmoid(own[fold == f] @ w + b)
         earlier = np.hstack([earlier, p[:, None]])
-    return Chain(categories, features, models, best_threshold(earlier[:, -1], y[:, -1]))
+    known = ~np.isnan(y[:, -1])
+    return Chain(categories, features, models, best_threshold(earlier[known, -1], y[known, -1]))
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -114,14 +123,21 @@ def _chi_squared(seen: np.ndarray, seen_pos: np.ndarray, n: int, n_pos: int) ->
     return np.where(a * d > b * c, n * (a * d - b * c) ** 2 / below, 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, n_features: int = N_FEATURES) -> Chain:
-    """A chain of two categories from one label column.
+def train(
+    docs: DataFrame, labels: DataFrame, categories: Mapping[str, str] | None = None, max_rows: int = MAX_ROWS, n_features: int = N_FEATURES
+) -> Chain:
+    """A chain over ``categories`` (name to an expression over the label columns, 1 where it holds).
 
-    ``severe``: toxic texts with at least two of the features that mark toxic texts strongly;
-    ``toxic``: the label, predicted with the probability of ``severe`` at hand.  No labels: a chain
-    without features.
+    A document's label in a category is the worst of its label rows, null where it has none.  Null
+    ids are left out.  No labels: a chain without features, which finds nothing.  Null and empty
+    texts have no features; very long ones are read whole.
     """
-    some = labelled_sample(docs.select("doc_id", "text"), labels, label, max_rows)
+    categories = dict(categories or CATEGORIES)
+    marks = [F.max(F.expr(e)).cast("double").alias(f"_y{k}") for k, e in enumerate(categories.values())]
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*marks).where(" OR ".join(f"_y{k} IS NOT NULL" for k in range(len(marks))))
+    known = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(max_rows)
+    names = [f"_y{k}" for k in range(len(marks))]
+    some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # max_rows rows of a few numbers
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,47 +146,51 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
                 row, h = feature_hashes(texts.slice(lo, hi - lo))
                 by = np.argsort(row, kind="stable")
                 cuts = np.searchsorted(row[by], np.arange(hi - lo + 1))
-                data = [np.unique(h[by[cuts[i] : cuts[i + 1]]]).tobytes() for i in range(hi - lo)]
-                yield pa.record_batch(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(data, pa.binary()), batch.column(2).slice(lo, hi - lo)],
-                    names=["doc_id", "h", "y"],
-                )
-
-    counted = some.select("doc_id", "text", "_label").mapInArrow(listed, "doc_id bigint, h binary, y int")
-    # Features that one text alone holds can't be learned from; the rest of the sample is small.
-    rows = sorted((r["doc_id"], r["h"], r["y"]) for r in counted.toLocalIterator())
-    sets = [np.frombuffer(r[1], np.uint64) for r in rows]
-    toxic = np.array([r[2] for r in rows], float)
-    if not rows:
-        return Chain(("severe", "toxic"), np.zeros(0, np.uint64), [(np.zeros(1), 0.0), (np.zeros(2), -3.0)])
-    values, counts = np.unique(np.concatenate(sets), return_counts=True)
-    values, seen = values[counts >= 3], counts[counts >= 3]
-    seen_pos = np.zeros(len(values))
-    for s, y in zip(sets, toxic, strict=True):
-        if y and len(values):
-            at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-            seen_pos[at[values[at] == s]] += 1
-    score = _chi_squared(seen.astype(float), seen_pos, len(rows), int(toxic.sum()))
-    top = np.argsort(-score, kind="stable")[:n_features]
-    top = np.sort(top[score[top] >= LEAST_CHI])
-    chosen = values[top]
-    strong = (seen_pos[top] >= 0.9 * seen[top]) & (seen[top] >= 5)
-    x = np.zeros((len(rows), len(chosen) + 1), np.float32)
-    for i, s in enumerate(sets):
-        if len(chosen):
-            at = np.minimum(np.searchsorted(chosen, s), len(chosen) - 1)
-            x[i, at[chosen[at] == s]] = 1
+                data = [np.unique(h[by[cuts[i] : cuts[i + 1]]]).view(np.int64) for i in range(hi - lo)]
+                own = [c.slice(lo, hi - lo) for c in batch.columns]
+                yield pa.record_batch([own[0], pa.array(data, pa.list_(pa.int64())), *own[2:]], names=["doc_id", "h", *names])
+
+    kind = "doc_id bigint, h array<bigint>, " + ", ".join(f"{n} double" for n in names)
+    sample = saved(some.select("doc_id", "text", *names).mapInArrow(listed, kind), "toxicity-sample")
+    # Features that fewer than three rows hold can't be learned from.  Each is counted by category.
+    counted = sample.select(F.explode("h").alias("h"), *names).groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.count(n).alias(f"n{n}") for n in names], *[F.sum(n).alias(f"p{n}") for n in names])
+    counted = counted.where("n >= 3").orderBy(F.desc("n"), "h").limit(MAX_FEATURES).collect()  # MAX_FEATURES rows of a few numbers
+    totals = sample.agg(*[F.count(n).alias(f"n{n}") for n in names], *[F.sum(n).alias(f"p{n}") for n in names]).first()
+    if not counted:
+        return Chain(tuple(categories), np.zeros(0, np.uint64), [(np.zeros(1 + k), -3.0) for k in range(len(categories))])
+    values = np.array([r["h"] for r in counted], np.int64).view(np.uint64)
+    chosen: list[int] = []
+    for n in reversed(names):
+        seen, pos = (np.array([r[c + n] or 0 for r in counted], float) for c in "np")
+        score = _chi_squared(seen, pos, totals["n" + n], int(totals["p" + n] or 0))
+        more = np.argsort(-score, kind="stable")
+        chosen += [i for i in more[score[more] >= LEAST_CHI].tolist() if i not in set(chosen)][: n_features - len(chosen)]
+    features = np.sort(values[np.array(sorted(chosen), np.int64)])
+    # Only the chosen features of the sample's rows come to the driver.
+    wanted = docs.sparkSession.sparkContext.broadcast(features)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.flatnonzero(np.isin(wanted.value, np.array(h, np.int64).view(np.uint64))).astype(np.int32) for h in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32())), *batch.columns[2:]], names=["doc_id", "at", *names])
+
+    rows = sample.mapInArrow(places, kind.replace("h array<bigint>", "at array<int>")).collect()  # max_rows rows of n_features at most
+    rows.sort(key=lambda r: tuple((v is None, v) for v in (r["doc_id"], r["at"], *[r[n] for n in names])))
+    x = np.zeros((len(rows), len(features) + 1), np.float32)
+    for i, r in enumerate(rows):
+        x[i, r["at"]] = 1
     x[:, -1] = np.log1p(x[:, :-1].sum(1))
-    severe = toxic * (x[:, :-1][:, strong].sum(1) >= 2)
-    return fit_chain(("severe", "toxic"), chosen, x, np.stack([severe, toxic], 1))
+    y = np.array([[np.nan if r[n] is None else r[n] for n in names] for r in rows], float)
+    return fit_chain(tuple(categories), features, x, y)
 
 
 def predict(docs: DataFrame, chain: Chain, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, p_<category> of each category in the chain's order (rounded to 6 places), toxic.
 
-    ``toxic``: the last category's probability reaches the threshold, the chain's own by default.  Null and empty texts have no
-    features.  Null ids and repeated rows: each row is scored.  Empty table: empty result.  Other
-    columns are ignored.
+    ``toxic``: the last category's probability reaches the threshold, the chain's own by default; a
+    tie with it counts.  Null and empty texts have no features; very long ones are read whole.  Null
+    ids and repeated rows: each row is scored.  Empty table: empty result.  Other columns are
+    ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # N_FEATURES hashes and weights
     least = chain.threshold if threshold is None else threshold

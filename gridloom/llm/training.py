@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, worst: Callable[..., Column]) -> DataFrame:
     """``docs`` (doc_id, ...) with ``_label`` (0/1) for at most ``max_rows`` labelled ids.
 
-    The ids of lowest digest are taken.  Null labels and ids are left out; repeated label rows of
-    one id count once, with the highest label.
+    The ids of lowest digest are taken.  Null labels and ids are left out.  Repeated label rows of
+    one id count once, with the worst label: ``worst`` is ``F.min`` for quality, ``F.max`` for toxicity.
     """
     some = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-        .groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
+        .groupBy("doc_id").agg(worst(label).cast("int").alias("_label"))
         .orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(max_rows)
     )
     return docs.join(F.broadcast(some), "doc_id")  # max_rows rows of 12 bytes

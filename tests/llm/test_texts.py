@@ -157,6 +157,40 @@ def test_count_query_equals_brute_force(spark, tokenizer, sf_dir):
     assert sorted((tuple(r) for r in token_counts.count_edited(df, none, tokenizer_path()).collect()), key=repr) == [(1, 0, 0, 0, 1, 0)] * 2 + [(None, 0, 0, 0, 1, 0)]
 
 
+def test_stored_leaves_under_edits_equal_a_full_count(spark, tokenizer):
+    rng = random.Random(6)
+    words = ["alpha", "beta,", "x1", "Don't", "\n", "éa", "12345", "##"]
+    texts = {d: " ".join(rng.choice(words) for _ in range(n)) for d, n in enumerate([0, 1, 40, 2000, 3000, 900])}
+    docs = spark.createDataFrame([*texts.items(), (8, None), (3, texts[3])], "doc_id long, text string").withColumn("leaf", F.lit("clash"))
+    table = token_counts.stored_leaves(docs, tokenizer_path())
+    for _ in range(2):
+        table = token_counts.saved(table, "leaves")
+        asked = []
+        for d in (0, 1, 3, 4, 8):
+            n = len(texts.get(d, ""))
+            cuts = sorted(rng.sample(range(n + 1), min(n + 1, 10)))
+            own = [(a, b, rng.choice(["", "z", " ", "new words "])) for a, b in zip(cuts[::2], cuts[1::2])] or [(0, 0, "now")]
+            asked += [(d, *e) for e in own]
+            text = texts.get(d, "")
+            for a, b, new in reversed(own):
+                text = text[:a] + new + text[b:]
+            texts[d] = text
+        edits = spark.createDataFrame([*asked, (77, 0, 1, "x"), (None, 0, 1, "x")], "doc_id long, start int, end int, text string")
+        edited = token_counts.edit_leaves(table, edits, tokenizer_path())
+        same = edited.join(table, ["doc_id", "key", "leaf", "points", "tokens", "text"]).count()
+        assert same > 0.3 * table.count()  # leaves that no edit touches are as they were
+        got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_totals(edited).collect()}
+        assert got == {d: len(ids_of(tokenizer, t)) for d, t in texts.items()}
+        table = edited
+    assert token_counts.edit_leaves(table.limit(0), edits, tokenizer_path()).collect() == []
+
+
+def test_overlapping_edits(tokenizer):
+    doc = token_counts.DocumentCount.of("abcdefghij", packing.encoder(tokenizer_path()))
+    doc.apply([(1, 5, "X"), (3, 7, "Y"), (2, 3, "Z")])
+    assert doc.text == "aXZYhij" and doc.total == len(ids_of(tokenizer, doc.text))
+
+
 def lcs_plain(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -269,6 +303,64 @@ def test_repeated_and_templated_items_are_found(spark):
     assert dc.telling_words(h).tolist() == list(range(9))
 
 
+def test_all_items_are_found_in_groups_of_few_columns(spark, monkeypatch):
+    rows, items, truth = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(dc, "COLUMNS", 64)  # words share columns
+    monkeypatch.setattr(dc, "MOST_WORDS", 150)  # several surveys and searches
+    monkeypatch.setattr(dc, "TOGETHER", 2)
+    assert {(r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, bench).collect()} == truth
+    assert {r["doc_id"] for r in dc.without_contaminated(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in truth}
+
+
+def test_items_many_times_over_long_ones_and_few_documents(spark):
+    rng = random.Random(12)
+    common, rare = [f"the{i}" for i in range(40)], ["anor", "belo", "cidu"]
+    one, long_one = spoken(rng, common, rare, 25), spoken(rng, common, rare, 20_000, 0.3)
+    items = [one] * 300 + [long_one, [rng.choice(common) for _ in range(30)]]
+    texts = [spoken(rng, common, rare, 80) for _ in range(30)]
+    before = spoken(rng, common, rare, 50, 0)
+    texts += [before + one + spoken(rng, common, rare, 9, 0), long_one[:15_000] + spoken(rng, common, rare, 9, 0), before + items[-1] + before]
+    assert found_in(spark, texts, items) == {(30, i) for i in range(300)} | {(31, 300), (32, 301)}
+    docs = spark.createDataFrame([(0, " ".join(texts[30]))], "doc_id long, text string")  # a corpus of one document
+    bench = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(items[-1]))], "item_id long, text string")
+    (found,) = dc.contaminated(docs, bench).collect()
+    assert (found["item_id"], found["start_word"], found["end_word"], found["common_words"]) == (1, 50, 75, 25)
+
+
+def test_decontamination_equals_a_plain_search(spark):
+    """Every document and item, by the stated rule over all stretches, without index or bound."""
+    rng = random.Random(13)
+    common, rare = [f"the{i}" for i in range(30)], ["anor", "belo"]
+    items = [spoken(rng, common, rare, n, 0.4) for n in (9, 16, 24, 35)]
+    texts = []
+    for _ in range(80):
+        text = spoken(rng, common, rare, rng.choice([3, 40, 120]), 0.3)
+        own = rng.choice(items)
+        kept = [w if rng.random() < rng.choice([0.4, 0.7, 1.0]) else f"new{rng.randrange(10**9)}" for w in own]
+        at = rng.randint(0, len(text))
+        texts.append(text[:at] + kept + text[at:])
+
+    def plainly(text, item):
+        reach = max(24, 2 * len(item))
+        for lo in range(0, len(text), 8):
+            part = text[max(0, lo - reach) : lo + 24 + reach]
+            both = lcs_plain(part, item)
+            tail = item[-dc.ANSWER :]
+            answer = any(part[i : i + len(tail)] == tail for i in range(len(part)))
+            if answer and both >= dc.least_common(len(item), dc.LCS_WITH_ANSWER):
+                return True
+            if both >= dc.least_common(len(item), dc.LCS_ALONE):
+                near = [text[i : i + 2 * len(item)] for i in range(len(text))]
+                own = {w for w in item if w not in common}
+                if any(lcs_plain(x, item) >= dc.least_common(len(item), dc.LCS_ALONE) for x in near) or own & set(part):
+                    return True
+        return False
+
+    assert found_in(spark, texts, items) == {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if plainly(t, x)}
+
+
 def test_latent_space_is_orthonormal_and_holds_the_items(spark):
     rows, items, _ = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -278,7 +370,8 @@ def test_latent_space_is_orthonormal_and_holds_the_items(spark):
     own = dc.Items([i for i, _ in items], words, dc.weights_of(seen.rarity, 0.0), seen.vocabulary)
     v = dc.latent_space(seen, own)
     assert np.allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-3)
-    kept = np.linalg.norm(own.matrix @ v, axis=1) / np.linalg.norm(own.matrix, axis=1)
+    matrix = own.rows(0, len(items))
+    kept = np.linalg.norm(matrix @ v, axis=1) / np.linalg.norm(matrix, axis=1)
     # The survey's product is that of the passages' counts.
     counts = []
     for _, text in rows:
@@ -348,7 +441,7 @@ def test_toxicity_chain_on_held_out_rows(spark):
     docs = spark.createDataFrame([*rows, (9000, None), (None, "vile rotten")], "doc_id long, text string").withColumn("toxic", F.lit("clash"))
     known = spark.createDataFrame([x for x in labels if x[0] % 2] + [(None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
     chain = toxicity.train(docs, known)
-    assert chain.categories == ("severe", "toxic") and len(chain.models[1][0]) == len(chain.models[0][0]) + 1
+    assert chain.categories == ("low_quality", "toxic") and len(chain.models[1][0]) == len(chain.models[0][0]) + 1
     out = {r["doc_id"]: r for r in toxicity.predict(docs, chain).collect()}
     truth = {d: t for d, _, t in labels}
     assert all(out[d]["toxic"] == bool(truth[d]) for d in truth if d % 2 == 0)
@@ -358,6 +451,32 @@ def test_toxicity_chain_on_held_out_rows(spark):
     assert not any(r["toxic"] for r in toxicity.predict(docs, empty).collect())
 
 
+def test_the_chain_helps_a_category_with_few_labels():
+    rng = np.random.default_rng(4)
+    x = (rng.random((1500, 40)) < 0.2).astype(np.float32)
+    truth = (x[:, :8].sum(1) >= 3).astype(float)
+    y = np.stack([truth, truth], 1)
+    y[40:, 1] = np.nan  # the later category is known for forty rows only
+
+    def ranked(known):
+        """The share of pairs of a row with and one without the category that are in the right order."""
+        chain = toxicity.fit_chain(("a", "b")[-known.shape[1] :], np.zeros(0, np.uint64), x[:1000], known)
+        p, t = chain.predict(x[1000:])[:, -1], truth[1000:] == 1
+        return (p[t][:, None] > p[~t]).mean()
+
+    assert ranked(y[:1000]) >= ranked(y[:1000, 1:]) + 0.05
+
+
+def test_probabilities_in_training_are_out_of_fold():
+    """A row's own label does not reach the probability that the next model learns from."""
+    rng = np.random.default_rng(5)
+    x, y = np.eye(200, dtype=np.float32), (rng.random((200, 2)) < 0.5).astype(float)
+    chain = toxicity.fit_chain(("a", "b"), np.zeros(0, np.uint64), x, y, l2=0.01)
+    own = sigmoid(x @ chain.models[0][0] + chain.models[0][1])
+    assert np.corrcoef(own, y[:, 0])[0, 1] > 0.9  # each row is known by a feature of its own
+    assert abs(chain.models[1][0][-1]) < 20
+
+
 def test_best_threshold():
     assert toxicity.best_threshold(np.array([0.9, 0.3, 0.2]), np.array([1, 1, 0])) == pytest.approx(0.25)
     assert toxicity.best_threshold(np.zeros(0), np.zeros(0)) == 0.5
