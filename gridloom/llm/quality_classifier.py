@@ -159,11 +159,11 @@ def scored(
     id_col: str = "doc_id", max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """(row, evidence, host_rate, path_rate, p_low, kept): ``row`` is the struct of all columns of
-    ``docs``, whatever their names; ``kept`` where the posterior of low quality is below one half.
+    ``docs``, whatever their names; ``kept`` unless the posterior of low quality is above one half.
 
     Null and empty texts have the statistics of an empty text; very long ones are read whole.  Null
     hosts and paths are groups of their own.  Null ids and repeated rows: each row is scored.  Equal
-    posteriors fare alike, and one half is not kept.  Empty table: empty result.  All columns of
+    posteriors fare alike, and one half is kept, so without labels every row is.  Empty table: empty result.  All columns of
     ``docs`` travel in ``row``, so their names clash with none.  Repeated label rows of one id count
     once, with the lowest quality.
     """
@@ -183,7 +183,7 @@ def scored(
     out = judged.join(F.broadcast(table) if few else table, ["host", "path"])
     p = _expected(F.col("llr"), F.col("prior"))
     # Never null, so that a filter on it infers no null test that would make the evidence again.
-    kept = F.coalesce(p < 0.5, F.lit(True))
+    kept = F.coalesce(p <= 0.5, F.lit(True))
     return out.select("row", F.col("llr").alias("evidence"), "host_rate", "path_rate", p.alias("p_low"), kept.alias("kept"))
 
 
