@@ -115,5 +115,67 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FRO
 """
 
 
+EXACT_DEDUP = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, length(text) AS n, sha256(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS sha FROM t)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY sha) AS group_size,
+  row_number() OVER w = 1 AS kept, sha AS text_sha256
+FROM d WINDOW w AS (PARTITION BY sha ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _trie_sql(name: str, of: str) -> str:
+    """Nodes (g, lvl, idx, n, h) over rows (g, rank, n, h): every three become one, until one is left."""
+    return f"""{name} AS (
+  SELECT g, 0 AS lvl, rank AS idx, n, h FROM {of}
+  UNION ALL
+  SELECT g, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY g, lvl, n, idx // 3)"""
+
+
+def _steps_sql(of: str, trie: str, part: int) -> str:
+    """For each row and level the siblings on its left and on its right."""
+    own = "r.rank // CAST(3 ** u.lvl AS BIGINT)"
+    sides = [f"coalesce(string_agg(CASE WHEN u.idx {op} {own} THEN u.h END, '' ORDER BY u.idx), '') AS {n}" for op, n in (("<", "l"), (">", "r"))]
+    return (
+        f"SELECT r.row, {part} AS part, u.lvl, {', '.join(sides)} FROM {of} r JOIN (SELECT DISTINCT g, lvl FROM {trie} WHERE n > 1) v ON v.g = r.g "
+        f"JOIN {trie} u ON u.g = r.g AND u.lvl = v.lvl AND u.idx // 3 = r.rank // CAST(3 ** (v.lvl + 1) AS BIGINT) GROUP BY r.row, u.lvl"
+    )
+
+
+MERKLE = f"""
+WITH RECURSIVE digests AS (
+  SELECT row_number() OVER () AS row, doc_id, source, coalesce('1' || source, '0') AS g, {_leaf_sql("text")} AS h,
+    CASE WHEN {crc32_sql("coalesce(doc_id::VARCHAR, '-')")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} END AS bad
+  FROM documents),
+ranked AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS rank, count(*) OVER (PARTITION BY g) AS n FROM digests),
+{_trie_sql("trie", "ranked")},
+subroots AS MATERIALIZED (
+  SELECT '' AS g, g AS of, h, row_number() OVER (ORDER BY g) - 1 AS rank, count(*) OVER () AS n FROM trie WHERE n = 1),
+{_trie_sql("upper_trie", "subroots")},
+placed AS (SELECT ranked.row, subroots.g, subroots.rank, subroots.n, subroots.h FROM ranked JOIN subroots ON subroots.of = ranked.g),
+steps AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY part, lvl) - 1 AS step
+  FROM ({_steps_sql("ranked", "trie", 0)} UNION ALL {_steps_sql("placed", "upper_trie", 1)})),
+walk AS (
+  SELECT row, 0 AS step, coalesce(bad, h) AS h FROM ranked
+  UNION ALL
+  SELECT walk.row, walk.step + 1, sha256(l || h || r) FROM walk JOIN steps ON steps.row = walk.row AND steps.step = walk.step),
+ends AS (SELECT row, arg_max(h, step) AS folded_root FROM walk GROUP BY row),
+proofs AS (SELECT row, string_agg(l || r, '' ORDER BY step) AS proof FROM steps GROUP BY row)
+SELECT ranked.doc_id, ranked.source, ranked.h AS leaf, placed.h AS subroot, top.h AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+  folded_root, folded_root = top.h AS verified
+FROM ranked JOIN placed USING (row) JOIN ends USING (row) LEFT JOIN proofs USING (row) CROSS JOIN (SELECT h FROM upper_trie WHERE n = 1) top
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": JACCARD, "op3_sharding": SHARDING, "secret_base_spans": SECRET_BASE, "quality_base_counts": QUALITY_BASE}
+    return {
+        "op1_jaccard_join": JACCARD, "op3_sharding": SHARDING, "op11_exact_dedup": EXACT_DEDUP, "op12_merkle_manifest": MERKLE,
+        "secret_base_spans": SECRET_BASE, "quality_base_counts": QUALITY_BASE,
+    }

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table."""
+"""The registered queries of the twelve operators, each over its whole table."""
 
 from __future__ import annotations
 
@@ -94,6 +94,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import mark_copies
+
+    return mark_copies(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the secret scan reports of the fixed patterns, which SQL can say."""
     return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
