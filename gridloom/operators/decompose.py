@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frontend import Stencil, halo_of
 from ..plans.lineage import cut
+from .exact import exact_sums
 from .grid import GridFrame
 
 
@@ -124,19 +125,22 @@ def gather(parts: DataFrame, grid: GridFrame, axis: int = 0, halo: int = 1) -> G
     return grid.with_df(parts.where(F.col("owned") | ~inside).select(*grid.keys, *grid.fields))
 
 
-def diagnostics(grid: GridFrame, field: str | None = None, digits: int = 3) -> DataFrame:
-    """Mass, energy, extrema and counts of a field, per batch; sums are rounded, since their order
-    is not fixed."""
+def diagnostics(grid: GridFrame, field: str | None = None) -> DataFrame:
+    """Mass, energy, extrema and counts of a field, per batch; the sums are exact and rounded once, so
+    they do not depend on how the rows are partitioned."""
     u = F.col(field or grid.fields[0])
-    return grid.df.groupBy(*grid.batch).agg(
-        F.round(F.sum(u), digits).alias("mass"),
-        F.round(F.sum(u * u), digits).alias("energy"),
+    keys = list(grid.batch)
+    others = grid.df.groupBy(*keys).agg(
         F.max(F.abs(u)).alias("max_abs"),
         F.min(u).alias("least"),
         F.max(u).alias("most"),
         F.count(u).alias("n_cells"),
         F.count(F.when(u.isNull(), 1)).alias("n_null"),
     )
+    # A sum of zeros has no digits: without batches an empty grid still gives its one row.
+    sums = exact_sums(grid.df, keys, {"mass": u, "energy": u * u})
+    out = others.join(sums, keys) if keys else others.join(F.broadcast(sums), how="left")
+    return out.select(*keys, F.coalesce("mass", F.lit(0.0)).alias("mass"), F.coalesce("energy", F.lit(0.0)).alias("energy"), "max_abs", "least", "most", "n_cells", "n_null")
 
 
 def max_difference(a: GridFrame, b: GridFrame, field: str | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ from ..functions.elementwise import swept
 from ..functions.expr import Access, accesses, fold
 from ..functions.frontend import Stencil
 from ..operators.boundary import apply_boundary
+from ..operators.brickframe import march_bricks
 from ..operators.bricks import SIDES
 from ..operators.decompose import march_parts
 from ..operators.grid import GridFrame
@@ -137,6 +138,8 @@ class StencilPlan:
             return march_parts(grid, self.outputs, self.steps, self.parts, self.axis)
         if self.steps > 1 and self.plan == "brick" and self.bc is None:
             return march_blocked(grid, self.outputs, self.steps, side=self.side)
+        if self.steps > 1 and self.plan == "brick":
+            return march_bricks(grid, self.outputs, self.steps, bc=self.bc, sides=self.side)[0]
         if self.steps > 1:
             return march(grid, self.outputs, self.steps, bc=self.bc, plan=self.plan, strict=self.strict)
         out = fused(grid, self.outputs, halo=self.halo, plan=self.plan, strict=self.strict)

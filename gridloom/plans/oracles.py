@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from ..functions.frontend import Stencil
 from ..operators.boundary import BoundarySpec
 from . import catalogue as cat
-from .queries import BOUNDARIES, GRIDS, MARCHED, SPECIES, SWEEPS
+from .queries import BOUNDARIES, GAPPED, GRIDS, MARCHED, MOST_STEPS, SPECIES, STILL, SWEEPS
 from .sql import sweep_sql
 
 L3 = """SELECT CAST(l_quantity AS INTEGER) - 1 AS i, CAST(round(l_discount * 100) AS INTEGER) AS j,
@@ -45,6 +45,12 @@ def chain(source: str, steps: list[str]) -> str:
     return f"WITH {', '.join(parts)} SELECT * FROM g{len(steps)}"
 
 
+def exact_sum(x: str, bits: int) -> str:
+    """The sum of doubles that are whole numbers of 2^-bits, rounded once: integers in between."""
+    whole, half = f"sum(CAST(({x}) * {float(1 << bits)!r}::DOUBLE AS HUGEINT))", 1 << 48
+    return f"(CAST({whole} // {half} AS DOUBLE) * {float(half)!r}::DOUBLE + CAST({whole} % {half} AS DOUBLE)) / {float(1 << bits)!r}::DOUBLE"
+
+
 def sweep_step(of: str, outputs: Mapping[str, Stencil], halo: str = "keep", keep_fields: bool = True) -> str:
     dims, fields, batch = GRIDS[of]
     return sweep_sql("{0}", dims, fields, batch, outputs, halo, keep_fields)
@@ -162,7 +168,7 @@ WITH g AS ({L3}) SELECT a.i, b.j, c.k, coalesce(u, -1.0) AS u, coalesce(v, -1.0)
  (SELECT CAST(unnest(range(min(j), max(j) + 1)) AS INTEGER) AS j FROM g) b CROSS JOIN
  (SELECT CAST(unnest(range(min(k), max(k) + 1)) AS INTEGER) AS k FROM g) c LEFT JOIN g ON g.i = a.i AND g.j = b.j AND g.k = c.k""",
     "diagnostics_batch": f"""
-SELECT b, round(sum(u), 0) AS mass, round(sum(u * u), 0) AS energy, max(abs(u)) AS max_abs, min(u) AS least, max(u) AS most,
+SELECT b, {exact_sum("u", 50)} AS mass, {exact_sum("u * u", 40)} AS energy, max(abs(u)) AS max_abs, min(u) AS least, max(u) AS most,
  count(u) AS n_cells, count(*) FILTER (WHERE u IS NULL) AS n_null FROM ({SOURCES["B1"]}) GROUP BY b""",
     "max_difference_plans": "SELECT 0.0::DOUBLE AS max_difference, 0::BIGINT AS n_unmatched",
     "decompose_halo": """
@@ -228,6 +234,21 @@ def oracle_sql() -> dict[str, str]:
     marched = boundary_step(("i", "j"), ("u", "v"), MARCHED, (1, 1))
     out["march_neumann_2d"] = chain(SOURCES["V2"], [sweep_step("V2", {"u": cat.heat_2d}), marched] * 3)
     out["march_blocked_fused"] = out["compiled_fused_steps"] = chain(SOURCES["V2"], [sweep_step("V2", SPECIES)] * 3)
+    out["march_bricks_2d"] = chain(SOURCES["E2"], [sweep_step("E2", {"u": cat.heat_2d})] * 5)
+    out["march_bricks_periodic"] = chain(SOURCES["V2"], [sweep_step("V2", SPECIES), marched] * 4)
+    gapped = boundary_step(("i", "j"), ("u", "v"), GAPPED, (1, 1))
+    out["march_bricks_gaps"] = chain(SOURCES["V2s"], [sweep_step("V2s", {"u": cat.heat_2d}), gapped] * 3)
+    # Each step is a sweep and a boundary condition: step n is g2n.
+    still = boundary_step(("i",), ("u",), BoundarySpec.reflecting(1), (1,))
+    inner = "SELECT {0} FROM g{1} a JOIN g{2} b ON b.i = a.i WHERE a.i > (SELECT min(i) FROM g0) AND a.i < (SELECT max(i) FROM g0)"
+    measure = f"{{0}}::INTEGER AS step, 'u' AS field, {exact_sum('a.u', 50)} AS mass, {exact_sum('a.u * a.u', 40)} AS energy, max(abs(a.u - b.u)) AS change, count(*) AS n_cells"
+    flat = boundary_step(("i",), ("u",), BoundarySpec.neumann(1), (1,))
+    steps = chain(SOURCES["O1"], [sweep_step("O1", {"u": cat.heat_1d}), flat] * 4).rsplit(" SELECT * FROM", 1)[0]
+    out["march_measures"] = steps + " " + " UNION ALL ".join(inner.format(measure.format(n), 2 * n, 2 * n - 2) for n in range(1, 5))
+    steps = chain(SOURCES["C1"], [heat, still] * MOST_STEPS).rsplit(" SELECT * FROM", 1)[0]
+    changes = " UNION ALL ".join(inner.format(f"{n} AS step, max(abs(a.u - b.u)) AS change", 2 * n, 2 * n - 2) for n in range(1, MOST_STEPS + 1))
+    states = " UNION ALL ".join(f"SELECT {n}::INTEGER AS step, i, u FROM g{2 * n}" for n in range(1, MOST_STEPS + 1))
+    out["march_until_still"] = f"{steps}, c AS ({changes}) SELECT * FROM ({states}) WHERE step = (SELECT coalesce(min(step), {MOST_STEPS}) FROM c WHERE change <= {STILL!r}::DOUBLE)"
     out["march_parts_2d"] = chain(SOURCES["E2"], [sweep_step("E2", {"u": cat.heat_2d})] * 3)
     out["stored_grid"] = chain(SOURCES["O1"], [sweep_step("O1", {"u": cat.heat_1d}), sweep_step("O1", {"u": cat.advection_upwind})])
     swept = chain(SOURCES["C1"], [heat])

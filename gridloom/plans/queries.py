@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frontend import Stencil
 from ..operators.boundary import BoundarySpec, Side, apply_boundary
+from ..operators.brickframe import march_bricks
 from ..operators.bricks import from_bricks, to_bricks
 from ..operators.decompose import decompose, diagnostics, exchange_halos, gather, march_parts, max_difference
 from ..operators.grid import GridFrame
@@ -196,6 +197,41 @@ def compiled_fused_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compile_fused(SPECIES, steps=3).apply(grid(spark, sf_dir, "V2")).df
 
 
+@query
+def march_bricks_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return march_bricks(grid(spark, sf_dir, "E2"), cat.heat_2d, 5, per_exchange=2)[0].df
+
+
+@query
+def march_bricks_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return march_bricks(grid(spark, sf_dir, "V2"), SPECIES, 4, bc=MARCHED, per_exchange=2, sides=64)[0].df
+
+
+#: Conditions of a march over a grid with gaps.
+GAPPED = BoundarySpec(((Side("reflecting"), Side("dirichlet", 2.5)), (Side("neumann"), Side("reflecting"))))
+
+
+@query
+def march_bricks_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return march_bricks(grid(spark, sf_dir, "V2s"), cat.heat_2d, 3, bc=GAPPED, per_exchange=3, sides=64)[0].df
+
+
+@query
+def march_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mass, energy and largest change of each step, which the bricks measure as they go."""
+    return march_bricks(grid(spark, sf_dir, "O1"), cat.heat_1d, 4, bc="neumann", per_exchange=2, sides=4096, measure=True)[1]
+
+
+#: Largest change at which a march ends, and its most steps.
+STILL, MOST_STEPS = 1500.0, 6
+
+
+@query
+def march_until_still(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, measures, _ = march_bricks(grid(spark, sf_dir, "C1"), cat.heat_1d, MOST_STEPS, bc="reflecting", per_exchange=4, sides=256, tolerance=STILL)
+    return g.df.join(F.broadcast(measures.agg(F.max("step").alias("step"))), how="left")  # one row
+
+
 @query
 def march_parts_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return march_parts(grid(spark, sf_dir, "E2"), {"u": cat.heat_2d}, 3, n=4, axis=1).df
@@ -297,7 +333,7 @@ def densify_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def diagnostics_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics(grid(spark, sf_dir, "B1"), digits=0)
+    return diagnostics(grid(spark, sf_dir, "B1"))
 
 
 @query
