@@ -184,7 +184,7 @@ SELECT CAST(p AS INTEGER) AS part, i, CASE WHEN i BETWEEN lo AND hi THEN u + 1.0
 FROM g JOIN r ON i BETWEEN a - 1 AND z + 1 CROSS JOIN e""",
     "describe_stencils": DESCRIBED,
     "sided_1d": """
-SELECT i, CASE WHEN b IS NULL OR a IS NULL THEN u ELSE CASE WHEN u > 0.5 THEN b ELSE a END + CASE WHEN u <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS u
+SELECT i, CASE WHEN b IS NULL OR a IS NULL THEN u ELSE u - 0.3::DOUBLE * (CASE WHEN a >= b THEN u - b ELSE a - u END) END AS u
 FROM (SELECT c_custkey AS i, c_acctbal AS u, lag(c_acctbal) OVER w AS b, lead(c_acctbal) OVER w AS a FROM customer WINDOW w AS (ORDER BY c_custkey))""",
     "extended_1d": """
 SELECT i, CASE WHEN a IS NULL OR i = min(i) OVER () THEN u
