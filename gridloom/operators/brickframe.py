@@ -125,6 +125,7 @@ class Sweeps:
     around: tuple[int | None, ...]  # the halo of each periodic axis that is continued
     reach: tuple[int, ...]
     measure: tuple[str, ...] = ()
+    bounded: tuple[str, ...] = ()  # the fields whose halo is filled
 
 
 class _Block:
@@ -216,7 +217,7 @@ class _Block:
                 some = (at >= start) & (at < start + n) & (of >= start) & (of < start + n)
                 to = (slice(None),) * x + (at[some] - start,)
                 src = (slice(None),) * x + (of[some] - start,)
-                for f in self.layout.fields:
+                for f in self.sweeps.bounded:
                     if side.kind == "dirichlet":
                         self.values[f][to], self.known[f][to] = side.value, self.here[to]
                     else:
@@ -440,6 +441,7 @@ def march_bricks(
     sides: tuple[int, ...] | int | None = None,
     measure: bool = False,
     tolerance: float | None = None,
+    bounded: tuple[str, ...] | None = None,
 ) -> tuple[GridFrame, DataFrame | None, int]:
     """The grid after ``steps`` sweeps, each followed by the boundary condition: what ``march`` gives.
 
@@ -449,7 +451,8 @@ def march_bricks(
 
     ``tolerance`` ends the march after the first step in which no cell of any field changed by more;
     the grid is that of this step.  ``per_exchange``: sweeps for each exchange, by default as many as
-    keep a widened brick within ``BRICK_BYTES``.
+    keep a widened brick within ``BRICK_BYTES``.  ``bounded``: the fields that the boundary condition
+    holds for, all of them unless given; others keep the halo they have.
 
     Gaps stay gaps, and a missing neighbour gives null, as in ``march``.  A periodic axis must be
     periodic on both sides and the grid without gaps; else a ValueError says so, and ``march`` is
@@ -491,10 +494,12 @@ def march_bricks(
     def planned(n: int, first: int, around: tuple[int | None, ...]) -> Sweeps:
         reach = tuple(n * w + more for w, more in zip(width, near, strict=True))
         # A continued axis is as wide as the margin even where no sweep reads it, for the halo's own cells.
-        return Sweeps(outputs, width, n, first, spec, around, reach, names)
+        return Sweeps(outputs, width, n, first, spec, around, reach, names, grid.fields if bounded is None else bounded)
 
     most = tuple(depth * w + more for w, more in zip(width, near, strict=True))
     bricks = BrickFrame.of(grid, tuple(max(s, 2 * r, 1) for s, r in zip(asked, most, strict=True)))
+    if wraps and bounded is not None and set(bounded) != set(grid.fields):
+        raise ValueError("a periodic axis holds for all fields")
     if wraps and not bricks.dense():
         bricks.forget()
         raise ValueError("a periodic axis needs a grid without gaps: march() fills those")

@@ -21,26 +21,36 @@ from .grid import GridFrame
 SIDES = {1: 1 << 16, 2: 256, 3: 48}
 
 
-def _copies(grid: GridFrame, side: int, reach: tuple[int, ...]) -> DataFrame:
-    """Rows with the block (``_b0`` ...) that owns or borders them."""
-    df = grid.df
+def block_names(grid: GridFrame) -> list[str]:
+    return [f"_b{x}" for x in range(len(grid.dims))]
+
+
+def with_blocks(df: DataFrame, grid: GridFrame, side: int, reach: tuple[int, ...]) -> DataFrame:
+    """Rows with the block (``_b0`` ...) that owns them, or each block within ``reach``."""
     for x, (d, r) in enumerate(zip(grid.dims, reach, strict=True)):
         at = F.col(d).cast("long") - grid.extents[x][0]
-        blocks = F.sequence(F.floor((at - r) / side), F.floor((at + r) / side)) if r else F.array(F.floor(at / side))
-        df = df.withColumn(f"_b{x}", F.explode(blocks))
+        if r:
+            df = df.withColumn(f"_b{x}", F.explode(F.sequence(F.floor((at - r) / side), F.floor((at + r) / side))))
+        else:
+            df = df.withColumn(f"_b{x}", F.floor(at / side))
     return df
 
 
 def brick_sweep(
     grid: GridFrame, outputs: Mapping[str, Stencil], width: tuple[int, ...], halo: str = "keep",
-    steps: int = 1, side: int | None = None, keep_fields: bool = False,
+    steps: int = 1, side: int | None = None, keep_fields: bool = False, blocks: DataFrame | None = None,
 ) -> DataFrame:
-    """``steps`` sweeps (more than one only if the outputs are the fields they read)."""
+    """``steps`` sweeps (more than one only if the outputs are the fields they read).
+
+    ``blocks`` (batch, ``_b0`` ...) names the blocks that are computed, else all are.
+    """
     side = max(side or SIDES[len(grid.dims)], 2 * steps * max((*width, 1)))
     reach = tuple(steps * w for w in width)
     dims, keys, n_dims = grid.dims, grid.keys, len(grid.dims)
-    blocks = [f"_b{x}" for x in range(n_dims)]
-    copied = _copies(grid, side, reach)
+    names = block_names(grid)
+    copied = with_blocks(grid.df, grid, side, reach)
+    if blocks is not None:
+        copied = copied.join(blocks, [*grid.batch, *names], "left_semi")
     kinds = dict(grid.df.dtypes)
     kept = [f for f in grid.fields if f not in outputs] if keep_fields else []
     schema = ", ".join(
@@ -114,7 +124,7 @@ def brick_sweep(
             columns.append(pa.array(v[where], mask=~k[where]))
         return pa.table(columns, names=[*keys, *kept, *results])
 
-    return copied.groupBy(*grid.batch, *blocks).applyInArrow(run, schema)
+    return copied.groupBy(*grid.batch, *names).applyInArrow(run, schema)
 
 
 def _typed(s: Stencil):
@@ -164,4 +174,4 @@ def from_bricks(bricks: DataFrame, like: GridFrame, side: int, field: str | None
     return like.with_df(cells, (field,))
 
 
-__all__ = ["brick_sweep", "from_bricks", "to_bricks"]
+__all__ = ["block_names", "brick_sweep", "from_bricks", "to_bricks", "with_blocks"]

@@ -24,6 +24,7 @@ def test_every_oracle_has_a_query():
 def test_imports_without_the_subpackage(tmp_path):
     for f in ("__spark_entry__.py", "bench.py"):
         shutil.copy(ROOT / f, tmp_path)
+    shutil.copytree(ROOT / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copytree(ROOT / "gridloom", tmp_path / "gridloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(k.startswith('op') for k in q); e.oracle_sql(); import bench"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, timeout=120)
