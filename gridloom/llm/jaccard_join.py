@@ -4,7 +4,7 @@ A document's set holds its distinct word n-grams.  Two sets of sizes m and n lin
 |A & B| >= t |A | B|, which asks for an overlap of at least t / (1 + t) (m + n).
 
 1. One pass makes the sets, names each by a digest (equal sets, so all exact copies, are one node
-   from here on), and reports locally frequent n-grams.  Their totals, at most ``FREQUENT`` rows,
+   from here on), and reports locally frequent n-grams.  Their totals, at most ``frequent`` rows,
    fix the global order: rare n-grams by hash, then the frequent ones by rising count.  Any fixed
    order gives the same links; this one keeps shared passages out of the prefixes.
 2. Two linked sets share an n-gram within the first n - ceil(t n) + 1 of each.  These prefixes go
@@ -32,6 +32,7 @@ The sides of all joins grow with the corpus, so they are joined by shuffle at ev
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -43,25 +44,37 @@ from pyspark.sql import functions as F
 from .common import as_array, forget, mix, partitions_for, saved, slices, word_hashes
 from .components import connected_components
 
-#: Most frequent n-grams that the global order places one by one (16 bytes each on the driver).
-FREQUENT = 1 << 17
-#: An n-gram is reported as frequent by a segment of documents that holds it so often.
-LEAST_COUNT, LEAST_SHARE = 8, 1 / 500
-SEGMENT = 2_000_000
-#: A group of at most this many sets yields its pairs; a larger one yields a star and its list.
-SMALL = 8
-#: Sets that stand first in a large group, by name; all of a family's copies meet the same ones.
-LEADERS = 8
-#: Sets in a block's trie, sets that probe it, and n-grams of either.
-BLOCK, PROBES, TOKENS = 512, 4096, 1 << 22
 #: Largest lists of each set that its pairs are looked for first.
 TOPS = 4
 #: Probes that walk a trie together.
 TOGETHER = 32
-#: Prefix entries of one n-gram in one bucket; an n-gram with more is dealt to several.
-HOT = 1 << 17
 #: Bits of the bitmap that tells which texts a verification needs.
 BITMAP = 1 << 23
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Sizes at which work is cut up; no link depends on them.  They travel to the workers."""
+
+    #: Most frequent n-grams that the global order places one by one (16 bytes each on the driver).
+    frequent: int = 1 << 17
+    #: An n-gram is reported as frequent by a segment of documents that holds it so often.
+    least_count: int = 8
+    least_share: float = 1 / 500
+    segment: int = 2_000_000
+    #: A group of at most this many sets yields its pairs; a larger one yields a star and its list.
+    small: int = 8
+    #: Sets that stand first in a large group, by name; all of a family's copies meet the same ones.
+    leaders: int = 8
+    #: Sets in a block's trie, sets that probe it, and n-grams of either.
+    block: int = 512
+    probes: int = 4096
+    tokens: int = 1 << 22
+    #: Prefix entries of one n-gram in one bucket; an n-gram with more is dealt to several.
+    hot: int = 1 << 17
+
+
+LIMITS = Limits()
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -111,7 +124,8 @@ def fold(bits: np.ndarray, width: int) -> np.ndarray:
 class Order:
     """The global order: rare n-grams by hash, then frequent ones by rising count."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, limits: Limits):
+        self.limits = limits
         by_count = np.lexsort((hashes, counts))
         rank = np.empty(len(hashes), np.int64)
         rank[by_count] = np.arange(len(hashes))
@@ -119,7 +133,7 @@ class Order:
         self.hashes, self.rank = hashes[by_hash], rank[by_hash]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        hot = counts > HOT
+        hot = counts > limits.hot
         by = np.argsort(hashes[hot])
         self.hot, self.hot_counts = hashes[hot][by], counts[hot][by]
 
@@ -136,12 +150,13 @@ class Order:
         frequent = grams[where][np.argsort(self.rank[at[hit]], kind="stable")]
         return np.concatenate((np.delete(grams, where), frequent))
 
-
     def dealt(self, grams: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and salts of prefix entries: one row each, with salt 0, unless the n-gram is hot.
 
-        A hot n-gram's entries are dealt by set.  The sets with the least digests, some LEADERS of
-        them, go to all salts, so that every salt's members meet the same first sets.
+        A hot n-gram's entries are dealt by set.  The sets with the least digests, some leaders of
+        them, go to all salts, so that every salt's members meet the same first sets.  Counts are of
+        rows: where most are copies of few sets, a salt may hold very few, and no leader.  So the
+        members of every salt are listed, however few they are, and meet in the n-gram's list.
         """
         row, salt = np.arange(len(grams)), np.zeros(len(grams), np.int64)
         if not len(self.hot):
@@ -149,9 +164,9 @@ class Order:
         at = np.minimum(np.searchsorted(self.hot, grams), len(self.hot) - 1)
         hit = np.flatnonzero(self.hot[at] == grams)
         count = self.hot_counts[at[hit]]
-        salts = -(-count // HOT)
+        salts = -(-count // self.limits.hot)
         salt[hit] = (mix(sids[hit].view(np.uint64)) % salts.astype(np.uint64)).astype(np.int64)
-        first = sids[hit] / 2.0**64 + 0.5 < 4 * LEADERS / count
+        first = sids[hit] / 2.0**64 + 0.5 < 4 * self.limits.leaders / count
         copies = salts[first] - 1
         more = np.repeat(hit[first], copies)
         turn = np.arange(len(more)) - np.repeat(np.cumsum(copies) - copies, copies) + 1
@@ -171,14 +186,14 @@ def _sets(table: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
         yield from zip(range(lo, hi), shingle_sets(texts.slice(lo, hi - lo), k), strict=True)
 
 
-def _profile(k: int):
+def _profile(k: int, limits: Limits):
     """(doc_id, text, key) to rows of kind 0 (doc_id, size, set, key, bitmap) and 1 (n-gram, local count)."""
 
     def frequent(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         if not held:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         values, counts = np.unique(np.concatenate(held), return_counts=True)
-        keep = counts >= max(LEAST_COUNT, len(held) * LEAST_SHARE)
+        keep = counts >= max(limits.least_count, len(held) * limits.least_share)
         return values[keep], counts[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +218,7 @@ def _profile(k: int):
                 seen.add(sid[-1])
                 held.append(grams)
                 total += len(grams)
-                if total >= SEGMENT:
+                if total >= limits.segment:
                     v, c = frequent(held)
                     yield out(1, v.view(np.int64), c, c, c)
                     held, total = [], 0
@@ -293,9 +308,10 @@ def _similar(m: np.ndarray, n: np.ndarray, t: Fraction) -> np.ndarray:
     return t.denominator * np.minimum(m, n) >= t.numerator * np.maximum(m, n)
 
 
-def _groups(t: Fraction):
+def _groups(t: Fraction, order, limits: Limits):
     """Packed prefixes, sorted by bucket, to pairs (kind 0: sets x and y, votes of small groups,
-    votes of stars, sizes) and large groups' rows (kind 1: n-gram, set, 0, 0, size, size)."""
+    votes of stars, sizes) and the rows of large groups and of all hot n-grams (kind 1: n-gram, set,
+    0, 0, size, size)."""
     names = ("x", "y", "small", "star", "m", "n")
 
     def out(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -313,25 +329,27 @@ def _groups(t: Fraction):
         many = np.repeat(each, each)
         first = np.repeat(starts, each)
         ends, others = [], []
-        for d in range(1, SMALL):
-            i = np.flatnonzero((many[d:] <= SMALL) & (grams[d:] == grams[:-d])) + d
+        for d in range(1, limits.small):
+            i = np.flatnonzero((many[d:] <= limits.small) & (grams[d:] == grams[:-d])) + d
             i = i[_similar(sizes[i], sizes[i - d], t)]
             ends.append(i)
             others.append(i - d)
-        large = np.flatnonzero(many > SMALL)
+        large = np.flatnonzero(many > limits.small)
+        # A hot n-gram's sets lie in several groups, so even a small one of them is no whole group.
+        listed = np.flatnonzero((many > limits.small) | np.isin(grams, order.value.hot))
         members, leaders = [large[:0]], [large[:0]]
-        for r in range(LEADERS):
+        for r in range(limits.leaders):
             i = large[large - first[large] > r]
             i = i[_similar(sizes[i], sizes[first[i] + r], t)]
             members.append(i)
             leaders.append(first[i] + r)
-        zero = np.zeros(len(large), np.int64)
+        zero = np.zeros(len(listed), np.int64)
         pairs = (([*ends, large[:0]], [*others, large[:0]]), (members, leaders))
         for k, (i, j) in enumerate((np.concatenate(a), np.concatenate(b)) for a, b in pairs):
             at, votes = _unique_pairs(sids[i], sids[j])
             none = np.zeros(len(at), np.int64)
             yield out(0, sids[i][at], sids[j][at], none if k else votes, votes if k else none, sizes[i][at], sizes[j][at])
-        yield out(1, grams[large].view(np.int64), sids[large], zero, zero, sizes[large], sizes[large])
+        yield out(1, grams[listed].view(np.int64), sids[listed], zero, zero, sizes[listed], sizes[listed])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -552,9 +570,9 @@ def _linked(docs: DataFrame, profile: DataFrame, rows: DataFrame, order, k: int,
 KEY = ("tile", "part", "chunk")
 
 
-def _partner_blocks(pairs: DataFrame) -> DataFrame:
+def _partner_blocks(pairs: DataFrame, limits: Limits) -> DataFrame:
     """Pairs (x, y, rx, ry: their components) as blocks: each y is a trie, the sets x probe it."""
-    asked = pairs.groupBy("y").agg(F.max("ry").alias("ry"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("c"))
+    asked = pairs.groupBy("y").agg(F.max("ry").alias("ry"), F.ceil(F.count(F.lit(1)) / limits.block).alias("c"))
     key = [F.col("y").alias("tile"), F.lit(-1).cast("long").alias("part")]
     held = asked.select(*key, F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("chunk"), F.col("y").alias("sid"), F.col("ry").alias("root"), F.lit(True).alias("held"))
     probes = pairs.join(asked.select("y", "c").hint("merge"), "y")
@@ -584,7 +602,7 @@ def may_link(held: list[np.ndarray], probes: list[np.ndarray], m: np.ndarray, n:
     return hits, hit
 
 
-def _list_blocks(profile: DataFrame, lists: DataFrame, roots: DataFrame, t: Fraction) -> DataFrame | None:
+def _list_blocks(profile: DataFrame, lists: DataFrame, roots: DataFrame, t: Fraction, limits: Limits) -> DataFrame | None:
     """Blocks for the large groups' lists (gram, sid, n) that hold several components, if any.  The
     lists' table is read once and deleted.
 
@@ -612,11 +630,11 @@ def _list_blocks(profile: DataFrame, lists: DataFrame, roots: DataFrame, t: Frac
     forget(first)
     plan = near.groupBy("gram").agg(F.count(F.when(~F.col("covered"), 1)).alias("loose"), F.sum("n").alias("tokens"))
     near = near.join(plan.hint("merge"), "gram").withColumn("k", F.least("loose", "others")).where("k > 0")
-    share = F.col("tokens") / TOKENS
+    share = F.col("tokens") / limits.tokens
     near = near.withColumns({
         "held": F.when(F.col("loose") <= F.col("others"), ~F.col("covered")).otherwise(F.col("root") != F.col("main")),
-        "parts": F.ceil(F.greatest(F.col("k") / BLOCK, share * F.col("k") / F.col("m"))),
-        "chunks": F.ceil(F.greatest(F.col("m") / PROBES, share)),
+        "parts": F.ceil(F.greatest(F.col("k") / limits.block, share * F.col("k") / F.col("m"))),
+        "chunks": F.ceil(F.greatest(F.col("m") / limits.probes, share)),
         "tops": F.transform(F.filter("tops", lambda x: x > F.struct(F.col("m"), F.col("gram"))), lambda x: x["gram"]),
     })
     bits = profile.groupBy("sid").agg(F.first("bits").alias("bits"))
@@ -649,23 +667,23 @@ def _list_blocks(profile: DataFrame, lists: DataFrame, roots: DataFrame, t: Frac
     return blocks.groupBy(*KEY).applyInArrow(run, "tile bigint, part bigint, chunk bigint, sid bigint, root bigint, held boolean")
 
 
-def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, text_col: str, limits: Limits) -> tuple[DataFrame, DataFrame]:
     """Rows (id, key, n, root) with words, and rows (id, key, n) without; key: digest of id and text."""
     t = Fraction(*threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
     sc = docs.sparkSession.sparkContext
-    first = saved(docs.mapInArrow(_profile(k), "kind bigint, id bigint, n bigint, sid bigint, key bigint, bits binary"), "jaccard-profile")
+    first = saved(docs.mapInArrow(_profile(k, limits), "kind bigint, id bigint, n bigint, sid bigint, key bigint, bits binary"), "jaccard-profile")
     profile = first.where("kind = 0").select("id", "n", "sid", "key", "bits")
     frequent = first.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
-    top = frequent.orderBy(F.desc("n"), "id").limit(FREQUENT).collect()  # at most FREQUENT rows
+    top = frequent.orderBy(F.desc("n"), "id").limit(limits.frequent).collect()  # at most so many rows
     grams = np.array([r["id"] for r in top], np.int64).view(np.uint64)
-    order = sc.broadcast(Order(grams, np.array([r["n"] for r in top], np.int64)))
+    order = sc.broadcast(Order(grams, np.array([r["n"] for r in top], np.int64), limits))
 
     parts = partitions_for(docs)
     packed = docs.mapInArrow(_prefixes(k, t, order, 4 * parts), "bucket int, grams binary, sids binary, sizes binary")
     dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
     kind = "kind int, x bigint, y bigint, small bigint, star bigint, m bigint, n bigint"
-    met = saved(dealt.mapInArrow(_groups(t), kind), "jaccard-met")
+    met = saved(dealt.mapInArrow(_groups(t, order, limits), kind), "jaccard-met")
 
     pairs = met.where("kind = 0").groupBy("x", "y").agg(F.sum("small").alias("small"), F.sum("star").alias("star"), F.max("m").alias("m"), F.max("n").alias("n"))
     pairs = saved(pairs, "jaccard-candidates")
@@ -675,7 +693,7 @@ def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, te
     best = pairs.where(_possible(votes, t)).groupBy("x").agg(F.max(F.struct(votes.alias("w"), (-F.col("y")).alias("y"))).alias("b"))
     best = best.select("x", (-F.col("b.y")).alias("y"))
     first = best.select("x", "y", F.col("x").alias("rx"), F.col("y").alias("ry"))
-    links = _linked(docs, profile, _partner_blocks(first), order, k, t)
+    links = _linked(docs, profile, _partner_blocks(first, limits), order, k, t)
     roots = connected_components(links)
 
     a = roots.select(F.col("id").alias("x"), F.col("root").alias("rx"))
@@ -684,8 +702,8 @@ def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, te
     # meet in the blocks of a list.
     apart = pairs.where(_possible(F.col("small"), t) & (F.col("small") > 0)).join(best.hint("merge"), ["x", "y"], "left_anti")
     apart = apart.join(a.hint("merge"), "x", "left").join(b.hint("merge"), "y", "left").select("x", "y", F.coalesce("rx", "x").alias("rx"), F.coalesce("ry", "y").alias("ry"))
-    blocks = _partner_blocks(apart.where("rx <> ry"))
-    of_lists = _list_blocks(profile, lists, roots, t)
+    blocks = _partner_blocks(apart.where("rx <> ry"), limits)
+    of_lists = _list_blocks(profile, lists, roots, t, limits)
     more = _linked(docs, profile, blocks if of_lists is None else blocks.union(of_lists), order, k, t)
     if not more.isEmpty():
         roots = connected_components(links.union(more))
@@ -696,8 +714,9 @@ def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, te
 
 
 def jaccard_components(
-    docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text",
+    limits: Limits = LIMITS,
+) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row.
 
     Null and empty texts: size 0, linked with nothing, their own id as component.  Null ids: the
@@ -705,21 +724,22 @@ def jaccard_components(
     each gets its row.  Empty table: empty result.  Other columns are ignored.  N-grams are
     compared by 64-bit digests in prefixes and by 48 bits of them in overlaps.
     """
-    full, empty = _rooted(docs, k, threshold, id_col, text_col)
+    full, empty = _rooted(docs, k, threshold, id_col, text_col, limits)
     least = full.groupBy("root").agg(F.min("id").alias("component_id"))
     named = full.join(least.hint("merge"), "root").selectExpr("id AS doc_id", "n AS n_shingles", "component_id")
     return named.union(empty.selectExpr("id", "n", "id"))
 
 
 def one_of_each(
-    docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text",
+    limits: Limits = LIMITS,
+) -> DataFrame:
     """The rows of ``docs``, all columns as they are, with one row of each component.
 
     The row of least id stays, then of least digest of id and text; null ids come last.  Of rows
     equal in id and text one stays.  Rows without words have no links and all stay.
     """
-    full, _ = _rooted(docs, k, threshold, id_col, text_col)
+    full, _ = _rooted(docs, k, threshold, id_col, text_col, limits)
     full = saved(full, "jaccard-rooted")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     best = full.groupBy("root").agg(F.min(rank).alias("best")).select("root", F.col("best.key").alias("stays"))

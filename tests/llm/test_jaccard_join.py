@@ -58,14 +58,11 @@ def corpus(seed, n=160):
 
 
 @pytest.mark.parametrize("seed, small, block, count", [(1, 8, 512, 8), (2, 2, 6, 3), (3, 1, 3, 2)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, small, block, count):
-    monkeypatch.setattr(jj, "SMALL", small)
-    monkeypatch.setattr(jj, "BLOCK", block)
-    monkeypatch.setattr(jj, "LEAST_COUNT", count)
-    monkeypatch.setattr(jj, "LEAST_SHARE", 0.0)
+def test_components_equal_brute_force(spark, seed, small, block, count):
+    limits = jj.Limits(small=small, block=block, least_count=count, least_share=0.0)
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "id").selectExpr("id AS doc_id", "text", "1 AS sid", "2 AS root")
-    got = sorted((tuple(r) for r in jj.jaccard_components(df.repartition(3)).collect()), key=repr)
+    got = sorted((tuple(r) for r in jj.jaccard_components(df.repartition(3), limits=limits).collect()), key=repr)
     assert got == brute(rows)
 
 
@@ -109,15 +106,25 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("seed, hot, probes, tokens", [(4, 4, 5, 1 << 22), (5, 2, 4096, 90)])
-def test_hot_ngrams_and_small_blocks_lose_nothing(spark, monkeypatch, seed, hot, probes, tokens):
-    for name, value in (("SMALL", 2), ("LEADERS", 1), ("LEAST_COUNT", 2), ("LEAST_SHARE", 0.0), ("HOT", hot), ("BLOCK", 4), ("PROBES", probes), ("TOKENS", tokens)):
-        monkeypatch.setattr(jj, name, value)
+def test_hot_ngrams_and_small_blocks_lose_nothing(spark, seed, hot, probes, tokens):
+    limits = jj.Limits(small=2, leaders=1, least_count=2, least_share=0.0, hot=hot, block=4, probes=probes, tokens=tokens)
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((tuple(r) for r in jj.jaccard_components(df.repartition(3)).collect()), key=repr)
+    got = sorted((tuple(r) for r in jj.jaccard_components(df.repartition(3), limits=limits).collect()), key=repr)
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("leaders", [1, 8])
+def test_few_sets_of_very_many_copies_stay_one_group(spark, leaders):
+    """Ten near copies that all link, each in many tasks: their n-grams are hot, but few sets hold them."""
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*base[:-1], f"end{i}"]) for i in range(10)]
+    rows = [(40 * i + c, t) for i, t in enumerate(texts) for c in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40, "doc_id")
+    got = jj.jaccard_components(df, limits=jj.Limits(hot=64, leaders=leaders)).collect()
+    assert len(got) == 400 and {r["component_id"] for r in got} == {0}
+
+
 def near_copies(n, seed=3):
     """Copies of one text, each with so many words changed that most pairs do not link."""
     rng = random.Random(seed)
