@@ -197,7 +197,8 @@ def stored_leaves(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     were, which names the document from now on), leaf, points, tokens and text.
 
     Null and empty texts: one empty leaf.  Rows equal in id and text are one document.  Null ids:
-    they are counted, but no edit names them.  Empty table: empty result.
+    they are counted, but no edit names them.  Very long texts have as many leaves as they need.
+    Other columns are ignored.  Empty table: empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +223,7 @@ def stored_leaves(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
 
 def token_totals(table: DataFrame) -> DataFrame:
-    """doc_id, key, n_tokens, n_points and n_leaves of each document of a table of leaves."""
+    """doc_id, key, n_tokens, n_points and n_leaves of each document of a table of leaves; of an empty one, none."""
     sums = [F.sum("tokens").alias("n_tokens"), F.sum("points").alias("n_points"), F.count(F.lit(1)).alias("n_leaves")]
     return table.groupBy("doc_id", "key").agg(*sums)
 
@@ -233,10 +234,14 @@ def edit_leaves(table: DataFrame, edits: DataFrame, tokenizer_path: str) -> Data
 
     The sizes of the edited documents' leaves tell which leaves an edit touches, with a neighbour
     where it touches an end; only these are read as text, edited and encoded.  Edits outside a text
-    are moved to its end; overlaps as in ``count_edited``; edits of unknown or null ids change
-    nothing; null texts delete.
+    are moved to its end; overlaps as in ``count_edited``, where edits of one place come in the order
+    of their texts; equal edits are applied as often as they stand there.  Edits of unknown or null
+    ids change nothing; null texts delete; without edits or leaves the table stays as it is.  Very
+    long texts are read leaf by leaf.  Other columns of the edits are ignored.
     """
     asked = edits.where("doc_id IS NOT NULL").select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    # Equal edits stay apart by their numbers.
+    asked = asked.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end", "text")))
     sizes = table.select("doc_id", "key", "leaf", "points").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
     own = Window.partitionBy("doc_id", "key")
     before = F.sum("points").over(own.orderBy("leaf").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("points")
@@ -244,7 +249,7 @@ def edit_leaves(table: DataFrame, edits: DataFrame, tokenizer_path: str) -> Data
     start = F.greatest(F.lit(0), F.least("start", "n"))
     end = F.greatest(start, F.least("end", "n"))
     pairs = placed.join(asked, "doc_id").withColumns({"s": start, "e": end}).where("at <= e AND at + points >= s")
-    changes = F.sort_array(F.collect_set(F.struct("s", "e", "text"))).alias("edits")
+    changes = F.sort_array(F.collect_set(F.struct("s", "e", "nth", "text"))).alias("edits")
     touched = saved(pairs.groupBy("doc_id", "key", "leaf", "at").agg(changes), "touched-leaves")
     work = table.join(touched, ["doc_id", "key", "leaf"])
 
@@ -258,7 +263,8 @@ def edit_leaves(table: DataFrame, edits: DataFrame, tokenizer_path: str) -> Data
                 hi += 1
             run_of, first = rows[lo:hi], rows[lo]["at"]
             doc = DocumentCount([r["text"] for r in run_of], [r["tokens"] for r in run_of], encode)
-            doc.apply(sorted({(e["s"] - first, e["e"] - first, e["text"]) for r in run_of for e in r["edits"]}))
+            own = sorted({(e["s"] - first, e["e"] - first, e["nth"], e["text"]) for r in run_of for e in r["edits"]})
+            doc.apply([(s, e, text) for s, e, _, text in own])
             out += [
                 {**{c: r[c] for c in ("doc_id", "key", "leaf")}, "points": doc.points.value(i), "tokens": doc.tokens.value(i), "text": doc.pieces[i]}
                 for i, r in enumerate(run_of)

@@ -185,6 +185,17 @@ def test_stored_leaves_under_edits_equal_a_full_count(spark, tokenizer):
     assert token_counts.edit_leaves(table.limit(0), edits, tokenizer_path()).collect() == []
 
 
+def test_equal_edits_are_each_applied(spark, tokenizer):
+    text, many = "alpha beta gamma delta", [(5, 5, " new word")] * 2 + [(10, 16, ""), (10, 16, "")]
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    table = token_counts.saved(token_counts.stored_leaves(docs, tokenizer_path()), "leaves")
+    edits = spark.createDataFrame([(1, *e) for e in many], "doc_id long, start int, end int, text string")
+    after = token_counts.token_totals(token_counts.edit_leaves(table, edits, tokenizer_path())).first()["n_tokens"]
+    column = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(t).alias("text")) for a, b, t in many])
+    assert after == token_counts.count_edited(docs, column, tokenizer_path()).first()["n_tokens_after"] == len(ids_of(tokenizer, "alpha new word new word beta delta"))
+    assert token_counts.edit_leaves(table, edits.limit(0), tokenizer_path()).collect() == table.collect()
+
+
 def test_overlapping_edits(tokenizer):
     doc = token_counts.DocumentCount.of("abcdefghij", packing.encoder(tokenizer_path()))
     doc.apply([(1, 5, "X"), (3, 7, "Y"), (2, 3, "Z")])
