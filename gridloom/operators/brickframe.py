@@ -356,14 +356,18 @@ class BrickFrame:
     @classmethod
     def of(cls, grid: GridFrame, sides: tuple[int, ...] | int | None = None) -> BrickFrame:
         """Pack a grid; a side is at most as long as the grid."""
+        return cls._stored(*cls.packed(grid, sides), grid)
+
+    @staticmethod
+    def packed(grid: GridFrame, sides: tuple[int, ...] | int | None = None) -> tuple[DataFrame, Layout]:
+        """The bricks of a grid, not yet written."""
         n = len(grid.dims)
         asked = sides if isinstance(sides, tuple) else (sides or SIDES[n],) * n
         sides = tuple(max(1, min(s, hi - lo + 1)) for s, (lo, hi) in zip(asked, grid.extents, strict=True))
         layout = Layout(grid.dims, grid.fields, grid.batch, grid.extents, dict(grid.df.dtypes), sides)
         places = [F.floor((F.col(d).cast("long") - lo) / s).alias(f"b_{d}") for d, (lo, _), s in zip(grid.dims, grid.extents, sides, strict=True)]
         cells = grid.df.select("*", *places)
-        packed = cells.groupBy(*layout.keys).applyInArrow(_pack(layout), layout.schema(False))
-        return cls._stored(packed, layout, grid)
+        return cells.groupBy(*layout.keys).applyInArrow(_pack(layout), layout.schema(False)), layout
 
     @classmethod
     def _stored(cls, df: DataFrame, layout: Layout, like: GridFrame, **more: Any) -> BrickFrame:
@@ -433,7 +437,7 @@ def _measures(bricks: BrickFrame) -> DataFrame:
 
 
 def march_bricks(
-    grid: GridFrame,
+    grid: GridFrame | BrickFrame,
     update: Stencil | Mapping[str, Stencil],
     steps: int,
     bc: Any = None,
@@ -447,7 +451,8 @@ def march_bricks(
 
     Returns the grid, the measures of each step if asked for (batch, step, field, mass, energy,
     change, n_cells, over the interior), and the number of exchanges.  ``update``: a stencil of one
-    field, or fields to stencils that all read the old state; each output must be a field.
+    field, or fields to stencils that all read the old state; each output must be a field.  A frame of
+    bricks is taken as it is and stays; its sides are its own.
 
     ``tolerance`` ends the march after the first step in which no cell of any field changed by more;
     the grid is that of this step.  ``per_exchange``: sweeps for each exchange, by default as many as
@@ -458,6 +463,8 @@ def march_bricks(
     periodic on both sides and the grid without gaps; else a ValueError says so, and ``march`` is
     the plan to take.
     """
+    given = grid if isinstance(grid, BrickFrame) else None
+    grid = given.like if given is not None else grid
     if isinstance(update, Stencil):
         update = {update.fields[0]: update}
     unknown = set(update) - set(grid.fields)
@@ -485,6 +492,7 @@ def march_bricks(
         else:
             near[x] = 2 * h - 1
     outputs = {n: s.plain() for n, s in update.items()}
+    sides = given.layout.sides if given is not None else sides
     asked = sides if isinstance(sides, tuple) else (sides or SIDES[n_dims],) * n_dims
     depth = per_exchange or temporal_depth(width, asked, BRICK_BYTES)
     measure = measure or tolerance is not None
@@ -497,11 +505,17 @@ def march_bricks(
         return Sweeps(outputs, width, n, first, spec, around, reach, names, grid.fields if bounded is None else bounded)
 
     most = tuple(depth * w + more for w, more in zip(width, near, strict=True))
-    bricks = BrickFrame.of(grid, tuple(max(s, 2 * r, 1) for s, r in zip(asked, most, strict=True)))
+    if given is None:
+        bricks = BrickFrame.of(grid, tuple(max(s, 2 * r, 1) for s, r in zip(asked, most, strict=True)))
+    elif any(s < 2 * r and n > 1 for s, r, n in zip(asked, most, given.layout.counts, strict=True)):
+        raise ValueError(f"bricks of {asked} cells are too small for {depth} sweeps in one exchange")
+    else:
+        bricks = given
     if wraps and bounded is not None and set(bounded) != set(grid.fields):
         raise ValueError("a periodic axis holds for all fields")
     if wraps and not bricks.dense():
-        bricks.forget()
+        if bricks is not given:
+            bricks.forget()
         raise ValueError("a periodic axis needs a grid without gaps: march() fills those")
     done, metrics, stop = 0, [], False
     none: tuple[int | None, ...] = (None,) * n_dims
@@ -524,11 +538,13 @@ def march_bricks(
             path = f"{shared_dir(grid.df.sparkSession)}/measures-{uuid.uuid4().hex}"
             found.select(*keys, "mass", "energy", "change", "n_cells").coalesce(1).write.parquet(path)
             metrics.append(path)
-        bricks.forget()
+        if bricks is not given:
+            bricks.forget()
         bricks = after
     if wraps and done == 1:  # the halo after a first sweep is filled by the next exchange
         after = bricks.exchange(replace(planned(0, 2, tuple(periodic)), measure=(), reach=tuple(max(1, m) for m in near)))
-        bricks.forget()
+        if bricks is not given:
+            bricks.forget()
         bricks = after
     read = grid.df.sparkSession.read.parquet(*metrics) if metrics else None
     return bricks.cells(), read, bricks.exchanges

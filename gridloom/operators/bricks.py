@@ -25,12 +25,19 @@ def block_names(grid: GridFrame) -> list[str]:
     return [f"_b{x}" for x in range(len(grid.dims))]
 
 
+def sides_of(grid: GridFrame, side: int) -> tuple[int, ...]:
+    """The cells of a block along each axis: ``side``, or the whole axis if that is shorter."""
+    return tuple(max(1, min(side, hi - lo + 1)) for lo, hi in grid.extents)
+
+
 def with_blocks(df: DataFrame, grid: GridFrame, side: int, reach: tuple[int, ...]) -> DataFrame:
-    """Rows with the block (``_b0`` ...) that owns them, or each block within ``reach``."""
-    for x, (d, r) in enumerate(zip(grid.dims, reach, strict=True)):
-        at = F.col(d).cast("long") - grid.extents[x][0]
+    """Rows with the block (``_b0`` ...) that owns them, or each block of the grid within ``reach``."""
+    for x, (d, r, side) in enumerate(zip(grid.dims, reach, sides_of(grid, side), strict=True)):
+        lo, hi = grid.extents[x]
+        at = F.col(d).cast("long") - lo
         if r:
             df = df.withColumn(f"_b{x}", F.explode(F.sequence(F.floor((at - r) / side), F.floor((at + r) / side))))
+            df = df.where(F.col(f"_b{x}").between(0, (hi - lo) // side))
         else:
             df = df.withColumn(f"_b{x}", F.floor(at / side))
     return df
@@ -45,6 +52,7 @@ def brick_sweep(
     ``blocks`` (batch, ``_b0`` ...) names the blocks that are computed, else all are.
     """
     side = max(side or SIDES[len(grid.dims)], 2 * steps * max((*width, 1)))
+    sides = sides_of(grid, side)
     reach = tuple(steps * w for w in width)
     dims, keys, n_dims = grid.dims, grid.keys, len(grid.dims)
     names = block_names(grid)
@@ -60,9 +68,9 @@ def brick_sweep(
     outputs = {n: s.plain() for n, s in outputs.items()}
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        first = [extents[x][0] + key[len(batch) + x].as_py() * side for x in range(n_dims)]
+        first = [extents[x][0] + key[len(batch) + x].as_py() * sides[x] for x in range(n_dims)]
         low = [f - r for f, r in zip(first, reach, strict=True)]
-        shape = tuple(side + 2 * r for r in reach)
+        shape = tuple(s + 2 * r for s, r in zip(sides, reach, strict=True))
         at = tuple(table.column(d).to_numpy().astype(np.int64) - lo for d, lo in zip(dims, low, strict=True))
         here = np.zeros(shape, bool)
         here[at] = True
@@ -84,8 +92,9 @@ def brick_sweep(
             if not any(offset):
                 return array
             out = np.full_like(array, empty)
-            to = tuple(slice(max(0, -o), n - max(0, o)) for o, n in zip(offset, shape, strict=True))
-            of = tuple(slice(max(0, o), n - max(0, -o)) for o, n in zip(offset, shape, strict=True))
+            pairs = list(zip(offset, shape, strict=True))  # an offset may be longer than a short axis
+            to = tuple(slice(max(0, min(n, -o)), max(0, n - max(0, o))) for o, n in pairs)
+            of = tuple(slice(max(0, min(n, o)), max(0, n - max(0, -o))) for o, n in pairs)
             out[to] = array[of]
             return out
 
@@ -114,7 +123,7 @@ def brick_sweep(
                     values[name], known[name] = v, k
         own = np.ones(len(at[0]), bool)
         for x in range(n_dims):
-            own &= (at[x] >= reach[x]) & (at[x] < reach[x] + side)
+            own &= (at[x] >= reach[x]) & (at[x] < reach[x] + sides[x])
         if halo == "drop":
             own &= inside[at]
         where = tuple(a[own] for a in at)
@@ -174,4 +183,4 @@ def from_bricks(bricks: DataFrame, like: GridFrame, side: int, field: str | None
     return like.with_df(cells, (field,))
 
 
-__all__ = ["block_names", "brick_sweep", "from_bricks", "to_bricks", "with_blocks"]
+__all__ = ["block_names", "brick_sweep", "from_bricks", "sides_of", "to_bricks", "with_blocks"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.frontend import Stencil
 from ..plans.analysis import check_fusable
@@ -25,10 +24,7 @@ def touched_blocks(changed: DataFrame, grid: GridFrame, update: Mapping[str, Ste
     ``changed`` has the keys of the cells that differ; cells outside the extents touch what they reach.
     """
     blocks = with_blocks(changed.select(*grid.keys), grid, side, reach_of(update, steps))
-    inside = F.lit(True)
-    for name, (lo, hi) in zip(block_names(grid), grid.extents, strict=True):
-        inside = inside & F.col(name).between(0, (hi - lo) // side)
-    return blocks.where(inside).select(*grid.batch, *block_names(grid)).distinct()
+    return blocks.select(*grid.batch, *block_names(grid)).distinct()
 
 
 def swept_blocks(grid: GridFrame, update: Mapping[str, Stencil], steps: int, blocks: DataFrame, side: int) -> DataFrame:

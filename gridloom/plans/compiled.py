@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 from ..functions.elementwise import swept
 from ..functions.expr import Access, accesses, fold
 from ..functions.frontend import Stencil
-from ..operators.boundary import apply_boundary
+from ..operators.boundary import BoundarySpec, apply_boundary
 from ..operators.brickframe import march_bricks
 from ..operators.bricks import SIDES
 from ..operators.decompose import march_parts
@@ -31,6 +31,7 @@ from .analysis import check_fusable, describe, fused_name, fusion_groups, tempor
 from .sql import sweep_sql
 
 Rewrite = Callable[[Stencil], Stencil]
+PLANS = ("auto", "window", "scatter", "join", "brick")
 
 
 def folded(stencil: Stencil) -> Stencil:
@@ -79,6 +80,18 @@ class StencilPlan:
 
     def __post_init__(self):
         check_fusable([replace(s, name=n) for n, s in self.outputs.items()])
+        for what, value, known in (("plan", self.plan, PLANS), ("halo", self.halo, ("keep", "zero", "drop"))):
+            if value not in known:
+                raise ValueError(f"{self.name}: {what} {value!r} is not one of {known}")
+        for what, value in (("steps", self.steps), ("parts", self.parts), ("side", self.side)):
+            if value is not None and (not isinstance(value, int) or value < 1):
+                raise ValueError(f"{self.name}: {what} is a whole number from 1 on, not {value!r}")
+        if not 0 <= self.axis < self.ndim:
+            raise ValueError(f"{self.name}: axis {self.axis} of {self.ndim}")
+        if self.halo != "keep" and (self.steps > 1 or self.parts or self.bc is not None):
+            raise ValueError(f"{self.name}: several steps, parts and boundary conditions keep the halo")
+        if self.bc is not None:
+            BoundarySpec.of(self.bc, self.ndim)  # raises where a kind is unknown
         unknown = set(self.outputs) - set(self.inputs)
         if (self.steps > 1 or self.parts) and unknown:
             raise ValueError(f"several sweeps need outputs that are fields; {sorted(unknown)} are none")
@@ -119,9 +132,10 @@ class StencilPlan:
     def annotations(self, grid: GridFrame | None = None) -> dict[str, Any]:
         """How the plan will run: strategy, halos of one exchange, parts and bricks."""
         exact = not any(s.extended for s in self.stencils)
+        how = chosen(grid, self.loads, self.plan, exact) if grid is not None or self.plan != "auto" else "auto"
         return {
             "name": self.name,
-            "plan": chosen(grid, self.loads, self.plan, exact) if grid is not None or self.plan != "auto" else "auto",
+            "plan": how,
             "halo": self.width,
             "steps": self.steps,
             "expanded_halo": tuple(self.steps * w for w in self.width),
@@ -130,7 +144,7 @@ class StencilPlan:
             "parts": self.parts,
             "part_axis": self.axis if self.parts else None,
             "exchange_layers": max(1, self.width[self.axis]) if self.parts else None,
-            "brick_side": (self.side or SIDES[self.ndim]) if self.plan == "brick" else None,
+            "brick_side": (self.side or SIDES[self.ndim]) if how == "brick" else None,
         }
 
     def apply(self, grid: GridFrame) -> GridFrame:

@@ -238,6 +238,12 @@ def oracle_sql() -> dict[str, str]:
     out["march_bricks_periodic"] = chain(SOURCES["V2"], [sweep_step("V2", SPECIES), marched] * 4)
     gapped = boundary_step(("i", "j"), ("u", "v"), GAPPED, (1, 1))
     out["march_bricks_gaps"] = chain(SOURCES["V2s"], [sweep_step("V2s", {"u": cat.heat_2d}), gapped] * 3)
+    nine = {"u": cat.laplacian_2d_9pt}
+    out["stored_box"] = f"WITH g AS MATERIALIZED ({SOURCES['E2']}) SELECT * FROM ({sweep_sql('g', ('i', 'j'), ('u',), (), nine)}) WHERE i BETWEEN 100 AND 180 AND j BETWEEN 5 AND 40"
+    mirrored = boundary_step(("i", "j"), ("u", "v"), BoundarySpec.reflecting(2), (1, 1))
+    out["stored_march"] = chain(SOURCES["V2"], [sweep_step("V2", SPECIES), mirrored] * 3)
+    changed = f"SELECT i, CASE WHEN i % 5000 BETWEEN 100 AND 103 THEN u + 1000.0::DOUBLE ELSE u END AS u FROM ({SOURCES['O1']})"
+    out["incremental_resweep"] = chain(changed, [sweep_step("O1", {"u": cat.heat_1d})] * 3)
     # Each step is a sweep and a boundary condition: step n is g2n.
     still = boundary_step(("i",), ("u",), BoundarySpec.reflecting(1), (1,))
     inner = "SELECT {0} FROM g{1} a JOIN g{2} b ON b.i = a.i WHERE a.i > (SELECT min(i) FROM g0) AND a.i < (SELECT max(i) FROM g0)"

@@ -14,9 +14,11 @@ from ..operators.brickframe import march_bricks
 from ..operators.bricks import from_bricks, to_bricks
 from ..operators.decompose import decompose, diagnostics, exchange_halos, gather, march_parts, max_difference
 from ..operators.grid import GridFrame
+from ..operators.incremental import resweep
 from ..operators.march import RungeKutta, inject, march, march_blocked, zero_edge
 from ..operators.sweep import apply, fused
 from ..sources import tables as src
+from ..sources.stored_bricks import open_bricks, write_bricks
 from . import catalogue as cat
 from .analysis import describe_frame
 from .compiled import compile_fused
@@ -232,6 +234,36 @@ def march_until_still(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.df.join(F.broadcast(measures.agg(F.max("step").alias("step"))), how="left")  # one row
 
 
+@query
+def stored_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box of a grid that is stored in bricks: only the zones that it meets are read."""
+    path, box = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}", {"i": (100, 180), "j": (5, 40)}
+    write_bricks(grid(spark, sf_dir, "E2"), path, sides=(32, 32), zone=2)
+    near = open_bricks(spark, path, box, cat.laplacian_2d_9pt.halo).cells()
+    return apply(near, cat.laplacian_2d_9pt, box=box).df
+
+
+@query
+def stored_march(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marching from stored bricks, which no shuffle moves."""
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    write_bricks(grid(spark, sf_dir, "V2"), path, sides=(64, 16))
+    return march_bricks(open_bricks(spark, path), SPECIES, 3, bc="reflecting", per_exchange=2)[0].df
+
+
+#: Orders whose price changes, and cells of a block.
+CHANGED, RESWEPT = "i % 5000 BETWEEN 100 AND 103", 1024
+
+
+@query
+def incremental_resweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sweeps after a few prices have changed: from the earlier result, in the blocks that they reach."""
+    g = grid(spark, sf_dir, "O1")
+    before = march_bricks(g, cat.heat_1d, 3)[0].df
+    now = g.with_df(g.df.withColumn("u", F.when(F.expr(CHANGED), F.col("u") + 1000.0).otherwise(F.col("u"))))
+    return resweep(before, now, g.df.where(CHANGED), {"u": cat.heat_1d}, 3, RESWEPT).df
+
+
 @query
 def march_parts_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return march_parts(grid(spark, sf_dir, "E2"), {"u": cat.heat_2d}, 3, n=4, axis=1).df
