@@ -6,7 +6,7 @@ shuffle serves several sweeps.  Values and presence travel apart: NaN is a value
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -52,20 +52,28 @@ def brick_sweep(
     ``blocks`` (batch, ``_b0`` ...) names the blocks that are computed, else all are.
     """
     side = max(side or SIDES[len(grid.dims)], 2 * steps * max((*width, 1)))
-    sides = sides_of(grid, side)
-    reach = tuple(steps * w for w in width)
-    dims, keys, n_dims = grid.dims, grid.keys, len(grid.dims)
     names = block_names(grid)
-    copied = with_blocks(grid.df, grid, side, reach)
+    copied = with_blocks(grid.df, grid, side, tuple(steps * w for w in width))
     if blocks is not None:
         copied = copied.join(blocks, [*grid.batch, *names], "left_semi")
     kinds = dict(grid.df.dtypes)
     kept = [f for f in grid.fields if f not in outputs] if keep_fields else []
     schema = ", ".join(
-        [f"`{k}` {kinds[k]}" for k in keys] + [f"`{f}` {kinds[f]}" for f in kept] + [f"`{n}` {s.dtype}" for n, s in outputs.items()]
+        [f"`{k}` {kinds[k]}" for k in grid.keys] + [f"`{f}` {kinds[f]}" for f in kept] + [f"`{n}` {s.dtype}" for n, s in outputs.items()]
     )
+    run = block_function(grid, {n: s.plain() for n, s in outputs.items()}, width, halo, steps, side, kept)
+    return copied.groupBy(*grid.batch, *names).applyInArrow(run, schema)
+
+
+def block_function(
+    grid: GridFrame, outputs: Mapping[str, Stencil], width: tuple[int, ...], halo: str = "keep", steps: int = 1, side: int = 1, kept: Sequence[str] = (),
+) -> Callable[[tuple, pa.Table], pa.Table]:
+    """What sweeps one block: from its key (batch and place) and its cells with their margin to its own cells."""
+    sides = sides_of(grid, side)
+    reach = tuple(steps * w for w in width)
+    dims, keys, n_dims = grid.dims, grid.keys, len(grid.dims)
+    kinds = dict(grid.df.dtypes)
     extents, batch, fields = grid.extents, grid.batch, grid.fields  # the closure takes no frame along
-    outputs = {n: s.plain() for n, s in outputs.items()}
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         first = [extents[x][0] + key[len(batch) + x].as_py() * sides[x] for x in range(n_dims)]
@@ -133,7 +141,7 @@ def brick_sweep(
             columns.append(pa.array(v[where], mask=~k[where]))
         return pa.table(columns, names=[*keys, *kept, *results])
 
-    return copied.groupBy(*grid.batch, *names).applyInArrow(run, schema)
+    return run
 
 
 def _typed(s: Stencil):
@@ -183,4 +191,4 @@ def from_bricks(bricks: DataFrame, like: GridFrame, side: int, field: str | None
     return like.with_df(cells, (field,))
 
 
-__all__ = ["block_names", "brick_sweep", "from_bricks", "sides_of", "to_bricks", "with_blocks"]
+__all__ = ["block_function", "block_names", "brick_sweep", "from_bricks", "sides_of", "to_bricks", "with_blocks"]

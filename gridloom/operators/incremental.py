@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.frontend import Stencil
 from ..plans.analysis import check_fusable
-from .bricks import block_names, brick_sweep, with_blocks
+from .bricks import block_names, brick_sweep, sides_of, with_blocks
 from .grid import GridFrame
 from .sweep import renamed_to
 
@@ -27,6 +28,20 @@ def touched_blocks(changed: DataFrame, grid: GridFrame, update: Mapping[str, Ste
     return blocks.select(*grid.batch, *block_names(grid)).distinct()
 
 
+def dense_blocks(grid: GridFrame, blocks: DataFrame, side: int, fill: float = 0.0) -> GridFrame:
+    """Every cell of some blocks and of those beside them, with ``fill`` where the grid has none."""
+    near, names, kinds = blocks, block_names(grid), dict(grid.df.dtypes)
+    for b in names:
+        near = near.withColumn("_by", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(b, F.col(b) + F.col("_by")).drop("_by")
+    near = near.distinct()
+    for b, d, s, (lo, hi) in zip(names, grid.dims, sides_of(grid, side), grid.extents, strict=True):
+        first = F.col(b) * s + lo
+        cells = F.sequence(first, first + (s - 1)).cast(f"array<{kinds[d]}>")
+        near = near.withColumn(d, F.explode(cells)).where(F.col(d).between(lo, hi))
+    full = near.select(*grid.keys).join(grid.df, list(grid.keys), "left")
+    return grid.with_df(full.select(*grid.keys, *[F.coalesce(F.col(f), F.lit(fill).cast(kinds[f])).alias(f) for f in grid.fields]))
+
+
 def swept_blocks(grid: GridFrame, update: Mapping[str, Stencil], steps: int, blocks: DataFrame, side: int) -> DataFrame:
     """The cells of some blocks after ``steps`` sweeps, with the blocks' columns.
 
@@ -52,4 +67,4 @@ def resweep(before: DataFrame, grid: GridFrame, changed: DataFrame, update: Mapp
     return grid.with_df(kept.select(*columns).unionByName(fresh.select(*columns)), tuple(c for c in columns if c not in grid.keys))
 
 
-__all__ = ["reach_of", "resweep", "swept_blocks", "touched_blocks"]
+__all__ = ["dense_blocks", "reach_of", "resweep", "swept_blocks", "touched_blocks"]

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from ..functions.frontend import Stencil
 from ..operators.boundary import BoundarySpec
 from . import catalogue as cat
-from .queries import BOUNDARIES, GAPPED, GRIDS, MARCHED, MOST_STEPS, SPECIES, STILL, SWEEPS
+from .queries import BOUNDARIES, GAPPED, GRIDS, LIVE, MARCHED, MOST_STEPS, SPECIES, STILL, SWEEPS
 from .sql import sweep_sql
 
 L3 = """SELECT CAST(l_quantity AS INTEGER) - 1 AS i, CAST(round(l_discount * 100) AS INTEGER) AS j,
@@ -238,7 +238,15 @@ def oracle_sql() -> dict[str, str]:
     out["march_bricks_periodic"] = chain(SOURCES["V2"], [sweep_step("V2", SPECIES), marched] * 4)
     gapped = boundary_step(("i", "j"), ("u", "v"), GAPPED, (1, 1))
     out["march_bricks_gaps"] = chain(SOURCES["V2s"], [sweep_step("V2s", {"u": cat.heat_2d}), gapped] * 3)
+    near = " AND ".join(f"k.{d} BETWEEN e.{d} + (g.{d} - e.{d}) // 32 * 32 - {r} AND e.{d} + (g.{d} - e.{d}) // 32 * 32 + 31 + {r}" for d, r in (("i", 0), ("j", 2)))
+    smooth = sweep_sql("{0}", ("i", "j"), ("n", "u"), (), LIVE, "keep", True)
+    out["streaming_events"] = (
+        chain(f"SELECT i, j, u AS n, u FROM ({V2})", [smooth] * 2)
+        + f" g WHERE EXISTS (SELECT 1 FROM ({V2S}) k CROSS JOIN (SELECT min(i) AS i, min(j) AS j FROM g0) e WHERE {near})"
+    )
     nine = {"u": cat.laplacian_2d_9pt}
+    swept = chain(SOURCES["E2"], [sweep_step("E2", nine)])
+    out["sql_sweep"] = f"SELECT j, max(u) AS most, min(u) AS least, count(*) AS n FROM ({swept}) WHERE u <> 0 GROUP BY j"
     out["stored_box"] = f"WITH g AS MATERIALIZED ({SOURCES['E2']}) SELECT * FROM ({sweep_sql('g', ('i', 'j'), ('u',), (), nine)}) WHERE i BETWEEN 100 AND 180 AND j BETWEEN 5 AND 40"
     mirrored = boundary_step(("i", "j"), ("u", "v"), BoundarySpec.reflecting(2), (1, 1))
     out["stored_march"] = chain(SOURCES["V2"], [sweep_step("V2", SPECIES), mirrored] * 3)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frontend import Stencil
+from ..functions.table_functions import register_sweep
 from ..operators.boundary import BoundarySpec, Side, apply_boundary
 from ..operators.brickframe import march_bricks
 from ..operators.bricks import from_bricks, to_bricks
@@ -282,6 +283,15 @@ def sql_over_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT i % 10 AS digit, max(u) AS most, count(*) AS n FROM swept_customers WHERE u > 0 GROUP BY 1")
 
 
+@query
+def sql_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sweep as a table function of a SQL query."""
+    g = grid(spark, sf_dir, "E2")
+    name = f"nine_{uuid.uuid4().hex}"
+    call = register_sweep(spark, name, g, {"u": cat.laplacian_2d_9pt}, side=64)
+    return spark.sql(f"SELECT j, max(u) AS most, min(u) AS least, count(*) AS n FROM ({call}) WHERE u <> 0 GROUP BY j")
+
+
 @query
 def random_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply(src.random_grid(spark, (20, 15), seed=7), cat.heat_2d).df
@@ -385,6 +395,23 @@ def describe_stencils(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_frame(spark, [cat.heat_1d, cat.laplacian_2d_9pt, cat.cond_3d, BOX27, BOX125, FLOAT])
 
 
+#: Smoothing of live activity along the days.
+LIVE = {"u": cat.from_text("live", "0.25 * u[i, j-1] + 0.5 * u[i, j] + 0.25 * u[i, j+1]")}
+
+
+@query
+def streaming_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream, counted by user and day in its state, and the smoothed surface that it leaves."""
+    from ..streaming.cells import LiveGrid
+
+    extents = src.user_days(spark, sf_dir).extents
+    live = LiveGrid(spark, f"{shared_dir(spark)}/live-{uuid.uuid4().hex}", extents, LIVE, steps=2, side=32)
+    events = spark.readStream.schema("user_id bigint, ts timestamp_ntz").parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file
+    utc = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")  # the table's times have no zone
+    live.run(events.select("user_id", utc.alias("ts")), "user_id", "ts")
+    return live.surface().select("i", "j", "n", "u")
+
+
 @query
 def streaming_march(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.advance import march_by_stream

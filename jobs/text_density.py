@@ -24,7 +24,7 @@ from typing import Any
 from gridloom.functions.frontend import from_text
 from gridloom.operators.bricks import block_names
 from gridloom.operators.grid import GridFrame
-from gridloom.operators.incremental import reach_of, swept_blocks, touched_blocks
+from gridloom.operators.incremental import dense_blocks, reach_of, swept_blocks, touched_blocks
 from gridloom.plans.lineage import shared_dir
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -73,19 +73,9 @@ def take(spark: SparkSession, documents: str, out: str, checkpoint: str, c: Mapp
 
 def plane(deltas: DataFrame, c: Mapping[str, Any], blocks: DataFrame) -> GridFrame:
     """All cells of the blocks and of those next to them, with what is counted there."""
+    totals = deltas.groupBy("lang", "i", "j").agg(F.sum("n").cast("double").alias("n")).withColumn("density", F.col("n"))
     extents = ((0, c["rows"] - 1), (0, c["columns"] - 1))
-    beside = F.sequence(F.lit(-1), F.lit(1))
-    near = blocks
-    for b in ("_b0", "_b1"):
-        near = near.withColumn("_by", F.explode(beside)).withColumn(b, F.col(b) + F.col("_by")).drop("_by")
-    near = near.distinct()
-    for b, d, (_, hi) in zip(("_b0", "_b1"), "ij", extents, strict=True):
-        first = F.col(b) * c["tile"]
-        inside = F.col(d).between(0, hi)
-        near = near.withColumn(d, F.explode(F.sequence(first.cast("int"), (first + c["tile"] - 1).cast("int")))).where(inside)
-    totals = deltas.groupBy("lang", "i", "j").agg(F.sum("n").cast("double").alias("n"))
-    full = near.select("lang", "i", "j").join(totals, ["lang", "i", "j"], "left").na.fill(0.0, ["n"])
-    return GridFrame(full.withColumn("density", F.col("n")), ("i", "j"), ("n", "density"), ("lang",), extents)
+    return dense_blocks(GridFrame(totals, ("i", "j"), ("n", "density"), ("lang",), extents), blocks, c["tile"])
 
 
 def run(spark: SparkSession, documents: str, out: str, checkpoint: str, config: Mapping[str, Any] | None = None) -> dict[str, int]:
