@@ -11,14 +11,18 @@
    from the pairs of item words that share a passage; the sums are streamed together.  Since
    (C D)'(C D) (O / D) = D (C'C O), the weights may come afterwards, and the Nystrom form of the
    randomised SVD gives the right singular vectors of the weighted passages from that one pass.
-3. Candidates come from a bound that loses nothing of what the check accepts.  A text that holds
+3. Candidates come from the cosine in the latent space.  Every window of 24 words, every 8 words of
+   every text, is compared with every item: a word's part of the cosines is its column's singular
+   vector times all items', so a window's cosines are sums over its few weighted words.  A window at
+   ``LEAST_COSINE`` or more makes a pair of its stretch and the item, if the stretch has enough of the
+   item's words.  The cosine alone would lose paraphrases that have given up an item's weighted words,
+   and items that have none (they are in nearly every document, or consist of common words).  So what
+   the check accepts and the cosine has not named is sought by an index as well: a text that holds
    the share ``LCS_ALONE`` of an item's words leaves out so few that one of the item's rarest words
-   is there, or else the answer's rarest; so an index of those words gives pairs of a stretch and an
-   item, and pairs with too few of the item's words are left out.  All words of an item count here,
-   whatever their weights, and words around it do not.
-4. In the stretch of a pair, windows of 24 words, every 8 words, are ranked by their cosine with the
-   item in the latent space, and the words around them are compared with the item: longest common
-   subsequence, and whether the item's answer (its last ``ANSWER`` words) is there.  Copies have
+   is there, or else the answer's rarest.  ``by_cosine`` tells for each row whether the cosine led to it.
+4. In the stretch of a pair, the windows are ranked by their cosine with the item, and the words
+   around them are compared with it: longest common subsequence, and whether the item's answer (its
+   last ``ANSWER`` words) is there.  Copies have
    nearly the whole sequence; paraphrases have a good part of it, or a smaller one and the answer.
    Common words that are merely strewn around in the item's order are no match: without the answer,
    some of the item's own weight is there, or a stretch of twice the item's length is enough.
@@ -56,6 +60,10 @@ COMMON = 0.05
 MOST_WORDS = 1 << 19
 #: Items that are projected together, and words up to which an item's places are kept as bits.
 TOGETHER, SHORT = 256, 4096
+#: A window's least cosine with an item that makes it a candidate.
+LEAST_COSINE = 0.35
+#: Items whose cosines are summed up together, and windows.
+COLUMNS_OF, WINDOWS = 64, 1 << 16
 #: The items' share in the SVD, as a multiple of the corpus's mass.
 ITEM_MASS = 8.0
 #: Share of an item's words in the common subsequence: alone, or with the answer.
@@ -125,8 +133,7 @@ def columns_of(vocabulary: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 def telling_words(items: list[np.ndarray]) -> np.ndarray:
     """The sorted distinct words of items, without those of too many items; repeated items count once.
 
-    They are the columns of the SVD, and so of the cosine that ranks windows; what is found does not
-    depend on them.
+    They are the columns of the SVD, and so of the cosine.
     """
     each = [np.unique(w) for w in {w.tobytes(): w for w in items}.values()]
     values, counts = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_counts=True)
@@ -301,6 +308,7 @@ class Finder:
 
     def __init__(self, items: Items, v: np.ndarray):
         self.items, self.v = items, v
+        self._parts: list[np.ndarray] | None = None
         projected = []
         for own in items.blocks():
             norms = np.sqrt((own**2).sum(1))
@@ -308,6 +316,9 @@ class Finder:
         #: Each item in the latent space, over its norm.
         self.projected = np.concatenate(projected) if projected else np.zeros((0, v.shape[1]), np.float32)
         self.words = np.unique(np.concatenate([*items.words, np.zeros(0, np.uint64)]))
+        #: The items that have enough weighted words for the cosine to tell.
+        telling = [self._weighted(w) >= min(WEIGHTED, -(-len(w) // 4)) for w in items.words]
+        self.by_cosine = np.flatnonzero(np.array(telling, bool))
         rarity = items.weights if items.rarity is None else items.rarity
         self.alone = np.array([least_common(len(w), LCS_ALONE) for w in items.words])
         self.with_answer = np.array([least_common(len(w), LCS_WITH_ANSWER) for w in items.words])
@@ -345,12 +356,86 @@ class Finder:
         lengths = np.array([len(w) for w in items.words])
         self.least_weight = OWN_WEIGHT * np.minimum(lengths, BLOCK * WINDOW) / np.maximum(lengths, BLOCK * WINDOW)
 
+    def _weighted(self, h: np.ndarray) -> int:
+        """How many of an item's words have a weight that tells, and a column."""
+        return int(((self.items.weights[bins_of(h)] >= CAP / 8) & (self.items.columns(h) >= 0)).sum())
+
+    def _cosine_parts(self) -> list[np.ndarray]:
+        """For each column its part of the cosines with the items, COLUMNS_OF items at a time."""
+        if self._parts is None:  # made where it is used; it does not travel
+            of = [self.projected[self.by_cosine[i : i + COLUMNS_OF]] for i in range(0, len(self.by_cosine), COLUMNS_OF)]
+            self._parts = [(self.v @ p.T).astype(np.float32) for p in of]
+        return self._parts
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_parts": None}
+
+    def near(self, bounds: np.ndarray, codes: np.ndarray, by_code: np.ndarray, place_of: np.ndarray, first: np.ndarray, stretches: np.ndarray) -> np.ndarray:
+        """Stretch times the number of items, plus the item, where a window's cosine is LEAST_COSINE or more."""
+        it, n, m = self.items, np.diff(bounds), len(self.items.ids)
+        none = np.zeros(0, np.int64)
+        if not len(self.by_cosine) or not it.width or not len(codes):
+            return none
+        weight_of, column_of = it.weights[bins_of(by_code)], it.columns(by_code)
+        column_of = np.where(weight_of > LEAST_WEIGHT, column_of, -1)
+        at = np.flatnonzero((column_of >= 0)[codes])
+        if not len(at):
+            return none
+        # Words of items without a column are no part of a window's mass.
+        square = np.where((column_of < 0) & (place_of >= 0), 0.0, weight_of.astype(np.float64) ** 2)
+        mass = np.append(0.0, np.cumsum(square[codes]))
+        of_columns = np.append(0.0, np.cumsum(np.where(column_of >= 0, square, 0.0)[codes]))
+        # A text's blocks, and after them two empty ones, so that no window reaches into the next text.
+        base = np.append(0, np.cumsum(-(-n // BLOCK) + WINDOW - 1))
+        doc = np.repeat(np.arange(len(n)), n)[at]
+        block = base[doc] + (at - bounds[doc]) // BLOCK
+        column, value = column_of[codes[at]], weight_of[codes[at], None]
+        starts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(at))
+        out = [none]
+        for lo in range(0, len(starts) - 1, WINDOWS):  # so that a very long text takes no more memory
+            hi = min(lo + WINDOWS, len(starts) - 1)
+            # Neighbouring parts share the blocks that a window may begin in before the first.
+            first_block = max(0, lo - WINDOW + 1)
+            own = block[starts[first_block:hi]]
+            window = np.unique(np.concatenate([block[starts[lo:hi]] - k for k in range(WINDOW)]))
+            d = np.searchsorted(base, window, "right") - 1
+            ok = (window >= 0) & (window >= base[d])
+            window, d = window[ok], d[ok]
+            begin = (window - base[d]) * BLOCK
+            ok = begin < n[d]
+            window, d, begin = window[ok], d[ok], begin[ok]
+            start = bounds[d] + begin
+            end = np.minimum(start + BLOCK * WINDOW, bounds[d + 1])
+            total = np.maximum(mass[end] - mass[start], 1e-9)
+            # No cosine is above the columns' share of the window (twice it, as words may be repeated).
+            some = 2 * (of_columns[end] - of_columns[start]) >= LEAST_COSINE**2 * total
+            window, d, begin, norm = window[some], d[some], begin[some], LEAST_COSINE * np.sqrt(total[some]).astype(np.float32)
+            used = np.flatnonzero(np.isin(own, np.unique(np.concatenate([window + k for k in range(WINDOW)]))))
+            if not len(used):
+                continue
+            each = np.diff(starts[first_block : hi + 1])[used]
+            entry = _ranges(starts[first_block + used], each)
+            cuts = np.cumsum(each) - each
+            of = [lookup(own[used], window + k) for k in range(WINDOW)]  # the last row is empty
+            for k, parts in enumerate(self._cosine_parts()):
+                sums = np.zeros((len(used) + 1, parts.shape[1]), np.float32)
+                sums[:-1] = np.add.reduceat(parts[column[entry]] * value[entry], cuts, axis=0)
+                cosines = sum(sums[x] for x in of)
+                row, item = np.nonzero(cosines >= norm[:, None])
+                q = self.by_cosine[k * COLUMNS_OF + item]
+                # The stretch that holds all that the check looks at around the window.
+                stretch = np.minimum(np.maximum(begin[row] - self.reach[q], 0) // self.stretch, stretches[d[row]] - 1)
+                out.append((first[d[row]] + stretch) * m + q)
+        return np.unique(np.concatenate(out))
+
     def in_item(self, q: int, place: np.ndarray) -> np.ndarray:
         """Which of the words (by their places among all items' words, -1: none) are in an item."""
         return np.isin(place, self.kinds[0, self.kinds_at[q] : self.kinds_at[q + 1]])
 
-    def pairs(self, bounds: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(row, item, start, end) of the stretches that have enough of an item's words."""
+    def pairs(self, bounds: np.ndarray, codes: np.ndarray, by_code: np.ndarray, place_of: np.ndarray) -> list[tuple[int, int, int, int, bool]]:
+        """(row, item, start, end, whether the cosine named it) of the candidates' stretches that have
+        enough of an item's words."""
+        place = place_of[codes]
         n, width = np.diff(bounds), len(self.words)
         blocks = -(-n // self.stretch)
         stretches = np.where(blocks > 1, blocks - 1, blocks)
@@ -364,7 +449,8 @@ class Finder:
         where, word = key // width, key % width
         each = np.diff(self.index_at)[word]
         m = len(self.items.ids)
-        pair = np.unique(np.repeat(where, each) * m + self.index[_ranges(self.index_at[word], each)])
+        near = self.near(bounds, codes, by_code, place_of, first, stretches)
+        pair = np.unique(np.append(np.repeat(where, each) * m + self.index[_ranges(self.index_at[word], each)], near))
         out = []
         for lo in range(0, len(pair), 1 << 15):
             where, q = pair[lo : lo + (1 << 15)] // m, pair[lo : lo + (1 << 15)] % m
@@ -378,7 +464,8 @@ class Finder:
             d = np.searchsorted(first, where[good], "right") - 1
             start = bounds[d] + (where[good] - first[d]) * self.stretch
             end = np.minimum(start + 2 * self.stretch, bounds[d + 1])
-            out += zip(d.tolist(), q[good].tolist(), start.tolist(), end.tolist(), strict=True)
+            led = lookup(near, pair[lo : lo + (1 << 15)][good]) >= 0
+            out += zip(d.tolist(), q[good].tolist(), start.tolist(), end.tolist(), led.tolist(), strict=True)
         return out
 
     def check(self, q: int, words: np.ndarray, at: np.ndarray) -> tuple[int, bool, bool]:
@@ -418,20 +505,24 @@ class Finder:
         return int(at[lo]), int(at[end - 1]) + 1
 
     def find(self, prepared: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int, int, float, int, bool, int]]:
-        """(row, item_id, start word, end word, cosine, common words, answer there, item words) of
-        what is found in texts that ``plain_words`` has prepared."""
+        """(row, item_id, start word, end word, cosine, common words, answer there, item words, whether
+        the cosine led there) of what is found in texts that ``plain_words`` has prepared."""
         it = self.items
         if not len(it.ids):
             return []
         bounds, codes, by_code = prepared
-        place = lookup(self.words, by_code)[codes]
+        place_of = lookup(self.words, by_code)  # of each distinct word
+        place = place_of[codes]
+        by_cosine: set[tuple[int, int]] = set()
         out: dict[tuple[int, int], tuple] = {}
-        for d, q, start, end in self.pairs(bounds, place):
+        for d, q, start, end, led in self.pairs(bounds, codes, by_code, place_of):
             at = np.flatnonzero(self.in_item(q, place[start:end]))
             words = place[start + at]
             most, _, enough = self.check(q, words, at)
             if not enough:
                 continue
+            if led:
+                by_cosine.add((d, q))
             # Windows that start in the stretch, with the words that the check takes around them.
             lo = np.arange(-(-(start - bounds[d]) // BLOCK) * BLOCK, end - bounds[d], BLOCK) + bounds[d]
             a = np.maximum(lo - self.reach[q], bounds[d])
@@ -452,7 +543,7 @@ class Finder:
                 out[d, q] = (first_word, end_word, it.ids[q], float(cosine[w]), common, answer, len(it.words[q]))
                 if common == most:
                     break
-        return [(d, v[2], v[0], v[1], *v[3:]) for (d, _), v in sorted(out.items())]
+        return [(d, v[2], v[0], v[1], *v[3:], (d, q) in by_cosine) for (d, q), v in sorted(out.items())]
 
     def cosines(self, q: int, h: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """The item's cosine in the latent space with the windows from ``lo`` on of the words ``h``."""
@@ -513,7 +604,8 @@ def _groups(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, start_word, end_word (the words of
-    the document that hold the common subsequence), cosine, common_words, item_words, answer_found.
+    the document that hold the common subsequence), cosine, common_words, item_words, answer_found,
+    by_cosine (whether the cosine search named the place).
 
     Of several places the one with the most common words counts, then that of the highest cosine,
     then the first.  Null and empty texts: nothing found; very long ones are searched whole.  Null
@@ -521,8 +613,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     result.  Null and empty item texts find nothing.  Other columns are ignored, whatever their names.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id bigint, item_id bigint, start_word bigint, end_word bigint, cosine double, common_words bigint, item_words bigint, answer_found boolean"
-    kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+    schema = "doc_id bigint, item_id bigint, start_word bigint, end_word bigint, cosine double, common_words bigint, item_words bigint, answer_found boolean, by_cosine boolean"
+    kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def searched(found) -> DataFrame:
@@ -533,7 +625,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 for lo, hi in slices(texts):
                     prepared = plain_words(texts.slice(lo, hi - lo))
                     for f in found.value:
-                        rows += [(ids[lo + d], i, s, e, round(c, 4), k, m, a) for d, i, s, e, c, k, a, m in f.find(prepared)]
+                        rows += [(ids[lo + d], i, s, e, round(c, 4), k, m, a, led) for d, i, s, e, c, k, a, m, led in f.find(prepared)]
                 if rows:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 

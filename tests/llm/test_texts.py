@@ -372,6 +372,51 @@ def test_decontamination_equals_a_plain_search(spark):
     assert found_in(spark, texts, items) == {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if plainly(t, x)}
 
 
+def searched(spark, rows, items, space=lambda v: v):
+    """Rows found in texts, with the singular vectors changed."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = dc.finders(docs.select("text"), items)
+    for f in found:
+        f.v, f.projected = space(f.v), space(f.projected)
+    prepared = dc.plain_words(pa.array([t for _, t in rows], pa.string()))
+    return [r for f in found for r in f.find(prepared)]
+
+
+def test_the_cosine_leads_to_copies_and_without_the_space_to_none(spark, sf_dir):
+    rows, items, truth = planted()
+    led = [r for r in searched(spark, rows, items) if r[-1]]
+    assert len({(r[0], r[1]) for r in led}) >= 0.9 * len(truth)
+    assert not any(r[-1] for r in searched(spark, rows, items, np.zeros_like))
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    out = dc.contaminated(docs, bench).select("by_cosine").collect()
+    assert out and sum(r["by_cosine"] for r in out) >= 0.9 * len(out)
+
+
+def test_cosine_candidates_equal_plain_cosines(spark, monkeypatch):
+    """Every stretch and item with a window at the least cosine is a candidate, in parts of any size."""
+    rows, items, _ = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bounds, codes, by_code = dc.plain_words(pa.array([t for _, t in rows], pa.string()))
+    for f in dc.finders(docs.select("text"), items):
+        n = np.diff(bounds)
+        blocks = -(-n // f.stretch)
+        stretches = np.where(blocks > 1, blocks - 1, blocks)
+        first = np.cumsum(stretches) - stretches
+        place_of = dc.lookup(f.words, by_code)
+        got = [set(f.near(bounds, codes, by_code, place_of, first, stretches).tolist())]
+        monkeypatch.setattr(dc, "WINDOWS", 3)
+        got.append(set(f.near(bounds, codes, by_code, place_of, first, stretches).tolist()))
+        monkeypatch.undo()
+        assert got[0] == got[1]
+        for q in f.by_cosine.tolist():
+            for d in range(len(n)):
+                lo = np.arange(0, n[d], dc.BLOCK)
+                cosine = f.cosines(q, by_code[codes[bounds[d] : bounds[d + 1]]], lo)
+                for at in lo[cosine >= dc.LEAST_COSINE + 0.05].tolist():
+                    s = min(max(at - f.reach[q], 0) // f.stretch, stretches[d] - 1)
+                    assert (first[d] + s) * len(f.items.ids) + q in got[0]
+
+
 def test_latent_space_is_orthonormal_and_holds_the_items(spark):
     rows, items, _ = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
