@@ -9,7 +9,8 @@ whatever stands around it and however short the document is, so each of its repe
 
 The first place of each fingerprint, by (doc_id, row key, line), comes from grouped minima, and
 every other place is matched with the first one only: a line that a third of all documents hold
-costs a row each.  A match is extended both ways over equal lines, and the run is deleted from the
+costs a row each.  (So a run of short lines that two documents share stays in the later one if each
+of its fingerprints stood elsewhere before.)  A match is extended both ways over equal lines, and the run is deleted from the
 later document.  So of a repeated run no line of ``SHINGLE`` words and no stretch of ``GUARANTEE`` words is left whole, a deleted
 line always stands in an earlier place, and the first occurrence of every line is kept.
 """
@@ -115,7 +116,9 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     places = profile.select("id", "key", F.explode("prints").alias("p")).select("id", "key", "p.h", "p.at").distinct()
     place = F.struct("id", "key", "at")
     firsts = places.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = places.join(firsts.select("h", "first"), "h").where(place != F.col("first"))
+    # Written, so that the join reads shuffles alone and the places of a very common line can be split.
+    firsts = saved(firsts.select("h", "first"), "line-firsts")
+    later = places.join(firsts.hint("merge"), "h").where(place != F.col("first"))
     later = later.select("key", "at", F.col("first.key").alias("other"), F.col("first.at").alias("there"))
     by_pair = later.groupBy("key", "other").agg(F.collect_list(F.struct("at", "there")).alias("matches"))
     # Copies of a row have one key and one profile.  Written, so that the joins read shuffles alone

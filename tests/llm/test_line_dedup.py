@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from gridloom.llm import line_dedup as ld
+from pyspark.sql import functions as F
 
 
 def lines_of(rng, n):
@@ -116,3 +117,39 @@ def test_extend():
     a, b = np.array([1, 2, 3, 4, 9], np.uint64), np.array([7, 2, 3, 4], np.uint64)
     assert ld.extend(a, b, 2, 2) == (1, 4)
     assert ld.extend(a, a, 0, 0) == (0, 5)
+
+
+def plainly(rows):
+    """Every place of a fingerprint but the first is matched with the first, and what the match covers goes."""
+    docs = {d: (t, *ld.line_hashes(t or "")) for d, t in rows}
+    order = sorted(docs, key=lambda d: (d is not None, d or 0))
+    first, gone = {}, {d: set() for d in docs}
+    places = [(d, at, h) for d in order for at, h in ld.fingerprints(*docs[d][1:])]
+    for d, at, h in places:
+        if h not in first:
+            first[h] = d, at
+            continue
+        other, there = first[h]
+        gone[d] |= set(range(*ld.extend(docs[d][1], docs[other][1], at, there)))
+    return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, (t, _, _) in docs.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_equals_a_plain_version(spark, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    common = [line(9)] * 3 + [line(rng.choice([1, 3, 8, 14])) for _ in range(30)]
+    runs = [[line(rng.choice([2, 4, 7])) for _ in range(rng.choice([3, 6, 12]))] for _ in range(12)]
+    rows = []
+    for d in rng.sample(range(1000), 120):
+        own = []
+        for _ in range(rng.randrange(1, 7)):
+            own += rng.choice([[line(rng.choice([3, 9]))], [rng.choice(common)], list(rng.choice(runs)), [""], [" \t"]])
+        if rng.random() < 0.3:
+            own.append(common[0])  # one line stands in very many
+        rows.append((d, "\n".join(own)))
+    rows += [(2000, None), (2001, ""), (None, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lines", F.lit(1)).repartition(7)
+    got = {r["row"]["doc_id"]: r["text"] for r in ld.dedup_lines(df).collect()}
+    assert got == plainly(rows)
