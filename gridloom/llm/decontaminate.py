@@ -158,7 +158,7 @@ def survey(docs: DataFrame, vocabulary: np.ndarray, seed: int = 11, chunk: int =
             for lo, hi in slices(texts):
                 bounds, codes, h = plain_words(texts.slice(lo, hi - lo))
                 doc = np.repeat(np.arange(hi - lo, dtype=np.int64), np.diff(bounds))
-                once = np.unique(doc * BINS + bins_of(h)[codes])
+                once = _distinct(doc * BINS + bins_of(h)[codes])
                 df += np.bincount(once % BINS, minlength=BINS)
                 n += hi - lo
                 column = columns_of(words, h, m)[codes]
@@ -298,11 +298,80 @@ def least_common(words: int, share: float) -> int:
     return max(1, int(np.ceil(share * words - 1e-9)))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; a sort is faster here than a table of hashes."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each count, one after the other."""
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
 
+@dataclass
+class Windows:
+    """Windows of which the columns' words have a good part of the weight: their texts, where they begin,
+    the least sum of parts that makes a cosine of LEAST_COSINE, the rows of blocks that each consists of,
+    and those blocks' entries (column and weight, cut by block)."""
+
+    row: np.ndarray
+    begin: np.ndarray
+    norm: np.ndarray
+    of: list[np.ndarray]
+    column: np.ndarray
+    value: np.ndarray
+    cuts: np.ndarray
+
+
+def weighted_windows(it: Items, bounds: np.ndarray, codes: np.ndarray, by_code: np.ndarray) -> list[Windows]:
+    """The windows that may have a cosine with some item, WINDOWS blocks together.
+
+    They depend on the weights alone, so finders with the same weights share them.
+    """
+    n, out = np.diff(bounds), []
+    if not it.width or not len(codes):
+        return out
+    weight_of, column_of = it.weights[bins_of(by_code)], it.columns(by_code)
+    inside = (column_of >= 0) & (weight_of > LEAST_WEIGHT)
+    at = np.flatnonzero(inside[codes])
+    if not len(at):
+        return out
+    square = weight_of.astype(np.float64) ** 2
+    mass, of_columns = (np.append(0.0, np.cumsum(x[codes])) for x in (square, np.where(inside, square, 0.0)))
+    # A text's blocks, and after them two empty ones, so that no window reaches into the next text.
+    base = np.append(0, np.cumsum(-(-n // BLOCK) + WINDOW - 1))
+    doc = np.repeat(np.arange(len(n)), n)[at]
+    block = base[doc] + (at - bounds[doc]) // BLOCK
+    column, value = column_of[codes[at]], weight_of[codes[at], None]
+    starts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(at))
+    for lo in range(0, len(starts) - 1, WINDOWS):  # so that a very long text takes no more memory
+        hi = min(lo + WINDOWS, len(starts) - 1)
+        # Neighbouring parts share the blocks that a window may begin in before the first.
+        first = max(0, lo - WINDOW + 1)
+        own = block[starts[first:hi]]
+        window = _distinct(np.concatenate([block[starts[lo:hi]] - k for k in range(WINDOW)]))
+        d = np.searchsorted(base, window, "right") - 1
+        begin = (window - base[d]) * BLOCK
+        some = (window >= 0) & (begin < n[d])
+        window, d, begin = window[some], d[some], begin[some]
+        start = bounds[d] + begin
+        end = np.minimum(start + BLOCK * WINDOW, bounds[d + 1])
+        total = np.maximum(mass[end] - mass[start], 1e-9)
+        # No cosine is above the columns' share of the window (twice it, as words may be repeated).
+        some = 2 * (of_columns[end] - of_columns[start]) >= LEAST_COSINE**2 * total
+        window, d, begin, total = window[some], d[some], begin[some], total[some]
+        used = np.flatnonzero(np.isin(own, np.concatenate([window + k for k in range(WINDOW)])))
+        if not len(used):
+            continue
+        each = np.diff(starts[first : hi + 1])[used]
+        entry = _ranges(starts[first + used], each)
+        of = [lookup(own[used], window + k) for k in range(WINDOW)]  # -1, where there is no entry, is the empty last row
+        norm = (LEAST_COSINE * np.sqrt(total)).astype(np.float32)
+        out.append(Windows(d, begin, norm, of, column[entry], value[entry], np.cumsum(each) - each))
+    return out
+
+
 class Finder:
     """Finds items of like lengths in texts."""
 
@@ -370,72 +439,31 @@ class Finder:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_parts": None}
 
-    def near(self, bounds: np.ndarray, codes: np.ndarray, by_code: np.ndarray, place_of: np.ndarray, first: np.ndarray, stretches: np.ndarray) -> np.ndarray:
+    def near(self, windows: list[Windows], first: np.ndarray, stretches: np.ndarray) -> np.ndarray:
         """Stretch times the number of items, plus the item, where a window's cosine is LEAST_COSINE or more."""
-        it, n, m = self.items, np.diff(bounds), len(self.items.ids)
-        none = np.zeros(0, np.int64)
-        if not len(self.by_cosine) or not it.width or not len(codes):
-            return none
-        weight_of, column_of = it.weights[bins_of(by_code)], it.columns(by_code)
-        column_of = np.where(weight_of > LEAST_WEIGHT, column_of, -1)
-        at = np.flatnonzero((column_of >= 0)[codes])
-        if not len(at):
-            return none
-        # Words of items without a column are no part of a window's mass.
-        square = np.where((column_of < 0) & (place_of >= 0), 0.0, weight_of.astype(np.float64) ** 2)
-        mass = np.append(0.0, np.cumsum(square[codes]))
-        of_columns = np.append(0.0, np.cumsum(np.where(column_of >= 0, square, 0.0)[codes]))
-        # A text's blocks, and after them two empty ones, so that no window reaches into the next text.
-        base = np.append(0, np.cumsum(-(-n // BLOCK) + WINDOW - 1))
-        doc = np.repeat(np.arange(len(n)), n)[at]
-        block = base[doc] + (at - bounds[doc]) // BLOCK
-        column, value = column_of[codes[at]], weight_of[codes[at], None]
-        starts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(at))
-        out = [none]
-        for lo in range(0, len(starts) - 1, WINDOWS):  # so that a very long text takes no more memory
-            hi = min(lo + WINDOWS, len(starts) - 1)
-            # Neighbouring parts share the blocks that a window may begin in before the first.
-            first_block = max(0, lo - WINDOW + 1)
-            own = block[starts[first_block:hi]]
-            window = np.unique(np.concatenate([block[starts[lo:hi]] - k for k in range(WINDOW)]))
-            d = np.searchsorted(base, window, "right") - 1
-            ok = (window >= 0) & (window >= base[d])
-            window, d = window[ok], d[ok]
-            begin = (window - base[d]) * BLOCK
-            ok = begin < n[d]
-            window, d, begin = window[ok], d[ok], begin[ok]
-            start = bounds[d] + begin
-            end = np.minimum(start + BLOCK * WINDOW, bounds[d + 1])
-            total = np.maximum(mass[end] - mass[start], 1e-9)
-            # No cosine is above the columns' share of the window (twice it, as words may be repeated).
-            some = 2 * (of_columns[end] - of_columns[start]) >= LEAST_COSINE**2 * total
-            window, d, begin, norm = window[some], d[some], begin[some], LEAST_COSINE * np.sqrt(total[some]).astype(np.float32)
-            used = np.flatnonzero(np.isin(own, np.unique(np.concatenate([window + k for k in range(WINDOW)]))))
-            if not len(used):
-                continue
-            each = np.diff(starts[first_block : hi + 1])[used]
-            entry = _ranges(starts[first_block + used], each)
-            cuts = np.cumsum(each) - each
-            of = [lookup(own[used], window + k) for k in range(WINDOW)]  # the last row is empty
+        out, m = [np.zeros(0, np.int64)], len(self.items.ids)
+        for w in windows:
             for k, parts in enumerate(self._cosine_parts()):
-                sums = np.zeros((len(used) + 1, parts.shape[1]), np.float32)
-                sums[:-1] = np.add.reduceat(parts[column[entry]] * value[entry], cuts, axis=0)
-                cosines = sum(sums[x] for x in of)
-                row, item = np.nonzero(cosines >= norm[:, None])
+                sums = np.zeros((len(w.cuts) + 1, parts.shape[1]), np.float32)
+                sums[:-1] = np.add.reduceat(parts[w.column] * w.value, w.cuts, axis=0)
+                cosines = sums[w.of[0]]
+                for x in w.of[1:]:
+                    cosines += sums[x]
+                row, item = np.nonzero(cosines >= w.norm[:, None])
                 q = self.by_cosine[k * COLUMNS_OF + item]
                 # The stretch that holds all that the check looks at around the window.
-                stretch = np.minimum(np.maximum(begin[row] - self.reach[q], 0) // self.stretch, stretches[d[row]] - 1)
-                out.append((first[d[row]] + stretch) * m + q)
+                d = w.row[row]
+                stretch = np.minimum(np.maximum(w.begin[row] - self.reach[q], 0) // self.stretch, stretches[d] - 1)
+                out.append((first[d] + stretch) * m + q)
         return np.unique(np.concatenate(out))
 
     def in_item(self, q: int, place: np.ndarray) -> np.ndarray:
         """Which of the words (by their places among all items' words, -1: none) are in an item."""
         return np.isin(place, self.kinds[0, self.kinds_at[q] : self.kinds_at[q + 1]])
 
-    def pairs(self, bounds: np.ndarray, codes: np.ndarray, by_code: np.ndarray, place_of: np.ndarray) -> list[tuple[int, int, int, int, bool]]:
+    def pairs(self, bounds: np.ndarray, place: np.ndarray, windows: list[Windows]) -> list[tuple[int, int, int, int, bool]]:
         """(row, item, start, end, whether the cosine named it) of the candidates' stretches that have
         enough of an item's words."""
-        place = place_of[codes]
         n, width = np.diff(bounds), len(self.words)
         blocks = -(-n // self.stretch)
         stretches = np.where(blocks > 1, blocks - 1, blocks)
@@ -445,12 +473,12 @@ class Finder:
         block = (at - bounds[doc]) // self.stretch
         one, before = block < stretches[doc], block > 0
         key = np.concatenate([(first[doc] + block)[one] * width + place[at[one]], (first[doc] + block - 1)[before] * width + place[at[before]]])
-        key = np.unique(key)
+        key = _distinct(key)
         where, word = key // width, key % width
         each = np.diff(self.index_at)[word]
         m = len(self.items.ids)
-        near = self.near(bounds, codes, by_code, place_of, first, stretches)
-        pair = np.unique(np.append(np.repeat(where, each) * m + self.index[_ranges(self.index_at[word], each)], near))
+        near = self.near(windows, first, stretches)
+        pair = _distinct(np.append(np.repeat(where, each) * m + self.index[_ranges(self.index_at[word], each)], near))
         out = []
         for lo in range(0, len(pair), 1 << 15):
             where, q = pair[lo : lo + (1 << 15)] // m, pair[lo : lo + (1 << 15)] % m
@@ -504,18 +532,21 @@ class Finder:
             lo, hi = (n, hi) if common_words(words[n:end], self.places[q]) >= common else (lo, n - 1)
         return int(at[lo]), int(at[end - 1]) + 1
 
-    def find(self, prepared: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int, int, float, int, bool, int]]:
+    def find(self, prepared: tuple[np.ndarray, np.ndarray, np.ndarray], shared: dict[int, list[Windows]] | None = None) -> list[tuple[int, int, int, int, float, int, bool, int]]:
         """(row, item_id, start word, end word, cosine, common words, answer there, item words, whether
-        the cosine led there) of what is found in texts that ``plain_words`` has prepared."""
+        the cosine led there) of what is found in texts that ``plain_words`` has prepared.  ``shared``
+        keeps the windows of these texts for other finders with the same weights."""
         it = self.items
         if not len(it.ids):
             return []
         bounds, codes, by_code = prepared
-        place_of = lookup(self.words, by_code)  # of each distinct word
-        place = place_of[codes]
+        place = lookup(self.words, by_code)[codes]
+        shared = {} if shared is None else shared
+        if id(it.weights) not in shared:
+            shared[id(it.weights)] = weighted_windows(it, bounds, codes, by_code)
         by_cosine: set[tuple[int, int]] = set()
         out: dict[tuple[int, int], tuple] = {}
-        for d, q, start, end, led in self.pairs(bounds, codes, by_code, place_of):
+        for d, q, start, end, led in self.pairs(bounds, place, shared[id(it.weights)]):
             at = np.flatnonzero(self.in_item(q, place[start:end]))
             words = place[start + at]
             most, _, enough = self.check(q, words, at)
@@ -623,9 +654,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 ids, texts = batch.column(0).to_pylist(), as_array(batch.column(1))
                 rows = []
                 for lo, hi in slices(texts):
-                    prepared = plain_words(texts.slice(lo, hi - lo))
+                    prepared, shared = plain_words(texts.slice(lo, hi - lo)), {}
                     for f in found.value:
-                        rows += [(ids[lo + d], i, s, e, round(c, 4), k, m, a, led) for d, i, s, e, c, k, a, m, led in f.find(prepared)]
+                        rows += [(ids[lo + d], i, s, e, round(c, 4), k, m, a, led) for d, i, s, e, c, k, a, m, led in f.find(prepared, shared)]
                 if rows:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -653,9 +684,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
                 texts = as_array(batch.column(at))
                 clean = np.ones(len(texts), bool)
                 for lo, hi in slices(texts):
-                    prepared = plain_words(texts.slice(lo, hi - lo))
+                    prepared, shared = plain_words(texts.slice(lo, hi - lo)), {}
                     for f in found.value:
-                        for row in f.find(prepared):
+                        for row in f.find(prepared, shared):
                             clean[lo + row[0]] = False
                 yield batch.filter(pa.array(clean))
 
