@@ -182,7 +182,9 @@ r AS (SELECT p, lo + p * ((hi - lo + 1) // 5) + least(p, (hi - lo + 1) % 5) AS a
   lo + (p + 1) * ((hi - lo + 1) // 5) + least(p + 1, (hi - lo + 1) % 5) - 1 AS z FROM e, (SELECT unnest(range(5)) AS p))
 SELECT CAST(p AS INTEGER) AS part, i, CASE WHEN i BETWEEN lo AND hi THEN u + 1.0::DOUBLE ELSE u END AS u, i BETWEEN a AND z AS owned
 FROM g JOIN r ON i BETWEEN a - 1 AND z + 1 CROSS JOIN e""",
-    "describe_stencils": DESCRIBED,
+    "describe_stencils": f"""
+SELECT d.*, cells, cells * flops AS work FROM ({DESCRIBED}) d JOIN (
+ SELECT 1 AS ndim, count(*) AS cells FROM ({SOURCES["O1"]}) UNION ALL SELECT 2, count(*) FROM ({SOURCES["E2"]}) UNION ALL SELECT 3, count(*) FROM ({L3})) USING (ndim)""",
     "sided_1d": """
 SELECT i, CASE WHEN b IS NULL OR a IS NULL THEN u ELSE u - 0.3::DOUBLE * (CASE WHEN a >= b THEN u - b ELSE a - u END) END AS u
 FROM (SELECT c_custkey AS i, c_acctbal AS u, lag(c_acctbal) OVER w AS b, lead(c_acctbal) OVER w AS a FROM customer WINDOW w AS (ORDER BY c_custkey))""",
@@ -227,7 +229,7 @@ def oracle_sql() -> dict[str, str]:
     for name, method in {"rk_euler": "euler", "rk2": "rk2", "rk4": "rk4", "rk_ssprk3": "ssprk3"}.items():
         out[name] = _rk(method)
     cube = (
-        "SELECT i, j, k, CAST(i * 100 + j * 10 + k AS DOUBLE) AS u FROM (SELECT unnest(range(12)) AS i) CROSS JOIN "
+        "SELECT i, j, k, CAST(i * 100 + j * 10 + k AS DOUBLE) AS u FROM (SELECT unnest(range((SELECT count(*) FROM embeddings))) AS i) CROSS JOIN "
         "(SELECT unnest(range(9)) AS j) CROSS JOIN (SELECT unnest(range(7)) AS k)"
     )
     out["made_grid"] = f"WITH g AS MATERIALIZED ({cube}) {sweep_sql('g', ('i', 'j', 'k'), ('u',), (), {'u': cat.mean_3d})}"
@@ -269,7 +271,7 @@ def oracle_sql() -> dict[str, str]:
     out["sql_over_view"] = f"SELECT i % 10 AS digit, max(u) AS most, count(*) AS n FROM ({swept}) WHERE u > 0 GROUP BY 1"
     drawn = (
         "SELECT i, j, CAST('0x' || substr(md5('7:u:' || i || ',' || j), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u "
-        "FROM (SELECT unnest(range(20)) AS i) CROSS JOIN (SELECT unnest(range(15)) AS j)"
+        "FROM (SELECT unnest(range((SELECT count(*) FROM customer))) AS i) CROSS JOIN (SELECT unnest(range(15)) AS j)"
     )
     out["random_field"] = chain(drawn, [sweep_step("E2", {"u": cat.heat_2d})])
     unique = "SELECT CAST(l_quantity AS INTEGER) AS i, max(l_extendedprice) AS u FROM lineitem GROUP BY 1"

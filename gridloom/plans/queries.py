@@ -294,7 +294,8 @@ def sql_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def random_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply(src.random_grid(spark, (20, 15), seed=7), cat.heat_2d).df
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").count()  # one row of the field for each customer
+    return apply(src.random_grid(spark, (rows, 15), seed=7), cat.heat_2d).df
 
 
 @query
@@ -387,12 +388,17 @@ def max_difference_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def made_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.col("i") * 100 + F.col("j") * 10 + F.col("k")
-    return apply(src.make_grid(spark, (12, 9, 7), value), cat.mean_3d).df
+    layers = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()  # one layer for each vector
+    return apply(src.make_grid(spark, (layers, 9, 7), value), cat.mean_3d).df
 
 
 @query
 def describe_stencils(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe_frame(spark, [cat.heat_1d, cat.laplacian_2d_9pt, cat.cond_3d, BOX27, BOX125, FLOAT])
+    """What stencils read and cost, and what a sweep over the tables' grids comes to."""
+    described = describe_frame(spark, [cat.heat_1d, cat.laplacian_2d_9pt, cat.cond_3d, BOX27, BOX125, FLOAT])
+    grids = [grid(spark, sf_dir, of).df.agg(F.lit(n).alias("ndim"), F.count(F.lit(1)).alias("cells")) for n, of in ((1, "O1"), (2, "E2"), (3, "L3"))]
+    sizes = grids[0].union(grids[1]).union(grids[2])  # a row for each number of dimensions
+    return described.join(F.broadcast(sizes), "ndim").withColumn("work", F.col("cells") * F.col("flops"))
 
 
 #: Smoothing of live activity along the days.
