@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from ..functions.frontend import Stencil
 from ..operators.boundary import BoundarySpec
 from . import catalogue as cat
-from .queries import BOUNDARIES, GAPPED, GRIDS, LIVE, MARCHED, MOST_STEPS, SPECIES, STILL, SWEEPS
+from .queries import BOUNDARIES, GAPPED, GRIDS, LIVE, MARCHED, MOST_STEPS, PASS_DIGITS, SPECIES, STILL, SWEEPS
 from .sql import sweep_sql
 
 L3 = """SELECT CAST(l_quantity AS INTEGER) - 1 AS i, CAST(round(l_discount * 100) AS INTEGER) AS j,
@@ -246,6 +246,8 @@ def oracle_sql() -> dict[str, str]:
         chain(f"SELECT i, j, u AS n, u FROM ({V2})", [smooth] * 2)
         + f" g WHERE EXISTS (SELECT 1 FROM ({V2S}) k CROSS JOIN (SELECT min(i) AS i, min(j) AS j FROM g0) e WHERE {near})"
     )
+    bell = sweep_sql("g", ("i", "j", "k"), ("u", "v", "w"), (), {"u": cat.bell(2, 3)}, "drop")
+    out["bell_in_passes_3d"] = f"WITH g AS MATERIALIZED ({L3}) SELECT i, j, k, round(u, {PASS_DIGITS}) AS u FROM ({bell})"
     nine = {"u": cat.laplacian_2d_9pt}
     swept = chain(SOURCES["E2"], [sweep_step("E2", nine)])
     out["sql_sweep"] = f"SELECT j, max(u) AS most, min(u) AS least, count(*) AS n FROM ({swept}) WHERE u <> 0 GROUP BY j"

@@ -24,6 +24,7 @@ from . import catalogue as cat
 from .analysis import describe_frame
 from .compiled import compile_fused
 from .lineage import shared_dir
+from .separable import sweep_separable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,6 +266,16 @@ def incremental_resweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resweep(before, now, g.df.where(CHANGED), {"u": cat.heat_1d}, 3, RESWEPT).df
 
 
+#: Digits to which passes along the axes agree with the whole box.
+PASS_DIGITS = 9
+
+
+@query
+def bell_in_passes_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = sweep_separable(grid(spark, sf_dir, "L3"), cat.bell(2, 3), halo="drop")
+    return g.df.select("i", "j", "k", F.round("u", PASS_DIGITS).alias("u"))
+
+
 @query
 def march_parts_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return march_parts(grid(spark, sf_dir, "E2"), {"u": cat.heat_2d}, 3, n=4, axis=1).df
