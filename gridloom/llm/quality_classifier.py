@@ -13,6 +13,7 @@ adds its evidence to its path's prior log-odds.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -156,19 +157,20 @@ def priors(evidence: DataFrame, base: float) -> DataFrame:
 
 def scored(
     docs: DataFrame, labels: DataFrame, text_col: str = "text", host_col: str = "source", path_col: str = "lang",
-    id_col: str = "doc_id", max_rows: int = MAX_ROWS,
+    id_col: str = "doc_id", max_rows: int = MAX_ROWS, carried: Sequence[str] | None = None,
 ) -> DataFrame:
-    """(row, evidence, host_rate, path_rate, p_low, kept): ``row`` is the struct of all columns of
-    ``docs``, whatever their names; ``kept`` unless the posterior of low quality is above one half.
+    """(row, evidence, host_rate, path_rate, p_low, kept): ``row`` is the struct of the columns of
+    ``docs`` that are ``carried``, all of them unless given; ``kept`` unless the posterior of low quality is above one half.
 
     Null and empty texts have the statistics of an empty text; very long ones are read whole.  Null
     hosts and paths are groups of their own.  Null ids and repeated rows: each row is scored.  Equal
-    posteriors fare alike, and one half is kept, so without labels every row is.  Empty table: empty result.  All columns of
-    ``docs`` travel in ``row``, so their names clash with none.  Repeated label rows of one id count
-    once, with the lowest quality.
+    posteriors fare alike, and one half is kept, so without labels every row is.  Empty table: empty
+    result.  Columns travel in ``row``, so their names clash with none; what is carried is written
+    once, so a caller that needs no text leaves it out.  Repeated label rows of one id count once,
+    with the lowest quality.
     """
     packed = docs.select(
-        F.struct("*").alias("row"), F.col(text_col).alias("text"),
+        F.struct(*(docs.columns if carried is None else carried)).alias("row"), F.col(text_col).alias("text"),
         F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")).alias("host"),
         F.coalesce(F.concat(F.lit("="), F.col(path_col)), F.lit("")).alias("path"),
     )

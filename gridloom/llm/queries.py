@@ -82,7 +82,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import scored
 
-    out = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carried=["doc_id"])
     digits = [F.round(c, 6).alias(c) for c in ("evidence", "host_rate", "path_rate", "p_low")]
     return out.select(F.col("row.doc_id").alias("doc_id"), *digits, "kept")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -402,10 +402,9 @@ def test_cosine_candidates_equal_plain_cosines(spark, monkeypatch):
         blocks = -(-n // f.stretch)
         stretches = np.where(blocks > 1, blocks - 1, blocks)
         first = np.cumsum(stretches) - stretches
-        place_of = dc.lookup(f.words, by_code)
-        got = [set(f.near(bounds, codes, by_code, place_of, first, stretches).tolist())]
+        got = [set(f.near(dc.weighted_windows(f.items, bounds, codes, by_code), first, stretches).tolist())]
         monkeypatch.setattr(dc, "WINDOWS", 3)
-        got.append(set(f.near(bounds, codes, by_code, place_of, first, stretches).tolist()))
+        got.append(set(f.near(dc.weighted_windows(f.items, bounds, codes, by_code), first, stretches).tolist()))
         monkeypatch.undo()
         assert got[0] == got[1]
         for q in f.by_cosine.tolist():
@@ -462,6 +461,48 @@ def test_quality_on_held_out_labels(spark, sf_dir):
     assert kept.columns == docs.columns
 
 
+def test_priors_and_posteriors_equal_numpy(spark):
+    rng = random.Random(21)
+    rows = [(f"h{h}", f"p{rng.randrange(1 + h % 4)}", rng.gauss((-1.5, 0.5, 2.0)[h % 3], 2)) for h in range(12) for _ in range(3 + 7 * h)]
+    base = -0.7
+    got = {(r["host"], r["path"]): r for r in quality_classifier.priors(spark.createDataFrame(rows, "host string, path string, llr double"), base).collect()}
+    n, s = Counter(), Counter()
+    for h, p, x in rows:
+        n[h, p] += 1
+        s[h, p] += 1 / (1 + np.exp(-(x + base)))
+    rate = sum(s.values()) / len(rows)
+
+    def strength(counts, sums, centres):
+        w, r, c = np.array(counts, float), np.array(sums) / np.array(counts), np.array(centres)
+        within = (w * c * (1 - c)).sum() / w.sum()
+        return min(max(within / max(((w * (r - c) ** 2).sum() - (len(w) - 1) * within) / w.sum(), 1e-6), 1), 1e6)
+
+    hosts = sorted({h for h, _ in n})
+    hn, hs = ({h: sum(v for (x, _), v in of.items() if x == h) for h in hosts} for of in (n, s))
+    k1 = strength([hn[h] for h in hosts], [hs[h] for h in hosts], [rate] * len(hosts))
+    hr = {h: (hs[h] + k1 * rate) / (hn[h] + k1) for h in hosts}
+    keys = sorted(n)
+    k2 = strength([n[k] for k in keys], [s[k] for k in keys], [hr[k[0]] for k in keys])
+    assert set(got) == set(keys)
+    for k in keys:
+        r = min(max((s[k] + k2 * hr[k[0]]) / (n[k] + k2), 1e-4), 1 - 1e-4)
+        prior = min(max(np.log(r / (1 - r)), base - quality_classifier.PRIOR_REACH), base + quality_classifier.PRIOR_REACH)
+        assert np.allclose((got[k]["host_rate"], got[k]["path_rate"], got[k]["prior"]), (hr[k[0]], r, prior))
+
+
+def test_posteriors_add_evidence_and_prior(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    every = quality_classifier.scored(docs, labels).selectExpr("row.doc_id", "evidence", "path_rate", "p_low", "kept").collect()
+    few = quality_classifier.scored(docs, labels, carried=["doc_id"])
+    assert few.select("row.*").columns == ["doc_id"]
+    assert sorted(map(tuple, few.selectExpr("row.doc_id", "evidence", "path_rate", "p_low", "kept").collect())) == sorted(map(tuple, every))
+    base = quality_classifier.fit_evidence(docs, labels).base
+    reach = quality_classifier.PRIOR_REACH
+    for r in every:
+        prior = min(max(np.log(r["path_rate"] / (1 - r["path_rate"])), base - reach), base + reach)
+        assert np.isclose(r["p_low"], 1 / (1 + np.exp(-(r["evidence"] + prior)))) and r["kept"] == (r["p_low"] <= 0.5)
+
+
 def test_quality_handles_nulls_and_no_labels(spark):
     df = spark.createDataFrame([(1, None, None, None), (None, "", "s", "l"), (3, "some words here", "s", None)], "doc_id long, text string, source string, lang string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -541,3 +582,40 @@ def test_best_threshold():
 def test_queries_are_named_once_for_each_operator():
     names = [n.split("_")[0] for n in queries()]
     assert sorted(names, key=lambda n: int(n[2:])) == [f"op{k}" for k in range(1, 11)]
+
+
+def test_chain_predictions_equal_plain_sums(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    chain = toxicity.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    place = {f: i for i, f in enumerate(chain.features.tolist())}
+    found = toxicity.predict(docs, chain).collect()
+    assert len(found) == len(texts) and any(r["toxic"] for r in found)
+    for r in found:
+        here = sorted({place[h] for h in toxicity.feature_hashes(pa.array([texts[r["doc_id"]]], pa.string()))[1].tolist() if h in place})
+        earlier = []
+        for category, (w, b) in zip(chain.categories, chain.models, strict=True):
+            z = b + sum(w[i] for i in here) + w[len(place)] * np.log1p(len(here)) + sum(w[len(place) + 1 + k] * p for k, p in enumerate(earlier))
+            earlier.append(1 / (1 + np.exp(-z)))
+            assert abs(r[f"p_{category}"] - earlier[-1]) < 1e-5
+        assert r["toxic"] == (earlier[-1] >= chain.threshold) or abs(earlier[-1] - chain.threshold) < 1e-5
+
+
+def test_later_categories_are_learned_from_out_of_fold_probabilities():
+    """The second model sees, for each row, what a first model says that has not seen the row."""
+    rng = np.random.default_rng(4)
+    x = (rng.random((400, 6)) < 0.4).astype(np.float32)
+    y = np.stack([(x[:, 0] + rng.random(400) > 1.1), (x[:, 1] + x[:, 0] + rng.random(400) > 1.6)], axis=1).astype(float)
+    y[rng.random(400) < 0.2, 0] = np.nan
+    chain = toxicity.fit_chain(("a", "b"), np.arange(6, dtype=np.uint64), x, y)
+    fold = np.random.default_rng(3).permutation(400) % toxicity.FOLDS
+    known = ~np.isnan(y[:, 0])
+    p = np.array([0.0] * 400)
+    for f in range(toxicity.FOLDS):
+        others = [i for i in range(400) if fold[i] != f and known[i]]
+        w, b = fit_logistic(x[others], y[others, 0], 0.5)
+        for i in np.flatnonzero(fold == f):
+            p[i] = sigmoid(x[i] @ w + b)
+    for got, want in zip(chain.models, (fit_logistic(x[known], y[known, 0], 0.5), fit_logistic(np.hstack([x, p[:, None]]), y[:, 1], 0.5)), strict=True):
+        assert np.allclose(got[0], want[0], atol=1e-6) and np.isclose(got[1], want[1])
