@@ -581,7 +581,7 @@ def test_best_threshold():
 
 def test_queries_are_named_once_for_each_operator():
     names = [n.split("_")[0] for n in queries()]
-    assert sorted(names, key=lambda n: int(n[2:])) == [f"op{k}" for k in range(1, 11)]
+    assert sorted(names, key=lambda n: int(n[2:])) == [f"op{k}" for k in range(1, 13)]
 
 
 def test_chain_predictions_equal_plain_sums(spark, sf_dir):
