@@ -10,7 +10,6 @@ from pathlib import Path
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 log = logging.getLogger("jobs")
@@ -25,14 +24,10 @@ def config_of(defaults: str, given: Mapping[str, Any] | None = None) -> dict[str
     return config | dict(given or {})
 
 
-def read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    """A Parquet table, or None if nothing has been written there."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def table_at(spark: SparkSession, path: str, schema: str, *partitions: str) -> DataFrame:
+    """A Parquet table, made empty if nothing has been written there."""
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*partitions).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def counted(seen: Observation, name: str) -> int:

@@ -29,7 +29,7 @@ from gridloom.plans.lineage import shared_dir
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import command, config_of, counted, log, read_or_none
+from .common import command, config_of, counted, log, table_at
 
 DEFAULTS = __file__.removesuffix(".py") + ".json"
 HEAT = from_text("heat", "0.5 * density[i, j] + 0.125 * (density[i-1, j] + density[i+1, j] + density[i, j-1] + density[i, j+1])")
@@ -83,11 +83,9 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str, config:
     c = config_of(DEFAULTS, config)
     taken = take(spark, documents, out, checkpoint, c)
     log.info("read %s: %d new documents", documents, taken)
-    marks = read_or_none(spark, f"{out}/marks", "batch bigint")
-    done = -1 if marks is None else marks.agg(F.max("batch")).first()[0]
-    deltas = read_or_none(spark, f"{out}/deltas", DELTAS)
-    last = -1 if deltas is None else deltas.agg(F.max("batch")).first()[0]
-    if last is None or last <= done:
+    deltas = table_at(spark, f"{out}/deltas", DELTAS, "batch")
+    last, done = (of.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0] for of in (deltas, table_at(spark, f"{out}/marks", "batch bigint")))
+    if last <= done:
         log.info("nothing new since batch %d: %s/surface stays as it is", done, out)
         return {"read": taken, "wrote": 0}
     meta = GridFrame(deltas.selectExpr("lang", "i", "j", "CAST(n AS DOUBLE) AS density"), ("i", "j"), ("density",), ("lang",), ((0, c["rows"] - 1), (0, c["columns"] - 1)))

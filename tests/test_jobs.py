@@ -99,7 +99,7 @@ def test_many_files_in_several_batches(spark, places):
     for k in range(5):
         put(spark, FIRST[k : k + 2], docs)
     assert text_density.run(spark, *places, SETTINGS | {"files_per_batch": 2})["read"] == 10
-    assert text_density.read_or_none(spark, f"{out}/deltas", text_density.DELTAS).select("batch").distinct().count() == 3
+    assert text_density.table_at(spark, f"{out}/deltas", text_density.DELTAS, "batch").select("batch").distinct().count() == 3
     assert surface(spark, out) == plain_density([r for k in range(5) for r in FIRST[k : k + 2]], SETTINGS)
 
 
