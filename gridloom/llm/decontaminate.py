@@ -672,7 +672,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, in whose text no item is found.
 
-    Null and empty texts stay; very long ones are searched whole.  Repeated rows fare alike.  Empty
+    Null and empty texts stay; very long ones are searched whole.  Null ids do not matter, since texts
+    alone decide, and repeated rows fare alike.  Empty
     benchmark: all rows stay; empty ``docs``: empty result.  The columns may have any names.
     """
     at = docs.columns.index(text_col)

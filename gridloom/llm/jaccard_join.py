@@ -721,8 +721,10 @@ def jaccard_components(
 
     Null and empty texts: size 0, linked with nothing, their own id as component.  Null ids: the
     row takes part, but null is a component's name only if no row of it has an id.  Repeated rows:
-    each gets its row.  Empty table: empty result.  Other columns are ignored.  N-grams are
-    compared by 64-bit digests in prefixes and by 48 bits of them in overlaps.
+    each gets its row.  Very long texts count whole.  Ties do not arise: a link is a matter of
+    sets, and a component's name is its least id.  Empty table: empty result.  Other columns are
+    ignored, whatever their names.  ``limits`` change no result.  N-grams are compared by 64-bit
+    digests in prefixes and by 48 bits of them in overlaps.
     """
     full, empty = _rooted(docs, k, threshold, id_col, text_col, limits)
     least = full.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -737,7 +739,8 @@ def one_of_each(
     """The rows of ``docs``, all columns as they are, with one row of each component.
 
     The row of least id stays, then of least digest of id and text; null ids come last.  Of rows
-    equal in id and text one stays.  Rows without words have no links and all stay.
+    equal in id and text one stays.  Rows without words, so those of null and empty texts, have no
+    links and all stay.  Very long texts count whole.  Empty table: empty result.
     """
     full, _ = _rooted(docs, k, threshold, id_col, text_col, limits)
     full = saved(full, "jaccard-rooted")

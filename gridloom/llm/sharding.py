@@ -65,7 +65,8 @@ def assign_shards(
     (gapless from 0 in each shard) and grown_shard (null under this law).
 
     Null text: size 8 and CRC 0.  Null stratum: a stratum of its own.  Null ids and repeated rows:
-    each row is dealt; rows equal in id, text and stratum are interchangeable.  Empty table: empty
+    each row is dealt; rows equal in id, text and stratum are interchangeable.  Very long texts are
+    dealt as any other row, whatever their size.  Empty table: empty
     result.  Other columns are ignored, whatever their names.  ``rows`` saves the count if known.
     """
     text = F.col(text_col)
