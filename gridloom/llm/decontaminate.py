@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_array, hashes, mix, partitions_for, slices, split_words
+from .common import as_array, hashes, mix, partitions_for, slices, split_words, tidy
 
 BINS = 1 << 18
 FLOORS, CAP, LEAST_WEIGHT = (3.0, 1.5, 0.0), 4.0, 0.05
@@ -97,7 +97,7 @@ def _summed(df: DataFrame, dtype: type) -> dict[int, np.ndarray]:
                 sums[part] = sums[part] + x if part in sums else x.copy()
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "data"])
 
-    rows = df.repartition(partitions_for(df), "part").mapInArrow(add, "part int, data binary").collect()
+    rows = df.repartition(partitions_for(df), "part").mapInArrow(tidy(add), "part int, data binary").collect()
     return {r["part"]: np.frombuffer(r["data"], dtype) for r in rows}
 
 
@@ -169,7 +169,7 @@ def survey(docs: DataFrame, vocabulary: np.ndarray, seed: int = 11, chunk: int =
         parts |= {1_000_000 + i: total[i * rows : (i + 1) * rows] for i in range(-(-m // rows))}
         yield _parts({-1: np.array([float(n)]), **parts})
 
-    sums = _summed(docs.select("text").mapInArrow(run, "part int, data binary"), np.float64)
+    sums = _summed(docs.select("text").mapInArrow(tidy(run), "part int, data binary"), np.float64)
     n = float(sums[-1][0]) if sums else 0.0
     df = [sums[i] for i in sorted(sums) if 0 <= i < 1_000_000]
     product = [sums[i].reshape(-1, width) for i in sorted(sums) if i >= 1_000_000]
@@ -660,7 +660,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 if rows:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        return slim.mapInArrow(run, schema)
+        return slim.mapInArrow(tidy(run), schema)
 
     out = None
     for items in _groups(benchmark):
@@ -691,7 +691,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
                             clean[lo + row[0]] = False
                 yield batch.filter(pa.array(clean))
 
-        return df.mapInArrow(run, df.schema)
+        return df.mapInArrow(tidy(run), df.schema)
 
     out = docs
     for items in _groups(benchmark):

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_array, forget, mix, partitions_for, saved, slices, word_hashes
+from .common import as_array, forget, mix, partitions_for, saved, slices, tidy, word_hashes
 from .components import connected_components
 
 #: Largest lists of each set that its pairs are looked for first.
@@ -537,7 +537,7 @@ def _needed_sets(docs: DataFrame, profile: DataFrame, wanted: DataFrame, order,
             yield pa.record_batch([pa.array(sids, pa.int64()), pa.array(tokens, pa.binary())], schema=schema)
 
     slots = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("slot"))
-    return slots.mapInArrow(run, "sid bigint, tokens binary")
+    return slots.mapInArrow(tidy(run), "sid bigint, tokens binary")
 
 
 def _linked(docs: DataFrame, profile: DataFrame, rows: DataFrame, order, k: int, t: Fraction) -> DataFrame:
@@ -672,7 +672,7 @@ def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, te
     t = Fraction(*threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
     sc = docs.sparkSession.sparkContext
-    first = saved(docs.mapInArrow(_profile(k, limits), "kind bigint, id bigint, n bigint, sid bigint, key bigint, bits binary"), "jaccard-profile")
+    first = saved(docs.mapInArrow(tidy(_profile(k, limits)), "kind bigint, id bigint, n bigint, sid bigint, key bigint, bits binary"), "jaccard-profile")
     profile = first.where("kind = 0").select("id", "n", "sid", "key", "bits")
     frequent = first.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
     top = frequent.orderBy(F.desc("n"), "id").limit(limits.frequent).collect()  # at most so many rows
@@ -680,10 +680,10 @@ def _rooted(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, te
     order = sc.broadcast(Order(grams, np.array([r["n"] for r in top], np.int64), limits))
 
     parts = partitions_for(docs)
-    packed = docs.mapInArrow(_prefixes(k, t, order, 4 * parts), "bucket int, grams binary, sids binary, sizes binary")
+    packed = docs.mapInArrow(tidy(_prefixes(k, t, order, 4 * parts)), "bucket int, grams binary, sids binary, sizes binary")
     dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
     kind = "kind int, x bigint, y bigint, small bigint, star bigint, m bigint, n bigint"
-    met = saved(dealt.mapInArrow(_groups(t, order, limits), kind), "jaccard-met")
+    met = saved(dealt.mapInArrow(tidy(_groups(t, order, limits)), kind), "jaccard-met")
 
     pairs = met.where("kind = 0").groupBy("x", "y").agg(F.sum("small").alias("small"), F.sum("star").alias("star"), F.max("m").alias("m"), F.max("n").alias("n"))
     pairs = saved(pairs, "jaccard-candidates")

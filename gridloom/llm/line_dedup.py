@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_array, saved
+from .common import as_array, saved, tidy
 from .native import let
 
 SHINGLE, GUARANTEE = 6, 24
@@ -112,7 +112,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, runs): the line ranges to delete from the rows whose (id, text) have that key."""
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     kind = "id bigint, key bigint, lines binary, prints array<struct<h:bigint,at:int>>"
-    profile = saved(keyed.mapInArrow(_profile, kind), "lines")
+    profile = saved(keyed.mapInArrow(tidy(_profile), kind), "lines")
     places = profile.select("id", "key", F.explode("prints").alias("p")).select("id", "key", "p.h", "p.at").distinct()
     place = F.struct("id", "key", "at")
     firsts = places.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -125,7 +125,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # and a document that is the first for very many can be split.
     lines = saved(profile.groupBy("key").agg(F.first("lines").alias("lines")), "line-hashes")
     both = by_pair.join(lines, "key").join(lines.select(F.col("key").alias("other"), F.col("lines").alias("there_lines")), "other")
-    found = both.select("key", "lines", "there_lines", "matches").mapInArrow(_runs, "key bigint, runs array<struct<s:int,e:int>>")
+    found = both.select("key", "lines", "there_lines", "matches").mapInArrow(tidy(_runs), "key bigint, runs array<struct<s:int,e:int>>")
     return found.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 

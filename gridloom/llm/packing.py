@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import as_array, slices
+from .common import as_array, slices, tidy
 
 #: Share of a bin that a whole rest may leave empty in its class before it is cut.
 WASTE = 0.02
@@ -62,12 +62,12 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.most, self.join = most, join
         (self.sentinel,) = self._ids(SENTINEL)
-        self._forget()
+        self.forget()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.rows: dict[str, int] = {}
         self.flat, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
@@ -93,7 +93,7 @@ class ChunkEncoder:
         rows = self.rows
         new = [p for p in parts if p not in rows]
         if len(rows) + len(new) > self.most and rows:
-            self._forget()
+            self.forget()
             rows, new = self.rows, parts
         if new:
             self._learn(new)
@@ -228,9 +228,10 @@ def pack(
         rows += bins.finish()
         if rows:
             yield out(rows)
+        own_encoder.forget()  # the worker is kept for other stages; the tokenizer stays
 
     slim = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text")
-    return slim.mapInArrow(run, SCHEMA)
+    return slim.mapInArrow(tidy(run), SCHEMA)
 
 
 __all__ = ["ChunkEncoder", "HarmonicBins", "cut", "encoder", "pack"]

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+from types import SimpleNamespace
+
 import corpus_pipeline
+import pyarrow as pa
+from gridloom.llm import common, packing
 from gridloom.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
 
@@ -54,3 +59,28 @@ def test_run_over_odd_documents(spark, tmp_path):
 
 def test_run_over_no_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, written(spark, tmp_path, [])).collect() == []
+
+
+def test_python_steps_release_memory_at_the_end_of_a_task(spark, tmp_path, monkeypatch):
+    steps, called = [], []
+    frame = type(spark.range(0))
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **kw: steps.append(f) or plain(self, f, *a, **kw))
+    corpus_pipeline.run(spark, written(spark, tmp_path, [(1, "some words\nof two lines", "en", "a", None, "k", 1)])).collect()
+    assert {f.__module__.rsplit(".", 1)[-1] for f in steps} == {"line_dedup", "jaccard_join", "decontaminate", "packing"}
+    monkeypatch.setattr(common, "release", lambda: called.append(1))
+    for f in steps:
+        called.clear()
+        with contextlib.suppress(AttributeError):  # there is no TaskContext here
+            list(f(iter([])))
+        assert called, f
+
+
+def test_a_packing_task_leaves_no_parts_in_its_worker(monkeypatch):
+    docs = SimpleNamespace(selectExpr=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: run))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = packing.pack(docs, tokenizer_path())
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([" ".join(f"part{i}" for i in range(5000)), None])], names=["doc_id", "text"])
+    first, again = list(run(iter([batch]))), list(run(iter([batch])))
+    assert first == again and sum(sum(b.column(2).to_pylist()) for b in first) > 5000
+    assert not packing.encoder(tokenizer_path()).rows
